@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MIX_1, MIX_2, GOLDEN = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
@@ -126,6 +127,11 @@ def words_by_text(texts: list[bytes], lower: bool = True) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(s, ends[:-1]))
 
 
+def extended(schema: StructType, ddl: str) -> StructType:
+    """The fields of a schema and those of ``ddl``."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def held_out(doc_id="doc_id"):
     """True for the fifth of rows (by crc32 of the id as text) that no model learns from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0

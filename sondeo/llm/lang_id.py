@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, held_out, share_by_hash
+from .common import batches_of_texts, extended, held_out, share_by_hash
 
 DIMS = 1 << 13
 UNKNOWN = "und"
@@ -158,5 +158,5 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=[*base, "lang_pred", "score", "accepted"])
 
     src = docs.select(*[F.col(f"`{c}`") for c in base])
-    schema = src.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    schema = extended(src.schema, "lang_pred string, score double, accepted boolean")
     return src.mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts
+from .common import batches_of_texts, extended
 
 KINDS = ("email", "secret", "iban", "ip", "phone", "card", "ssn", "date")
 #: Fixed patterns, tried in this order at each place.
@@ -215,9 +215,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     base = [c for c in docs.columns if c not in {f"pii_{k}" for k in KINDS}]
     at = base.index(text)
     src = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in base])
-    schema = src.schema
-    for k in KINDS:
-        schema = schema.add(f"pii_{k}", "long")
+    schema = extended(src.schema, ", ".join(f"pii_{k} long" for k in KINDS))
 
     def run(batches):
         names = Pseudonyms(hashlib.sha256(key.encode()).digest())

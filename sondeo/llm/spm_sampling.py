@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, batches_of_texts, mix
+from .common import GOLDEN, batches_of_texts, extended, mix
 
 MARK = "▁"
 _CHAR_MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -222,7 +222,7 @@ def encode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "t
     base = [c for c in docs.columns if c not in ("piece_ids", "_key")]
     at = base.index(text)
     src = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in base], F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias("_key"))
-    schema = src.drop("_key").schema.add("piece_ids", "array<int>")
+    schema = extended(src.drop("_key").schema, "piece_ids array<int>")
 
     def run(batches):
         lat = lattice(model_file, **how)
@@ -241,7 +241,8 @@ def decode(docs: DataFrame, model_file: str, ids: str = "piece_ids", to: str = "
     """``docs`` with the text of the piece ids as ``to``; null ids: null."""
     base = [c for c in docs.columns if c != to]
     at = base.index(ids)
-    schema = docs.select(*[F.col(f"`{c}`") for c in base]).schema.add(to, "string")
+    src = docs.select(*[F.col(f"`{c}`") for c in base])
+    schema = extended(src.schema, f"`{to}` string")
 
     def run(batches):
         lat = lattice(model_file)
@@ -249,4 +250,4 @@ def decode(docs: DataFrame, model_file: str, ids: str = "piece_ids", to: str = "
             got = [None if x is None else lat.decode(x) for x in (v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*base, to])
 
-    return docs.select(*[F.col(f"`{c}`") for c in base]).mapInArrow(run, schema)
+    return src.mapInArrow(run, schema)
