@@ -34,7 +34,11 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.piece = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if sp.is_byte(i)}
-        self.of_byte = {i: b for b, i in self.byte.items()}
+        of_byte = {i: bytes([b]) for b, i in self.byte.items()}
+        shown = [of_byte.get(i) or p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
+        self.piece_size = np.array([len(b) for b in shown])
+        self.piece_at = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(shown), np.uint8)
         if len(self.byte) != 256:
             raise ValueError("the vocabulary must have all 256 byte pieces")
         by_len: dict[int, list[tuple[int, int]]] = {}
@@ -187,21 +191,14 @@ class Lattice:
             going = lasting > 0
             at, who, r, step = lasting[going], who[going], r[going], step + 1
 
-    def decode(self, ids) -> str:
-        """The text of a sequence of piece ids."""
-        out, raw = [], bytearray()
-        for i in ids:
-            b = self.of_byte.get(int(i))
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "surrogatepass"))
-                raw.clear()
-            out.append(self.piece[i].replace(MARK, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "surrogatepass"))
-        return "".join(out)
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of sequences of piece ids that lie one after another up to ``ends``."""
+        size = self.piece_size[ids]
+        last = np.cumsum(size)
+        at = np.arange(int(last[-1]) if len(last) else 0) + np.repeat(self.piece_at[ids] - (last - size), size)
+        raw = self.piece_bytes[at].tobytes()
+        cut = [0, *np.concatenate(([0], last))[ends]]
+        return [raw[a:z].decode("utf-8", "surrogatepass") for a, z in zip(cut, cut[1:])]
 
 
 _loaded: dict = {}
@@ -247,7 +244,10 @@ def decode(docs: DataFrame, model_file: str, ids: str = "piece_ids", to: str = "
     def run(batches):
         lat = lattice(model_file)
         for batch in batches:
-            got = [None if x is None else lat.decode(x) for x in (v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in batch.column(at))]
+            column = batch.column(at)
+            size = np.array(column.value_lengths().fill_null(0), np.int64)
+            texts = lat.decode(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(size))
+            got = [t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*base, to])
 
     return src.mapInArrow(run, schema)
