@@ -8,7 +8,8 @@ packed, and the collision-corrected similarity that their bit counts give drops
 far below the threshold.  The rest is confirmed on the full sets.
 
 Within a band bucket not all pairs are made.  First all members are held against the
-bucket's least class; then, in rounds, a growing share of members (by hash) is held against
+bucket's most central class (the one with the largest buckets over all bands, such as the
+text that the others are copies of); then, in rounds, a growing share of members (by hash) is held against
 those members that are not yet in the same component, until each bucket lies in one
 component or every member has been a probe.  So no link that could join two components is
 left out, however large a bucket is.  A pair of similarity 0.85 shares none of the 32 bands
@@ -148,15 +149,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     known = sig.filter("doc_id is not null and node is not null")
     nodes = staged(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
     member = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
-    center = member.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("size")).filter("size > 1")
-    member = staged(member.join(center, "bucket"), "members")
+    size = staged(member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket_sizes")
+    member = staged(member.join(size, "bucket"), "members")
+    weight = member.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = member.join(weight, "node")
+    center = weighed.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("center"))
+    central = staged(weighed.join(center, "bucket").select("bucket", "node", "center"), "centers")
     sketch = nodes.select("node", "n", "sketch")
 
     def candidates(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct().join(sketch.toDF("b", "nb", "sb"), "b").join(sketch.toDF("a", "na", "sa"), "a")
         return pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).filter(estimated_similarity("sa", "sb") >= least_estimate).select("a", "b")
 
-    first = staged(candidates(member.filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))), "pairs")
+    first = staged(candidates(central.filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))), "pairs")
     met = member.select("node").distinct().join(nodes.select("node", "rep"), "node")
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(met, "rep").select("node", "text")
     text = staged(text.mapInArrow(_is_of_node, "node long, text string"), "texts")
