@@ -69,9 +69,8 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = spm_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(), seed=SAMPLE_SEED)
-    back = spm_sampling.decode(coded, piece_model())
-    return back.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    coded = spm_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(), seed=SAMPLE_SEED, decoded="decoded")
+    return coded.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

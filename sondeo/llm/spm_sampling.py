@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, batches_of_texts, extended, mix
+from .common import GOLDEN, batches_of_texts, extended, mix, powers
 
 MARK = "▁"
 _CHAR_MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Lattice:
-    """The vocabulary as sorted hashes of its pieces by length, with their log weights."""
+    """The vocabulary as sorted hashes of its pieces by length, with their weights."""
 
     def __init__(self, model_file: str, alpha: float = 1.0, power: float = 1.0, offset: float = 10.0):
         import sentencepiece
@@ -41,37 +41,26 @@ class Lattice:
         self.piece_bytes = np.frombuffer(b"".join(shown), np.uint8)
         if len(self.byte) != 256:
             raise ValueError("the vocabulary must have all 256 byte pieces")
-        by_len: dict[int, list[tuple[int, int]]] = {}
-        for i, p in enumerate(self.piece):
-            if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or MARK in p[1:]):
-                by_len.setdefault(len(p), []).append((int(self.hash(np.array([ord(c) for c in p], np.uint64), len(p))[0]), i))
-        self.longest = max(by_len)
+        used = np.array([i for i, p in enumerate(self.piece) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or MARK in p[1:])])
+        size = np.array([len(self.piece[i]) for i in used])
+        self.longest = int(size.max())
+        cp = np.frombuffer("".join(self.piece[i].ljust(self.longest) for i in used).encode("utf-32-le"), np.uint32).reshape(len(used), -1).astype(np.uint64)
         self.table = {}
-        prefixes = {n: set() for n in range(1, self.longest + 1)}
-        for n, pieces in by_len.items():
-            for _, i in pieces:
-                cp = np.array([ord(c) for c in self.piece[i]], np.uint64)
-                for k in range(1, n + 1):
-                    prefixes[k].add(int(self.hash(cp[:k], k)[0]))
-        for n in range(1, self.longest + 1):
-            ids = dict(by_len.get(n, ()))
-            h = np.array(sorted(prefixes[n]), np.uint64)
-            self.table[n] = (h, np.array([ids.get(int(x), -1) for x in h], np.int32))
-        self.weight = (-alpha * power * np.log(np.arange(len(self.piece)) + offset)).astype(np.float64)
-        self.byte_weight = float(self.weight.min() - 2.0)
-
-    @staticmethod
-    def hash(cp: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the n code points from each place on."""
-        h = np.zeros(len(cp) - n + 1, np.uint64)
-        for j in range(n):
-            h = mix((h ^ cp[j : len(cp) - n + 1 + j]) * _CHAR_MUL + np.uint64(j))
-        return h
+        h = np.zeros(len(used), np.uint64)
+        for n in range(1, self.longest + 1):  # all prefixes of n code points, and which of them are pieces
+            h = mix((h ^ cp[:, n - 1]) * _CHAR_MUL + np.uint64(n - 1))
+            known = np.unique(h[size >= n])
+            ids = np.full(len(known), -1, np.int32)
+            ids[np.searchsorted(known, h[size == n])] = used[size == n]
+            self.table[n] = (known, ids)
+        weight = (np.arange(len(self.piece)) + offset) ** (-alpha * power)
+        self.byte_weight = float(weight.min() / 8)
+        self.weight = np.append(weight, 0.0)  # the last one is that of -1
 
     def arcs(self, cp: np.ndarray) -> np.ndarray:
-        """ids[place, n-1]: the piece of n code points that starts there, or -1.  Longer
-        pieces are only looked up where the shorter prefix is one of some piece."""
-        ids = np.full((len(cp), self.longest), -1, np.int32)
+        """ids[end, n-1]: the piece of n code points that ends there, or -1.  Longer pieces
+        are only looked up where the shorter prefix is one of some piece."""
+        ids = np.full((len(cp) + 1, self.longest), -1, np.int32)
         alive, h = np.arange(len(cp)), np.zeros(len(cp), np.uint64)
         for n in range(1, self.longest + 1):
             ok = alive + n <= len(cp)
@@ -83,47 +72,49 @@ class Lattice:
             j = np.minimum(np.searchsorted(known, h), len(known) - 1)
             hit = known[j] == h
             alive, h = alive[hit], h[hit]
-            ids[alive, n - 1] = piece[j[hit]]
+            ids[alive + n, n - 1] = piece[j[hit]]
         return ids
 
-    def sample(self, texts: list[bytes], keys: np.ndarray, seed: int) -> list[np.ndarray]:
-        """The piece ids of each text."""
+    def sample(self, texts: list[bytes], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of all texts one after another, and how many each has."""
         cps = [np.frombuffer(t.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in texts]
         cp = np.concatenate([*cps, np.empty(0, np.uint64)])
         if not len(cp):
-            return [np.empty(0, np.int32) for _ in texts]
+            return np.empty(0, np.int32), np.zeros(len(texts), int)
         size = np.array([len(c) for c in cps])
         text_at = np.cumsum(size) - size
         literal = cp == ord(MARK)
         cp = np.where(cp == 32, np.uint64(ord(MARK)), cp)
         cp[literal] = np.uint64(0xFFFFFFFF)  # no piece has it
-        starts = np.zeros(len(cp), bool)
-        starts[cp == ord(MARK)] = True
+        starts = cp == ord(MARK)
         starts[text_at[size > 0]] = True
         first = np.flatnonzero(starts)
         lens = np.diff(np.append(first, len(cp)))
-        # equal units are one lattice: name them by hash and length
+        # equal units are one lattice: name them by length and hash
         pos = np.arange(len(cp)) - np.repeat(first, lens)
-        name = np.add.reduceat(mix((cp + np.uint64(1)) * _CHAR_MUL + pos.astype(np.uint64) * GOLDEN), first) + lens.astype(np.uint64)
-        _, where, unit = np.unique(name, return_index=True, return_inverse=True)
+        value = (cp + np.uint64(1)) * _CHAR_MUL
+        value ^= value >> np.uint64(29)
+        value *= powers(int(lens.max()))[pos]
+        name = mix(np.add.reduceat(value, first)) >> np.uint64(24)
+        name |= np.minimum(lens, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)
         # numbers by row key and place of the unit in its text
-        owner = np.searchsorted(text_at + size, first, side="right")
-        nth = np.arange(len(first)) - np.searchsorted(first, text_at)[owner]
+        units = np.add.reduceat(starts, text_at[size > 0]) if len(first) else np.empty(0, int)
+        owner = np.repeat(np.flatnonzero(size > 0), units)
+        nth = np.arange(len(first)) - np.repeat(np.cumsum(units) - units, units)
         draw = mix(mix(keys[owner] ^ np.uint64(seed * int(GOLDEN) & (1 << 64) - 1)) + nth.astype(np.uint64) * _CHAR_MUL)
-        order = np.argsort(lens[where], kind="stable")
+        members = np.argsort(name)
+        new = np.concatenate(([True], name[members[1:]] != name[members[:-1]]))
+        unit_at = np.flatnonzero(new)  # where the uses of a unit begin in members, short units first
+        unit_len = lens[members[unit_at]]
+        unit_end = np.append(unit_at[1:], len(members))
+        row = np.cumsum(new) - 1
         out_ids, out_unit, out_pos = [], [], []
         i = 0
-        members = np.argsort(unit, kind="stable")
-        member_from = np.searchsorted(unit[members], np.arange(len(where) + 1))
-        while i < len(order):
-            n = int(lens[where[order[i]]])
-            j = int(np.searchsorted(lens[where[order]], n, side="right"))
-            j = min(j, i + max(1, (1 << 20) // n))
-            uniq = order[i:j]
-            use = np.concatenate([members[member_from[u] : member_from[u + 1]] for u in uniq]) if len(uniq) < 64 else members[np.isin(unit[members], uniq)]
-            back = np.full(len(where), -1)
-            back[uniq] = np.arange(len(uniq))
-            self._sample_units(cp, first[where[uniq]], n, use, back[unit[use]], draw, out_ids, out_unit, out_pos)
+        while i < len(unit_at):
+            n = int(unit_len[i])
+            j = min(int(np.searchsorted(unit_len, n, side="right")), i + max(1, (1 << 17) // n))
+            use = slice(unit_at[i], unit_end[j - 1])
+            self._sample_units(cp, first[members[unit_at[i:j]]], n, members[use], row[use] - i, draw, out_ids, out_unit, out_pos)
             i = j
         ids, unit_of, at = np.concatenate(out_ids), np.concatenate(out_unit), np.concatenate(out_pos)
         place = first[unit_of] + at
@@ -140,8 +131,7 @@ class Lattice:
             parts.append(ids[last:])
             place = self._spread(place, low, cp)
             ids = np.concatenate(parts)
-        cut = np.searchsorted(place, text_at + size)
-        return np.split(ids, cut[:-1])
+        return ids, np.diff(np.searchsorted(place, text_at + size), prepend=0)
 
     @staticmethod
     def _spread(place: np.ndarray, low: np.ndarray, cp: np.ndarray) -> np.ndarray:
@@ -155,35 +145,35 @@ class Lattice:
         k = min(self.longest, n)
         units = np.full((len(begin), n + 1), np.uint64(0xFFFFFFFE))  # an end mark after each
         units[:, :n] = cp[begin[:, None] + np.arange(n)]
-        ids = self.arcs(units.ravel()).reshape(len(begin), n + 1, -1)[:, :n, :k]
-        forward = np.full((len(begin), n + 1), -np.inf)
-        forward[:, 0] = 0.0
+        ids = self.arcs(units.ravel())[:-1].reshape(len(begin), n + 1, -1)[:, :, :k]
+        forward = np.zeros((len(begin), n + 1))
+        forward[:, 0] = 1.0
         cdf = np.zeros((len(begin), n + 1, k), np.float32)
         for e in range(1, n + 1):
             m = min(k, e)
-            arc = np.stack([ids[:, e - w, w - 1] for w in range(1, m + 1)], axis=1)
-            lw = np.where(arc >= 0, self.weight[arc], -np.inf)
-            lw[:, 0] = np.where(arc[:, 0] >= 0, lw[:, 0], self.byte_weight)
-            lw += forward[:, e - m : e][:, ::-1]
-            top = lw.max(axis=1, keepdims=True)
-            p = np.exp(lw - top)
-            total = p.sum(axis=1, keepdims=True)
-            forward[:, e] = (top + np.log(total))[:, 0]
-            cdf[:, e, :m] = np.cumsum(p / total, axis=1)
+            arc = ids[:, e, :m]
+            p = self.weight[arc]  # 0 where there is none
+            p[:, 0] = np.where(arc[:, 0] >= 0, p[:, 0], self.byte_weight)
+            p *= forward[:, e - m : e][:, ::-1]
+            np.cumsum(p, axis=1, out=p)
+            forward[:, e] = p[:, -1]
+            cdf[:, e, :m] = p / p[:, -1:]
             cdf[:, e, m - 1 :] = 2.0
-            # a piece without weight is never drawn: its step of the sum has no height
+            if e % 8 == 0:  # only the last few matter from here on, and only their ratios
+                forward[:, max(0, e - k) : e + 1] /= forward[:, e : e + 1].copy()
+        # a piece without weight is never drawn: its step of the sum has no height
         at, who, r, step = np.full(len(use), n), use, row, 0
         while len(who):
             u = (mix(draw[who] + np.uint64((step + 1) * int(GOLDEN) & (1 << 64) - 1)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
             w = (cdf[r, at] <= u[:, None]).sum(axis=1) + 1
             lasting = at - w
-            got = ids[r, lasting, w - 1]
+            got = ids[r, at, w - 1]
             # rounding at the top of the sum: fall back to the longest drawable piece
             bad = (got < 0) & (w > 1)
             while bad.any():
                 w[bad] -= 1
                 lasting = at - w
-                got = ids[r, lasting, w - 1]
+                got = ids[r, at, w - 1]
                 bad = (got < 0) & (w > 1)
             out_ids.append(got)
             out_unit.append(who)
@@ -212,24 +202,27 @@ def lattice(model_file: str, **how) -> Lattice:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text", seed: int = 0, **how) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text", seed: int = 0, decoded: str | None = None, **how) -> DataFrame:
     """``docs`` with ``piece_ids``, a sampled segmentation of ``text`` that the seed and the
-    row's key fix.  Null texts: null; empty texts: no pieces; a null key is the key 0; rows
-    with equal keys and texts get equal pieces.  The model file must be on every machine."""
-    base = [c for c in docs.columns if c not in ("piece_ids", "_key")]
+    row's key fix, and on request the text that the pieces decode to, made in the same pass.
+    Null texts: null; empty texts: no pieces; a null key is the key 0; rows with equal keys
+    and texts get equal pieces.  The model file must be on every machine."""
+    base = [c for c in docs.columns if c not in ("piece_ids", "_key", decoded)]
     at = base.index(text)
     src = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in base], F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias("_key"))
-    schema = extended(src.drop("_key").schema, "piece_ids array<int>")
+    schema = extended(src.drop("_key").schema, "piece_ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
     def run(batches):
         lat = lattice(model_file, **how)
         for batch in batches:
             keys = batch.column(len(base)).to_numpy(zero_copy_only=False).view(np.uint64)
-            for first, texts in batches_of_texts(batch.column(at)):
-                null = batch.column(at).slice(first, len(texts)).is_null().to_pylist()
-                ids = lat.sample(texts, keys[first : first + len(texts)], seed)
-                ids = [None if none else x for x, none in zip(ids, null)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[:-1]), pa.array(ids, pa.list_(pa.int32()))], names=[*base, "piece_ids"])
+            for first, texts in batches_of_texts(batch.column(at), 1 << 20):
+                null = np.array(batch.column(at).slice(first, len(texts)).is_null())
+                flat, size = lat.sample(texts, keys[first : first + len(texts)], seed)
+                ends = np.cumsum(size)
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat), mask=pa.array(null))
+                more = [pa.array(lat.decode(flat, ends), pa.string(), mask=null)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[:-1]), ids, *more], names=[*base, "piece_ids", *([decoded] if decoded else [])])
 
     return src.mapInArrow(run, schema)
 
