@@ -33,8 +33,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each text; ``decoded`` is the text that they give back."""
-    coded = spm_sampling.encode(docs, piece_model(), seed=SAMPLE_SEED)
-    return spm_sampling.decode(coded, piece_model()).select(*docs.columns, "piece_ids", "decoded")
+    return spm_sampling.encode(docs, piece_model(), seed=SAMPLE_SEED, decoded="decoded").select(*docs.columns, "piece_ids", "decoded")
 
 
 STAGES = [
