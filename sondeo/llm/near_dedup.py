@@ -9,10 +9,11 @@ far below the threshold.  The rest is confirmed on the full sets.
 
 Within a band bucket not all pairs are made.  First all members are held against the
 bucket's most central class (the one with the largest buckets over all bands, such as the
-text that the others are copies of); then, in rounds, a growing share of members (by hash) is held against
-those members that are not yet in the same component, until each bucket lies in one
-component or every member has been a probe.  So no link that could join two components is
-left out, however large a bucket is.  A pair of similarity 0.85 shares none of the 32 bands
+text that the others are copies of).  Buckets that then lie in several components are
+finished by prefix filtering on the full sets: a class outside a bucket's largest component
+that needs ``k`` of its ``m`` shared shingles for the threshold must meet any partner in its
+``m - k + 1`` rarest ones, so only classes that hold one of those are held against it.
+So no link that could join two components is left out, however large a bucket is.  A pair of similarity 0.85 shares none of the 32 bands
 of six rows with a probability of 3e-7; the bit-count filter stands six deviations below
 the threshold.  Shingles and sets are compared by 64-bit hashes.
 """
@@ -23,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of_texts, mix, staged, words_by_text
@@ -103,25 +104,46 @@ def _is_of_node(batches):
             yield batch.slice(first, len(texts)).filter(pa.array(keep))
 
 
+class _Sets:
+    """The shingle sets of the last texts that a task met, up to a number of bytes."""
+
+    def __init__(self, most: int = 32 << 20):
+        self.held, self.size, self.most = {}, 0, most
+
+    def of(self, node: int, column, i: int) -> np.ndarray:
+        got = self.held.pop(node, None)
+        if got is None:
+            got = shingle_set(words_by_text([column[i].as_py().encode("utf-8", "surrogatepass")])[0])
+            self.size += got.nbytes
+            while self.held and self.size > self.most:
+                self.size -= self.held.pop(next(iter(self.held))).nbytes
+        self.held[node] = got
+        return got
+
+
 def _confirm(percent: int):
     def confirm(batches):
+        sets = _Sets()
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep, last, other = [], None, None
-            left = list(batches_of_texts(batch.column(2)))
-            for first, texts in left:
-                for i, w in enumerate(words_by_text(texts)):
-                    s = shingle_set(w)
-                    if b[first + i] != last:
-                        last, t = b[first + i], batch.column(3)[first + i].as_py()
-                        other = shingle_set(words_by_text([t.encode("utf-8", "surrogatepass")])[0])
-                    both = len(np.intersect1d(s, other, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(s) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(keep))
+            keep = []
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                s, t = sets.of(a, batch.column(2), i), sets.of(b, batch.column(3), i)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return confirm
 
 
+def _shingle_rows(batches):
+    for batch in batches:
+        node = batch.column(0).to_numpy()
+        for first, texts in batches_of_texts(batch.column(1), 1 << 20):
+            sets = [shingle_set(w) for w in words_by_text(texts)]
+            size = [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[first : first + len(texts)], size)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "h"])
+
+
 def estimated_similarity(x: str, y: str):
     """Collision-corrected similarity of two packed sketches, from bit counts."""
     words = MINIMA * BITS // 64
@@ -172,23 +194,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     links = staged(confirmed(first), "links")
     component = connected_components(links).transform(staged, "components")
-    done, share = 0.0, 8.0
-    hashed = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    while True:
-        state = member.join(component, "node", "left").select("bucket", "node", "n", "size", F.coalesce("component", "node").alias("c"), hashed.alias("h"))
-        open_ = state.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("bucket")
-        state = staged(state.join(open_, "bucket"), "open")
-        largest = state.agg(F.max("size")).first()[0]
-        if largest is None or done >= largest:
-            break
-        probe = state.filter((F.col("h") * F.col("size") >= done) & (F.col("h") * F.col("size") < share)).select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("h").alias("hb"))
-        other = state.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("h").alias("ha"), "size")
-        pairs = probe.join(other, "bucket").filter("ca <> cb and ha > hb").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-        found = staged(confirmed(candidates(pairs)), "links")
-        if found.take(1):
-            links = links.unionByName(found)
-            component = connected_components(links).transform(staged, "components")
-        done, share = share, share * 8
+    state = member.join(component, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
+    split = state.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).filter("lo <> hi")
+    state = staged(state.join(split.select("bucket", "least"), "bucket"), "open")
+    if state.take(1):
+        largest = state.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+        asks = state.join(largest, "bucket").filter("c <> main").groupBy("node", "n", "c").agg(F.min("least").alias("least"))
+        sets = staged(text.join(state.select("node").distinct(), "node", "left_semi").mapInArrow(_shingle_rows, "node long, h long"), "open_sets")
+        common = sets.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+        sets = staged(sets.join(common, "h"), "open_sets")
+        shared = sets.groupBy("node").agg(F.count("*").alias("shared"))
+        need = F.ceil((F.col("n") + F.col("least")) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
+        asks = asks.join(shared, "node").withColumn("prefix", F.col("shared") - need + 1).filter("prefix > 0")
+        rarest = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
+        prefix = sets.join(asks.select("node", "prefix"), "node").withColumn("at", rarest).filter("at <= prefix").select("h", F.col("node").alias("b"))
+        met = prefix.join(sets.select("h", F.col("node").alias("a")), "h").select("a", "b").distinct()
+        known = state.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c")).join(shared, "node")
+        side = lambda x: known.toDF(x, f"n{x}", f"c{x}", f"m{x}")
+        both = F.least("ma", "mb")
+        pairs = met.join(side("b"), "b").join(side("a"), "a").filter((F.col("ca") != F.col("cb")) & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = staged(confirmed(candidates(pairs)), "links")
+        component = connected_components(links.unionByName(more)).transform(staged, "components")
     labelled = nodes.select("node", "rep").join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     least = labelled.groupBy("c").agg(F.min("rep").alias("least"))
     label = labelled.join(least, "c").select("node", "least")
