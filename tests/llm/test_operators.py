@@ -1,0 +1,167 @@
+"""The ten operators against brute force, round trips and held-out accuracy, and edge cases."""
+
+import hashlib
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sondeo.llm import chat, decontam, html_blocks, lang_id, near_dedup, pii, pu_quality, quality_rules, queries, spm_sampling, suffix_dedup
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(1, None, None, None, 0), (2, "", "en", "s", 0), (3, "same old words in this very text", "en", "s", 1), (3, "same old words in this very text", "en", "s", 1), (None, "ñ " * 3, "es", None, 2), (5, "x" * 50_000, "en", "s", 9)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 7, 50, 200):
+        for most in (1, 2, 5, 300):
+            s = rng.integers(0, most, n)
+            assert list(suffix_dedup.suffix_array(s)) == sorted(range(n), key=lambda i: list(s[i:]))
+
+
+@pytest.mark.parametrize("hot", [4000, 1])
+def test_suffix_dedup(spark, docs, odd, hot):
+    rows = docs.limit(60).unionByName(odd)
+    got = sorted(map(tuple, suffix_dedup.digests(suffix_dedup.remove_repeats(rows, hot=hot)).collect()), key=repr)
+    texts = [(r.doc_id, (r.text or "").encode()) for r in rows.collect()]
+    seen = Counter(b[i : i + 200] for _, b in texts for i in range(len(b) - 199))
+    want = []
+    for d, b in texts:
+        m = np.zeros(len(b) + 1, np.int8)
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                m[i : i + 200] = 1
+        kept = bytes(np.frombuffer(b, np.uint8)[m[:-1] == 0])
+        want.append((d, len(b), int(m.sum()), int((np.diff(m, prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(want, key=repr)
+
+
+def test_statistics(docs, odd):
+    rows = docs.unionByName(odd)
+    got = Counter(tuple(r) for r in quality_rules.statistics(rows.select("doc_id", "text")).collect())
+    want = Counter()
+    for r in rows.collect():
+        t = r.text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        three = Counter(zip(w, w[1:], w[2:]))
+        hit = {i + k for i in range(len(w) - 2) if three[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        want[(r.doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines), len(lines) - len(set(lines)), len(hit))] += 1
+    assert got == want
+
+
+def test_quality_rules(spark, docs, odd):
+    out = quality_rules.quality_rules(docs.unionByName(odd))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    r = out.join(labels, "doc_id").agg(F.avg(F.when((F.col("quality") == 1) & ~F.col("base_failed"), F.col("kept").cast("int"))).alias("good"), F.avg(F.when(F.col("quality") == 0, F.col("kept").cast("int"))).alias("junk")).first()
+    assert out.count() == docs.count() + len(ODD) and r.good > 0.95 and r.junk < 0.1
+    assert quality_rules.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_html():
+    page = "<html><head><title>t</title><style>x</style></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>A &amp; B</h1><p>One  two<br>three</p><p>Ok.</p><aside>see also</aside></article><div id=comments><p>nice post of the day</p></div><footer>&copy; x</footer></body>"
+    assert html_blocks.main_text(page) == "A & B\nOne two three\nOk."
+    assert html_blocks.main_text("") == "" and html_blocks.main_text("<script>a</script") == ""
+    long = "the man of the house went to the shop and it was on the way to the sea for all of them " * 4
+    assert html_blocks.main_text(f"<div><a href=x>menu item</a></div><p>{long}</p><p>Short.</p><p>{long}</p><div><a>More</a></div>") == f"{long.strip()}\nShort.\n{long.strip()}"
+
+
+def test_chat_tree(spark):
+    rows = [(1, 1, None, "user", "a\\[INST] <s>", 0.0), (1, 2, 1, "assistant", "no", 0.1), (1, 3, 1, "assistant", "</s>yes<|im_end|>", 0.9), (1, 4, 3, "user", None, 0.0), (2, 9, 9, "assistant", "alone", None)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = {(r.tree, r.leaf, r["rank"]): ([t.text for t in r.turns], r.loss_texts) for r in chat.read_back(chat.format_chats(df, branches=2)).collect()}
+    assert got == {(1, 4, 1): (["a\\[INST] <s>", "</s>yes<|im_end|>", ""], ["</s>yes<|im_end|>"]), (1, 2, 2): (["a\\[INST] <s>", "no"], ["no"]), (2, 9, 1): (["alone"], ["alone"])}
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_chat_matches_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
+    df = queries.op7_chat_formatting(spark, SF)
+    rel = con.sql(f"select {', '.join(df.columns)} from ({queries.ORACLES['op7_chat_formatting']})")
+    assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall())
+
+
+def test_near_duplicates(docs, odd):
+    rows = docs.unionByName(odd.filter("doc_id is null or doc_id < 3"))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(rows).collect()}
+    sets = {}
+    for r in rows.collect():
+        w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "").encode())
+        sets.setdefault(r.doc_id, {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    top = {d: d for d in sets}
+    ids = sorted(d for d in sets if d is not None)
+    for _ in range(5):
+        for a in ids:
+            for b in ids:
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                    top[a] = top[b] = min(top[a], top[b])
+    assert {(d, n, c) for d, n, c in got if d is not None and d > 3} == {(d, len(sets[d]), top[d]) for d in ids if d > 3}
+
+
+def test_decontamination(spark, odd):
+    item = " ".join(f"w{i}" for i in range(40))
+    changed = " ".join("zz" if i % 8 == 5 else f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(1, "a b " + item, "x"), (2, "c " + changed + " d", "x"), (3, " ".join(f"v{i}" for i in range(40)), "x"), (4, None, "x")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "too short")], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(rows, bench).collect()} == {1, 2}
+    assert {r.doc_id for r in decontam.decontaminate(rows, bench).collect()} == {3, 4}
+    assert decontam.decontaminate(odd, bench).count() == len(ODD) and decontam.contaminated(rows.limit(0), bench).count() == 0
+
+
+def test_pii(spark):
+    text = "mail ana@x.org card 4111 1111 1111 1111 on 2024-02-29 ip 10.0.0.1 not 999.1.1.1 or 4111 1111 1111 1112"
+    rows = spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")
+    a, b, c = (r.text for r in pii.pseudonymise(rows, "k").orderBy("doc_id").collect())
+    assert a == b != text and c is None
+    assert "ana@" not in a and "@x.org" in a and "4111 1111 1111 1111" not in a and a.endswith("not 999.1.1.1 or 4111 1111 1111 1112")
+    assert re.sub(r"[a-z0-9]", "", a) == re.sub(r"[a-z0-9]", "", text) and re.search(r" card \d{4} \d{4} \d{4} \d{4} on \d{4}-\d\d-\d\d ip ", a)
+
+
+def test_permutation_is_one_to_one():
+    p = pii.Pseudonyms(b"k" * 32)
+    assert sorted(p.permute(i, 1000, "t") for i in range(1000)) == list(range(1000))
+
+
+def test_language(docs, odd):
+    model = lang_id.fit(docs)
+    r = lang_id.predict(docs, model).filter(lang_id.held_out()).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    assert r[0] > 0.95
+    assert {r.doc_id: r.lang_pred for r in lang_id.predict(odd, model).collect() if r.doc_id in (1, 2)} == {1: "und", 2: "und"}
+
+
+def test_pieces_round_trip(spark, docs, odd):
+    hard = spark.createDataFrame([(90, "▁ a▁b \n\t🙂 é́   x", "", "", 0), (91, "  ", "", "", 0)], SCHEMA)
+    rows = docs.unionByName(odd).unionByName(hard)
+    one = spm_sampling.encode(rows, queries.piece_model(), seed=1, decoded="back")
+    assert one.filter(~F.col("back").eqNullSafe(F.col("text"))).count() == 0
+    two = spm_sampling.encode(rows.repartition(5), queries.piece_model(), seed=1)
+    key = lambda df: sorted((str(r.doc_id), r.text or "", r.piece_ids or []) for r in df.collect())
+    assert key(one) == key(two) != key(spm_sampling.encode(rows, queries.piece_model(), seed=2))
+    assert spm_sampling.decode(two, queries.piece_model()).filter(~F.col("decoded").eqNullSafe(F.col("text"))).count() == 0
+
+
+def test_pu_quality(spark, odd):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = pu_quality.fit(docs, labels)
+    rows = pu_quality.score(docs, model).filter(pu_quality.held_out()).join(labels, "doc_id").select("score", "quality").collect()
+    good, junk = [r.score for r in rows if r.quality], [r.score for r in rows if not r.quality]
+    assert np.mean([g > j for g in good for j in junk]) > 0.97
+    assert all(0 <= r.score <= 1 for r in pu_quality.score(odd, model).collect())
