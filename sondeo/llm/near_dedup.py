@@ -207,12 +207,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         need = F.ceil((F.col("n") + F.col("least")) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
         asks = asks.join(shared, "node").withColumn("prefix", F.col("shared") - need + 1).filter("prefix > 0")
         rarest = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
-        prefix = sets.join(asks.select("node", "prefix"), "node").withColumn("at", rarest).filter("at <= prefix").select("h", F.col("node").alias("b"))
-        met = prefix.join(sets.select("h", F.col("node").alias("a")), "h").select("a", "b").distinct()
         known = state.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c")).join(shared, "node")
-        side = lambda x: known.toDF(x, f"n{x}", f"c{x}", f"m{x}")
+        side = lambda rows, x: rows.join(known, "node").select("h", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("shared").alias(f"m{x}"))
+        prefix = sets.join(asks.select("node", "prefix"), "node").withColumn("at", rarest).filter("at <= prefix").select("h", "node")
         both = F.least("ma", "mb")
-        pairs = met.join(side("b"), "b").join(side("a"), "a").filter((F.col("ca") != F.col("cb")) & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        met = side(prefix, "b").join(side(sets, "a"), "h").filter((F.col("ca") != F.col("cb")) & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent))
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = staged(confirmed(candidates(pairs)), "links")
         component = connected_components(links.unionByName(more)).transform(staged, "components")
     labelled = nodes.select("node", "rep").join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
