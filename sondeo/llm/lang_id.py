@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, extended, held_out, share_by_hash
+from .common import batches_of_texts, extended, held_out, share_by_hash, staged
 
 DIMS = 1 << 13
 UNKNOWN = "und"
+#: Up to so many languages their shares are broadcast; with more, rows are joined by language.
+BROADCAST_LANGUAGES = 10_000
 #: Letters of the basic plane as their lower-case form, everything else as a space.
 _FOLD = np.array([ord(low) if (c := chr(i)).isalpha() and len(low := c.lower()) == 1 else i if c.isalpha() else 32 for i in range(0x10000)], np.uint32)
 _GRAM_MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -115,9 +117,11 @@ def fit(docs: DataFrame, per_language: int = 400, clusters: int = 4) -> Centroid
     statistics and centroids are computed by Spark, and only the IDF vector and
     ``clusters`` centroids of each language come back.  No labelled rows: an empty model."""
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    share = staged(rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share")), "language_shares")
+    if share.count() <= BROADCAST_LANGUAGES:
+        share = F.broadcast(share)
     sample = rows.join(share, "lang").filter(share_by_hash("doc_id") < F.col("share")).select("lang", "text")
-    feats = sample.mapInArrow(_features, "lang string, idx array<int>, val array<float>")
+    feats = staged(sample.mapInArrow(_features, "lang string, idx array<int>, val array<float>"), "language_sample")
     n_docs, frequency = 0, np.zeros(DIMS)
     for r in feats.select(F.explode(F.concat(F.col("idx"), F.array(F.lit(DIMS)))).alias("i")).groupBy("i").count().collect():
         if r["i"] == DIMS:
