@@ -26,7 +26,7 @@ _CHAR_MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Lattice:
-    """The vocabulary as sorted hashes of its pieces by length, with their weights."""
+    """The vocabulary as a trie of its pieces by length, with their weights."""
 
     def __init__(self, model_file: str, alpha: float = 1.0, power: float = 1.0, offset: float = 10.0):
         import sentencepiece
@@ -46,12 +46,13 @@ class Lattice:
         self.longest = int(size.max())
         cp = np.frombuffer("".join(self.piece[i].ljust(self.longest) for i in used).encode("utf-32-le"), np.uint32).reshape(len(used), -1).astype(np.uint64)
         self.table = {}
-        h = np.zeros(len(used), np.uint64)
-        for n in range(1, self.longest + 1):  # all prefixes of n code points, and which of them are pieces
-            h = mix((h ^ cp[:, n - 1]) * _CHAR_MUL + np.uint64(n - 1))
-            known = np.unique(h[size >= n])
+        node = np.zeros(len(used), np.uint64)
+        for n in range(1, self.longest + 1):  # all prefixes of n code points, as the prefix before and the last one, and which of them are pieces
+            step = node << np.uint64(32) | cp[:, n - 1]
+            known = np.unique(step[size >= n])
+            node = np.searchsorted(known, step).astype(np.uint64)
             ids = np.full(len(known), -1, np.int32)
-            ids[np.searchsorted(known, h[size == n])] = used[size == n]
+            ids[node[size == n]] = used[size == n]
             self.table[n] = (known, ids)
         weight = (np.arange(len(self.piece)) + offset) ** (-alpha * power)
         self.byte_weight = float(weight.min() / 8)
@@ -61,17 +62,17 @@ class Lattice:
         """ids[end, n-1]: the piece of n code points that ends there, or -1.  Longer pieces
         are only looked up where the shorter prefix is one of some piece."""
         ids = np.full((len(cp) + 1, self.longest), -1, np.int32)
-        alive, h = np.arange(len(cp)), np.zeros(len(cp), np.uint64)
+        alive, node = np.arange(len(cp)), np.zeros(len(cp), np.uint64)
         for n in range(1, self.longest + 1):
             ok = alive + n <= len(cp)
-            alive, h = alive[ok], h[ok]
+            alive, node = alive[ok], node[ok]
             if not len(alive):
                 break
-            h = mix((h ^ cp[alive + n - 1]) * _CHAR_MUL + np.uint64(n - 1))
+            step = node << np.uint64(32) | cp[alive + n - 1]
             known, piece = self.table[n]
-            j = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = known[j] == h
-            alive, h = alive[hit], h[hit]
+            j = np.minimum(np.searchsorted(known, step), len(known) - 1)
+            hit = known[j] == step
+            alive, node = alive[hit], j[hit].astype(np.uint64)
             ids[alive + n, n - 1] = piece[j[hit]]
         return ids
 
@@ -90,20 +91,17 @@ class Lattice:
         starts[text_at[size > 0]] = True
         first = np.flatnonzero(starts)
         lens = np.diff(np.append(first, len(cp)))
-        # equal units are one lattice: name them by length and hash
+        # equal units are one lattice: they meet by length and hash, their characters decide
         pos = np.arange(len(cp)) - np.repeat(first, lens)
         value = (cp + np.uint64(1)) * _CHAR_MUL
         value ^= value >> np.uint64(29)
         value *= powers(int(lens.max()))[pos]
-        name = mix(np.add.reduceat(value, first)) >> np.uint64(24)
-        name |= np.minimum(lens, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)
+        members, new = self._equal_units(cp, first, lens, pos, mix(np.add.reduceat(value, first)))
         # numbers by row key and place of the unit in its text
         units = np.add.reduceat(starts, text_at[size > 0]) if len(first) else np.empty(0, int)
         owner = np.repeat(np.flatnonzero(size > 0), units)
         nth = np.arange(len(first)) - np.repeat(np.cumsum(units) - units, units)
         draw = mix(mix(keys[owner] ^ np.uint64(seed * int(GOLDEN) & (1 << 64) - 1)) + nth.astype(np.uint64) * _CHAR_MUL)
-        members = np.argsort(name)
-        new = np.concatenate(([True], name[members[1:]] != name[members[:-1]]))
         unit_at = np.flatnonzero(new)  # where the uses of a unit begin in members, short units first
         unit_len = lens[members[unit_at]]
         unit_end = np.append(unit_at[1:], len(members))
@@ -133,6 +131,21 @@ class Lattice:
             ids = np.concatenate(parts)
         return ids, np.diff(np.searchsorted(place, text_at + size), prepend=0)
 
+    @staticmethod
+    def _equal_units(cp, first, lens, pos, name) -> tuple[np.ndarray, np.ndarray]:
+        """The units, short ones first and equal ones next to one another, and which of them
+        begin a new group.  A unit that only shares its group's name stands alone."""
+        alone = np.zeros(len(first), int)
+        while True:
+            members = np.lexsort((alone, name, lens))
+            new = np.concatenate(([True], np.any([x[members[1:]] != x[members[:-1]] for x in (alone, name, lens)], axis=0)))
+            leader = np.empty(len(first), int)
+            leader[members] = members[new][np.cumsum(new) - 1]
+            other = np.logical_or.reduceat(cp != cp[np.repeat(first[leader], lens) + pos], first)
+            if not other.any():
+                return members, new
+            alone[other] = 1 + np.flatnonzero(other)
+
     @staticmethod
     def _spread(place: np.ndarray, low: np.ndarray, cp: np.ndarray) -> np.ndarray:
         """Places repeated for the bytes of characters without a piece."""

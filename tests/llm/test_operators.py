@@ -165,3 +165,15 @@ def test_pu_quality(spark, odd):
     good, junk = [r.score for r in rows if r.quality], [r.score for r in rows if not r.quality]
     assert np.mean([g > j for g in good for j in junk]) > 0.97
     assert all(0 <= r.score <= 1 for r in pu_quality.score(odd, model).collect())
+
+
+def test_pieces_of_words_with_one_hash():
+    lat = spm_sampling.lattice(queries.piece_model())
+    words = "odmasfyc ykjvtakm jpyzyska yinmoklo odmasfyc".split()  # the first and the next two pairs agree in 40 bits
+    ids, size = lat.sample([w.encode() for w in words], np.zeros(len(words), np.uint64), 1)
+    assert lat.decode(ids, np.cumsum(size)) == words
+    cp, first, lens = np.array([1, 2, 3, 1, 2, 4, 1, 2, 1, 3, 2], np.uint64), np.array([0, 2, 4, 6, 8, 9]), np.array([2, 2, 2, 2, 1, 2])
+    pos = np.arange(len(cp)) - np.repeat(first, lens)
+    members, new = lat._equal_units(cp, first, lens, pos, np.zeros(len(first), np.uint64))
+    groups = np.split(members, np.flatnonzero(new)[1:])
+    assert lens[members].tolist() == sorted(lens) and all(len({cp[first[u] : first[u] + lens[u]].tobytes() for u in g}) == 1 for g in groups)
