@@ -1,10 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Test items and texts become sequences of normalised tokens.  Fixed masks select some of
-the tokens of a window and ignore the others, so a substituted token in an ignored place
+Test items and texts become sequences of normalised tokens.  Masks select some of the
+tokens of a window and ignore the others, so a substituted token in an ignored place
 leaves the hash as it was.  Where a text's seed hash meets one of a test item, both are
 laid along that diagonal, and the overlap counts if within some stretch as long as
-``min(item, window)`` tokens at least ``identity`` of the tokens agree.
+``min(item, window)`` tokens at least ``identity`` of the tokens agree.  The masks follow
+from the item's length, the window and the identity: wherever an overlap counts, at least
+one mask at one place meets agreeing tokens only, so no overlap that counts is missed.
 
 The test set is joined in blocks of bounded size: each block of items is hashed, sorted
 and sent to the tasks, and every text is read against it, so the corpus is never shuffled
@@ -14,6 +16,8 @@ and no key can be hot.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import GOLDEN, batches_of_texts, mix, powers
 
-#: Fixed masks: 1 marks a token that is hashed, 0 one that is ignored.
-MASKS = ("11111111", "110110110011", "10110011001011", "1110001110001")
 BLOCK_TOKENS = 500_000
-_KEYS = np.random.default_rng(77).integers(1, 2**63, (len(MASKS), 16), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Masks for a length at most, tokens that one selects at most, and the longest stretch and most patterns that are enumerated.
+MOST_MASKS, MOST_WEIGHT, LONGEST, PATTERNS = 3, 8, 20, 50_000
+_KEYS = np.random.default_rng(77).integers(1, 2**63, LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes that belong to a token: letters, digits and all of UTF-8 beyond ASCII, lower-cased.
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
@@ -56,15 +60,54 @@ def tokens(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def seeds(t: np.ndarray):
+@lru_cache(maxsize=None)
+def masks(n: int, changed: int) -> tuple[int, ...]:
+    """Masks (bit j: token j is hashed) of which one at least, at some place of a stretch of
+    ``n`` tokens, avoids all changed ones, wherever up to ``changed`` < n of them lie: few
+    masks of the greatest weight for which a greedy choice meets every pattern."""
+    if n > LONGEST:  # of the disjoint parts one has no more than its share
+        return masks(LONGEST, changed // (n // LONGEST)) if changed // (n // LONGEST) < LONGEST else (1,)
+    if math.comb(n, changed) <= PATTERNS:
+        bad = np.array([sum(1 << i for i in c) for c in combinations(range(n), changed)], np.int64)
+        for weight in range(min(MOST_WEIGHT, n - changed), 0, -1):
+            tried = sorted((1 | sum(1 << i for i in c) for c in combinations(range(1, min(n, weight + 6)), weight - 1)), key=lambda x: (x.bit_length(), x))
+            tried = tried[:: 1 + len(tried) // 400]
+            hit = np.array([np.any([bad & (x << at) == 0 for at in range(n - x.bit_length() + 1)], axis=0) for x in tried])
+            chosen: list[int] = []
+            while hit.shape[1] and len(chosen) < MOST_MASKS:
+                best = int(hit.sum(axis=1).argmax())
+                chosen.append(tried[best])
+                hit = hit[:, ~hit[best]]
+            if not hit.shape[1]:
+                return tuple(chosen)
+    return ((1 << -(-(n - changed) // (changed + 1))) - 1,)  # the longest run of agreeing tokens
+
+
+def masks_of(n_tokens: int, window: int, identity: float) -> tuple[int, ...]:
+    """The masks for an item of so many tokens.  Lengths share those of the least length
+    with as many changes, so that a text is hashed with few masks."""
+    need = min(n_tokens, window)
+    changed = lambda n: n - max(1, math.ceil(identity * n))
+    if changed(need) == 0:
+        return masks(min(need, MOST_WEIGHT), 0)
+    while changed(need - 1) >= changed(need):
+        need -= 1
+    return masks(need, changed(need))
+
+
+def seeds(t: np.ndarray, chosen):
     """(mask, hashes of the windows at 0, 1, ...) of a token sequence."""
-    for k, mask in enumerate(MASKS):
-        if len(t) >= len(mask):
-            h = np.zeros(len(t) - len(mask) + 1, np.uint64)
-            for j, bit in enumerate(mask):
-                if bit == "1":
-                    h = h + t[j : len(t) - len(mask) + 1 + j] * _KEYS[k, j]
-            yield k, mix(h)
+    keyed: dict[int, np.ndarray] = {}
+    for mask in chosen:
+        n = len(t) - mask.bit_length() + 1
+        if n > 0:
+            h = np.full(n, mask * int(GOLDEN) & (1 << 64) - 1, np.uint64)
+            for j in range(mask.bit_length()):
+                if mask >> j & 1:
+                    if j not in keyed:
+                        keyed[j] = t * _KEYS[j]
+                    h += keyed[j][j : j + n]
+            yield mask, h
 
 
 class TestBlock:
@@ -72,14 +115,18 @@ class TestBlock:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items = items
-        h, item, pos = [], [], []
+    def __init__(self, items: list[tuple[int, np.ndarray]], window: int, identity: float):
+        self.items, self.window, self.identity = items, window, identity
+        h, item, pos, used = [], [], [], set()
         for i, (_, t) in enumerate(items):
-            for _, x in seeds(t):
-                h.append(x)
-                item.append(np.full(len(x), i))
-                pos.append(np.arange(len(x)))
+            if len(t):
+                chosen = masks_of(len(t), window, identity)
+                used.update(chosen)
+                for _, x in seeds(t, chosen):
+                    h.append(x)
+                    item.append(np.full(len(x), i))
+                    pos.append(np.arange(len(x)))
+        self.masks = sorted(used)
         self.hash = np.concatenate(h) if h else np.empty(0, np.uint64)
         order = np.argsort(self.hash, kind="stable")
         self.hash = self.hash[order]
@@ -89,29 +136,29 @@ class TestBlock:
         self.mask = np.uint64(len(self.low) - 1)
         self.low[self.hash & self.mask] = True
 
-    def overlaps(self, t: np.ndarray, window: int, identity: float) -> list[tuple[int, int, int, int]]:
+    def overlaps(self, t: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item_id, first token, tokens, agreeing tokens) of the best overlap with each item."""
         diagonals: set[tuple[int, int]] = set()
-        for _, h in seeds(t):
+        for _, h in seeds(t, self.masks):
             at = np.flatnonzero(self.low[h & self.mask])
             los, his = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
             for p, lo, hi in zip(at[his > los], los[his > los], his[his > los]):
                 diagonals.update((int(self.item[j]), int(p - self.pos[j])) for j in range(lo, hi))
         best: dict[int, tuple[int, int, int, int]] = {}
-        for i, d in diagonals:
+        for i, d in sorted(diagonals):
             item_id, item = self.items[i]
             a, z = max(0, d), min(len(t), d + len(item))
-            need = min(window, len(item))
+            need = min(self.window, len(item))
             if z - a < need:
                 continue
             agree = t[a:z] == item[a - d : z - d]
             run = np.convolve(agree, np.ones(need, int), "valid")
-            if run.max() >= identity * need and (i not in best or agree.sum() > best[i][3]):
+            if run.max() >= self.identity * need and (i not in best or agree.sum() > best[i][3]):
                 best[i] = (item_id, a, z - a, int(agree.sum()))
         return sorted(best.values())
 
 
-def test_blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS):
+def test_blocks(benchmark: DataFrame, window: int, identity: float, block_tokens: int = BLOCK_TOKENS):
     """The test set as blocks of about ``block_tokens`` tokens; null texts have no tokens."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -119,18 +166,18 @@ def test_blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS):
     for k in range(n):
         part = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).distinct().collect()
         if part:
-            yield TestBlock(sorted(((r["item_id"], t) for r, t in zip(part, tokens([r["text"].encode() for r in part]))), key=lambda x: (x[0], x[1].tobytes())))
+            yield TestBlock(sorted(((r["item_id"], t) for r, t in zip(part, tokens([r["text"].encode() for r in part]))), key=lambda x: (x[0], x[1].tobytes())), window, identity)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, identity: float = 0.8, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row ``(doc_id, item_id, first_token, n_tokens, n_agree)`` for each row of ``docs``
-    and test item that overlap.  Texts or items that are null, empty or shorter than the
-    shortest mask (8 tokens) overlap with nothing.  Repeated rows each give their rows; a
+    and test item that overlap.  Texts or items that are null or have no tokens overlap with nothing,
+    and a text that is shorter than the item and the window has no stretch that counts.  Repeated rows each give their rows; a
     null doc_id stays null; other columns are ignored."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, first_token long, n_tokens long, n_agree long"
     src, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None
-    for block in test_blocks(benchmark, block_tokens):
+    for block in test_blocks(benchmark, window, identity, block_tokens):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
@@ -138,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, identi
                 ids, rows = batch.column(0).to_pylist(), []
                 for first, texts in batches_of_texts(batch.column(1)):
                     for i, t in enumerate(tokens(texts)):
-                        rows += [(ids[first + i], *x) for x in sent.value.overlaps(t, window, identity)]
+                        rows += [(ids[first + i], *x) for x in sent.value.overlaps(t)]
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "first_token", "n_tokens", "n_agree"])
 

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -177,3 +178,31 @@ def test_pieces_of_words_with_one_hash():
     members, new = lat._equal_units(cp, first, lens, pos, np.zeros(len(first), np.uint64))
     groups = np.split(members, np.flatnonzero(new)[1:])
     assert lens[members].tolist() == sorted(lens) and all(len({cp[first[u] : first[u] + lens[u]].tobytes() for u in g}) == 1 for g in groups)
+
+
+def test_decontamination_meets_every_pattern():
+    for n in range(1, 21):
+        item = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        block = decontam.TestBlock([(7, item)], 20, 0.8)
+        most = n - next(k for k in range(1, n + 1) if k >= 0.8 * n)
+        for bad in combinations(range(n), most):
+            t = np.append(np.uint64(3), item)
+            t[[i + 1 for i in bad]] = 5
+            assert block.overlaps(t) == [(7, 1, n, n - most)], (n, bad)
+        assert all(not block.overlaps(np.where(np.arange(n) <= most, np.uint64(5), item)) for _ in range(n > 1))
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 13, 25, 39, 50, 70):
+        for identity in (0.05, 0.5, 0.75, 0.9, 1.0):
+            item = rng.integers(1, 2**63, n, dtype=np.uint64)
+            block = decontam.TestBlock([(7, item)], 60, identity)
+            need = min(n, 60)
+            t = item.copy()
+            t[rng.permutation(need)[: need - max(1, int(np.ceil(identity * need)))]] = 5
+            assert [x[0] for x in block.overlaps(t)] == [7], (n, identity)
+
+
+def test_decontamination_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "the short one"), (2, " ".join(f"t{i}" for i in range(10))), (3, " ".join(f"u{i}" for i in range(12)))], "item_id long, text string")
+    swapped = lambda c, n, bad: " ".join("zz" if i in bad else f"{c}{i}" for i in range(n))
+    docs = spark.createDataFrame([(1, "a The short, one b"), (2, "a " + swapped("t", 10, {4}) + " b"), (3, swapped("u", 12, {3, 7})), (4, "the short two"), (5, swapped("u", 12, {1, 5, 9}))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()) == [(1, 1), (2, 2), (3, 3)]
