@@ -45,14 +45,14 @@ STOP = frozenset(
 )
 LINKS, LONG, STOP_LOW, STOP_HIGH, FEW = 0.33, 200, 0.10, 0.20, 70
 GOOD, NEAR, SHORT, BAD = "good", "near", "short", "bad"
-MOST_BACK = 400
 
 
 class Block:
-    __slots__ = ("parts", "link_chars", "aside", "inside", "heading")
+    __slots__ = ("parts", "link_chars", "aside", "inside", "heading", "listed")
 
     def __init__(self, aside: bool, inside: bool, heading: bool):
         self.parts, self.link_chars, self.aside, self.inside, self.heading = [], 0, aside, inside, heading
+        self.listed = False
 
 
 def _marks(name: str, attrs: str) -> bool:
@@ -70,7 +70,9 @@ def _marks(name: str, attrs: str) -> bool:
 
 def blocks(page: str):
     """``(text, link density, aside, inside an article, heading)`` of each block with text."""
-    open_: list[tuple[str, bool, bool]] = []  # name, aside, inside
+    open_: list[tuple[str, bool, bool, Block | None]] = []  # name, aside, inside, for marked inline elements the block around them
+    places: dict[str, list[int]] = {}  # of each name in open_
+    block_places: list[int] = []  # of block elements in open_
     aside = inside = False
     links, found = 0, []
     block = Block(False, False, False)
@@ -83,10 +85,27 @@ def blocks(page: str):
 
     def turn(heading=False):
         nonlocal block
-        if block.parts:
+        if block.parts and not block.listed:
             found.append(block)
+            block.listed = True
         block = Block(aside, inside, heading)
 
+    def push(name: str, around: Block | None = None):
+        places.setdefault(name, []).append(len(open_))
+        if name in BLOCK:
+            block_places.append(len(open_))
+        open_.append((name, aside, inside, around))
+
+    def cut(i: int):
+        """Closes the open elements from the i-th on."""
+        nonlocal aside, inside
+        for name, *_ in open_[i:]:
+            places[name].pop()
+        while block_places and block_places[-1] >= i:
+            block_places.pop()
+        del open_[i:]
+        _, aside, inside, _ = open_[-1] if open_ else ("", False, False, None)
+
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -101,14 +120,16 @@ def blocks(page: str):
         if m[1]:
             if name == "a":
                 links = max(0, links - 1)
-            if name in BLOCK or name in ASIDE:
-                for i in range(len(open_) - 1, max(-1, len(open_) - MOST_BACK), -1):
-                    if open_[i][0] == name:
-                        del open_[i:]
-                        break
-                _, aside, inside = open_[-1] if open_ else ("", False, False)
+            around, opened = None, places.get(name)
+            if opened:
+                around = open_[opened[-1]][3]
+                cut(opened[-1])
+            if name in BLOCK or (name in ASIDE and not around):
                 links = links if name not in BLOCK else 0
                 turn()
+            elif around:  # the text goes on
+                turn()
+                block = around
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -118,14 +139,20 @@ def blocks(page: str):
             block.parts.append(" ")
         elif name == "a":
             links += 1
-        elif name in BLOCK or name in ASIDE or (name not in VOID and m[3] and _marks(name, m[3])):
-            if name in ("p", "li", "td", "th", "tr", "option", "dd", "dt") and open_ and open_[-1][0] == name:
-                _, aside, inside = open_[-2] if len(open_) > 1 else ("", False, False)
-                open_.pop()
+        elif name in BLOCK:
+            if name in ("p", "li", "td", "th", "tr", "option", "dd", "dt") and block_places and open_[block_places[-1]][0] == name:
+                cut(block_places[-1])
             if name not in VOID and not m[3].endswith("/"):
                 aside, inside = aside or _marks(name, m[3]), inside or name in ARTICLE
-                open_.append((name, aside, inside))
+                push(name)
             turn(name in ("h1", "h2", "h3", "h4", "h5", "h6"))
+        elif name not in VOID and not m[3].endswith("/"):
+            if _marks(name, m[3]):
+                around, aside = block, True
+                push(name, around)
+                turn()
+            elif places.get(name):  # its end is not that of a marked one around it
+                push(name)
     turn()
     for b in found:
         text = " ".join(html.unescape("".join(b.parts)).split())

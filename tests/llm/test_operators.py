@@ -206,3 +206,17 @@ def test_decontamination_of_short_items(spark):
     swapped = lambda c, n, bad: " ".join("zz" if i in bad else f"{c}{i}" for i in range(n))
     docs = spark.createDataFrame([(1, "a The short, one b"), (2, "a " + swapped("t", 10, {4}) + " b"), (3, swapped("u", 12, {3, 7})), (4, "the short two"), (5, swapped("u", 12, {1, 5, 9}))], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_html_marked_inline_elements_end():
+    page = lambda body: html_blocks.main_text(f"<html><body><article>{body}</article></body></html>")
+    assert page('<span class="share">Share</span><p>A</p><p>B</p>') == "A\nB"
+    assert page('<p>x <span class="ad">ad</span> y</p><p>z</p>') == "x y\nz"
+    assert page('<p>x <span class="ad">ad <span>in</span> ad</span> y <small id="ads">ad</small></p>') == "x y"
+    assert page('<p><time hidden>t</time>x<p>y <ins class="ad">ad<p>z') == "x\ny\nz"
+    assert page('<p>x <span class="ad"><div>ad</div><b>ad</b></span> y</p>') == "x y"
+    assert page('<p>x <button>Share</button> y <em>w</em></p>') == "x y w"
+    nav = '<nav>' + '<span class="menu">' * 1000 + "entry" + "</nav>"
+    assert html_blocks.main_text(nav + "<article><p>A</p></article>") == "A"
+    nav = '<nav>' + '<div class="menu">entry' * 1000 + "</nav>"
+    assert html_blocks.main_text(nav + "<article><p>A</p></article>") == "A"
