@@ -37,8 +37,11 @@ PATTERN = re.compile(
     """,
     re.ASCII | re.VERBOSE,
 )
-#: Every kind holds a digit or an @; the pattern is only tried near one.
-GATE = re.compile("[0-9@]")
+#: Every kind holds a digit or an @, or begins with one of these heads; the pattern is only tried near one.
+HEADS = ("AKIA", "sk-", "sk_", "ghp_", "ghp-")
+GATE, HEADED = re.compile("[0-9@]"), re.compile("[0-9@]|" + "|".join(HEADS))
+#: What can go on over the end of a window.
+RUNNING = re.compile("[0-9A-Za-z_.+@-]*")
 BEFORE, AFTER = 80, 300
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 DAYS_FROM, DAYS_TO = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()
@@ -104,7 +107,7 @@ class Pseudonyms:
         return self.classes(name, "email@" + domain.lower()) + "@" + domain
 
     def secret(self, s):
-        head = next((h for h in ("AKIA", "sk-", "sk_", "ghp_", "ghp-") if s.startswith(h)), "")
+        head = next((h for h in HEADS if s.startswith(h)), "")
         body = s[len(head) :]
         if not head:
             if len(set(body)) < 8:
@@ -196,16 +199,19 @@ def _like(shape: str, flat: str) -> str:
 
 
 def matches(text: str):
-    """Matches of the pattern, looked for only in the surroundings of digits and @."""
-    start = end = -1
-    for g in GATE.finditer(text):
+    """Matches of the pattern, looked for only in the surroundings of digits, @ and heads of
+    secrets, up to the end of the token that runs there."""
+    start, end = 0, -1
+    for g in (HEADED if any(h in text for h in HEADS) else GATE).finditer(text):
+        if g.start() - BEFORE > end >= 0:
+            end = RUNNING.match(text, end).end()
         if g.start() - BEFORE > end:
             if end >= 0:
                 yield from PATTERN.finditer(text, start, end)
             start = max(0, g.start() - BEFORE)
-        end = g.end() + AFTER
+        end = max(end, g.end() + AFTER)
     if end >= 0:
-        yield from PATTERN.finditer(text, start, end)
+        yield from PATTERN.finditer(text, start, RUNNING.match(text, min(end, len(text))).end())
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
