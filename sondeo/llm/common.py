@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-    Where the session names none (local tests), a temporary folder of this machine."""
+    Where the session names none: a temporary folder of this machine if Spark runs on it
+    alone (local tests), else an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -53,6 +57,41 @@ def unstage(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(name: str, *taken) -> str:
+    """``name``, with underscores before it until no column of these lists is called so."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+def shielded(docs: DataFrame, work, own: tuple[str, ...], add: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``work(docs)`` with the columns of ``docs`` and those named in ``add``.
+    All columns but ``own`` have other names meanwhile, so that none clashes with a column
+    that ``work`` makes."""
+    hidden = {c: c if c in own else f"c{i}" for i, c in enumerate(docs.columns)}
+    out = work(docs.select(*(F.col(f"`{c}`").alias(h) for c, h in hidden.items())))
+    return out.select(*(F.col(h).alias(c) for c, h in hidden.items()), *add)
+
+
+def filed(docs: DataFrame) -> DataFrame:
+    """``docs`` as rows that are read from files: staged first, if they aren't."""
+    try:
+        docs.select(docs.metadataColumn("_metadata"))
+        return docs
+    except AnalysisException:
+        return staged(docs, "rows")
+
+
+def row_places(docs: DataFrame, *columns, to: str = "place") -> DataFrame:
+    """The columns and ``to``, the row's place in the table's files, which no two rows
+    share: a hash of the file's name and the row's number in it.  What isn't read from
+    files is staged first; a frame that explodes the rows of files must be staged by its maker."""
+    docs = filed(docs)
+    of = docs.metadataColumn("_metadata")
+    return docs.select(*columns, F.struct(F.xxhash64(of["file_path"]).alias("file"), of["row_index"].alias("row")).alias(to))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on an array of uint64."""
     x = x ^ (x >> np.uint64(30))

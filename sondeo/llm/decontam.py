@@ -10,7 +10,9 @@ one mask at one place meets agreeing tokens only, so no overlap that counts is m
 
 The test set is joined in blocks of bounded size: each block of items is hashed, sorted
 and sent to the tasks, and every text is read against it, so the corpus is never shuffled
-and no key can be hot.
+and no key can be hot.  A seed that many items share, such as one of an instruction
+template, is expanded and verified for all of them at once with arrays, and the items that
+share a stretch are reported as one row.
 """
 
 from __future__ import annotations
@@ -111,21 +113,31 @@ def seeds(t: np.ndarray, chosen):
 
 
 class TestBlock:
-    """Items of a block with the sorted seed hashes of all their windows."""
+    """Different items of a block with the sorted seed hashes of all their windows.  Items of
+    equal tokens are one class: the least of their ids, and how many they are."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[int, np.ndarray]], window: int, identity: float):
-        self.items, self.window, self.identity = items, window, identity
-        h, item, pos, used = [], [], [], set()
-        for i, (_, t) in enumerate(items):
+        self.window, self.identity = window, identity
+        classes: dict[bytes, list] = {}
+        for item_id, t in items:
             if len(t):
-                chosen = masks_of(len(t), window, identity)
-                used.update(chosen)
-                for _, x in seeds(t, chosen):
-                    h.append(x)
-                    item.append(np.full(len(x), i))
-                    pos.append(np.arange(len(x)))
+                classes.setdefault(t.tobytes(), []).append(item_id)
+        held = sorted((min(ids), len(set(ids)), np.frombuffer(raw, np.uint64)) for raw, ids in classes.items())
+        self.ids = np.array([x[0] for x in held], np.int64)
+        self.copies = np.array([x[1] for x in held], np.int64)
+        self.size = np.array([len(x[2]) for x in held], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.tokens = np.concatenate([*(x[2] for x in held), np.empty(0, np.uint64)])
+        h, item, pos, used = [], [], [], set()
+        for i, (_, _, t) in enumerate(held):
+            chosen = masks_of(len(t), window, identity)
+            used.update(chosen)
+            for _, x in seeds(t, chosen):
+                h.append(x)
+                item.append(np.full(len(x), i))
+                pos.append(np.arange(len(x)))
         self.masks = sorted(used)
         self.hash = np.concatenate(h) if h else np.empty(0, np.uint64)
         order = np.argsort(self.hash, kind="stable")
@@ -136,46 +148,76 @@ class TestBlock:
         self.mask = np.uint64(len(self.low) - 1)
         self.low[self.hash & self.mask] = True
 
-    def overlaps(self, t: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item_id, first token, tokens, agreeing tokens) of the best overlap with each item."""
-        diagonals: set[tuple[int, int]] = set()
+    def diagonals(self, t: np.ndarray) -> np.ndarray:
+        """(item, its place in the text) where some seed of both agrees, in order."""
+        found = [np.empty((0, 2), np.int64)]
         for _, h in seeds(t, self.masks):
             at = np.flatnonzero(self.low[h & self.mask])
-            los, his = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-            for p, lo, hi in zip(at[his > los], los[his > los], his[his > los]):
-                diagonals.update((int(self.item[j]), int(p - self.pos[j])) for j in range(lo, hi))
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for i, d in sorted(diagonals):
-            item_id, item = self.items[i]
-            a, z = max(0, d), min(len(t), d + len(item))
-            need = min(self.window, len(item))
-            if z - a < need:
-                continue
-            agree = t[a:z] == item[a - d : z - d]
-            run = np.convolve(agree, np.ones(need, int), "valid")
-            if run.max() >= self.identity * need and (i not in best or agree.sum() > best[i][3]):
-                best[i] = (item_id, a, z - a, int(agree.sum()))
-        return sorted(best.values())
+            lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
+            n = hi - lo
+            j = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+            found.append(np.column_stack([self.item[j], np.repeat(at, n) - self.pos[j]]))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def overlaps(self, t: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int, int, int, int]]:
+        """(item_id, n_items, first token, tokens, agreeing tokens) of the stretches of a
+        text that overlap with items.  Of each item the best stretch counts (most agreeing
+        tokens, then the first); items with one stretch are one row, under the least id."""
+        best: dict[int, tuple[int, int, int]] = {}
+        d = self.diagonals(t)
+        i, at = d[:, 0], d[:, 1]
+        need = np.minimum(self.window, self.size[i])
+        a, z = np.maximum(0, at), np.minimum(len(t), at + self.size[i])
+        ok = z - a >= need
+        i, at, need, a, n = i[ok], at[ok], need[ok], a[ok], (z - a)[ok]
+        ends, k = np.cumsum(n), 0
+        while k < len(i):  # so many diagonals at a time that their overlaps have about ``most`` tokens
+            stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most, "right")))
+            part = slice(k, stop)
+            size = n[part]
+            start = np.cumsum(size) - size
+            own = np.arange(int(size.sum())) - np.repeat(start, size)
+            place = np.repeat(a[part], size) + own
+            same = t[place] == self.tokens[place - np.repeat(at[part] - self.begin[i[part]], size)]
+            total = np.concatenate(([0], np.cumsum(same)))
+            runs = size - need[part] + 1  # stretches of the length that counts
+            first = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
+            left = np.repeat(start, runs) + first
+            agree = total[left + np.repeat(need[part], runs)] - total[left]
+            top = np.maximum.reduceat(agree, np.cumsum(runs) - runs)
+            for q in np.flatnonzero(top >= self.identity * need[part]):
+                low = int((np.cumsum(runs) - runs)[q])
+                got = (-int(top[q]), int(a[part][q]) + int(np.argmax(agree[low : low + runs[q]])), int(need[part][q]))
+                item = int(i[part][q])
+                best[item] = min(best.get(item, got), got)
+            k = stop
+        rows: dict[tuple[int, int, int], list[int]] = {}
+        for item, got in best.items():
+            rows.setdefault(got, []).append(item)
+        return sorted((int(self.ids[x].min()), int(self.copies[x].sum()), first, length, -agree) for (agree, first, length), x in rows.items())
 
 
 def test_blocks(benchmark: DataFrame, window: int, identity: float, block_tokens: int = BLOCK_TOKENS):
-    """The test set as blocks of about ``block_tokens`` tokens; null texts have no tokens."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+    """The test set as blocks of at most about ``block_tokens`` tokens, judged by the items'
+    characters (a token has two at least, with the space); null texts have no tokens."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / 5 / block_tokens))
+    n = max(1, math.ceil(size / 2 / block_tokens))
     for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).distinct().collect()
+        part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
         if part:
-            yield TestBlock(sorted(((r["item_id"], t) for r, t in zip(part, tokens([r["text"].encode() for r in part]))), key=lambda x: (x[0], x[1].tobytes())), window, identity)
+            yield TestBlock([(r["item_id"], t) for r, t in zip(part, tokens([r["text"].encode() for r in part]))], window, identity)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, identity: float = 0.8, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row ``(doc_id, item_id, first_token, n_tokens, n_agree)`` for each row of ``docs``
-    and test item that overlap.  Texts or items that are null or have no tokens overlap with nothing,
+    """Rows ``(doc_id, item_id, n_items, first_token, n_tokens, n_agree)``: the stretches of
+    each row's text that overlap with test items.  A stretch that several items share, such
+    as a template, is one row with the least item_id and the number of items (in each block
+    of the test set).  Texts or items that are null or have no tokens overlap with nothing,
     and a text that is shorter than the item and the window has no stretch that counts.  Repeated rows each give their rows; a
     null doc_id stays null; other columns are ignored."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, first_token long, n_tokens long, n_agree long"
+    schema = "doc_id long, item_id long, n_items long, first_token long, n_tokens long, n_agree long"
     src, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None
     for block in test_blocks(benchmark, window, identity, block_tokens):
         sent = spark.sparkContext.broadcast(block)
@@ -186,17 +228,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, identi
                 for first, texts in batches_of_texts(batch.column(1)):
                     for i, t in enumerate(tokens(texts)):
                         rows += [(ids[first + i], *x) for x in sent.value.overlaps(t)]
-                cols = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "first_token", "n_tokens", "n_agree"])
+                cols = list(zip(*rows)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_items", "first_token", "n_tokens", "n_agree"])
 
         found = src.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 20, identity: float = 0.8, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``docs`` without the rows whose text overlaps with a test item; nothing else changes.
-    Rows with a null doc_id are held against the test set by a key of their text."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    hit = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, key == F.col("_hit"), "left_anti")
+    Each row is judged by its own text as it passes (one pass for each block of the test
+    set), so null, shared and repeated ids, null texts and any other column make no
+    difference, and no text is shuffled."""
+    at, out = docs.columns.index("text"), docs
+    for block in test_blocks(benchmark, window, identity, block_tokens):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, sent=sent):
+            for batch in batches:
+                for first, texts in batches_of_texts(batch.column(at)):
+                    clean = [not sent.value.overlaps(t) for t in tokens(texts)]
+                    yield batch.slice(first, len(texts)).filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, extended
+from .common import batches_of_texts, extended, free_name
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>?)", re.S)
 #: Elements whose content is no text, block elements, elements without an end.
@@ -212,8 +212,9 @@ def extract(pages: DataFrame, column: str = "html", to: str = "text") -> DataFra
     none; a null page is empty).  Rows are independent: repeated rows, null keys and other
     columns pass through, an empty table gives no rows, long pages are read whole."""
     base = [c for c in pages.columns if c not in (column, to)]
-    src = pages.select(*[F.col(f"`{c}`") for c in base], F.col(column).cast("string").alias("_html"))
-    schema = extended(src.drop("_html").schema, f"`{to}` string")
+    name = free_name("html", base)
+    src = pages.select(*[F.col(f"`{c}`") for c in base], F.col(f"`{column}`").cast("string").alias(name))
+    schema = extended(src.drop(name).schema, f"`{to}` string")
 
     def run(batches):
         for batch in batches:

@@ -115,8 +115,9 @@ def fit(docs: DataFrame, per_language: int = 400, clusters: int = 4) -> Centroid
     """Learn from rows with a language that are not held out.  ``per_language`` bounds the
     expected number of sampled rows of a language (chosen by hash of the id); the n-gram
     statistics and centroids are computed by Spark, and only the IDF vector and
-    ``clusters`` centroids of each language come back.  No labelled rows: an empty model."""
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
+    ``clusters`` centroids of each language come back.  Repeated rows count each; rows
+    without a doc_id aren't learned from.  No labelled rows: an empty model."""
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     share = staged(rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share")), "language_shares")
     if share.count() <= BROADCAST_LANGUAGES:
         share = F.broadcast(share)
@@ -148,7 +149,9 @@ def fit(docs: DataFrame, per_language: int = 400, clusters: int = 4) -> Centroid
 
 def predict(docs: DataFrame, model: Centroids) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``accepted``.  Only the text is
-    looked at.  A null text or one without a letter: ``und``, 0.0, not accepted."""
+    looked at.  A null text or one without a letter: ``und``, 0.0, not accepted.  Ties go to
+    the last language by name.  Columns named like a new one are replaced, others pass
+    through; repeated rows are judged each, an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x clusters x DIMS floats
     base = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
     at = base.index("text")

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, mix, staged, words_by_text
+from .common import batches_of_texts, extended, mix, row_places, staged, words_by_text
 from .components import connected_components
 
 BANDS, ROWS, BITS = 32, 6, 2
 MINIMA = BANDS * ROWS
+#: Texts that are held against one sending of a text.
+PARTNERS = 1000
 _rng = np.random.default_rng(20240229)
 SHINGLE_KEYS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PERM_MUL = (_rng.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -73,8 +75,7 @@ def _packed(low: np.ndarray) -> np.ndarray:
 
 def _signatures(batches):
     for batch in batches:
-        ids = batch.column(0)
-        for first, texts in batches_of_texts(batch.column(1)):
+        for first, texts in batches_of_texts(batch.column(2)):
             rows = []
             for words in words_by_text(texts):
                 s = shingle_set(words)
@@ -85,52 +86,39 @@ def _signatures(batches):
                 band = mix((m.reshape(BANDS, ROWS).astype(np.uint64) * BAND_KEYS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 rows.append((len(s), int(set_hash(s).view(np.int64)), band.view(np.int64), _packed(m).view(np.int64)))
             n, node, bands, sketch = zip(*rows)
+            keys = [c.slice(first, len(texts)) for c in batch.columns[:2]]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "bands", "sketch"],
+                [*keys, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                names=["doc_id", "place", "n_shingles", "node", "bands", "sketch"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, node, bands, sketch)`` of every row; ``node`` names the set."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>")
-
-
-def _is_of_node(batches):
-    for batch in batches:
-        node = batch.column(0).to_pylist()
-        for first, texts in batches_of_texts(batch.column(1)):
-            keep = [int(set_hash(s).view(np.int64)) == node[first + i] if len(s := shingle_set(w)) else False for i, w in enumerate(words_by_text(texts))]
-            yield batch.slice(first, len(texts)).filter(pa.array(keep))
-
-
-class _Sets:
-    """The shingle sets of the last texts that a task met, up to a number of bytes."""
-
-    def __init__(self, most: int = 32 << 20):
-        self.held, self.size, self.most = {}, 0, most
-
-    def of(self, node: int, column, i: int) -> np.ndarray:
-        got = self.held.pop(node, None)
-        if got is None:
-            got = shingle_set(words_by_text([column[i].as_py().encode("utf-8", "surrogatepass")])[0])
-            self.size += got.nbytes
-            while self.held and self.size > self.most:
-                self.size -= self.held.pop(next(iter(self.held))).nbytes
-        self.held[node] = got
-        return got
+    """``(doc_id, place, n_shingles, node, bands, sketch)`` of the rows of ``docs(doc_id,
+    place, text)``; ``node`` names the set."""
+    schema = extended(docs.select("doc_id", "place").schema, "n_shingles long, node long, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "place", "text").mapInArrow(_signatures, schema)
 
 
 def _confirm(percent: int):
+    """Over rows ``(center, node, text)`` that begin with the center's own, for each center:
+    the nodes whose sets meet the threshold with the center's.  One set is held."""
+
     def confirm(batches):
-        sets = _Sets()
+        held, center = None, None
         for batch in batches:
-            keep = []
-            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                s, t = sets.of(a, batch.column(2), i), sets.of(b, batch.column(3), i)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            of, node, a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], []
+            for first, texts in batches_of_texts(batch.column(2)):
+                for i, words in enumerate(words_by_text(texts), first):
+                    s = shingle_set(words)
+                    if node[i] == of[i]:
+                        held, center = s, of[i]
+                    elif center == of[i]:
+                        both = len(np.intersect1d(held, s, assume_unique=True))
+                        if 100 * both >= percent * (len(held) + len(s) - both):
+                            a.append(node[i])
+                            b.append(center)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return confirm
 
@@ -157,51 +145,60 @@ def estimated_similarity(x: str, y: str):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Rows ``(doc_id, n_shingles, component_id, kept)``, one for each row of ``docs``.
+    """Rows ``(doc_id, place, n_shingles, component_id, kept, chosen)``, one for each row of
+    ``docs``; ``place`` is the row's place in its table (see ``row_places``).
 
     Two texts are linked if ``100 * intersection >= percent * union`` of their sets;
     ``component_id`` is the least doc_id that links reach, ``kept`` says that it is the
-    row's own.  Null or blank texts: no shingles, linked with nothing, kept.  Rows that
-    share a doc_id are judged by their own texts.  Rows with a null doc_id take part in no
-    link: component null, kept.  An empty table gives no rows; other columns are ignored."""
+    row's own, and ``chosen`` is true for exactly one row of each group of linked texts,
+    the one with the least doc_id and place.  Null or blank texts: no shingles, linked with
+    nothing, kept and chosen.  Rows that share a doc_id are judged by their own texts.  A
+    null doc_id comes after all others: its texts are linked like any other, and
+    ``component_id`` is null where a group has no doc_id.  An empty table gives no rows;
+    other columns are ignored."""
     threshold = percent / 100
     match = threshold + (1 - threshold) * 2.0**-BITS
     least_estimate = threshold - 6 * math.sqrt(match * (1 - match) / MINIMA) / (1 - 2.0**-BITS)
-    sig = staged(signatures(docs), "signatures")
-    known = sig.filter("doc_id is not null and node is not null")
-    nodes = staged(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
+    rows = row_places(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sig = staged(signatures(rows), "signatures")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
+    nodes = sig.filter("node is not null").groupBy("node").agg(F.min(own).alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    nodes = staged(nodes, "nodes")
     member = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
+    # what is aggregated by bucket is staged before it is joined, so that joins of large buckets can be split
     size = staged(member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket_sizes")
     member = staged(member.join(size, "bucket"), "members")
     weight = member.groupBy("node").agg(F.sum("size").alias("weight"))
-    weighed = member.join(weight, "node")
-    center = weighed.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("center"))
-    central = staged(weighed.join(center, "bucket").select("bucket", "node", "center"), "centers")
+    center = staged(member.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("center")), "centers")
+    first = member.join(center, "bucket").filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))
     sketch = nodes.select("node", "n", "sketch")
 
     def candidates(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct().join(sketch.toDF("b", "nb", "sb"), "b").join(sketch.toDF("a", "na", "sa"), "a")
         return pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).filter(estimated_similarity("sa", "sb") >= least_estimate).select("a", "b")
 
-    first = staged(candidates(central.filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))), "pairs")
-    met = member.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(met, "rep").select("node", "text")
-    text = staged(text.mapInArrow(_is_of_node, "node long, text string"), "texts")
+    met = member.select("node").distinct().join(nodes.select("node", "rep.place"), "node")
+    text = staged(rows.select("place", "text").join(met, "place").select("node", "text"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(text.toDF("b", "tb"), "b").join(text.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-        return both.mapInArrow(_confirm(percent), "a long, b long").distinct()
-
-    links = staged(confirmed(first), "links")
+        """The text of b is sent once for each ``PARTNERS`` of its pairs, before theirs."""
+        load = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+        load = staged(load, "loads")
+        lead = load.join(text.toDF("b", "text"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("b").alias("node"), "text", F.lit(0).alias("turn"))
+        other = pairs.join(load, "b").select("b", F.pmod(F.xxhash64("a"), "parts").alias("part"), F.col("a").alias("node")).join(text, "node").select("b", "part", "node", "text", F.lit(1).alias("turn"))
+        both = lead.unionByName(other).repartition("b", "part").sortWithinPartitions("b", "part", "turn")
+        return both.select("b", "node", "text").mapInArrow(_confirm(percent), "a long, b long")
+
+    links = staged(confirmed(staged(candidates(first), "pairs")), "links")
     component = connected_components(links).transform(staged, "components")
-    state = member.join(component, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-    split = state.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).filter("lo <> hi")
+    state = staged(member.join(component, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c")), "states")
+    split = staged(state.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).filter("lo <> hi"), "split")
     state = staged(state.join(split.select("bucket", "least"), "bucket"), "open")
     if state.take(1):
         largest = state.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-        asks = state.join(largest, "bucket").filter("c <> main").groupBy("node", "n", "c").agg(F.min("least").alias("least"))
+        asks = state.join(staged(largest, "mains"), "bucket").filter("c <> main").groupBy("node", "n", "c").agg(F.min("least").alias("least"))
         sets = staged(text.join(state.select("node").distinct(), "node", "left_semi").mapInArrow(_shingle_rows, "node long, h long"), "open_sets")
-        common = sets.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+        common = staged(sets.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "shared_shingles")
         sets = staged(sets.join(common, "h"), "open_sets")
         shared = sets.groupBy("node").agg(F.count("*").alias("shared"))
         need = F.ceil((F.col("n") + F.col("least")) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
@@ -212,12 +209,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         prefix = sets.join(asks.select("node", "prefix"), "node").withColumn("at", rarest).filter("at <= prefix").select("h", "node")
         both = F.least("ma", "mb")
         met = side(prefix, "b").join(side(sets, "a"), "h").filter((F.col("ca") != F.col("cb")) & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent))
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = staged(confirmed(candidates(pairs)), "links")
+        more = staged(confirmed(staged(candidates(met.select("a", "b")), "pairs")), "links")
         component = connected_components(links.unionByName(more)).transform(staged, "components")
     labelled = nodes.select("node", "rep").join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
-    least = labelled.groupBy("c").agg(F.min("rep").alias("least"))
+    least = staged(labelled.groupBy("c").agg(F.min("rep").alias("least")), "least")
     label = labelled.join(least, "c").select("node", "least")
-    out = sig.select("doc_id", "n_shingles", "node").join(label, "node", "left")
-    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
+    found = sig.select("doc_id", "place", "n_shingles", "node")
+    full = found.filter("node is not null").join(label, "node").select("doc_id", "place", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("least.place") == F.col("place")).alias("chosen"))
+    blank = found.filter("node is null").select("doc_id", "place", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen"))
+    return full.unionByName(blank).select("doc_id", "place", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "chosen")

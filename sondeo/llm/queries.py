@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from . import chat, decontam, html_blocks, lang_id, near_dedup, pii, pu_quality,
 from .common import held_out, table
 
 #: Production parameters.
-PII_KEY = "sondeo-pseudonyms-1"
 SAMPLE_SEED = 13
+PII_KEY = "spark.sondeo.pii.key"
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -21,6 +22,17 @@ def piece_model() -> str:
     return os.environ.get("SONDEO_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms, from the session's ``spark.sondeo.pii.key``.  Where the
+    session has none, a random one is put there, so pseudonyms are linked within this
+    session only, and nobody can undo them afterwards."""
+    key = spark.conf.get(PII_KEY, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(PII_KEY, key)
+    return key
+
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,7 +51,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +77,8 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

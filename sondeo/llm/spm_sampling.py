@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, batches_of_texts, extended, mix, powers
+from .common import GOLDEN, batches_of_texts, extended, free_name, mix, powers
 
 MARK = "▁"
 _CHAR_MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -219,11 +219,13 @@ def encode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "t
     """``docs`` with ``piece_ids``, a sampled segmentation of ``text`` that the seed and the
     row's key fix, and on request the text that the pieces decode to, made in the same pass.
     Null texts: null; empty texts: no pieces; a null key is the key 0; rows with equal keys
-    and texts get equal pieces.  The model file must be on every machine."""
-    base = [c for c in docs.columns if c not in ("piece_ids", "_key", decoded)]
-    at = base.index(text)
-    src = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in base], F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias("_key"))
-    schema = extended(src.drop("_key").schema, "piece_ids array<int>" + (f", `{decoded}` string" if decoded else ""))
+    and texts get equal pieces.  Columns named like a new one are replaced, others pass
+    through; an empty table gives no rows.  The model file must be on every machine (or be
+    sent to all with ``spark.files``)."""
+    base = [c for c in docs.columns if c not in ("piece_ids", decoded)]
+    at, name = base.index(text), free_name("key", base)
+    src = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in base], F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias(name))
+    schema = extended(src.drop(name).schema, "piece_ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
     def run(batches):
         lat = lattice(model_file, **how)
@@ -241,7 +243,9 @@ def encode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "t
 
 
 def decode(docs: DataFrame, model_file: str, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
-    """``docs`` with the text of the piece ids as ``to``; null ids: null."""
+    """``docs`` with the text of the piece ids as ``to``; null ids: null, no ids: an empty
+    text.  A column named ``to`` is replaced, others pass through; repeated rows are decoded
+    each, an empty table gives no rows."""
     base = [c for c in docs.columns if c != to]
     at = base.index(ids)
     src = docs.select(*[F.col(f"`{c}`") for c in base])

@@ -98,22 +98,54 @@ def test_chat_matches_sql(spark):
     assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall())
 
 
+def links_of(rows, percent):
+    """Brute force: of each (doc_id, text) the size of its set and the least id that links reach."""
+    made = []
+    for _, text in rows:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode())
+        made.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    top = list(range(len(rows)))
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if (both := len(made[i] & made[j])) and 100 * both >= percent * (len(made[i]) + len(made[j]) - both)]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in edges:
+            low = min(top[i], top[j], key=order)
+            if top[i] != low or top[j] != low:
+                top[i] = top[j] = low
+                changed = True
+    return sorted(((d, len(made[i]), rows[top[i]][0]) for i, (d, _) in enumerate(rows)), key=repr)
+
+
+def check_near(rows, percent):
+    got = near_dedup.near_duplicates(rows, percent).collect()
+    want = links_of([(r.doc_id, r.text) for r in rows.collect()], percent)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    return got
+
+
 def test_near_duplicates(docs, odd):
-    rows = docs.unionByName(odd.filter("doc_id is null or doc_id < 3"))
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(rows).collect()}
-    sets = {}
-    for r in rows.collect():
-        w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "").encode())
-        sets.setdefault(r.doc_id, {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    top = {d: d for d in sets}
-    ids = sorted(d for d in sets if d is not None)
-    for _ in range(5):
-        for a in ids:
-            for b in ids:
-                both = len(sets[a] & sets[b])
-                if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
-                    top[a] = top[b] = min(top[a], top[b])
-    assert {(d, n, c) for d, n, c in got if d is not None and d > 3} == {(d, len(sets[d]), top[d]) for d in ids if d > 3}
+    got = check_near(docs.unionByName(odd), 85)
+    assert sum(r.chosen for r in got if r.doc_id == 3 and r.n_shingles == 3) == 1 and near_dedup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_finish_split_buckets(spark):
+    """Copies of one text at and below the threshold meet in buckets that stay split, so the
+    prefix stage has to tell which of them are linked."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for at in rng.choice(24, rng.integers(1, 5), replace=False):
+            w[int(at) * 5] = f"x{i}_{at}" if i % 3 else f"y{i % 7}_{at}"
+        rows.append((1000 - i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 90):
+        got = check_near(df, percent)
+        assert 1 < len({r.component_id for r in got}) < 150
 
 
 def test_decontamination(spark, odd):
@@ -188,7 +220,7 @@ def test_decontamination_meets_every_pattern():
         for bad in combinations(range(n), most):
             t = np.append(np.uint64(3), item)
             t[[i + 1 for i in bad]] = 5
-            assert block.overlaps(t) == [(7, 1, n, n - most)], (n, bad)
+            assert block.overlaps(t) == [(7, 1, 1, n, n - most)], (n, bad)
         assert all(not block.overlaps(np.where(np.arange(n) <= most, np.uint64(5), item)) for _ in range(n > 1))
     rng = np.random.default_rng(3)
     for n in (1, 2, 7, 13, 25, 39, 50, 70):
@@ -228,3 +260,42 @@ def test_pii_gate_loses_nothing():
     for t in [*texts, far.join(texts), *(" ".join(texts)[i:] for i in range(0, 4000, 37))]:
         assert [(m.span(), m.lastgroup) for m in pii.matches(t)] == [(m.span(), m.lastgroup) for m in pii.PATTERN.finditer(t)]
     assert [len(list(pii.matches(t))) for t in texts] == [1, 1, 1, 1, 1, 2, 1, 0]
+
+
+def test_decontamination_is_brute_force(spark):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    odd = spark.createDataFrame([(900, None), (901, ""), (902, "the short one"), (None, "x the short one y")], "doc_id long, text string")
+    bench = bench.select("item_id", "text").unionByName(spark.createDataFrame([(900, "The short, one!"), (901, None), (902, "the short one")], "item_id long, text string"))
+    rows = docs.select("doc_id", "text").unionByName(odd).collect()
+    split = lambda t: re.sub(r"[^a-z0-9\x80-\U0010ffff]", " ", (t or "").lower()).split()
+    items = [(r.item_id, split(r.text)) for r in bench.collect() if r.text]
+    want = Counter()
+    for r in rows:
+        t, found = split(r.text), {}
+        for item_id, x in items:
+            need = min(20, len(x))
+            if len(t) < need or not set(t) & set(x):
+                continue
+            got = []
+            for d in range(need - len(x), len(t) - need + 1):
+                a, z = max(0, d), min(len(t), d + len(x))
+                same = [t[i] == x[i - d] for i in range(a, z)]
+                got += [(-sum(same[i : i + need]), a + i, need) for i in range(len(same) - need + 1)]
+            if got and -min(got)[0] >= 0.8 * need:
+                found.setdefault(min(got), set()).add(item_id)
+        want.update((r.doc_id, min(ids), len(ids), first, need, -agree) for (agree, first, need), ids in found.items())
+    src = docs.select("doc_id", "text").unionByName(odd)
+    assert Counter(map(tuple, decontam.contaminated(src, bench).collect())) == want and len(want) > 3
+    hit = {d for d, *_ in want}
+    assert sorted(str(r.doc_id) for r in decontam.decontaminate(src, bench).collect()) == sorted(str(r.doc_id) for r in rows if r.doc_id not in hit)
+    parts = Counter((d, first, agree) for d, _, _, first, _, agree in map(tuple, decontam.contaminated(src, bench, block_tokens=200).collect()))
+    assert set(parts) == {(d, first, agree) for d, _, _, first, _, agree in want}
+
+
+def test_decontamination_of_a_shared_template():
+    rng = np.random.default_rng(8)
+    new = lambda n: rng.integers(1, 2**63, n, dtype=np.uint64)
+    template = new(25)
+    block = decontam.TestBlock([(i, np.concatenate([template, new(15)])) for i in range(3000)], 20, 0.8)
+    assert block.overlaps(np.concatenate([new(10), template, new(5)])) == [(0, 3000, 10, 20, 20)]
+    assert block.overlaps(np.concatenate([new(10), template[:16], new(5)]), most=1000)[0][1:] == (3000, 10, 20, 16)
