@@ -13,38 +13,43 @@ TITLES = r"profesor|profesora|profe|docente|ingeniero|ingeniera|ing\.?|doctor|do
 SIGNERS = r"facultad|programa|docente|gestora?|coordinadora?|decana?|directora?|estudiante|egresad[oa]|graduad[oa]|administrativ[oa]"
 HEADER = r"\[\d{1,2}/\d{1,2}(?:/\d{2,4})?,?\s*\d{1,2}:\d{2}[^\]]*\]"
 NAME = rf"[{CAPITAL}][{SMALL}]+"
-#: An amount of money is no number of a person: one of these within three characters before
-#: a number or eight after its end keeps it.
-MONEY = r"\$|peso|mil"
-#: Kind, pattern, replacement, in order.  ``(?U)`` lets classes hold accented letters.
+#: Kind, what a text must hold for the rule to be tried, pattern, replacement,
+#: in order.  ``(?U)`` lets classes hold accented letters.  A number of six to eleven digits
+#: stays if it is money: a ``$`` within three characters before it or "mil" in just these, or
+#: one of ``$``, "peso" and "mil" within the eight after it.
 RULES = (
-    ("CORREO", r"(?U)[\w.+-]+@[\w-]+(\.[\w-]+)+", "[CORREO]"),
-    ("URL", r"(?iU)(https?://|www\.)\S+", "[URL]"),
-    ("TELEFONO", r"(?<!\d)(\+?57[\s.-]?)?3\d{2}[\s.-]?\d{3}[\s.-]?\d{4}(?!\d)", "[TELEFONO]"),
-    ("TELEFONO", r"(?<!\d)(\(?60\d\)?|\(?[1-8]\)?)[\s.-]?\d{3}[\s.-]?\d{4}(?!\d)", "[TELEFONO]"),
-    ("NUMERO_ID", rf"(?is)(?<!(?:{MONEY}).{{0,2}}|\$)(?:(?<![\d.])(?:\d{{3}}(?:\.\d{{3}}){{1,2}}|\d{{1,2}}(?:\.\d{{3}}){{2,3}})(?![\d.])|(?<!\d)\d{{6,11}}(?!\d))(?!.{{0,7}}\$|.{{0,4}}peso|.{{0,5}}mil)", "[NUMERO_ID]"),
-    ("PERSONA", rf"({HEADER})\s*[^:\[\]\n]{{2,60}}:", "$1 [PERSONA]:"),
-    ("PERSONA", rf"(?U)\b{NAME}(?:\s+{NAME}){{1,4}}(?=\s*,\s*(?i:{SIGNERS})\b)", "[PERSONA]"),
-    ("PERSONA", rf"(?U)\b((?i:{TITLES}))\s+{NAME}(\s+{NAME})?", "$1 [PERSONA]"),
+    ("CORREO", "@", r"(?U)[\w.+-]+@[\w-]+(\.[\w-]+)+", "[CORREO]"),
+    ("URL", "(?i)http|www", r"(?iU)(https?://|www\.)\S+", "[URL]"),
+    ("TELEFONO", r"\d{3}", r"(?<!\d)(\+?57[\s.-]?)?3\d{2}[\s.-]?\d{3}[\s.-]?\d{4}(?!\d)", "[TELEFONO]"),
+    ("TELEFONO", r"\d{4}", r"(?<!\d)(\(?60\d\)?|\(?[1-8]\)?)[\s.-]?\d{3}[\s.-]?\d{4}(?!\d)", "[TELEFONO]"),
+    ("NUMERO_ID", r"\d{3}", r"(?is)(?=\d)(?<!\d|\$.{0,2}|mil)(?:(?<!\.)(?:\d{3}(?:\.\d{3}){1,2}|\d{1,2}(?:\.\d{3}){2,3})(?![\d.])|\d{6,11}(?!\d))(?!.{0,7}\$|.{0,4}peso|.{0,5}mil)", "[NUMERO_ID]"),
+    ("PERSONA", r"\[\d", rf"({HEADER})\s*[^:\[\]\n]{{2,60}}:", "$1 [PERSONA]:"),
+    ("PERSONA", rf"(?iU),\s*(?:{SIGNERS})", rf"(?U)\b{NAME}(?:\s+{NAME}){{1,4}}(?=\s*,\s*(?i:{SIGNERS})\b)", "[PERSONA]"),
+    ("PERSONA", rf"(?iU)\b(?:{TITLES})\s", rf"(?U)\b((?i:{TITLES}))\s+{NAME}(\s+{NAME})?", "$1 [PERSONA]"),
 )
 KINDS = ("CORREO", "URL", "TELEFONO", "NUMERO_ID", "PERSONA")
 
 
+def _where(text: Column, gate: str) -> Column:
+    return F.contains(text, F.lit(gate)) if gate == "@" else F.regexp_like(text, F.lit(gate))
+
+
 def redact(text) -> Column:
     """All rules one after another, each on what the one before left."""
     out = F.col(text) if isinstance(text, str) else text
-    for _, pattern, new in RULES:
-        out = F.regexp_replace(out, pattern, new)
+    for _, gate, pattern, new in RULES:
+        out = F.when(_where(out, gate), F.regexp_replace(out, pattern, new)).otherwise(out)
     return out
 
 
 def redact_counted(df: DataFrame, text: str = "text", to: str = "redacted") -> DataFrame:
     """``df`` with the redacted text and ``n_<kind>`` of replacements."""
     out = df.withColumn(to, F.col(text))
-    for i, (_, pattern, new) in enumerate(RULES):
-        out = out.withColumn(f"_n{i}", F.regexp_count(to, F.lit(pattern))).withColumn(to, F.regexp_replace(to, pattern, new))
+    for i, (_, gate, pattern, new) in enumerate(RULES):
+        out = out.withColumn(f"_n{i}", F.when(_where(F.col(to), gate), F.regexp_count(to, F.lit(pattern))))
+        out = out.withColumn(to, F.when(F.col(f"_n{i}") > 0, F.regexp_replace(to, pattern, new)).otherwise(F.col(to)))
     for kind in KINDS:
-        own = [F.coalesce(F.col(f"_n{i}"), F.lit(0)) for i, (k, _, _) in enumerate(RULES) if k == kind]
+        own = [F.coalesce(F.col(f"_n{i}"), F.lit(0)) for i, (k, *_) in enumerate(RULES) if k == kind]
         out = out.withColumn(f"n_{kind.lower()}", sum(own[1:], own[0]).cast("long"))
     return out.drop(*(f"_n{i}" for i in range(len(RULES))))
 

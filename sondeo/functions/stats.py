@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,14 +132,18 @@ def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.05, by: str | None =
     return ranked.withColumn("p_adj", adj).withColumn("reject", F.col("p_adj") <= q).drop("_r", "_m")
 
 
-def bootstrap_mean(df: DataFrame, x: str, draws: int = 200, seed: int = 42, key: str = "id") -> DataFrame:
+def bootstrap_mean(df: DataFrame, x: str, draws: int = 2000, seed: int = 42, key: str = "id") -> DataFrame:
     """Percentile interval of the mean: each row counts a Poisson number of times in each
-    draw, by a hash of its key, so all draws are made in one pass without shuffling rows."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("draw")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    times, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for i in range(1, 8):  # the inverse of the distribution function of Poisson(1)
+    draw, by a hash of its key, so all draws are made in one pass without shuffling rows
+    (each task sums its rows by draw first)."""
+    cut, total, term = [], 0.0, math.exp(-1)
+    for i in range(1, 8):  # the distribution function of Poisson(1)
         total += term
-        times, term = times + F.when(u > total, 1).otherwise(0), term / i
-    each = df.filter(F.col(x).isNotNull()).select(key, x, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", times)
-    means = each.groupBy("draw").agg((F.sum(F.col(x) * F.col("w")) / F.sum("w")).alias("m"))
+        cut.append(total)
+        term /= i
+    name = F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("draw").cast("string"))
+    u = (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") + 0.5) / float(1 << 32)
+    each = df.filter(F.col(x).isNotNull()).select(key, x, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select(x, "draw", u.alias("u"))
+    times = sum(((F.col("u") > c).cast("int") for c in cut[1:]), (F.col("u") > cut[0]).cast("int"))
+    means = each.withColumn("w", times).groupBy("draw").agg((F.sum(F.col(x) * F.col("w")) / F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))

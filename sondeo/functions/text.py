@@ -18,11 +18,23 @@ NON_ANSWERS = (
 #: The letters of the noise rule, and what is cut off around an answer.
 LETTER = "[A-Za-zÁÉÍÓÚÑÜáéíóúñü]"
 EDGES = " .,;:!¡?¿-_*\"'()"
-#: Function words left out of key words; a parameter of :func:`tokens`.
-STOP_WORDS = tuple(
-    "a al ante como con contra cual cuando de del desde donde durante e el ella ellas ellos en entre es esa ese eso esta este esto fue ha hasta hay la las le les lo los mas me mi muy "
-    "ni no nos o otra otro para pero por porque pues que quien se ser si sin sobre son su sus tambien te tiene todo tu un una uno y ya".split()
-)
+#: Words of the language and of the question that say nothing about a theme,
+#: without accents; a parameter of :func:`tokens`.
+STOP_WORDS = tuple(dict.fromkeys("""
+    a al algo alguien algun alguna algunas alguno algunos ambos ante antes aqui asi aun aunque bajo bastante bien cada casi
+    como con conmigo contra cual cuales cualquier cuando cuanto cuanta de del demas dentro desde donde dos durante e el ella
+    ellas ello ellos en entonces entre era eran eres es esa esas ese eso esos esta estaba estaban estado estamos estan estar
+    estas este esto estos estoy fue fueron fui ha haber habia habian han has hasta hay haya hayan he hemos hoy la las le
+    les lo los mas me mi mia mis mismo misma mismos mismas mucha muchas mucho muchos muy nada ni ninguna ninguno no nos
+    nosotros nuestra nuestras nuestro nuestros o otra otras otro otros para pero poca pocas poco pocos por porque pues que
+    quien quienes se sea sean segun ser si sido siempre sin sino sobre solo son su sus tal tambien tan tanto te tener tenga
+    tengan tenemos tiene tienen toda todas todo todos tu tus u un una unas uno unos usted ustedes va van vez veces y ya yo
+    cosa cosas parte etc ademas manera forma hacer hace hacen hacia puede pueden podria podrian poder deberia deberian debe
+    deben deber debemos seria serian creo considero consideramos pienso pensamos opinamos gustaria quisieramos importante
+    necesario necesita necesitan mejor mejores mayor menor menos lugar tipo cuenta realmente mediante traves
+    universidad udec ucundinamarca cundinamarca transformacion transformaciones ajustaria ajustariamos ajustar ajuste ajustes
+    uc respecto aspecto aspectos tema temas sentido punto puntos falta hacerlo tenido esten
+""".split()))
 #: Month abbreviations of date labels.
 MONTHS = ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic")
 
@@ -74,13 +86,16 @@ def sheet_name(text) -> Column:
 
 
 def noise_reason(text) -> Column:
-    """Why an answer has no content, or null; the rules are tried in this order."""
-    letters = F.regexp_count(text, F.lit(LETTER))
-    core = F.btrim(normalise(text), F.lit(EDGES))
+    """Why an answer has no content, or null; the rules are tried in this order.  Letters are
+    only looked for up to the third, and a text is only brought to normal form if it has no
+    more plain letters than the longest answer without content."""
+    other = "[^" + LETTER[1:]
+    longest = max(map(len, NON_ANSWERS))
+    core = F.when(~F.regexp_like(text, F.lit(rf"(?:[A-Za-z][^A-Za-z]*){{{longest + 1}}}")), F.btrim(normalise(text), F.lit(EDGES)))
     return (
-        F.when(F.col(text).isNull() | (F.regexp_replace(text, r"\s+", "") == ""), "vacio")
-        .when(letters == 0, "solo_signos_o_numeros")
-        .when(letters < 3, "menos_de_3_letras")
+        F.when(F.col(text).isNull() | ~F.regexp_like(text, F.lit(r"\S")), "vacio")
+        .when(~F.regexp_like(text, F.lit(LETTER)), "solo_signos_o_numeros")
+        .when(~F.regexp_like(text, F.lit(f"{LETTER}{other}*{LETTER}{other}*{LETTER}")), "menos_de_3_letras")
         .when(core.isin(*NON_ANSWERS), "no_respuesta")
     )
 

@@ -38,7 +38,8 @@ def unique_numbers(df: DataFrame, text: str, ordinal: str, width: int = 100_000,
 
 
 def without_empty_columns(df: DataFrame) -> DataFrame:
-    """Columns with at least one value, found in one pass."""
+    """Columns with at least one value.  Which these are decides the schema, so one pass over
+    the table runs at once; its counts come back as one row."""
     counts = df.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in df.columns)).first()
     return df.select(*(F.col(f"`{c}`") for c in df.columns if counts[c]))
 
@@ -50,6 +51,72 @@ def column_profile(df: DataFrame) -> DataFrame:
     return one.select(F.inline(each))
 
 
+def allowed_columns(df: DataFrame, wanted: list[str], forbidden: set[str]) -> DataFrame:
+    """The wanted columns that are there, never one whose normal name is forbidden."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c in wanted and c.lower().strip() not in forbidden))
+
+
+def strict_lookup(keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``keys`` joined with their rows; raises if one has none, so an action runs at once."""
+    if keys.join(rows, key, "left_anti").take(1):
+        raise KeyError(f"keys without a row: {key}")
+    return keys.join(rows, key)
+
+
+def name_tokens(df: DataFrame, name: str, least: int) -> DataFrame:
+    """Different words of ``least`` letters or more, in normal form."""
+    words = df.select(F.explode(T.letter_words(F.col(name), least)).alias("w")).distinct()
+    return words.select(T.normalise(F.col("w")).alias("token")).distinct()
+
+
+def sample_rows(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
+    """``n`` rows in the order of a hash of seed and key: the same in every run."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
+
+
+def containment(docs: DataFrame, phrases: DataFrame, key: str, phrase_key: str, text: str, width: int = 8) -> DataFrame:
+    """``(key, phrase_key)`` of texts that hold a phrase of at least ``width`` characters.  A
+    phrase's words but its first and last stand between spaces wherever the phrase does, so
+    texts meet it by the longest of these, and are then looked at whole.  Phrases without
+    such a word are met by their first ``width`` characters at any place."""
+    inner = F.filter(F.split(text, " "), lambda w, i: (i > 0) & (i < F.size(F.split(text, " ")) - 1) & (w != ""))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    phrases = phrases.select(phrase_key, F.col(text).alias("_p"), longest.alias("_w"))
+    words = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
+    met = words.join(phrases.filter("_w is not null"), "_w").select(key, phrase_key, "_p")
+    short = phrases.filter("_w is null")
+    if short.take(1):
+        places = F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: F.substring(F.col(text), i, F.lit(width)))
+        grams = docs.filter(F.length(text) >= width).select(key, F.explode(F.array_distinct(places)).alias("_h"))
+        met = met.unionByName(grams.join(short.withColumn("_h", F.substring("_p", 1, width)), "_h").select(key, phrase_key, "_p"))
+    return docs.join(met, key).filter(F.col(text).contains(F.col("_p"))).select(key, phrase_key)
+
+
+def profile(df: DataFrame, text: str, same: list[str], short: int = 30) -> DataFrame:
+    """One row: rows, rows with a text, rows that repeat another in ``same`` columns, texts
+    that repeat, short texts, and the median length, from counts of each value."""
+    digest = F.sha2(text, 256)
+    n = df.agg(F.count("*").alias("filas"), F.count(text).alias("con_texto"), (F.count("*") - F.count_distinct(F.struct(*same))).alias("filas_identicas"), (F.count(text) - F.count_distinct(digest)).alias("textos_repetidos"), F.count_if(F.length(F.trim(text)) < short).alias("cortos"))
+    return n.join(weighted_quantiles(df.select(F.length(text).cast("double").alias("x")).filter("x is not null"), [], "x", {"mediana": 0.5})).withColumn("mediana", F.round("mediana", 6))
+
+
+def weighted_quantiles(df: DataFrame, by: list[str], x: str, points: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of each group, from the counts of its different values:
+    ranks come from sums over ranges of values and within them, so neither a group nor its
+    values are held in one task."""
+    per = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
+    grid = F.floor(F.col(x) / 64)
+    per = per.withColumn("_g", grid)
+    ranges = per.groupBy(*by, "_g").agg(F.sum("_n").alias("_r"))
+    before = ranges.withColumn("_before", F.sum("_r").over(Window.partitionBy(*by).orderBy("_g")) - F.col("_r")).withColumn("_all", F.sum("_r").over(Window.partitionBy(*by)))
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_g").orderBy(x)) + F.col("_before")
+    ranked = per.join(before.drop("_r"), [*by, "_g"]).withColumn("_to", upto)
+    place = lambda q: (F.col("_all") - 1) * F.lit(q)
+    at = lambda i: F.min(F.when(F.col("_to") > i, F.col(x)))
+    out = [(at(F.floor(place(q))) + (at(F.ceil(place(q))) - at(F.floor(place(q)))) * F.max(place(q) - F.floor(place(q)))).alias(name) for name, q in points.items()]
+    return ranked.groupBy(*by).agg(*out, F.max(x).alias("max")) if by else ranked.agg(*out)
+
+
 def value_counts(df: DataFrame, c: str, empty: str = "(vacío)") -> DataFrame:
     return df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit(empty)).alias("value")).agg(F.count("*").alias("n"))
 

@@ -3,34 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TAU = 0.70
 
 
-def lexical_scores(texts: DataFrame, themes: list[tuple[str, list[str]]], key: str, text: str) -> DataFrame:
-    """``(key, tema, ord, p)``: p grows with the keywords of a theme in the text, up to 1.
-    A deterministic stand-in for a hosted classifier."""
+def lexical_scores(texts: DataFrame, themes: list[tuple[str, list[str]]], text: str, *keep: str) -> DataFrame:
+    """``(keep..., tema, ord, p)``: p grows with the keywords of a theme in the text, up to 1.
+    A deterministic stand-in for a hosted classifier.  All words are looked at once; what is
+    counted for each theme are those that are keywords of any."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)
-    rows = texts.select(key, words.alias("_w"))
+    known = sorted({k for _, kw in themes for k in kw})
+    rows = texts.select(*keep, F.filter(words, lambda w: w.isin(*known)).alias("_w"))
     score = lambda kw: F.least(F.lit(1.0), F.size(F.filter("_w", lambda w: w.isin(*kw))) / 3.0)
     each = F.array(*(F.struct(F.lit(t).alias("tema"), F.lit(i).alias("ord"), score(kw).alias("p")) for i, (t, kw) in enumerate(themes)))
-    return rows.select(key, F.inline(each))
+    return rows.select(*keep, F.inline(each))
 
 
-def plug_in_scores(texts: DataFrame, scorer: Callable[[pd.Series], Iterable[dict]], key: str, text: str) -> DataFrame:
+def plug_in_scores(texts: DataFrame, scorer: Callable[[Iterable[str]], Iterable[dict]], key: str, text: str) -> DataFrame:
     """``(key, tema, p, error)`` by any scorer of a batch of texts that yields a mapping of
-    theme to probability for each; a failed batch gives rows with the error."""
+    theme to probability for each.  Where it fails, the text that it was at is a row with the
+    error, and it starts again behind it."""
 
     def run(batches):
         for b in batches:
-            try:
-                rows = [(k, t, float(p), None) for k, got in zip(b[key], scorer(b[text])) for t, p in got.items()]
-            except Exception as e:
-                rows = [(k, None, None, str(e)) for k in b[key]]
+            keys, asked, rows, at = list(b[key]), list(b[text]), [], 0
+            while at < len(keys):
+                try:
+                    for got in scorer(asked[at:]):
+                        rows += [(keys[at], t, float(p), None) for t, p in got.items()]
+                        at += 1
+                    break
+                except Exception as e:
+                    rows.append((keys[at], None, None, str(e)))
+                    at += 1
             yield pd.DataFrame(rows, columns=[key, "tema", "p", "error"])
 
     kind = dict(texts.dtypes)[key]
@@ -76,40 +86,67 @@ def overlaps(facts: DataFrame, key: str, themes: list[str]) -> DataFrame:
     return out.select("a", "b", "both", F.when(either > 0, F.col("both") / either).otherwise(0.0).alias("jaccard"))
 
 
-def saturation(facts: DataFrame, order: str, theme: str, batch: int) -> DataFrame:
-    """New and cumulative distinct themes by reading batch; themes are found first, so the
-    running sum has one row a batch."""
+def saturation(facts: DataFrame, order: str, theme: str, batch: int, width: int = 100_000) -> DataFrame:
+    """New and cumulative distinct themes by reading batch.  Batches are summed within ranges
+    of ``width`` and offset by the totals of the ranges before."""
     first = facts.groupBy(theme).agg(F.min(order).alias("o"))
     new = first.groupBy(F.floor(F.col("o") / batch).alias("batch")).agg(F.count("*").alias("new"))
-    seen = facts.select(F.floor(F.col(order) / batch).alias("batch")).distinct().join(new, "batch", "left").na.fill(0)
-    return seen.withColumn("total", F.sum("new").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)))
+    seen = facts.select(F.floor(F.col(order) / batch).alias("batch")).distinct().join(new, "batch", "left").na.fill(0).withColumn("_r", F.floor(F.col("batch") / width))
+    ranges = seen.groupBy("_r").agg(F.sum("new").alias("_n"))
+    before = ranges.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))  # one row a range
+    total = F.sum("new").over(Window.partitionBy("_r").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    return seen.join(before, "_r").select("batch", "new", total.alias("total"))
 
 
 def two_rater_tag(reader, model):
-    """How a model's count compares with a reader's."""
-    return F.when(model > 1.5 * reader, "INFLADO").when(model < 0.5 * reader, "SUBDETECTADO").when(model >= 0.8 * reader, "ALTO").otherwise("")
-
-
-def list_violations(spark: SparkSession, themes: DataFrame, coding: DataFrame, items: DataFrame, key: str, most: int = 10, overlap: float = 0.5) -> DataFrame:
-    """``(rule, subject, detail)`` of each rule that a theme list or its coding breaks."""
-    n_items = items.select(key).distinct().count()
-    least = max(3, -(-n_items * 5 // 100))
-    row = lambda df, rule, subject, detail: df.select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail"))
-    facts = coding.select(key, F.explode("temas").alias("tema"))
-    sizes = facts.groupBy("tema").agg(F.count_distinct(key).alias("n"))
-    names = [r["tema"] for r in themes.select("tema").distinct().limit(most + 1).collect()]
-    out = [
-        row(themes.groupBy("tema").count().filter("count > 1"), "repeated_id", F.col("tema"), F.col("count")),
+    """How a model's count compares with a reader's, the first that holds."""
+    return F.when((model >= 2 * reader) & (model - reader >= 8), "INFLADO").when((reader - model >= 4) & (model <= 0.5 * reader), "SUBDETECTADO").when(model - reader >= 8, "ALTO").otherwise("")
+
+
+def row(df: DataFrame, rule: str, subject, detail) -> DataFrame:
+    return df.select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail"))
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+GENERAL, OUTSIDE = "(general)", "(fuera)"
+
+
+def valid_component(c, components: list[str], section: str):
+    """General, outside, one of the components, or a phrase of eight characters of the section."""
+    return c.isin(GENERAL, OUTSIDE, *components) | ((F.length(c) >= 8) & F.lit(section).contains(c))
+
+
+def list_violations(themes: DataFrame, coding: DataFrame, items: DataFrame, key: str, components: list[str], section: str, most: int = 10, overlap: float = 0.5) -> DataFrame:
+    """``(rule, subject, detail)`` of each rule that a theme list or its coding breaks.
+    ``themes(tema, nombre, componente, otros, critico)``; ``coding(key, temas)``; a component
+    is valid if it is general, outside, one of ``components`` or a phrase of the section.
+
+    A theme needs 3 comments or 5 % of them, a general one or one of several small ones
+    outside 2, a critical one none; only one theme outside may have under a tenth of them."""
+    n = items.select(key).distinct().agg(F.count("*").alias("all"))
+    facts = coding.select(key, F.explode("temas").alias("tema")).distinct().join(themes.select("tema"), "tema", "left_semi")
+    sizes = facts.groupBy("tema").agg(F.count("*").alias("n"))
+    sized = themes.join(sizes, "tema", "left").na.fill(0, ["n"]).join(F.broadcast(n))  # n is one row
+    small = sized.filter((F.col("componente") == OUTSIDE) & (F.col("n") < F.ceil(F.col("all") * 0.10)))
+    is_small = (F.col("componente") == OUTSIDE) & (F.col("n") < F.ceil(F.col("all") * 0.10))
+    least = F.when(F.col("critico"), 0).when((F.col("componente") == GENERAL) | is_small, 2).otherwise(F.greatest(F.lit(3), F.ceil(F.col("all") * 0.05)))
+    used = themes.select("tema", F.explode(F.concat(F.array("componente"), F.coalesce("otros", F.array().cast("array<string>")))).alias("c"))
+    wrong = used.filter(~valid_component(F.col("c"), components, section))
+    both = facts.toDF("tema", key).select(key, F.col("tema").alias("a")).join(facts.select(key, F.col("tema").alias("b")), key).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    pair = both.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").withColumn("j", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
+    return union_all([
+        row(themes.groupBy("tema").agg(F.count("*").alias("k")).filter("k > 1"), "repeated_id", F.col("tema"), F.col("k")),
         row(themes.filter("coalesce(trim(nombre), '') = ''"), "empty_field", F.col("tema"), F.lit("nombre")),
-        row(themes.agg(F.count("*").alias("n")).filter(F.col("n") > most), "too_many", F.lit("list"), F.col("n")),
-        row(coding.groupBy(key).count().filter("count > 1"), "coded_twice", F.col(key), F.col("count")),
+        row(wrong, "component", F.col("tema"), F.col("c")),
+        row(themes.agg(F.count("*").alias("k")).filter(F.col("k") > most), "too_many", F.lit("list"), F.col("k")),
+        row(coding.groupBy(key).agg(F.count("*").alias("k")).filter("k > 1"), "coded_twice", F.col(key), F.col("k")),
         row(items.join(coding, key, "left_anti"), "not_coded", F.col(key), F.lit("")),
         row(coding.join(items, key, "left_anti"), "unknown_item", F.col(key), F.lit("")),
-        row(facts.join(themes, "tema", "left_anti").select("tema").distinct(), "unknown_theme", F.col("tema"), F.lit("")),
-        row(themes.select("tema").distinct().join(sizes, "tema", "left").na.fill(0).filter(F.col("n") < least), "too_small", F.col("tema"), F.col("n")),
-        row(overlaps(facts, key, names).filter(F.col("jaccard") > overlap), "overlap", F.concat_ws("~", "a", "b"), F.round("jaccard", 4)),
-    ]
-    result = out[0]
-    for df in out[1:]:
-        result = result.unionByName(df)
-    return result
+        row(coding.select(F.explode("temas").alias("tema")).join(themes, "tema", "left_anti").distinct(), "unknown_theme", F.col("tema"), F.lit("")),
+        row(small.agg(F.count("*").alias("k")).filter("k > 1"), "small_outside", F.lit("list"), F.col("k")),
+        row(sized.filter(F.col("n") < least), "too_small", F.col("tema"), F.col("n")),
+        row(pair.filter(F.col("j") > overlap), "overlap", F.concat_ws("~", "a", "b"), F.format_string("%.4f", "j")),
+    ])

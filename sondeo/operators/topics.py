@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,52 +83,78 @@ def choose_k(curve: DataFrame) -> DataFrame:
     return curve.groupBy("group").agg(F.coalesce(at(0.75), at(0.60), most).alias("k"))
 
 
-def kmeans(x: np.ndarray, k: int, starts: int, seed: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and centres of the best of several k-means++ starts."""
-    rng, best = np.random.default_rng(seed), (np.inf, None, None)
-    for _ in range(starts):
-        c = x[[rng.integers(len(x))]]
-        while len(c) < k:
-            d = np.maximum(((x[:, None] - c[None]) ** 2).sum(-1).min(1), 1e-18)
-            c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum())]])
-        for _ in range(rounds):
-            lab = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
-            new = np.array([x[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(k)])
-            if np.allclose(new, c):
-                break
-            c = new
-        cost = ((x - c[lab]) ** 2).sum()
-        if cost < best[0]:
-            best = (cost, lab, c)
-    return best[1], best[2]
-
-
-def stability_grid(vectors: DataFrame, group: str, vector: str, ks: list[int], reps: int = 20, share: float = 0.8, starts: int = 5, most: int = 20_000) -> DataFrame:
-    """``(group, k, rep, stability, smallest)``: the worst best-match Jaccard of topics when
-    a share of a group is clustered again.  The grid (group, k, rep) is spread over tasks;
-    a group is a form or unit of a survey, and one with over ``most`` rows is an error."""
-    sizes = vectors.groupBy(group).count()
-    if sizes.filter(F.col("count") > most).take(1):
-        raise ValueError("a group is too large for in-task clustering: use the ML library's KMeans")
-    packed = vectors.select(group, F.struct(F.hash(vector).alias("h"), vector).alias("r")).groupBy(group).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r[vector]).alias("m"))
-    grid = packed.select(group, "m", F.explode(F.array(*map(F.lit, ks))).alias("k")).select(group, "m", "k", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).repartition(F.col(group), F.col("k"), F.col("rep"))
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for g, m, k, rep in b.itertuples(index=False):
-                x = np.array([np.asarray(v, np.float64) for v in m])
-                if len(x) < k:
-                    continue
-                whole, _ = kmeans(x, k, starts, 42)
-                part = np.sort(np.random.default_rng(rep).choice(len(x), max(k, int(len(x) * share)), replace=False))
-                lab, _ = kmeans(x[part], k, starts, rep)
-                worst = 1.0
-                for j in range(k):
-                    a = whole[part] == j
-                    worst = min(worst, max((a & (lab == i)).sum() / max(1, (a | (lab == i)).sum()) for i in range(k)))
-                rows.append((g, int(k), int(rep), float(worst), int(np.bincount(whole, minlength=k).min())))
-            yield pd.DataFrame(rows, columns=[group, "k", "rep", "stability", "smallest"])
-
-    kind = dict(vectors.dtypes)[group]
-    return grid.mapInPandas(run, f"`{group}` {kind}, k int, rep int, stability double, smallest int")
+def cluster_sizes(rows: DataFrame, label: str, k: int) -> DataFrame:
+    """``(label, n)`` of labels 0 to k - 1, empty ones too."""
+    every = rows.sparkSession.range(k).select(F.col("id").alias(label))
+    return every.join(rows.groupBy(F.col(label).cast("long").alias(label)).agg(F.count("*").alias("n")), label, "left").na.fill(0, ["n"])
+
+
+def vocabulary(counts: DataFrame, key: str, large: int = 100) -> DataFrame:
+    """``(term, df)`` of the terms of at least two documents, or one if there are few documents."""
+    n = counts.agg(F.count_distinct(key).alias("docs"))
+    df = counts.groupBy("term").agg(F.count_distinct(key).alias("df"))
+    return df.join(F.broadcast(n)).filter(F.col("df") >= F.when(F.col("docs") >= large, 2).otherwise(1)).select("term", "df")  # n is one row
+
+
+def nearest_elsewhere(cents: DataFrame, label: str, group: str, k: int = 2) -> DataFrame:
+    """``(a, b, sim, rank)``: the k nearest centroids of other groups.  There is one centroid
+    a topic, some hundreds at most, so all pairs are looked at."""
+    one = cents.select(F.col(label).alias("a"), F.col(group).alias("ga"), F.col("centroid").alias("ca"))
+    other = cents.select(F.col(label).alias("b"), F.col(group).alias("gb"), F.col("centroid").alias("cb"))
+    pairs = one.join(other, F.col("ga") != F.col("gb")).select("a", "b", F.round(dot("ca", "cb"), 9).alias("sim"))
+    return top_per_group(pairs, "a", k, F.desc("sim"), "b")
+
+
+def silhouette(vectors: DataFrame, label: str, vector: str) -> DataFrame:
+    """The mean cosine silhouette of a clustering, from sums of unit vectors by cluster: a
+    row's mean distance to a cluster is 1 less the dot product with the cluster's mean, so no
+    pairs of rows are made.  A row that is alone in its cluster counts 0."""
+    norm = F.sqrt(dot(vector, vector))
+    unit = vectors.select(F.col(label).alias("c"), F.transform(vector, lambda x: x.cast("double") / norm).alias("u"))
+    dims = unit.select("c", F.posexplode("u").alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("s"))
+    sums = dims.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("s")).join(unit.groupBy("c").agg(F.count("*").alias("n")), "c")
+    clusters = sums.agg(F.collect_list(F.struct("c", "n", "s")).alias("all"))  # one row a cluster
+    rows = unit.join(F.broadcast(clusters))
+    own = F.filter("all", lambda k: k["c"] == F.col("c"))[0]
+    inner = 1 - (dot("u", own["s"]) - 1) / (own["n"] - 1)
+    outer = F.array_min(F.transform(F.filter("all", lambda k: k["c"] != F.col("c")), lambda k: 1 - dot(F.col("u"), k["s"]) / k["n"]))
+    rows = rows.select(F.when(own["n"] > 1, inner).alias("a"), outer.alias("b"))
+    return rows.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
+
+
+def assign_clusters(vectors: DataFrame, key: str, vector: str, k: int, seeds: range, rounds: int = 20) -> DataFrame:
+    """``(key, label)`` of the KMeans of least cost over several seeds."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.select(key, array_to_vector(F.col(vector)).alias("v"))
+    models = [KMeans(k=k, seed=s, featuresCol="v", predictionCol="label", maxIter=rounds, initMode="random").fit(rows) for s in seeds]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(rows).select(key, "label")
+
+
+def match_stability(whole: DataFrame, part: DataFrame, key: str) -> DataFrame:
+    """``(label, jaccard)``: of each cluster, as far as its rows are in the part, the best
+    Jaccard with a cluster of the part, from the counts of pairs of labels."""
+    both = whole.join(part.select(key, F.col("label").alias("other")), key).groupBy("label", "other").agg(F.count("*").alias("both"))
+    left, right = both.groupBy("label").agg(F.sum("both").alias("nl")), both.groupBy("other").agg(F.sum("both").alias("no"))
+    j = both.join(left, "label").join(right, "other").withColumn("j", F.col("both") / (F.col("nl") + F.col("no") - F.col("both")))
+    return j.groupBy("label").agg(F.max("j").alias("jaccard"))
+
+
+def stability_curve(vectors: DataFrame, key: str, vector: str, ks: list[int], reps: int = 20, share: float = 0.8, starts: int = 20, rounds: int = 20) -> DataFrame:
+    """``(k, stability, smallest, silhouette)`` of each k: the weakest topic's mean Jaccard
+    over ``reps`` subsamples that are clustered again, chosen by a hash of the key.  Every
+    fit is a distributed one, so a group may have any size."""
+    out, vectors = [], vectors.select(key, vector)
+    for k in ks:
+        whole = assign_clusters(vectors, key, vector, k, range(starts), rounds)
+        each = []
+        for rep in range(reps):
+            some = vectors.filter(F.pmod(F.xxhash64(F.col(key), F.lit(rep)), F.lit(1000)) < int(share * 1000))
+            each.append(match_stability(whole, assign_clusters(some, key, vector, k, range(1), rounds), key))
+        mean = reduce(DataFrame.unionByName, each).groupBy("label").agg((F.sum("jaccard") / reps).alias("j"))
+        labelled = vectors.join(whole, key)
+        one = mean.agg(F.min("j").alias("stability")).join(cluster_sizes(whole, "label", k).agg(F.min("n").alias("smallest"))).join(silhouette(labelled, "label", vector))
+        out.append(one.select(F.lit(k).alias("k"), "stability", "smallest", "silhouette"))
+    return reduce(DataFrame.unionByName, out)

@@ -52,11 +52,8 @@ def comments(spark, d) -> DataFrame:
 
 
 def scores(spark, d) -> DataFrame:
-    """Scores of distinct texts, joined back to every row."""
-    docs = comments(spark, d).select("doc_id", "lang", "text")
-    unique = docs.groupBy("text").agg(F.min("doc_id").alias("u"))
-    scored = themes.lexical_scores(unique, THEMES, "text", "text")
-    return docs.join(scored, "text")
+    """Scores of every comment, made in its own row: no text is shuffled."""
+    return themes.lexical_scores(comments(spark, d), THEMES, "text", "doc_id", "lang")
 
 
 def facts(spark, d) -> DataFrame:
@@ -72,31 +69,15 @@ def r6(x):
 
 
 # ---- the flagship report -------------------------------------------------------------------
-@query(f"""WITH {SQL_FACTS}, n AS (SELECT count(*)::DOUBLE AS total FROM documents WHERE ({SQL_NOISE}) IS NULL),
-g AS (SELECT tema, count(*) AS n, avg(p) AS mp, arg_max(doc_id, (p, -doc_id)) AS best FROM facts GROUP BY tema)
-SELECT t.tema, coalesce(g.n, 0) AS n, round(coalesce(g.n, 0) / total, 6) AS share,
- round(greatest(0, (k/total + z*z/(2*total))/(1+z*z/total) - z*sqrt(k/total*(1-k/total)/total + z*z/(4*total*total))/(1+z*z/total)), 6) AS lo,
- round(least(1, (k/total + z*z/(2*total))/(1+z*z/total) + z*sqrt(k/total*(1-k/total)/total + z*z/(4*total*total))/(1+z*z/total)), 6) AS hi,
- round(g.mp, 6) AS mean_p, g.best
-FROM themes t LEFT JOIN g USING (tema) CROSS JOIN n CROSS JOIN (SELECT 1.959964 AS z) CROSS JOIN LATERAL (SELECT coalesce(g.n, 0)::DOUBLE AS k)""")
-def r01_theme_report(spark, d):
-    n = comments(spark, d).agg(F.count("*").alias("all"))
-    g = facts(spark, d).groupBy("tema").agg(F.count("*").alias("n"), F.avg("p").alias("mp"), F.max_by("doc_id", F.struct("p", -F.col("doc_id"))).alias("best"))
-    rows = theme_frame(spark).select("tema").join(g, "tema", "left").join(F.broadcast(n)).select("tema", F.coalesce("n", F.lit(0)).alias("k"), "mp", "best", F.col("all").alias("N0"))
-    lo, hi = stats.wilson(F.col("k"), F.col("N0"))
-    return rows.select("tema", F.col("k").alias("n"), r6(F.col("k") / F.col("N0")).alias("share"), r6(lo).alias("lo"), r6(hi).alias("hi"), r6("mp").alias("mean_p"), "best").orderBy(F.desc("n"), "tema")
-
-
 # ---- text rules ----------------------------------------------------------------------------
 @query(f"SELECT doc_id, {SQL_NOISE} AS motivo FROM documents")
 def p06_noise(spark, d):
     return table(spark, d, "documents").select("doc_id", T.noise_reason("text").alias("motivo"))
 
 
-@query(f"SELECT doc_id, {sql_normal('text')} AS norm, regexp_replace(trim(lower({SQL_PLAIN.format('source')})), '\\s+', '_', 'g') AS slug_a, trim(regexp_replace({sql_normal('left(text, 60)')}, '[^a-z0-9]+', '_', 'g'), '_') AS slug_b, trim(regexp_replace({SQL_PLAIN.format('left(text, 60)')}, '[^A-Za-z0-9]+', '_', 'g'), '_') AS limpio FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, {sql_normal('text')} AS norm, regexp_replace(trim(lower({SQL_PLAIN.format('source')})), '\\s+', '_', 'g') AS slug_a, trim(regexp_replace({sql_normal('text')}, '[^a-z0-9]+', '_', 'g'), '_') AS slug_b, trim(regexp_replace({SQL_PLAIN.format('text')}, '[^A-Za-z0-9]+', '_', 'g'), '_') AS limpio FROM documents WHERE text IS NOT NULL")
 def f01_f03_slugs(spark, d):
-    head = F.substring("text", 1, 60)
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", T.normalise(F.col("text")).alias("norm"), T.slug_spaces(F.col("source")).alias("slug_a"), T.slug(head).alias("slug_b"), T.file_part(head).alias("limpio"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", T.normalise(F.col("text")).alias("norm"), T.slug_spaces(F.col("source")).alias("slug_a"), T.slug(F.col("text")).alias("slug_b"), T.file_part(F.col("text")).alias("limpio"))
 
 
 @query()
@@ -106,7 +87,7 @@ def f04_redaction(spark, d):
 
 @query("SELECT doc_id, regexp_replace(text, '[\\w.+\\-\\pL\\pN]+@[\\w\\-\\pL\\pN]+(\\.[\\w\\-\\pL\\pN]+)+', '[CORREO]', 'g') AS t FROM documents")
 def f04_mail(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", privacy.RULES[0][1], "[CORREO]").alias("t"))
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", privacy.RULES[0][2], "[CORREO]").alias("t"))
 
 
 @query()
@@ -120,12 +101,6 @@ def f10_f11_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("words"), F.size(F.array_distinct(words)).cast("long").alias("distinct_words"), T.without_marks("text").alias("unmarked"))
 
 
-@query()
-def f12_tokens(spark, d):
-    toks = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    return toks.select("doc_id", F.size("t").alias("n_tokens"), F.size(T.bigrams(F.col("t"))).alias("n_bigrams"))
-
-
 @query("SELECT doc_id, length(text) AS n, length(trim(text)) AS trimmed, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS words, substr(text, 1, 40) || '…' AS short, substr(regexp_replace(source || '[:*?/\\]' || text, '[\\[\\]:*?/\\\\]', '', 'g'), 1, 31) AS sheet FROM documents")
 def f13_k09_lengths(spark, d):
     words = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")
@@ -137,9 +112,9 @@ def f14_percent(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.percent_label(F.col("l_discount").cast("double")).alias("pct"))
 
 
-@query(f"SELECT doc_id, 't' || doc_id || CASE WHEN w = '' THEN '_' ELSE '_' || w END AS id FROM (SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace({sql_normal('left(text, 60)')}, '[^a-z0-9]+', '_', 'g'), '_'), '_'), lambda x: length(x) > 2)[1:4], '_') AS w FROM documents WHERE text IS NOT NULL)")
+@query(f"SELECT doc_id, 't' || doc_id || CASE WHEN w = '' THEN '_' ELSE '_' || w END AS id FROM (SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace({sql_normal('text')}, '[^a-z0-9]+', '_', 'g'), '_'), '_'), lambda x: length(x) > 2)[1:4], '_') AS w FROM documents WHERE text IS NOT NULL)")
 def f15_theme_id(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", T.theme_id(F.col("doc_id"), F.substring("text", 1, 60)).alias("id"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", T.theme_id(F.col("doc_id"), F.col("text")).alias("id"))
 
 
 # ---- dates, arrays, JSON -------------------------------------------------------------------
@@ -162,11 +137,6 @@ def f24_least_sizes(spark, d):
     return n.select("lang", "n", stats.least_comments(F.col("n")).alias("least_comments"), F.ceil(F.col("n") * 0.10).cast("long").alias("tenth"), stats.least_topic(F.col("n")).alias("least_topic"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, sha256(props) AS clave FROM events")
-def f28_f29_json(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.sha2("props", 256).alias("clave"))
-
-
 # ---- filters and profiles ------------------------------------------------------------------
 @query("SELECT event_id FROM events WHERE event_type = 'click' AND (strftime(ts, '%Y-%m-%d') IN ('2024-01-05', '2024-01-06') OR event_id IN (7, 8)) AND contains(lower(event_type), 'cli')")
 def p01_exercise(spark, d):
@@ -183,12 +153,6 @@ def p08_p10_short(spark, d):
     return table(spark, d, "documents").filter(F.col("source").contains("src1") & (F.size(F.split(F.trim("text"), r"\s+")) <= 3)).select("doc_id")
 
 
-@query("SELECT b.item_id, count(*) AS n FROM benchmark b JOIN documents d ON length(b.text) >= 8 AND contains(d.text, b.text) GROUP BY b.item_id")
-def p09_j11_containment(spark, d):
-    b = table(spark, d, "benchmark").filter(F.length("text") >= 8).select("item_id", F.col("text").alias("b"))
-    return table(spark, d, "documents").join(b, F.expr("contains(text, b)")).groupBy("item_id").agg(F.count("*").alias("n"))
-
-
 @query("SELECT coalesce(lang, '(vacío)') AS value, count(*) AS n FROM documents GROUP BY 1")
 def a02_value_counts(spark, d):
     return survey.value_counts(table(spark, d, "documents"), "lang")
@@ -202,8 +166,8 @@ def a09_column_profile(spark, d):
 @query("SELECT l_returnflag, round(quantile_cont(q, 0.25), 6) AS p25, round(quantile_cont(q, 0.5), 6) AS p50, round(quantile_cont(q, 0.75), 6) AS p75, round(quantile_cont(q, 0.95), 6) AS p95, max(q) AS max, round(median(q), 6) AS mediana FROM (SELECT l_returnflag, l_extendedprice::DOUBLE AS q FROM lineitem) GROUP BY 1")
 def a07_quantiles(spark, d):
     x = table(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("q"))
-    out = x.groupBy("l_returnflag").agg(*survey.quantiles("q"), F.median("q").alias("mediana"))
-    return out.select("l_returnflag", *(r6(c).alias(c) for c in ("p25", "p50", "p75", "p95")), "max", r6("mediana").alias("mediana"))
+    out = survey.weighted_quantiles(x, ["l_returnflag"], "q", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
+    return out.select("l_returnflag", *(r6(c).alias(c) for c in ("p25", "p50", "p75", "p95")), "max", r6("p50").alias("mediana"))
 
 
 @query("SELECT source, count(*) AS filas, count(text) AS con_texto, count(*) - count(DISTINCT text) AS repetidos, count(DISTINCT lang) AS idiomas, min(n_chars) AS lo, max(n_chars) AS hi, round(avg(n_chars), 6) AS media, array_to_string(list_sort(list(DISTINCT lang)), ', ') AS lista FROM documents GROUP BY source")
@@ -265,12 +229,6 @@ def j08_m19_overlaps(spark, d):
     return themes.overlaps(facts(spark, d), "doc_id", NAMES).withColumn("jaccard", r6("jaccard"))
 
 
-@query(f"WITH {SQL_FACTS}, c AS (SELECT doc_id, max((p >= 0.7)::INT) AS hit FROM scores GROUP BY doc_id) SELECT round(avg(hit), 6) AS cobertura, sum(1 - hit)::BIGINT AS sin_tema FROM c")
-def a17_coverage(spark, d):
-    c = scores(spark, d).groupBy("doc_id").agg(F.max((F.col("p") >= themes.TAU).cast("int")).alias("any"))
-    return c.agg(r6(F.avg("any")).alias("cobertura"), F.sum(1 - F.col("any")).alias("sin_tema"))
-
-
 @query(f"WITH {SQL_FACTS}, s AS (SELECT DISTINCT doc_id // 15 AS batch FROM facts), f AS (SELECT tema, min(doc_id) // 15 AS batch FROM facts GROUP BY tema), n AS (SELECT batch, count(tema) AS new FROM s LEFT JOIN f USING (batch) GROUP BY batch) SELECT batch, new, (sum(new) OVER (ORDER BY batch))::BIGINT AS total FROM n")
 def w04_saturation(spark, d):
     return themes.saturation(facts(spark, d), "doc_id", "tema", 15)
@@ -330,21 +288,6 @@ def o03_top(spark, d):
     return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey")
 
 
-@query()
-def q02_list_violations(spark, d):
-    names = theme_frame(spark).select("tema", F.col("tema").alias("nombre"))
-    items = comments(spark, d).select("doc_id")
-    coding = items.join(facts(spark, d).groupBy("doc_id").agg(F.collect_set("tema").alias("temas")), "doc_id", "left").withColumn("temas", F.coalesce("temas", F.array().cast("array<string>")))
-    return themes.list_violations(spark, names, coding, items, "doc_id")
-
-
-@query(f"WITH {SQL_SCORES}, g AS (SELECT doc_id, max(p) AS mp, count(*) FILTER (p >= 0.7) AS n FROM scores GROUP BY doc_id) SELECT doc_id, (n = 0)::INT AS residual, concat_ws('; ', CASE WHEN n = 0 THEN 'sin_tema' END, CASE WHEN mp < 0.5 THEN 'confianza_baja' END, CASE WHEN n > 3 THEN 'muchos_temas' END) AS motivos FROM g")
-def q07_q09_review(spark, d):
-    g = scores(spark, d).groupBy("doc_id").agg(F.max("p").alias("mp"), F.count_if(F.col("p") >= themes.TAU).alias("n"))
-    why = F.array_compact(F.array(F.when(F.col("n") == 0, "sin_tema"), F.when(F.col("mp") < 0.5, "confianza_baja"), F.when(F.col("n") > 3, "muchos_temas")))
-    return g.select("doc_id", (F.col("n") == 0).cast("int").alias("residual"), F.array_join(why, "; ").alias("motivos"))
-
-
 # ---- metrics -------------------------------------------------------------------------------
 @query("SELECT source, round(greatest(0, (k/n + z*z/(2*n))/(1+z*z/n) - z*sqrt(k/n*(1-k/n)/n + z*z/(4*n*n))/(1+z*z/n)), 6) AS lo, round(3.0/n, 6) AS tres, round(m/(1+(m-1)/n), 6) AS muestra, round(least(1, greatest(0, (k/n + 0.95 - 1)/(0.9+0.95-1))), 6) AS rg FROM (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (lang = 'en')::DOUBLE AS k, 1.959964 AS z, 1.959964*1.959964*0.25/0.0025 AS m FROM documents GROUP BY source)")
 def m01_m03_m15(spark, d):
@@ -406,17 +349,6 @@ def m17_w07_bh(spark, d):
     return stats.benjamini_hochberg(p, "p", by="lang").select("lang", "source", r6("p_adj").alias("p_adj"))
 
 
-@query()
-def m18_bootstrap(spark, d):
-    return stats.bootstrap_mean(table(spark, d, "labels"), "quality", key="doc_id")
-
-
-@query(f"WITH {SQL_FACTS}, n AS (SELECT tema, count(*) FILTER (p >= 1) AS l, count(*) AS j FROM facts GROUP BY tema) SELECT tema, l, j, CASE WHEN j > 1.5*l THEN 'INFLADO' WHEN j < 0.5*l THEN 'SUBDETECTADO' WHEN j >= 0.8*l THEN 'ALTO' ELSE '' END AS etiqueta FROM n")
-def m20_rater_tag(spark, d):
-    n = facts(spark, d).groupBy("tema").agg(F.count_if(F.col("p") >= 1).alias("l"), F.count("*").alias("j"))
-    return n.withColumn("etiqueta", themes.two_rater_tag(F.col("l"), F.col("j")))
-
-
 # ---- topics --------------------------------------------------------------------------------
 SQL_TERMS = f"terms AS (SELECT doc_id, lang, term, count(*) AS n FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS term FROM documents) WHERE length(term) >= 3 GROUP BY ALL), per AS (SELECT lang, term, sum(n) n FROM terms GROUP BY ALL), tot AS (SELECT lang, sum(n) words FROM per GROUP BY lang), uses AS (SELECT term, sum(n) uses FROM per GROUP BY term), sc AS (SELECT lang, term, n::BIGINT AS n, round(n/words*ln(1+(SELECT sum(words)/count(*) FROM tot)/uses), 12) AS score FROM per JOIN tot USING (lang) JOIN uses USING (term)), top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS rank FROM sc QUALIFY rank <= 10)"
 
@@ -468,24 +400,4 @@ def v08_v10_choose_k(spark, d):
     return topics.choose_k(curve)
 
 
-@query()
-def v06_v09_stability(spark, d):
-    grid = topics.stability_grid(table(spark, d, "embeddings").filter("label < 4").withColumn("group", F.lit("todas")), "group", "embedding", [2, 3, 4], reps=4, starts=2)
-    return grid.groupBy("group", "k").agg(r6(F.avg("stability")).alias("stability"), F.min("smallest").alias("smallest"))
-
-
 # ---- reports -------------------------------------------------------------------------------
-@query(f"WITH {SQL_FACTS}, w AS (SELECT d.doc_id, d.lang, " + ", ".join(f"max(round(s.p, 6)) FILTER (s.tema = '{t}' AND s.p >= 0.7) AS {t}" for t in NAMES) + f" FROM documents d LEFT JOIN scores s USING (doc_id) GROUP BY ALL) SELECT * FROM w")
-def r02_classification(spark, d):
-    wide = facts(spark, d).groupBy("doc_id").pivot("tema", NAMES).agg(F.max(r6("p")))
-    return table(spark, d, "documents").select("doc_id", "lang").join(wide, "doc_id", "left")
-
-
-@query(f"WITH {SQL_FACTS} SELECT tema, lang, count(*) AS n, round(avg(p), 6) AS p FROM facts GROUP BY GROUPING SETS ((tema, lang), (tema))")
-def r03_r08_by_unit(spark, d):
-    return facts(spark, d).groupingSets([["tema", "lang"], ["tema"]], "tema", "lang").agg(F.count("*").alias("n"), r6(F.avg("p")).alias("p"))
-
-
-@query(f"SELECT coalesce({SQL_NOISE}, '') AS motivo, count(*) AS n, count(DISTINCT text) AS textos FROM documents GROUP BY 1")
-def r11_r12_run_summary(spark, d):
-    return table(spark, d, "documents").groupBy(F.coalesce(T.noise_reason("text"), F.lit("")).alias("motivo")).agg(F.count("*").alias("n"), F.count_distinct("text").alias("textos"))

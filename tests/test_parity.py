@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from parity import compare
 
-from sondeo import registry
+from sondeo import registry, registry_flow  # noqa: F401  (adds to the registry)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,4 +25,5 @@ def test_matches_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).columns
+    rows = registry.QUERIES[name](spark, SF).collect()
+    assert rows or name == "q11_residual_names"
