@@ -2,19 +2,25 @@
 
 Everything is DataFrame operations.  A text's statistics are made inside its row with array
 functions (no shuffle).  Transformed statistics of the rows that pass the base rules are
-judged within their language and source: a minimum-covariance-determinant estimate is found
-by concentration steps (mean and covariance of the rows nearest so far, distances from
-them, the nearest rows again) from two deterministic starts, and a row whose squared
-Mahalanobis distance is beyond the cutoff is rejected.
+judged within their language and source by a minimum-covariance-determinant estimate.  It is
+found by concentration steps (mean and covariance of the ``share`` of rows nearest so far,
+distances from them, the nearest rows again) from two deterministic starts, until no
+determinant changes any more; the start with the least determinant counts.  A row whose
+squared Mahalanobis distance is beyond the cutoff is rejected.
+
+The statistics vary in clean text and are correlated there (longer words go with more
+different ones), so the covariance decides how far is far.  A group's estimate is blended
+with its language's, and a language's with that of all rows, each weighing as much as
+``prior`` rows: a large group stands on its own rows, a small one leans on its language, and
+no size is treated by another rule.
 
 Each step is an aggregation by group with partial sums, and a join with one small row of
 parameters for each group, so a source with a third of all rows is summed in many tasks.
-Groups with fewer than ``min_rows`` rows share the estimate of their language, and
-languages with fewer share one of all rows.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,62 +30,75 @@ from .common import staged
 
 SPACE = r"[\x09-\x0D\x20]+"
 SYMBOLS = r"[#*$%&|<>]+"
-#: Transformed statistics: name, expression, least scale of the robust centre.
+#: Words of letters alone.
+PLAIN_WORD = r"(?<![^\x09-\x0D\x20])\p{L}+(?![^\x09-\x0D\x20])"
+#: Transformed statistics: mean word length, share of capitals among letters, share of words
+#: with other than letters, and the growth of the vocabulary with the text's length.
 FEATURES = (
-    ("word_length", "ln(word_chars / n_words)", 0.10),
-    ("symbols", "sqrt(n_symbols / n_words)", 0.12),
-    ("dup_lines", "sqrt(n_dup_lines / greatest(n_lines, 1))", 0.22),
-    ("repeats", "asin(sqrt(n_repeat_words / n_words))", 0.17),
+    "ln(word_chars / n_words)",
+    "asin(sqrt(n_capitals / greatest(n_letters, 1)))",
+    "asin(sqrt((n_words - n_plain) / n_words))",
+    "ln(n_distinct) / ln(n_words)",
 )
 DIM = len(FEATURES)
-#: The median of a chi-square variable with DIM degrees of freedom.
-CHI2_MEDIAN = 3.3567
-#: Beyond the 0.9999 quantile of that variable (23.5), as the statistics have longer tails.
-CUTOFF = 40.0
+#: The least spread of a statistic, where all rows agree.
+LEAST_SPREAD = 1e-3
+#: Far beyond the 0.9999 quantile of a chi-square variable with DIM degrees of freedom
+#: (23.5): in short texts a single number, address or name moves a share a good deal.
+CUTOFF = 150.0
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_letters", "n_capitals", "n_plain", "n_distinct", "n_repeat_words")
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without ``text`` and with ``n_words, word_chars, n_symbols, n_lines,
-    n_dup_lines, n_repeat_words`` (long), of the whole text; null counts as empty.  Columns
-    of these names are replaced.
+    """``docs`` without ``text`` and with ``COUNTS`` (long) of the whole text; null counts
+    as empty.  Columns of these names are replaced, any others pass through.
 
     A word in a three-word window that occurs at least twice in its text is found by sorting
     the windows' hashes with their places and looking at the neighbours."""
-    made = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (text, *made)]
-    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (text, *COUNTS)), F.lit(0).alias("one_more"))
+    rows = docs.select(row.alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    rows = rows.select("row", "t", F.filter(F.split("t", SPACE), lambda x: x != "").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x09-\x0D\x20]")).alias("l"))
+    word = lambda i: F.get(F.col("w"), i)
+    windows = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(F.xxhash64(word(i), word(i + 1), word(i + 2)).alias("h"), i.alias("p")))
     rows = rows.select(
-        *keep,
-        "_t",
-        F.filter(F.split("_t", SPACE), lambda x: x != "").alias("_w"),
-        F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x09-\x0D\x20]")).alias("_l"),
+        "row",
+        F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.length("t") - F.length(F.regexp_replace("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size("l").cast("long").alias("n_lines"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        F.length(F.regexp_replace("t", r"\P{L}+", "")).cast("long").alias("n_letters"),
+        F.length(F.regexp_replace("t", r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
+        F.regexp_count("t", F.lit(PLAIN_WORD)).cast("long").alias("n_plain"),
+        F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
+        F.when(F.size("w") >= 4, F.array_sort(windows)).alias("s"),
     )
-    word = lambda i: F.get(F.col("_w"), i)
-    windows = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.struct(F.xxhash64(word(i), word(i + 1), word(i + 2)).alias("h"), i.alias("p")))
-    rows = rows.select(
-        *keep,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.regexp_replace("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_w") >= 4, F.array_sort(windows)).alias("_s"),
-    )
-    s = F.col("_s")
+    s = F.col("s")
     met = F.transform(s, lambda x, i: F.when((F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]), x["p"]))
-    rows = rows.withColumn("_p", F.array_sort(F.filter(met, lambda x: x.isNotNull()))).drop("_s")
-    p = F.col("_p")
+    rows = rows.withColumn("p", F.array_sort(F.filter(met, lambda x: x.isNotNull()))).drop("s")
+    p = F.col("p")
     steps = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
     covered = F.aggregate(steps, F.lit(0), lambda a, x: a + x)
-    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_p")
+    rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    return rows.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in (text, *COUNTS)), *COUNTS)
+
+
+def consistency(share: float) -> float:
+    """By how much the covariance of the nearest ``share`` of a normal sample in four
+    dimensions falls short of the whole one's."""
+    low, high = 0.0, 200.0
+    for _ in range(100):  # the quantile of the chi-square variable with 4 degrees of freedom
+        x = (low + high) / 2
+        low, high = (x, high) if 1 - math.exp(-x / 2) * (1 + x / 2) < share else (low, x)
+    return share / (1 - math.exp(-low / 2) * (1 + low / 2 + low * low / 8))
 
 
 def _total(parts) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def _z(i: int) -> Column:
-    return F.col(f"z{i}")
+PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
+X, M, C, L = [f"x{i}" for i in range(DIM)], [f"m{i}" for i in range(DIM)], [f"c{i}{j}" for i, j in PAIRS], [f"l{i}{j}" for i, j in PAIRS]
 
 
 def _quantile(x, q: float) -> Column:
@@ -87,61 +106,71 @@ def _quantile(x, q: float) -> Column:
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance of z from the mean m, by the Cholesky factor l."""
+    """Squared Mahalanobis distance of x from the mean m, by the Cholesky factor l."""
     y: list[Column] = []
     for i in range(DIM):
-        y.append((_z(i) - F.col(f"m{i}") - _total([F.lit(0.0), *(F.col(f"l{i}{j}") * y[j] for j in range(i))])) / F.col(f"l{i}{i}"))
-    return _total(x * x for x in y)
-
-
-def _estimate(rows: DataFrame, ridge: float) -> DataFrame:
-    """Mean, Cholesky factor of the covariance (its diagonal raised by ``ridge``, so it is
-    never singular) and log determinant, by group and start."""
-    pairs = [(i, j) for i in range(DIM) for j in range(i + 1)]
-    sums = rows.groupBy("grp", "start").agg(*(F.avg(_z(i)).alias(f"m{i}") for i in range(DIM)), *(F.avg(_z(i) * _z(j)).alias(f"c{i}{j}") for i, j in pairs))
-    out = sums
-    for i in range(DIM):
-        for j in range(i + 1):
-            c = F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") - _total([F.lit(0.0), *(F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j))])
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c + ridge, F.lit(ridge / 10))) if i == j else c / F.col(f"l{j}{j}"))
-    logdet = _total(F.ln(F.col(f"l{i}{i}")) for i in range(DIM))
-    return out.select("grp", "start", *(f"m{i}" for i in range(DIM)), *(f"l{i}{j}" for i, j in pairs), logdet.alias("logdet"))
-
-
-def outlier_distances(rows: DataFrame, features: tuple = FEATURES, lang: str = "lang", source: str = "source", min_rows: int = 100, share: float = 0.75, steps: int = 3, ridge: float = 0.5) -> DataFrame:
+        y.append((F.col(X[i]) - F.col(M[i]) - _total([F.lit(0.0), *(F.col(f"l{i}{j}") * y[j] for j in range(i))])) / F.col(f"l{i}{i}"))
+    return _total(v * v for v in y)
+
+
+def _factored(rows: DataFrame) -> DataFrame:
+    """Rows with means and covariances, and their Cholesky factors and log determinant."""
+    for i, j in PAIRS:
+        c = F.col(f"c{i}{j}") - _total([F.lit(0.0), *(F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j))])
+        rows = rows.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(LEAST_SPREAD**2 / 100))) if i == j else c / F.col(f"l{j}{j}"))
+    return rows.withColumn("logdet", _total(2 * F.ln(F.col(f"l{i}{i}")) for i in range(DIM)))
+
+
+def _estimate(nearest: DataFrame, spread: DataFrame, share: float, prior: float) -> DataFrame:
+    """Of each group and start, the mean and covariance of ``nearest``, blended with those
+    of its parent, from all rows down to language and source."""
+    sums = nearest.groupBy("level", "grp", "parent", "start").agg(F.count("*").alias("n"), *(F.avg(x).alias(m) for x, m in zip(X, M)), *(F.avg(F.col(X[i]) * F.col(X[j])).alias(f"c{i}{j}") for i, j in PAIRS))
+    raw = sums.withColumns({f"c{i}{j}": (F.col(f"c{i}{j}") - F.col(M[i]) * F.col(M[j])) * consistency(share) for i, j in PAIRS})
+    raw = staged(raw, "sums")
+    above = spread.filter("level = 0").select(F.lit("").alias("up"), F.explode(F.array(F.lit(0), F.lit(1))).alias("of"), *(F.col(m).alias(f"p{m}") for m in M), *((F.pow(f"s{i}", 2) if i == j else F.lit(0.0)).alias(f"pc{i}{j}") for i, j in PAIRS))
+    out = None
+    for level in range(3):
+        own = raw.filter(F.col("level") == level).join(above, (F.col("parent") == F.col("up")) & (F.col("start") == F.col("of")))
+        blend = lambda c: ((F.col("n") * F.col(c) + prior * F.col(f"p{c}")) / (F.col("n") + prior)).alias(c)
+        own = own.select("level", "grp", "start", *(blend(c) for c in (*M, *C)))
+        above = own.select(F.col("grp").alias("up"), F.col("start").alias("of"), *(F.col(c).alias(f"p{c}") for c in (*M, *C)))
+        out = own if out is None else out.unionByName(own)
+    return _factored(out).select("level", "grp", "start", *M, *L, "logdet")
+
+
+def outlier_distances(rows: DataFrame, features: tuple = FEATURES, lang: str = "lang", source: str = "source", share: float = 0.5, prior: float = 50.0, most_steps: int = 20, tolerance: float = 0.01) -> DataFrame:
     """``rows`` with ``d2``, the squared Mahalanobis distance of the transformed statistics
-    from the minimum-covariance-determinant estimate of the row's group, shrunk where its
-    median is beyond that of a chi-square variable.  A null language or source is a group like any
-    other.  An empty table gives no rows."""
-    keep = rows.columns
-    value = rows.select("*", *(F.expr(e).cast("double").alias(f"_x{i}") for i, (_, e, _) in enumerate(features)))
-    n = staged(value.groupBy(F.col(lang).alias("_lang"), F.col(source).alias("_source")).agg(F.count("*").alias("n")), "group_sizes")
-    by_lang = n.groupBy("_lang").agg(F.sum("n").alias("n_lang"))
-    level = n.join(by_lang.select(F.col("_lang").alias("_of"), "n_lang"), F.col("_lang").eqNullSafe(F.col("_of")))
-    name = F.when(F.col("n") >= min_rows, F.to_json(F.struct("_lang", "_source", F.lit(2).alias("level")))).when(F.col("n_lang") >= min_rows, F.to_json(F.struct("_lang", F.lit(1).alias("level")))).otherwise("all")
-    level = staged(level.select("_lang", "_source", name.alias("grp")), "groups")
-    value = value.join(level, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source"))).drop("_lang", "_source")
+    from the minimum-covariance-determinant estimate of the row's language and source.  A
+    null language or source is a group like any other.  Steps go on until no log determinant
+    changes by ``tolerance``.  An empty table gives no rows."""
+    key = lambda level, *c: F.to_json(F.struct(F.lit(level).alias("level"), *(F.col(f"`{x}`").cast("string").alias(f"k{i}") for i, x in enumerate(c))))
+    at = [F.lit("all"), key(1, lang), key(2, lang, source)]
+    value = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), at[2].alias("grp"), F.array(*(F.struct(F.lit(i).alias("level"), a.alias("grp"), (at[i - 1] if i else F.lit("")).alias("parent")) for i, a in enumerate(at))).alias("groups"), *(F.expr(e).cast("double").alias(x) for e, x in zip(features, X)))
     value = staged(value, "transformed")
-    centre = staged(value.groupBy("grp").agg(*(_quantile(f"_x{i}", 0.5).alias(f"c{i}") for i in range(DIM))), "centres")
-    spread = value.join(centre, "grp").groupBy("grp").agg(*(F.max(f"c{i}").alias(f"c{i}") for i in range(DIM)), *(F.greatest(_quantile(F.abs(F.col(f"_x{i}") - F.col(f"c{i}")), 0.5) * 1.4826, F.lit(features[i][2])).alias(f"s{i}") for i in range(DIM)))
+    only = value.select(F.inline("groups"), *X)
+    centre = staged(only.groupBy("level", "grp").agg(*(_quantile(x, 0.5).alias(m) for x, m in zip(X, M))), "centres")
+    spread = only.join(centre.drop("level"), "grp").groupBy("level", "grp").agg(F.count("*").alias("n"), *(F.max(m).alias(m) for m in M), *(F.greatest(_quantile(F.abs(F.col(x) - F.col(m)), 0.5) * 1.4826, F.lit(LEAST_SPREAD)).alias(f"s{i}") for i, (x, m) in enumerate(zip(X, M))))
     spread = staged(spread, "spreads")
-    z = value.join(spread, "grp").select(*[F.col(f"`{c}`") for c in keep], "grp", *(((F.col(f"_x{i}") - F.col(f"c{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in range(DIM)))
-    only = z.select("grp", *(f"z{i}" for i in range(DIM)))
-    starts = F.array(F.struct(F.lit(0).alias("start"), _total(_z(i) * _z(i) for i in range(DIM)).alias("d2")), F.struct(F.lit(1).alias("start"), F.greatest(*(F.abs(_z(i)) for i in range(DIM))).alias("d2")))
-    near = only.select("*", F.inline(starts))
-    for _ in range(steps):
+    base = spread.filter("level = 0").select(*(F.col(c).alias(f"all_{c}") for c in (*M, *(f"s{i}" for i in range(DIM)))))
+    blend = lambda c: (F.col("n") * F.col(c) + prior * F.col(f"all_{c}")) / (F.col("n") + prior)
+    begin = spread.join(base).select("grp", *(blend(c).alias(c) for c in (*M, *(f"s{i}" for i in range(DIM)))))  # base is one row
+    z = [(F.col(X[i]) - F.col(M[i])) / F.col(f"s{i}") for i in range(DIM)]
+    starts = F.array(F.struct(F.lit(0).alias("start"), _total(v * v for v in z).alias("d2")), F.struct(F.lit(1).alias("start"), F.greatest(*(F.abs(v) for v in z)).alias("d2")))
+    near, model = only.join(begin, "grp").select("level", "grp", "parent", *X, F.inline(starts)), None
+    for _ in range(most_steps):
         cut = staged(near.groupBy("grp", "start").agg(_quantile("d2", share).alias("cut")), "cuts")
-        model = staged(_estimate(near.join(cut, ["grp", "start"]).filter("d2 <= cut"), ridge), "estimates")
-        near = only.join(model, "grp").withColumn("d2", _distance())
-    best = model.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    best = staged(model.join(best, ["grp", "start"]), "best")
-    near = only.join(best, "grp").withColumn("d2", _distance())
-    scale = staged(near.groupBy("grp").agg((F.greatest(_quantile("d2", 0.5), F.lit(CHI2_MEDIAN)) / CHI2_MEDIAN).alias("scale")), "scales")
-    return z.join(best, "grp").join(scale, "grp").select(*[F.col(f"`{c}`") for c in keep], (_distance() / F.col("scale")).alias("d2"))
+        last, model = model, staged(_estimate(near.join(cut, ["grp", "start"]).filter("d2 <= cut"), spread, share, prior), "estimates")
+        near = only.join(model.drop("level"), "grp").withColumn("d2", _distance())
+        if last is not None:
+            moved = model.join(last.select("grp", "start", F.col("logdet").alias("before")), ["grp", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+            if moved is None or moved < tolerance:
+                break
+    best = model.groupBy("grp").agg(F.min_by(F.struct(*M, *L), F.struct("logdet", "start")).alias("best")).select("grp", "best.*")
+    return value.join(best, "grp").select("row.*", _distance().alias("d2"))
 
 
 def quality_rules(docs: DataFrame, min_words: int = 50, cutoff: float = CUTOFF, **how) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id``, the counts of :func:`statistics`,
+    """One row for each row of ``docs``: ``doc_id``, counts of :func:`statistics`,
     ``base_failed`` (under ``min_words`` words, or over half of the words in repeated
     three-word windows), ``d2`` (null where the base rules failed) and ``kept``.
 
