@@ -1,12 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  The first pass classifies each block on its
-own: blocks inside navigation, headers, footers, sidebars, adverts, forms, notices or
-comments are boilerplate by their place; the others by link density, length and the density
-of stop words, as good, near-good, short or bad.  In the second pass short and near-good
-blocks take the label of the nearest decided neighbours.  Inside an element that says it is
-the article, only link-heavy blocks are boilerplate.  Scripts, styles, templates, comments
-and the head are never text.
+A page is cut into blocks at block-level tags.  The first pass labels each block on its own
+by the density of stop words, its length and its link density: good, near-good, short or
+bad.  In the second pass short and near-good blocks take the label of the nearest decided
+neighbours.
+
+The place of a block is known beforehand and comes before or after that: what is inside
+navigation, headers, footers, sidebars, adverts, forms, notices or reader comments is bad;
+what is in an element whose class only suggests boilerplate is good by its own density or
+else left to its neighbours (inside the article) or bad (elsewhere).  Where a page names its
+article, only blocks inside it are the article's, and they have no neighbours outside;
+ambiguous blocks without any decided neighbour are good there and bad elsewhere.  Scripts,
+styles, templates, comments and the head are never text.
 """
 
 from __future__ import annotations
@@ -29,10 +34,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE = frozenset("nav header footer aside form menu dialog head select button".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adslot adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe "
-    "subscription sidebar side nav navbar navigation menu breadcrumb breadcrumbs crumbs footer foot masthead topbar toolbar share sharing social related recommended comment comments "
-    "reply replies respond discussion disqus login signup paywall pagination pager widget legal disclaimer copyright".split()
+    "ad ads advert adverts advertisement advertising adslot adbox cookie cookies consent gdpr notice popup modal newsletter sidebar nav navbar navigation menu breadcrumb breadcrumbs footer "
+    "masthead share sharing comment comments reply replies respond disqus login signup paywall pagination".split()
 )
+#: Words of class or id that suggest boilerplate, but name parts of articles too.
+DOUBTFUL_WORDS = frozenset("sponsor sponsored promo promotion banner overlay subscribe subscription side crumbs foot topbar toolbar social related recommended discussion pager widget legal disclaimer copyright".split())
+#: The only classes that mark an article element as one of the readers'.
+READERS = frozenset("comment comments reply replies".split())
 ARTICLE = frozenset(("article", "main"))
 ATTRS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
 WORDS = re.compile(r"[^\W_]+")
@@ -43,39 +51,47 @@ STOP = frozenset(
     "le la les de des du et un une est en que qui dans pour sur au aux par pas ce il elle plus avec son sa ses se ne sont mais ou nous vous leur cette ont "
     "el los las y del que en un una por con no para es lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde".split()
 )
-LINKS, LONG, STOP_LOW, STOP_HIGH, FEW = 0.33, 200, 0.10, 0.20, 70
+LINKS, ALL_LINKS, LONG, STOP_LOW, STOP_HIGH, FEW = 0.33, 0.9, 200, 0.10, 0.20, 70
 GOOD, NEAR, SHORT, BAD = "good", "near", "short", "bad"
+#: Places: as any other, doubtful, aside.
+ANY, DOUBTFUL, APART = 0, 1, 2
 
 
 class Block:
-    __slots__ = ("parts", "link_chars", "aside", "inside", "heading", "listed")
+    __slots__ = ("parts", "link_chars", "place", "inside", "heading", "listed")
 
-    def __init__(self, aside: bool, inside: bool, heading: bool):
-        self.parts, self.link_chars, self.aside, self.inside, self.heading = [], 0, aside, inside, heading
+    def __init__(self, place: int, inside: bool, heading: bool):
+        self.parts, self.link_chars, self.place, self.inside, self.heading = [], 0, place, inside, heading
         self.listed = False
 
 
-def _marks(name: str, attrs: str) -> bool:
-    """True if an element is boilerplate by its name or attributes."""
+def _place(name: str, attrs: str) -> int:
+    """The place that an element makes by its name or attributes."""
     if name in ASIDE:
-        return True
+        return APART
+    place = ANY
     for key, a, b, c in ATTRS.findall(attrs) if attrs else ():
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in ASIDE_ROLES):
-            return True
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and not ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return APART
+        if key in ("class", "id") and name == "article" and not READERS.isdisjoint(value.split()):
+            return APART
+        if key in ("class", "id") and name not in ("body", "html", "article", "main"):
+            words = re.split(r"[^a-z]+", value)
+            if not ASIDE_WORDS.isdisjoint(words):
+                return APART
+            place = place if DOUBTFUL_WORDS.isdisjoint(words) else DOUBTFUL
+    return place
 
 
 def blocks(page: str):
-    """``(text, link density, aside, inside an article, heading)`` of each block with text."""
-    open_: list[tuple[str, bool, bool, Block | None]] = []  # name, aside, inside, for marked inline elements the block around them
+    """``(text, link density, place, inside an article, heading)`` of each block with text."""
+    open_: list[tuple[str, int, bool, Block | None]] = []  # name, place, inside, for marked inline elements the block around them
     places: dict[str, list[int]] = {}  # of each name in open_
     block_places: list[int] = []  # of block elements in open_
-    aside = inside = False
+    place, inside = ANY, False
     links, found = 0, []
-    block = Block(False, False, False)
+    block = Block(ANY, False, False)
 
     def add(raw: str):
         if raw:
@@ -88,23 +104,23 @@ def blocks(page: str):
         if block.parts and not block.listed:
             found.append(block)
             block.listed = True
-        block = Block(aside, inside, heading)
+        block = Block(place, inside, heading)
 
     def push(name: str, around: Block | None = None):
         places.setdefault(name, []).append(len(open_))
         if name in BLOCK:
             block_places.append(len(open_))
-        open_.append((name, aside, inside, around))
+        open_.append((name, place, inside, around))
 
     def cut(i: int):
         """Closes the open elements from the i-th on."""
-        nonlocal aside, inside
+        nonlocal place, inside
         for name, *_ in open_[i:]:
             places[name].pop()
         while block_places and block_places[-1] >= i:
             block_places.pop()
         del open_[i:]
-        _, aside, inside, _ = open_[-1] if open_ else ("", False, False, None)
+        _, place, inside, _ = open_[-1] if open_ else ("", ANY, False, None)
 
     at, n = 0, len(page)
     while at < n:
@@ -115,7 +131,6 @@ def blocks(page: str):
         add(page[at : m.start()])
         at, name = m.end(), (m[2] or "").lower()
         if not name or not m[4]:  # a comment, a declaration, or a tag cut off by the end
-            at = at if not name or m.end() >= n else m.end()
             continue
         if m[1]:
             if name == "a":
@@ -143,12 +158,12 @@ def blocks(page: str):
             if name in ("p", "li", "td", "th", "tr", "option", "dd", "dt") and block_places and open_[block_places[-1]][0] == name:
                 cut(block_places[-1])
             if name not in VOID and not m[3].endswith("/"):
-                aside, inside = aside or _marks(name, m[3]), inside or name in ARTICLE
+                place, inside = max(place, _place(name, m[3])), inside or name in ARTICLE
                 push(name)
             turn(name in ("h1", "h2", "h3", "h4", "h5", "h6"))
         elif name not in VOID and not m[3].endswith("/"):
-            if _marks(name, m[3]):
-                around, aside = block, True
+            if _place(name, m[3]) == APART:
+                around, place = block, APART
                 push(name, around)
                 turn()
             elif places.get(name):  # its end is not that of a marked one around it
@@ -157,54 +172,74 @@ def blocks(page: str):
     for b in found:
         text = " ".join(html.unescape("".join(b.parts)).split())
         if text:
-            yield text, b.link_chars / len(text), b.aside, b.inside, b.heading
+            yield text, b.link_chars / len(text), b.place, b.inside, b.heading
 
 
-def first_pass(text: str, links: float, aside: bool, inside: bool) -> str:
-    if aside or links > LINKS:
+def first_pass(text: str, links: float, place: int, inside: bool, heading: bool = False) -> str:
+    """The label of a block on its own.  Nearly nothing but links is bad, and so is a long
+    text without stop words or a doubtful block, but inside the article both are ambiguous:
+    tables, formulas and names have no stop words either."""
+    if place == APART or links > ALL_LINKS or (links > LINKS and not inside):
         return BAD
-    if inside:
-        return GOOD
-    if "©" in text or "&copy" in text:
+    if not inside and ("©" in text or "&copy" in text):
         return BAD
-    if len(text) < FEW:
-        return BAD if links > 0 else SHORT
+    if len(text) < FEW or links > LINKS:
+        return SHORT if (inside or place == ANY) and (inside or links == 0) else BAD
     words = WORDS.findall(text.lower())
     stop = sum(w in STOP for w in words) / max(1, len(words))
-    if stop >= STOP_HIGH:
-        return GOOD if len(text) > LONG else NEAR
-    return NEAR if stop >= STOP_LOW else BAD
+    if stop >= STOP_HIGH and len(text) > LONG:
+        return GOOD
+    if stop >= STOP_LOW and place == ANY:
+        return NEAR
+    return SHORT if inside else BAD
 
 
-def second_pass(labels: list[str]) -> list[bool]:
-    """Near-good blocks go with one good neighbour, short ones need good on both sides, or
-    a good one nearer than a bad one; neighbours are the nearest good or bad blocks."""
+def second_pass(labels: list[str], headings: list[bool] | None = None, prior: bool = False) -> list[bool]:
+    """Near-good blocks go with one good neighbour.  Short ones need good on both sides, or
+    on the nearer one; a heading goes with what follows if both are as near.  Neighbours are
+    the nearest good or bad blocks; a side without any has no say, and where both have none
+    the prior decides."""
     n = len(labels)
-    before, after = [(BAD, n)] * n, [(BAD, n)] * n
+    before, after = [(None, n)] * n, [(None, n)] * n
     for side, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
-        last, far = BAD, 0
+        last, far = None, 0
         for i in order:
             far += 1
             side[i] = (last, far)
             if labels[i] in (GOOD, BAD):
                 last, far = labels[i], 0
     out = []
-    for label, (a, da), (b, db) in zip(labels, before, after):
-        good = a == GOOD, b == GOOD
-        if label == SHORT:
-            out.append(all(good) or (any(good) and (da < db if good[0] else db < da)))
+    for i, (label, (a, da), (b, db)) in enumerate(zip(labels, before, after)):
+        if label in (GOOD, BAD):
+            out.append(label == GOOD)
+        elif a is None and b is None:
+            out.append(prior)
+        elif a is None or b is None or a == b:
+            out.append((a or b) == GOOD)
+        elif label == NEAR:
+            out.append(True)
+        elif da == db:
+            out.append((b if headings and headings[i] else BAD) == GOOD)
         else:
-            out.append(label == GOOD or (label == NEAR and any(good)))
+            out.append((a if da < db else b) == GOOD)
     return out
 
 
+def labelled(page: str) -> list[tuple[str, str, bool]]:
+    """``(text, label of the first pass, kept)`` of the blocks that were judged, in order:
+    those inside the article, if the page names one and keeps any of them, else all."""
+    found = list(blocks(page))
+    for part, prior in (([b for b in found if b[3] and b[2] != APART], True), (found, False)):
+        labels = [first_pass(*b) for b in part]
+        keep = second_pass(labels, [b[4] for b in part], prior)
+        if any(keep):
+            break
+    return [(b[0], label, k) for b, label, k in zip(part, labels, keep)]
+
+
 def main_text(page: str) -> str:
     """The kept blocks in page order, joined by one newline."""
-    found = list(blocks(page))
-    if any(b[3] and not b[2] for b in found):  # the page names its article
-        found = [b for b in found if b[3]]
-    keep = second_pass([first_pass(*b[:4]) for b in found])
-    return "\n".join(b[0] for b, k in zip(found, keep) if k)
+    return "\n".join(text for text, _, kept in labelled(page) if kept)
 
 
 def extract(pages: DataFrame, column: str = "html", to: str = "text") -> DataFrame:
