@@ -44,7 +44,8 @@ GATE, HEADED = re.compile("[0-9@]"), re.compile("[0-9@]|" + "|".join(HEADS))
 RUNNING = re.compile("[0-9A-Za-z_.+@-]*")
 BEFORE, AFTER = 80, 300
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-DAYS_FROM, DAYS_TO = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()
+#: Dates stay within their span of so many years (1900 to 2099 is one).
+SPAN = 200
 
 
 class Pseudonyms:
@@ -132,32 +133,28 @@ class Pseudonyms:
         return ".".join(map(str, n.to_bytes(4, "big")))
 
     def date(self, s):
+        """Another date of the same layout and span of years: the year in the same place, the
+        same widths of day and month.  With the year last, a first number over 12 is a day
+        and a second one over 12 too; where neither is, the pseudonym's numbers are up to 12
+        too, so it is a date by either order."""
         sep = next(c for c in s if c in "-/.")
         p = s.split(sep)
-        year_first = len(p[0]) == 4
-        y, a, b = (int(p[0]), int(p[1]), int(p[2])) if year_first else (int(p[2]), int(p[0]), int(p[1]))
-        order = "md" if year_first else "dm" if a > 12 or sep != "/" else "md"
-        m, d = (a, b) if order == "md" else (b, a)
+        kind, year, m, d = _layout(p)
         try:
-            day = datetime.date(y, m, d).toordinal()
+            day = datetime.date(year, m, d).toordinal()
         except ValueError:
             return None
-        if not DAYS_FROM <= day < DAYS_TO:
-            return None
-        # a pseudonym must read back by the same order: day-first layouts keep days over 12 apart
-        wide = lambda x: order == "md" or sep != "/" or x.day > 12
-        n = day - DAYS_FROM
-        while True:
-            n = self.permute(n, DAYS_TO - DAYS_FROM, f"date{order}")
-            new = datetime.date.fromordinal(n + DAYS_FROM)
-            if wide(new):
-                break
-        w = [len(x) if x[0] == "0" or len(x) > 1 else 2 for x in p]
-        show = lambda v, k: f"{v:0{w[k]}d}"
-        if year_first:
-            return sep.join((f"{new.year:04d}", show(new.month, 1), show(new.day, 2)))
-        x = (new.month, new.day) if order == "md" else (new.day, new.month)
-        return sep.join((show(x[0], 0), show(x[1], 1), f"{new.year:04d}"))
+        low = max(1, (year - 1900) // SPAN * SPAN + 1900)
+        high = min(10_000, (year - 1900) // SPAN * SPAN + 1900 + SPAN)
+        begin = datetime.date(low, 1, 1).toordinal()
+        n, bound = day - begin, datetime.date(high - 1, 12, 31).toordinal() + 1 - begin
+        while True:  # the permutation of all days, walked until the layout is the same again
+            n = self.permute(n, bound, f"date{low}")
+            new = datetime.date.fromordinal(n + begin)
+            parts = {"y": f"{new.year:04d}", "m": str(new.month), "d": str(new.day)}
+            out = [parts[c].zfill(len(x)) for c, x in zip(kind[:3], p)]
+            if [len(x) for x in out] == [len(x) for x in p] and _layout(out)[0] == kind:
+                return sep.join(out)
 
     def ssn(self, s):
         area, group, serial = int(s[:3]), int(s[4:6]), int(s[7:])
@@ -184,6 +181,23 @@ class Pseudonyms:
         return _like(s, body + str(_luhn(body)))
 
 
+def _layout(p: list[str]) -> tuple[str, int, int, int]:
+    """The order of a date's three parts, with whether both orders of day and month are
+    possible and whether one-digit numbers are written without a zero; year, month, day."""
+    a, b, c = map(int, p)
+    if len(p[0]) == 4:
+        kind, date = "ymd", (a, b, c)
+    elif a > 12:
+        kind, date = "dmy", (c, b, a)
+    elif b > 12:
+        kind, date = "mdy", (c, a, b)
+    else:
+        kind, date = "dmy either", (c, b, a)
+    # a part of two digits beside one of one digit has no zero before it
+    bare = any(len(x) == 1 for x in p)
+    return kind + (" bare" if bare and not any(x[0] == "0" for x in p if len(x) == 2) else ""), *date
+
+
 def _luhn(body: str) -> int:
     total = 0
     for i, c in enumerate(reversed(body)):
