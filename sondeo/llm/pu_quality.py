@@ -5,7 +5,8 @@ non-negative unbiased risk
 
     pi * R_p(+)  +  max(0, R_u(-) - pi * R_p(-))
 
-with an estimated class prior ``pi``.  Where the second term turns negative, its gradient is
+with a class prior ``pi`` estimated from positives and unlabelled rows alone: no row labelled
+negative is looked at.  Where the second term turns negative, its gradient is
 reversed, so the model can't win by fitting the positives out of the unlabelled rows.
 Features are frequencies of pairs of neighbouring character classes and a few shares of
 words and lines; neither label, language, source nor id is looked at by a score.
@@ -13,6 +14,8 @@ words and lines; neither label, language, source nor id is looked at by a score.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -110,21 +113,29 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(float(z.sum()) + self.bias, -30, 30))))
 
 
-def class_prior(labels: DataFrame, docs: DataFrame) -> float:
-    """The share of positives among the labelled rows that are not held out (by default a
-    half, if there are none)."""
-    row = docs.select("doc_id").join(labels.select("doc_id", "quality"), "doc_id").filter(~held_out() & F.col("quality").isNotNull()).agg(F.avg((F.col("quality") == 1).cast("double"))).first()
-    return min(0.95, max(0.05, row[0])) if row and row[0] is not None else 0.5
+def class_prior(pos: np.ndarray, unl: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from scores of rows that the scores
+    weren't fitted to.  Above any threshold lie at least as many unlabelled rows as their
+    positives alone would put there, so the ratio of both shares is never below the prior;
+    it is taken where its upper confidence bound is least (best bin estimation)."""
+    cuts = np.unique(pos)
+    share_p = 1 - np.searchsorted(np.sort(pos), cuts, "left") / len(pos)
+    share_u = 1 - np.searchsorted(np.sort(unl), cuts, "left") / len(unl)
+    slack = sum(math.sqrt(math.log(4 / doubt) / (2 * len(x))) for x in (pos, unl))
+    at = np.argmin((share_u + slack) / share_p)
+    return float(min(0.99, max(0.01, share_u[at] / share_p[at])))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, prior: float | None = None) -> Model:
     """Learn from documents that are not held out.  ``most`` bounds the expected number of
     sampled positives (label 1) and of sampled unlabelled rows, by hash of the id; these
-    bounded rows are fitted in one task, only the weights come back.  Without positives the
-    model scores every text 0.5."""
-    prior = class_prior(labels, docs) if prior is None else prior
+    bounded rows are fitted in one task, only the weights come back.  The class prior is
+    estimated by halves: a model of one half scores the other.  A doc_id with labels 1 and 0
+    isn't trusted; repeated labels count once, repeated documents each; rows without a
+    doc_id aren't learned from.  Without positives the model scores every text 0.5."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").filter(~held_out())
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("least"), F.max("quality").alias("most"))
+    good = good.filter("least = 1 and most = 1").select("doc_id")
     n_good, n_rows = good.filter(~held_out()).count(), rows.count()
     if not n_good or not n_rows:
         return Model(np.zeros(DIMS), 0.0, np.zeros(DIMS), np.zeros(DIMS))
@@ -146,7 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, prior: float | Non
             x = x[:, used]
             mean[used], scale[used] = x.mean(axis=0), 1 / np.maximum(x.std(axis=0), 0.01)
             x = np.clip((x - mean[used].astype(x.dtype)) * scale[used].astype(x.dtype), -FAR, FAR)
-            weights[used], bias = nn_pu(x[is_pos], x[~is_pos], prior)
+            pos, unl, pi = x[is_pos], x[~is_pos], prior
+            if pi is None:
+                w, b = nn_pu(pos[::2], unl[::2], 0.5)
+                pi = class_prior(*(part[1::2] @ w.astype(x.dtype) + b for part in (pos, unl))) if min(len(pos), len(unl)) > 1 else 0.5
+            weights[used], bias = nn_pu(pos, unl, pi)
         return pd.DataFrame({"weights": [list(weights)], "bias": [float(bias)], "mean": [list(mean)], "scale": [list(scale)]})
 
     got = sample.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(train, "weights array<double>, bias double, mean array<double>, scale array<double>").first()
@@ -155,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, prior: float | Non
 
 def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 of each whole text; a null text is empty, and an
-    empty text has a score like any other.  Other columns pass through."""
+    empty text has a score like any other.  A column named ``to`` is replaced, others pass
+    through; repeated rows are scored each, an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS doubles
     base = [c for c in docs.columns if c != to]
     at = base.index("text")
