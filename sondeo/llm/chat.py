@@ -34,7 +34,8 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     """``messages(tree, node, parent)`` -> ``(tree, leaf, node, up)``: every node of the
     path from each leaf to its root, ``up`` steps above the leaf.  A parent that is null,
     unknown or the node itself makes a root; rows that only lead round a circle have no
-    leaf and no path.  Repeated rows count once; an empty table gives no rows."""
+    leaf, and a leaf that leads into one has no path.  Repeated rows count once (of several
+    parents the least counts); an empty table gives no rows."""
     nodes = staged(messages.select("tree", "node", "parent").filter("node is not null").groupBy("tree", "node").agg(F.min("parent").alias("parent")), "nodes")
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     jump = nodes.filter("parent <> node").join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left_semi").select("tree", "node", F.col("parent").alias("to"))
@@ -42,13 +43,16 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     inner = jump.select(F.col("tree").alias("t"), F.col("to").alias("n"))
     leaves = nodes.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     paths = staged(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
-    reach = 1
+    reach, size = 1, nodes.groupBy("tree").count().agg(F.max("count")).first()[0]
     while True:
         step = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "to")
         same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
         more = staged(paths.join(step, same).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up")), "paths")
         if not more.take(1):
             return paths
+        if reach >= size:  # longer than its tree: it goes round
+            round_ = more.select(F.col("tree").alias("t"), F.col("leaf").alias("n")).distinct()
+            return paths.join(round_, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("n")), "left_anti")
         paths = paths.unionByName(more)
         onward = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("to").alias("far"))
         jump = staged(jump.join(onward, F.col("tree").eqNullSafe(F.col("t")) & (F.col("to") == F.col("n"))).select("tree", "node", F.col("far").alias("to")), "jumps")
