@@ -62,8 +62,60 @@ def test_statistics(docs, odd):
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         three = Counter(zip(w, w[1:], w[2:]))
         hit = {i + k for i in range(len(w) - 2) if three[tuple(w[i : i + 3])] > 1 for k in range(3)}
-        want[(r.doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines), len(lines) - len(set(lines)), len(hit))] += 1
+        letters = [sum(x.isalpha() for x in t), sum(x.isupper() for x in t), sum(x.isalpha() for x in w), len(set(w))]
+        want[(r.doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines), len(lines) - len(set(lines)), *letters, len(hit))] += 1
     assert got == want
+    clash = rows.limit(3).selectExpr("doc_id", "text", "1 as t", "2 as w", "3 as `row`", "4 as n_words", "5 as `_t`")
+    assert quality_rules.statistics(clash).columns == ["doc_id", "t", "w", "row", "_t", *quality_rules.COUNTS]
+
+
+def brute_mcd(x, parent, share, prior):
+    """Concentration steps of one group in numpy; (mean, covariance, distances, median, spread)."""
+    n, med = len(x), np.quantile(x, 0.5, axis=0, method="inverted_cdf")
+    mad = np.maximum(np.quantile(abs(x - med), 0.5, axis=0, method="inverted_cdf") * 1.4826, 1e-3)
+    pm, pc, am, ad = parent or ({0: med, 1: med}, {0: np.diag(mad**2), 1: np.diag(mad**2)}, med, mad)
+    z = (x - (n * med + prior * am) / (n + prior)) / ((n * mad + prior * ad) / (n + prior))
+    return {0: (z**2).sum(1), 1: abs(z).max(1)}, pm, pc, am, ad, med, mad
+
+
+def test_outliers_are_those_of_numpy(spark):
+    """Groups of 3 to 3,000 rows with correlated statistics and planted outliers: all levels
+    and starts step together until none changes, as the operator's do."""
+    rng, rows = np.random.default_rng(1), []
+    factor = np.array([[1, 0, 0, 0], [0.8, 0.6, 0, 0], [0.3, -0.2, 0.9, 0], [0, 0.5, 0.5, 0.7]]) * 0.05
+    for lang, source, n in (("a", "s", 3000), ("a", "t", 300), ("b", "s", 30), ("b", None, 3), (None, "s", 60)):
+        x = rng.normal(size=(n, 4)) @ factor.T + (1 if lang == "a" else 1.2)
+        x[: n // 10] += rng.normal(size=(n // 10, 4)) + 0.6
+        rows += [(len(rows) + i, lang, source, *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, lang string, source string, a double, b double, c double, d double").repartition(7)
+    got = {r.id: r.d2 for r in quality_rules.outlier_distances(df, features=("a", "b", "c", "d")).collect()}
+    share, prior, c = 0.5, 50.0, quality_rules.consistency(0.5)
+    data = np.array([r[3:] for r in rows])
+    of = [np.array(k) for k in zip(*[("all", f"1{r[1]}", f"2{r[1]}|{r[2]}") for r in rows])]
+    groups = [(lv, g, of[lv] == g, None if lv == 0 else of[lv - 1][np.argmax(of[lv] == g)]) for lv in range(3) for g in sorted(set(of[lv]))]
+    top = brute_mcd(data, None, share, prior)
+    near = {g: brute_mcd(data[k], (None, None, top[5], top[6]), share, prior)[0] for _, g, k, _ in groups}
+    last = {}
+    for _ in range(20):
+        now = {}
+        for lv, g, k, up in groups:
+            for s in (0, 1):
+                x = data[k][near[g][s] <= np.quantile(near[g][s], share, method="inverted_cdf")]
+                pm, pc = (top[5], np.diag(top[6] ** 2)) if lv == 0 else now[up, s][:2]
+                m = (len(x) * x.mean(0) + prior * pm) / (len(x) + prior)
+                v = (len(x) * np.cov(x.T, bias=True) * c + prior * pc) / (len(x) + prior)
+                now[g, s] = m, v, np.linalg.slogdet(v)[1]
+        near = {g: {s: (np.linalg.solve(np.linalg.cholesky(now[g, s][1]), (data[k] - now[g, s][0]).T) ** 2).sum(0) for s in (0, 1)} for _, g, k, _ in groups}
+        if last and max(abs(now[x][2] - last[x][2]) for x in now) < 0.01:
+            break
+        last = now
+    for lv, g, k, _ in groups:
+        if lv == 2:
+            s = min((0, 1), key=lambda s: (now[g, s][2], s))
+            assert np.allclose([got[i] for i in np.flatnonzero(k)], near[g][s], rtol=1e-6), g
+    verdict = np.array([got[i] for i in range(len(rows))])
+    planted = np.concatenate([np.arange(n) < n // 10 for n in (3000, 300, 30, 3, 60)])
+    assert (verdict[planted] > 30).mean() > 0.9 and (verdict[~planted] < 30).mean() > 0.99
 
 
 def test_quality_rules(spark, docs, odd):
@@ -299,3 +351,147 @@ def test_decontamination_of_a_shared_template():
     block = decontam.TestBlock([(i, np.concatenate([template, new(15)])) for i in range(3000)], 20, 0.8)
     assert block.overlaps(np.concatenate([new(10), template, new(5)])) == [(0, 3000, 10, 20, 20)]
     assert block.overlaps(np.concatenate([new(10), template[:16], new(5)]), most=1000)[0][1:] == (3000, 10, 20, 16)
+
+
+def test_html_passes_decide():
+    long = "the man of the house went to the shop and it was on the way to the sea for all of them " * 4
+    page = lambda body: html_blocks.main_text(f"<html><body><nav><a>x</a></nav><article>{body}</article><footer>the end of the page</footer></body></html>")
+    assert page("<p>See <a>long linked reference</a>.</p>") == "See long linked reference."
+    assert page(f"<h1>T</h1><p>{long}</p><p class='legal'>Small print.</p><section class='related-work'><p>{long}</p></section>") == f"T\n{long.strip()}\nSmall print.\n{long.strip()}"
+    assert page(f"<p>{long}</p><ul><li><a>One more</a></li><li><a>Two more</a></li></ul><p class='promo'>Buy it</p>") == long.strip()
+    assert page(f"<p>{long}</p><div class='comments'><p>{long}</p></div><article class='comment'><p>{long}</p></article>") == long.strip()
+    assert page("<p>xqz " * 3) == "xqz\nxqz\nxqz"
+    assert html_blocks.main_text(f"<article></article><p>{long}</p><p>End.</p><div><a>m</a></div>") == long.strip()
+    plain = f"<div class='menu'><a>a</a></div><h1>Title</h1><p>{long}</p><p>Short one.</p><p>{long}</p><div class='side'>The most read of the week</div><div>xqz vrt plk mnb wqr tzp lkm bvc xsd rty fgh jkl zxc vbn mlk qwe rtz uio pas</div>"
+    assert html_blocks.main_text(plain) == f"Title\n{long.strip()}\nShort one.\n{long.strip()}"
+    assert [x[1] for x in html_blocks.labelled(plain)] == ["bad", "short", "good", "short", "good", "bad", "bad"]
+
+
+def test_html_odd_tables(spark):
+    rows = [(1, None, "a", "b"), (None, "<p>x</p>", None, ""), (2, "<article>" + "<p>word</p>" * 30_000 + "</article>", "", ""), (2, "", "", ""), (2, "", "", "")]
+    out = html_blocks.extract(spark.createDataFrame(rows, "page_id long, html string, `_html` string, text string"), to="text")
+    got = sorted(((r.page_id or 0, r.text) for r in out.collect()))
+    assert out.columns == ["page_id", "_html", "text"] and [t for _, t in got[:3]] == ["", "", ""] and got[-1][1] == "\n".join(["word"] * 30_000)
+    assert html_blocks.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_dates_keep_their_layout():
+    import datetime
+
+    p, seen = pii.Pseudonyms(b"k" * 32), {}
+    first = datetime.date(1999, 1, 1).toordinal()
+    for day in map(datetime.date.fromordinal, range(first, first + 800)):
+        for text in (f"{day.year}-{day.month}-{day.day}", f"{day:%Y-%m-%d}", f"{day:%d/%m/%Y}", f"{day:%m/%d/%Y}", f"{day.day}.{day.month}.{day.year}"):
+            new = p.date(text)
+            assert seen.setdefault(new, text) == text and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+            a, b, c = map(int, re.split("[-/.]", new))
+            if len(text.split("-")[0]) == 4:
+                datetime.date(a, b, c)
+            elif day.day > 12:
+                datetime.date(c, *((b, a) if a > 12 else (a, b)))
+                assert (a > 12) == (int(re.split("[/.]", text)[0]) > 12)
+            else:
+                datetime.date(c, a, b), datetime.date(c, b, a)
+    for text in ("1899-05-03", "2101-12-31", "0001-01-01", "31-12-9999", "0004-02-29"):
+        assert p.date(text) not in (None, text)
+    assert p.date("2023-02-30") is None and p.date("0000-01-01") is None
+
+
+def test_pseudonyms_link_and_stay_distinct():
+    p = pii.Pseudonyms(b"k" * 32)
+    ips = {p.ip(f"10.0.{i}.{j}") for i in range(20) for j in range(20)}
+    ssn = {p.ssn(f"123-{g:02d}-{s:04d}") for g in range(1, 20) for s in range(1, 20)}
+    cards = {p.card(b + str(pii._luhn(b))) for b in (f"4{i:014d}" for i in range(300))}
+    mails = {p.email(f"{a}{b}@x.org") for a in "abcdefghij" for b in range(10)}
+    phones = {p.phone(f"+49 30 {i:06d}") for i in range(300)}
+    assert [len(x) for x in (ips, ssn, cards, mails, phones)] == [400, 361, 300, 100, 300]
+    assert all(pii._luhn(c[:-1]) == int(c[-1]) for c in cards) and all(re.fullmatch(r"\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in ssn)
+    iban = p.iban("DE89370400440532013000")
+    assert iban != "DE89370400440532013000" and p.iban(iban) is not None and p.iban("DE89370400440532013001") is None
+    assert p.iban("DE89 3704 0044 0532 0130 00").replace(" ", "") == iban
+    assert pii.Pseudonyms(b"other").ip("10.0.0.1") != p.ip("10.0.0.1") == pii.Pseudonyms(b"k" * 32).ip("10.0.0.1")
+
+
+def test_pii_odd_tables(spark):
+    rows = [(1, None, "x"), (None, "a@b.org", "y"), (1, "a@b.org", "z"), (1, "a@b.org", "z"), (2, "n 10.0.0.1 " * 30_000, None)]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, pii_mail string"), "k").collect()
+    assert len(out) == 5 and len({r.text for r in out if r.pii_email}) == 1 and sorted(str(r.pii_mail) for r in out) == ["None", "x", "y", "z", "z"]
+    assert max(r.pii_ip for r in out) == 30_000
+    with pytest.raises(TypeError):
+        pii.pseudonymise(spark.createDataFrame(rows[:1], "doc_id long, text string, c string"))
+
+
+def test_sampled_segmentations_are_those_of_the_lattice():
+    """The frequencies of sampled segmentations agree with enumerated path weights."""
+    lat = spm_sampling.lattice(queries.piece_model())
+    for word in (" the", " abcd", "ab"):
+        chars = word.replace(" ", spm_sampling.MARK)
+        weights: Counter = Counter()
+
+        def walk(at, path, w):
+            if at == len(chars):
+                weights[path] += w
+            for n in range(1, min(lat.longest, len(chars) - at) + 1):
+                piece = chars[at : at + n]
+                if piece in index:
+                    walk(at + n, (*path, index[piece]), w * lat.weight[index[piece]])
+
+        index = {lat.piece[i]: i for i in range(len(lat.piece)) if i not in lat.byte.values() and lat.piece[i] not in ("<unk>", "<s>", "</s>")}
+        walk(0, (), 1.0)
+        n = 20_000
+        ids, size = lat.sample([word.encode()] * n, np.arange(n, dtype=np.uint64), 5)
+        got = Counter(tuple(x) for x in np.split(ids, np.cumsum(size)[:-1]))
+        total = sum(weights.values())
+        assert set(got) <= set(weights)
+        for path, w in weights.items():
+            p = w / total
+            assert abs(got[path] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-4, (word, path)
+
+
+def test_many_different_words_round_trip():
+    """Two and a half million different words in one text, encoded in batches like any other."""
+    rng = np.random.default_rng(4)
+    letters = rng.integers(97, 123, (2_500_000, 9), dtype=np.uint8)
+    letters[:, 0] = 32
+    text = letters.tobytes()
+    lat = spm_sampling.lattice(queries.piece_model())
+    ids, size = lat.sample([text], np.zeros(1, np.uint64), 3)
+    assert lat.decode(ids, np.cumsum(size)) == [text.decode()]
+
+
+def test_language_rejects_and_odd_tables(spark, docs, odd):
+    model = lang_id.fit(docs)
+    strange = spark.createDataFrame([(1, "∑∏√ 123 !!", "x", "y"), (1, "∑∏√ 123 !!", "x", "y"), (2, "日本語の文章がここにありますから読んでください" * 20, None, None)], "doc_id long, text string, accepted string, score string")
+    got = lang_id.predict(strange, model)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score", "accepted"]
+    assert sorted((r.doc_id, r.lang_pred if r.doc_id == 1 else "-", r.accepted) for r in got.collect()) == [(1, "und", False), (1, "und", False), (2, "-", False)]
+    assert lang_id.predict(odd.limit(0), model).count() == 0
+    empty = lang_id.fit(docs.limit(0))
+    assert {(r.lang_pred, r.score) for r in lang_id.predict(odd, empty).collect()} == {("und", 0.0)}
+
+
+def test_class_prior_from_unlabelled_rows():
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.85):
+        pos, k = rng.normal(3, 1, 4000), int(4000 * share)
+        unl = np.concatenate([rng.normal(3, 1, k), rng.normal(-3, 1, 4000 - k)])
+        assert abs(pu_quality.class_prior(pos, unl) - share) < 0.05
+
+
+def test_random_reply_trees(spark):
+    """Paths of random trees, with circles, repeated rows and unknown parents, by brute force."""
+    rng, rows, want = np.random.default_rng(6), [], set()
+    for tree in range(4):
+        parent = {int(i): (int(rng.integers(-3, 30)) if i else None) for i in range(30)}
+        rows += [(tree, i, p) for i, p in parent.items()] + [(tree, 5, parent[5])]
+        real = {i: p for i, p in parent.items() if p is not None and p != i and p in parent}
+        for leaf in set(parent) - set(real.values()):
+            at, up, path = leaf, 0, []
+            while at is not None and up <= 30:
+                path.append((tree, leaf, at, up))
+                at, up = real.get(at), up + 1
+            if up <= 30:
+                want.update(path)
+    df = spark.createDataFrame(rows, "tree long, node long, parent long")
+    got = chat.reply_paths(df).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({(r.tree, r.leaf) for r in got}) >= 4
