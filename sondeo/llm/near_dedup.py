@@ -10,12 +10,13 @@ far below the threshold.  The rest is confirmed on the full sets.
 Within a band bucket not all pairs are made.  First all members are held against the
 bucket's most central class (the one with the largest buckets over all bands, such as the
 text that the others are copies of).  Buckets that then lie in several components are
-finished by prefix filtering on the full sets: a class outside a bucket's largest component
-that needs ``k`` of its ``m`` shared shingles for the threshold must meet any partner in its
-``m - k + 1`` rarest ones, so only classes that hold one of those are held against it.
-So no link that could join two components is left out, however large a bucket is.  A pair of similarity 0.85 shares none of the 32 bands
-of six rows with a probability of 3e-7; the bit-count filter stands six deviations below
-the threshold.  Shingles and sets are compared by 64-bit hashes.
+finished by prefix filtering on the full sets: of two classes that need ``k`` shared
+shingles for the threshold, the first common one is among the ``m - k + 1`` rarest of the
+``m`` shared shingles of either, and what lies after it must suffice.  So a class outside a
+bucket's largest component is held against those only that meet it so, and no link that
+could join two components is left out, however large a bucket is.  A pair of similarity 0.85
+shares none of the 32 bands of six rows with a probability of 3e-7; the bit-count filter
+stands six deviations below the threshold.  Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .components import connected_components
 BANDS, ROWS, BITS = 32, 6, 2
 MINIMA = BANDS * ROWS
 #: Texts that are held against one sending of a text.
-PARTNERS = 1000
+PARTNERS = 200
 _rng = np.random.default_rng(20240229)
 SHINGLE_KEYS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PERM_MUL = (_rng.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -195,20 +196,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     split = staged(state.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).filter("lo <> hi"), "split")
     state = staged(state.join(split.select("bucket", "least"), "bucket"), "open")
     if state.take(1):
-        largest = state.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-        asks = state.join(staged(largest, "mains"), "bucket").filter("c <> main").groupBy("node", "n", "c").agg(F.min("least").alias("least"))
-        sets = staged(text.join(state.select("node").distinct(), "node", "left_semi").mapInArrow(_shingle_rows, "node long, h long"), "open_sets")
+        largest = staged(state.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main")), "mains")
+        own = state.join(largest, "bucket").groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.min("least").alias("least"), F.bool_or(F.col("c") != F.col("main")).alias("asks"))
+        sets = staged(text.join(own.select("node"), "node", "left_semi").mapInArrow(_shingle_rows, "node long, h long"), "open_sets")
         common = staged(sets.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "shared_shingles")
         sets = staged(sets.join(common, "h"), "open_sets")
-        shared = sets.groupBy("node").agg(F.count("*").alias("shared"))
+        shared = sets.groupBy("node").agg(F.count("*").alias("m"))
         need = F.ceil((F.col("n") + F.col("least")) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
-        asks = asks.join(shared, "node").withColumn("prefix", F.col("shared") - need + 1).filter("prefix > 0")
+        own = staged(own.join(shared, "node").withColumn("prefix", F.col("m") - need + 1).filter("prefix > 0").drop("least"), "open_nodes")
         rarest = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
-        known = state.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c")).join(shared, "node")
-        side = lambda rows, x: rows.join(known, "node").select("h", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("shared").alias(f"m{x}"))
-        prefix = sets.join(asks.select("node", "prefix"), "node").withColumn("at", rarest).filter("at <= prefix").select("h", "node")
-        both = F.least("ma", "mb")
-        met = side(prefix, "b").join(side(sets, "a"), "h").filter((F.col("ca") != F.col("cb")) & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent))
+        prefix = staged(sets.join(own, "node").withColumn("at", rarest).filter("at <= prefix").select("h", "node", "n", "c", "m", "at", "asks"), "prefixes")
+        side = lambda rows, x: rows.select("h", F.col("node").alias(x), *(F.col(c).alias(c + x) for c in ("n", "c", "m", "at")))
+        # what both can share from their first common shingle on
+        both = F.least(F.col("ma") - F.col("ata"), F.col("mb") - F.col("atb")) + 1
+        met = side(prefix.filter("asks"), "b").join(side(prefix, "a"), "h").filter((F.col("ca") != F.col("cb")) & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent))
         more = staged(confirmed(staged(candidates(met.select("a", "b")), "pairs")), "links")
         component = connected_components(links.unionByName(more)).transform(staged, "components")
     labelled = nodes.select("node", "rep").join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
