@@ -24,7 +24,7 @@ def class_tfidf(counts: DataFrame, cluster: str, top: int = 10) -> DataFrame:
     mean = total.agg((F.sum("words") / F.count("*")).alias("mean"))
     uses = per.groupBy("term").agg(F.sum("n").alias("uses"))
     score = F.col("n") / F.col("words") * F.ln(1 + F.col("mean") / F.col("uses"))
-    rows = per.join(uses, "term").join(F.broadcast(total), cluster).crossJoin(F.broadcast(mean)).withColumn("score", F.round(score, 12))  # one row of clusters each
+    rows = per.join(uses, "term").join(total, cluster).join(F.broadcast(mean)).withColumn("score", F.round(score, 12))  # mean is one row
     rank = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("score"), "term"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= top).select(cluster, "rank", "term", "n", "score")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import privacy, stats
 from .functions import text as T
 from .operators import survey, themes, topics
+from .sources.documents import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -355,7 +356,7 @@ SQL_TERMS = f"terms AS (SELECT doc_id, lang, term, count(*) AS n FROM (SELECT do
 
 def _terms(spark, d):
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0), lambda w: F.length(w) >= 3)
-    return topics.term_counts(table(spark, d, "documents").select("doc_id", "lang", words.alias("w")), "doc_id", "lang", "w")
+    return written(topics.term_counts(table(spark, d, "documents").select("doc_id", "lang", words.alias("w")), "doc_id", "lang", "w"), "terms")
 
 
 @query(f"WITH {SQL_TERMS} SELECT lang, rank, term, n, round(score, 9) AS score FROM top")
