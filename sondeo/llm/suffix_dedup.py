@@ -19,18 +19,21 @@ The positions where such strings start are found by sorting suffixes, in three s
 
 All suffixes with a common prefix of ``length`` bytes are in one task, so sorting task by
 task finds what one global sort would find.  Anchors with over ``hot`` different contexts
-are split: of each of their windows a hash is counted first (partial sums, no group in one
-task), and only windows whose hash repeats are held against each other.
+are split: of each of their windows a 128-bit digest of its bytes is counted (partial sums,
+no group in one task), and windows whose digest repeats are repeats.  Texts are named by
+their row's place in the table's files, which no two rows share.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX_1, mix, staged
+from .common import GOLDEN, MIX_1, filed, mix, row_places, staged, unstage
 
 LENGTH, GRAM, HOT = 200, 48, 4000
 BLOCK = 1 << 20
@@ -97,12 +100,12 @@ def _anchor_rows(length: int, gram: int):
     def rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                got = anchors(_buffer(batch.column(1), i), length, gram)
+                got = anchors(_buffer(batch.column(2), i), length, gram)
                 if got:
                     name, context, first, n, off = got
-                    key = batch.column(0)[i].as_py()
+                    place = [pa.array(np.full(len(name), batch.column(c)[i].as_py())) for c in (0, 1)]
                     packed = (first.astype(np.int64) << 16) | (n.astype(np.int64) << 8) | off
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(context.view(np.int64)), pa.array(np.full(len(name), key)), pa.array(packed)], names=["name", "context", "key", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(context.view(np.int64)), *place, pa.array(packed)], names=["name", "context", "file", "row", "packed"])
 
     return rows
 
@@ -201,16 +204,17 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
 def _context_rows(length: int):
     def rows(batches):
         for batch in batches:
-            names, keys, firsts, datas = [], [], [], []
+            names, files, places, firsts, datas = [], [], [], [], []
             for i in range(batch.num_rows):
-                buf, key = _buffer(batch.column(1), i), batch.column(0)[i].as_py()
-                for r in batch.column(2)[i].as_py():
+                buf, file, place = _buffer(batch.column(2), i), batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                for r in batch.column(3)[i].as_py():
                     first, n = r["packed"] >> 16, (r["packed"] >> 8) & 255
                     names.append(r["name"])
-                    keys.append(key)
+                    files.append(file)
+                    places.append(place)
                     firsts.append(first)
                     datas.append(buf[first : first + n + length - 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int64()), pa.array(datas, pa.binary())], names=["name", "key", "first", "data"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (names, files, places, firsts)), pa.array(datas, pa.binary())], names=["name", "file", "row", "first", "data"])
 
     return rows
 
@@ -219,19 +223,19 @@ def _sort_contexts(length: int, most: int = 1 << 20):
     """Over rows in the order of their names: sorts the suffixes of whole anchors together."""
 
     def flush(held):
-        keys, firsts, datas = zip(*held)
-        rows = [(k, int(f + a), int(f + z + length)) for k, f, starts in zip(keys, firsts, repeated_starts(list(datas), length)) for a, z in _runs(starts)]
-        cols = list(zip(*rows)) or [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "start", "end"])
+        files, places, firsts, datas = zip(*held)
+        rows = [(k, p, int(f + a), int(f + z + length)) for k, p, f, starts in zip(files, places, firsts, repeated_starts(list(datas), length)) for a, z in _runs(starts)]
+        cols = list(zip(*rows)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["file", "row", "start", "end"])
 
     def rows(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            for name, key, first, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, file, place, first, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and name != last and size > most:
                     yield flush(held)
                     held, size = [], 0
-                held.append((key, first, data))
+                held.append((file, place, first, data))
                 size += len(data)
                 last = name
         if held:
@@ -240,38 +244,41 @@ def _sort_contexts(length: int, most: int = 1 << 20):
     return rows
 
 
-def _window_hashes(length: int):
+def _window_digests(length: int):
     def rows(batches):
         for batch in batches:
-            for key, first, data in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                h = Hashes(np.frombuffer(data, np.uint8)).grams(length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), key)), pa.array(np.arange(first, first + len(h)))], names=["hash", "key", "start"])
+            for file, place, first, data in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                n = len(data) - length + 1
+                digest = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), *(pa.array(np.full(n, x)) for x in (file, place)), pa.array(np.arange(first, first + n))], names=["digest", "file", "row", "start"])
 
     return rows
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``rows(key, text)`` -> ``(key, start, end)``: byte spans whose union is what repeated
-    strings cover.  Rows with one key must hold one text (they count as many texts)."""
-    found = staged(rows.mapInArrow(_anchor_rows(length, gram), "name long, context long, key long, packed long"), "anchors")
-    shared = found.groupBy("name").count().filter("count > 1").select("name")
-    found = staged(found.join(shared, "name", "left_semi"), "shared_anchors")
-    contexts = staged(found.groupBy("name", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key", "packed")).alias("r")), "contexts")
+    """``rows(file, row, text)``, one of each place -> ``(file, row, start, end)``: byte spans
+    whose union is what repeated strings cover."""
+    place = ["file", "row"]
+    every = staged(rows.mapInArrow(_anchor_rows(length, gram), "name long, context long, file long, row long, packed long"), "anchors")
+    shared = every.groupBy("name").count().filter("count > 1").select("name")
+    found = staged(every.join(shared, "name", "left_semi"), "shared_anchors")
+    unstage(every)
+    contexts = staged(found.groupBy("name", "context").agg(F.count("*").alias("copies"), F.min(F.struct(*place, "packed")).alias("r")), "contexts")
     copied = found.join(contexts.filter("copies > 1").select("name", "context"), ["name", "context"], "left_semi")
     first, n = F.shiftright("packed", 16), F.shiftright("packed", 8).bitwiseAND(255)
-    spans = copied.select("key", first.alias("start"), (first + n + (length - 1)).alias("end"))
+    spans = copied.select(*place, first.alias("start"), (first + n + (length - 1)).alias("end"))
     many = contexts.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
-    open_ = contexts.join(many, "name").select(F.col("r.key").alias("key"), F.struct("name", F.col("r.packed").alias("packed"), F.col("n").alias("n")).alias("a"))
-    wanted = open_.groupBy("key").agg(F.collect_list("a").alias("anchors"))
-    data = rows.join(wanted, "key").select("key", "text", "anchors").mapInArrow(_context_rows(length), "name long, key long, first long, data binary")
+    open_ = contexts.join(many, "name").select("r.file", "r.row", F.struct("name", F.col("r.packed").alias("packed")).alias("a"))
+    wanted = open_.groupBy(*place).agg(F.collect_list("a").alias("anchors"))
+    data = rows.join(wanted, place).select(*place, "text", "anchors").mapInArrow(_context_rows(length), "name long, file long, row long, first long, data binary")
     data = staged(data, "context_bytes")
     hot_names = many.filter(F.col("n") > hot).select("name")
     cool = data.join(hot_names, "name", "left_anti").repartition("name").sortWithinPartitions("name")
-    spans = spans.unionByName(cool.mapInArrow(_sort_contexts(length), "key long, start long, end long"))
+    spans = spans.unionByName(cool.mapInArrow(_sort_contexts(length), "file long, row long, start long, end long"))
     hot_rows = data.join(hot_names, "name", "left_semi")
-    windows = hot_rows.mapInArrow(_window_hashes(length), "hash long, key long, start long")
-    twice = windows.groupBy("hash").count().filter("count > 1").select("hash")
-    again = windows.join(twice, "hash", "left_semi").select("key", "start", (F.col("start") + length).alias("end"))
+    windows = hot_rows.mapInArrow(_window_digests(length), "digest binary, file long, row long, start long")
+    twice = windows.groupBy("digest").count().filter("count > 1").select("digest")
+    again = windows.join(twice, "digest", "left_semi").select(*place, "start", (F.col("start") + length).alias("end"))
     return spans.unionByName(again)
 
 
@@ -309,10 +316,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     ``spans`` (maximal, in order).  Texts count as UTF-8 bytes, null as empty; shorter texts
     than ``length`` lose nothing.  Equal texts in several rows, with one doc_id or many,
     repeat each other.  Null doc_ids stay null; an empty table gives no rows."""
-    rows = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(rows.select("key", "text").filter(F.octet_length("text") >= length), length, **how)
-    by_key = spans.groupBy("key", "start").agg(F.max("end").alias("end")).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return rows.join(by_key, "key", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, kept binary, n_bytes long, spans array<struct<start:long,end:long>>")
+    docs = filed(docs)
+    rows = row_places(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", "place.file", "place.row")
+    spans = repeated_spans(rows.select("file", "row", "text").filter(F.octet_length("text") >= length), length, **how)
+    by_row = spans.groupBy("file", "row", "start").agg(F.max("end").alias("end")).groupBy("file", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return rows.join(by_row, ["file", "row"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, kept binary, n_bytes long, spans array<struct<start:long,end:long>>")
 
 
 def digests(removed: DataFrame) -> DataFrame:
