@@ -37,7 +37,9 @@ def test_suffix_array():
 
 @pytest.mark.parametrize("hot", [4000, 1])
 def test_suffix_dedup(spark, docs, odd, hot):
-    rows = docs.limit(60).unionByName(odd)
+    long = " ".join(f"n{i * i}" for i in range(180_000))  # over one block of bytes
+    more = spark.createDataFrame([(7, long, "", "", 0), (8, "x" + long[600_000:600_700] + long[1_048_400:1_049_000], "", "", 0)], SCHEMA)
+    rows = docs.limit(60).unionByName(odd).unionByName(more)
     got = sorted(map(tuple, suffix_dedup.digests(suffix_dedup.remove_repeats(rows, hot=hot)).collect()), key=repr)
     texts = [(r.doc_id, (r.text or "").encode()) for r in rows.collect()]
     seen = Counter(b[i : i + 200] for _, b in texts for i in range(len(b) - 199))
@@ -142,11 +144,13 @@ def test_chat_tree(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
-def test_chat_matches_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
-    df = queries.op7_chat_formatting(spark, SF)
-    rel = con.sql(f"select {', '.join(df.columns)} from ({queries.ORACLES['op7_chat_formatting']})")
+    for table in ("conversations", "documents"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    rel = con.sql(f"select {', '.join(df.columns)} from ({queries.ORACLES[name]})")
     assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall())
 
 
