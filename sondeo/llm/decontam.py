@@ -150,14 +150,17 @@ class TestBlock:
 
     def diagonals(self, t: np.ndarray) -> np.ndarray:
         """(item, its place in the text) where some seed of both agrees, in order."""
-        found = [np.empty((0, 2), np.int64)]
+        found = []
         for _, h in seeds(t, self.masks):
             at = np.flatnonzero(self.low[h & self.mask])
+            if not len(at):
+                continue
             lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
             n = hi - lo
             j = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
             found.append(np.column_stack([self.item[j], np.repeat(at, n) - self.pos[j]]))
-        return np.unique(np.concatenate(found), axis=0)
+        found = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return np.unique(found, axis=0) if len(found) else found
 
     def overlaps(self, t: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int, int, int, int]]:
         """(item_id, n_items, first token, tokens, agreeing tokens) of the stretches of a
@@ -165,6 +168,8 @@ class TestBlock:
         tokens, then the first); items with one stretch are one row, under the least id."""
         best: dict[int, tuple[int, int, int]] = {}
         d = self.diagonals(t)
+        if not len(d):
+            return []
         i, at = d[:, 0], d[:, 1]
         need = np.minimum(self.window, self.size[i])
         a, z = np.maximum(0, at), np.minimum(len(t), at + self.size[i])
