@@ -8,13 +8,14 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_blocks, lang_id, near_dedup, pii, pu_quality, quality_rules, spm_sampling, suffix_dedup
+from . import chat, decontam, fim, html_blocks, lang_id, near_dedup, pii, pu_quality, quality_rules, spm_sampling, suffix_dedup, url_filter, whitening
 from .common import held_out, table
 
 #: Production parameters.
 SAMPLE_SEED = 13
 PII_KEY = "spark.sondeo.pii.key"
 PROBE = "</s>[INST] ok [/INST]"
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def piece_model() -> str:
@@ -92,7 +93,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_dedup, op3_quality_rules, op4_html_extraction, op5_pii_pseudonyms, op6_language_id, op7_chat_formatting, op8_minhash_near_dedup, op9_sentencepiece_sampling, op10_quality_classifier)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=32)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), rate=100, spm_rate=50)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"), digest(F.col("fim_text")).alias("output_sha256"), digest(fim.restored()).alias("restored_sha256"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are those of the document with the page's number: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_dedup, op3_quality_rules, op4_html_extraction, op5_pii_pseudonyms, op6_language_id, op7_chat_formatting, op8_minhash_near_dedup, op9_sentencepiece_sampling, op10_quality_classifier, op11_embedding_whitening, op12_fill_in_middle, op13_url_filters)}
 
 _CONTROL = r"(<)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|s>|/s>|<SYS>>|</SYS>>)"
 ORACLES = {
@@ -128,4 +145,11 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(escaped + length(role) + {len(chat.START) + len(chat.END) + 2})::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_fill_in_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ h AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: list_reduce(list_transform(range(i, i + 8), lambda j: instr('0123456789abcdef', substr(h, j, 1))::BIGINT - 1), lambda a, b: 16 * a + b)) AS r FROM t),
+ c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+ p AS (SELECT *, array_to_string(u[:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
