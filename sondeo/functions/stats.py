@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .special import chi_square_p
+
 Z95 = 1.959964
 
 
@@ -111,15 +113,20 @@ def calibration(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     return each.agg((F.sum(F.abs(F.col("p") - F.col("y")) * F.col("n")) / F.sum("n")).alias("ece"))
 
 
-def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square without correction, Cramer's V and the share of expected counts under 5."""
-    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).count()
-    rows, cols = cells.groupBy("a").agg(F.sum("count").alias("na")), cells.groupBy("b").agg(F.sum("count").alias("nb"))
-    n = cells.agg(F.sum("count").cast("double").alias("n"))
-    grid = rows.join(F.broadcast(n)).crossJoin(cols)  # the marginals of a contingency table
-    grid = grid.join(cells, ["a", "b"], "left").withColumn("e", F.col("na") * F.col("nb") / F.col("n"))
-    out = grid.agg(F.sum(F.pow(F.coalesce("count", F.lit(0)) - F.col("e"), 2) / F.col("e")).alias("chi2"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"), F.max("n").alias("n"), F.avg((F.col("e") < 5).cast("double")).alias("low"))
-    return out.select("chi2", F.sqrt(F.col("chi2") / (F.col("n") * (F.least("r", "c") - 1))).alias("cramer_v"), (F.col("low") * 100).alias("pct_low"))
+def chi_square(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
+    """Of each group of ``by``: chi-square without correction, its degrees of freedom and
+    p-value, Cramer's V and the percentage of expected counts under 5.  A table of one row
+    or column has no degrees, so p and V are null."""
+    cells = df.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).count()
+    rows, cols = cells.groupBy(*by, "a").agg(F.sum("count").alias("na")), cells.groupBy(*by, "b").agg(F.sum("count").alias("nb"))
+    n = cells.groupBy(*by).agg(F.sum("count").cast("double").alias("n"))
+    # the marginals of a contingency table
+    grid = rows.join(cols, list(by)).join(n, list(by)) if by else rows.join(F.broadcast(n)).crossJoin(cols)
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*by, "a", "b")]
+    grid = grid.withColumn("e", F.col("na") * F.col("nb") / F.col("n")).alias("g").join(cells.alias("c"), same, "left").select("g.*", "count")
+    out = grid.groupBy(*by).agg(F.sum(F.pow(F.coalesce("count", F.lit(0)) - F.col("e"), 2) / F.col("e")).alias("chi2"), F.count_distinct(F.struct("a")).alias("r"), F.count_distinct(F.struct("b")).alias("c"), F.max("n").alias("n"), F.avg((F.col("e") < 5).cast("double")).alias("low"))
+    df_, least = (F.col("r") - 1) * (F.col("c") - 1), F.least("r", "c") - 1
+    return out.select(*by, "chi2", df_.alias("gl"), chi_square_p(F.col("chi2"), df_).alias("p"), F.sqrt(F.col("chi2") / (F.col("n") * F.nullif(least, F.lit(0)))).alias("cramer_v"), (F.col("low") * 100).alias("pct_low"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.05, by: str | None = None) -> DataFrame:
@@ -147,3 +154,46 @@ def bootstrap_mean(df: DataFrame, x: str, draws: int = 2000, seed: int = 42, key
     times = sum(((F.col("u") > c).cast("int") for c in cut[1:]), (F.col("u") > cut[0]).cast("int"))
     means = each.withColumn("w", times).groupBy("draw").agg((F.sum(F.col(x) * F.col("w")) / F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+
+
+#: A Poisson number of at least this mean is drawn from the normal distribution.
+NORMAL_FROM = 32
+
+
+def bootstrap(df: DataFrame, columns: list[str], statistic: Column, draws: int = 2000, seed: int = 42, by: list[str] = ()) -> DataFrame:
+    """Percentile interval ``(by..., lo, hi)`` of any statistic of a table's rows.  ``statistic``
+    is an aggregate over ``columns`` and the weight ``w``, such as ``sum(w * x) / sum(w)``.
+
+    Rows are counted by their different values first.  In each draw a value of c rows
+    weighs a Poisson number of mean c, as do c rows that each weigh one of mean 1; it comes
+    from a hash of seed, value and draw, so the result doesn't hang on partitions.  Cost
+    follows values x draws, whatever the number of rows.  Draws without a defined
+    statistic are left out.  Below a mean of 32 the number is drawn exactly, else as a rounded normal one."""
+    counts = df.groupBy(*by, *columns).agg(F.count("*").cast("double").alias("c"))
+    name = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*by, *columns)), F.col("draw").cast("string"))
+    digest = F.md5(name)
+    part = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") + 0.5) / float(1 << 32)
+    each = counts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumns({"u": part(1), "v": part(9)})
+    normal = F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt("c") * F.sqrt(-2 * F.ln("u")) * F.cos(2 * math.pi * F.col("v"))))
+    # the number of i whose distribution function lies below u, up to where it is 1
+    begin = F.struct(F.exp(-F.col("c")).alias("term"), F.exp(-F.col("c")).alias("sum"), F.lit(0.0).alias("w"))
+    step = lambda s, i: F.struct((s["term"] * F.col("c") / i).alias("term"), (s["sum"] + s["term"] * F.col("c") / i).alias("sum"), (s["w"] + (F.col("u") > s["sum"]).cast("double")).alias("w"))
+    exact = F.aggregate(F.sequence(F.lit(1), F.lit(4 * NORMAL_FROM)), begin, step, lambda s: s["w"])
+    weighted = each.withColumn("w", F.when(F.col("c") < NORMAL_FROM, exact).otherwise(normal))
+    values = weighted.groupBy(*by, "draw").agg(statistic.cast("double").alias("s")).filter(F.col("s").isNotNull() & ~F.isnan("s"))
+    ends = [F.percentile("s", 0.025).alias("lo"), F.percentile("s", 0.975).alias("hi")]
+    return values.groupBy(*by).agg(*ends) if by else values.agg(*ends)
+
+
+def weighted_f1(y: str, g: str) -> Column:
+    """F1 of the label 1 under weights ``w``: for :func:`bootstrap`."""
+    hit = F.sum(F.col("w") * ((F.col(y) == 1) & (F.col(g) == 1)).cast("int"))
+    return ratio(2.0 * hit, F.sum(F.col("w") * (F.col(y) + F.col(g))))
+
+
+def weighted_kappa(y: str, g: str) -> Column:
+    """Cohen's kappa of two 0/1 columns under weights ``w``: for :func:`bootstrap`."""
+    n, same = F.sum("w"), F.sum(F.col("w") * (F.col(y) == F.col(g)).cast("int"))
+    a, b = F.sum(F.col("w") * F.col(y)), F.sum(F.col("w") * F.col(g))
+    chance = (a * b + (n - a) * (n - b)) / (n * n)
+    return F.when((n > 0) & (chance != 1), (same / n - chance) / (1 - chance))

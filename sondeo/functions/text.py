@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Answers that say nothing, compared in normal form.
 NON_ANSWERS = (
@@ -19,7 +18,7 @@ NON_ANSWERS = (
 LETTER = "[A-Za-zÁÉÍÓÚÑÜáéíóúñü]"
 EDGES = " .,;:!¡?¿-_*\"'()"
 #: Words of the language and of the question that say nothing about a theme,
-#: without accents; a parameter of :func:`tokens`.
+#: without accents; a parameter of :func:`tokens`, to which callers add names of their own.
 STOP_WORDS = tuple(dict.fromkeys("""
     a al algo alguien algun alguna algunas alguno algunos ambos ante antes aqui asi aun aunque bajo bastante bien cada casi
     como con conmigo contra cual cuales cualquier cuando cuanto cuanta de del demas dentro desde donde dos durante e el ella
@@ -32,32 +31,51 @@ STOP_WORDS = tuple(dict.fromkeys("""
     cosa cosas parte etc ademas manera forma hacer hace hacen hacia puede pueden podria podrian poder deberia deberian debe
     deben deber debemos seria serian creo considero consideramos pienso pensamos opinamos gustaria quisieramos importante
     necesario necesita necesitan mejor mejores mayor menor menos lugar tipo cuenta realmente mediante traves
-    universidad udec ucundinamarca cundinamarca transformacion transformaciones ajustaria ajustariamos ajustar ajuste ajustes
+    universidad transformacion transformaciones ajustaria ajustariamos ajustar ajuste ajustes
     uc respecto aspecto aspectos tema temas sentido punto puntos falta hacerlo tenido esten
 """.split()))
 #: Month abbreviations of date labels.
 MONTHS = ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic")
 
 
-def _plain_letters() -> tuple[str, str]:
-    """Accented Latin letters and the plain ones they decompose into."""
-    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()) for i in range(0xAA, 0x250)]
-    pairs = [(a, b) for a, b in pairs if len(b) == 1]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """Code points whose compatibility decomposition holds one ASCII character, these, and
+    those that hold several of them (ligatures, fractions, units) with the whole."""
+    one, several = {}, {}
+    for i in range(0x80, sys.maxunicode + 1):
+        c = chr(i)
+        new = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if new:
+            (one if len(new) == 1 else several)[c] = new
+    return "".join(one), "".join(one.values()), several
 
 
-ACCENTED, PLAIN = _plain_letters()
+ACCENTED, PLAIN, LIGATURES = _decomposed()
 
 
-def plain(text) -> Column:
-    """Accents off, what has no ASCII form dropped (ligatures too: see :func:`plain_exact`)."""
-    return F.regexp_replace(F.translate(F.regexp_replace(text, "[̀-ͯ]", ""), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+def _classes(chars) -> str:
+    """A pattern for one of these characters, neighbours as ranges."""
+    at, runs = sorted(map(ord, chars)), []
+    for i in at:
+        if runs and runs[-1][1] == i - 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
 
+_LIGATURE = _classes(LIGATURES)
 
-@F.pandas_udf(StringType())
-def plain_exact(text: pd.Series) -> pd.Series:
-    """The exact compatibility decomposition, which splits ligatures and fractions too."""
-    return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
+def plain(text) -> Column:
+    """The ASCII characters of the compatibility decomposition: accents off, ligatures and
+    fractions split, what has no ASCII form dropped.  Only texts with a character that
+    splits are taken apart."""
+    text = F.col(text) if isinstance(text, str) else text
+    whole = F.create_map(*(F.lit(x) for kv in LIGATURES.items() for x in kv))
+    split = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)" + _LIGATURE + "|[^" + _LIGATURE[1:-1] + "]+"), 0), lambda c: F.coalesce(F.try_element_at(whole, c), c)), "")
+    own = F.when(F.regexp_like(text, F.lit(_LIGATURE)), split).otherwise(text)
+    return F.regexp_replace(F.translate(own, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
 
 
 def normalise(text) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as T
+from ..sources.tables import written
+from .scoring import incomplete  # noqa: F401  (the gate of with_retry)
 from .themes import GENERAL, OUTSIDE, TAU, plug_in_scores, row, two_rater_tag, union_all
 
 
@@ -206,17 +208,11 @@ def judge_answers(answers: DataFrame, nouls: str, fronts: dict[str, str], parent
 def with_retry(texts: DataFrame, scorer, again, key: str, text: str) -> DataFrame:
     """Scores of all texts: those that fail are asked once more by ``again``.  A text that
     fails then too is a row with its error, which ``incomplete`` finds."""
-    first = plug_in_scores(texts, scorer, key, text)
+    first = written(plug_in_scores(texts, scorer, key, text), "answers")  # read twice, asked once
     failed = texts.join(first.filter("error is not null").select(key).distinct(), key, "left_semi")
     return first.filter("error is null").unionByName(plug_in_scores(failed, again, key, text))
 
 
-def incomplete(texts: DataFrame, scores: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """Keys of texts that lack a valid probability of some theme (empty: complete)."""
-    good = scores.filter(F.col("p").between(0, 1)).groupBy(key).agg(F.count_distinct("tema").alias("n")).filter(F.col("n") == len(names))
-    return texts.join(good, key, "left_anti").select(key)
-
-
 def text_key(model: str, text) -> Column:
     """Hash of a model's name and a text."""
     return F.sha2(F.concat_ws("\x1f", F.lit(model), text), 256)
@@ -281,8 +277,8 @@ def discovery(themes: DataFrame, facts: DataFrame, items: DataFrame, key: str, p
     only, and of each parent with at least one of its themes."""
     n = items.agg(F.count("*").alias("all"))
     of = F.create_map(*(F.lit(x) for kv in parent.items() for x in kv))
-    out = F.col("tema").isin(*(t["tema"] for t in themes.filter(F.col("componente") == outside).select("tema").collect()))  # at most ten themes
-    each = facts.groupBy(key).agg(F.bool_and(out).alias("o"))
+    named = facts.join(themes.select("tema", (F.col("componente") == outside).alias("out")).distinct(), "tema", "left")
+    each = named.groupBy(key).agg(F.bool_and(F.coalesce("out", F.lit(False))).alias("o"))
     rows = union_all([
         themes.select("tema").join(facts.groupBy("tema").agg(F.count("*").alias("n")), "tema", "left").select(F.lit("tema").alias("tabla"), F.col("tema").alias("clave"), F.coalesce("n", F.lit(0)).alias("n")),
         each.agg(F.count("*").alias("n")).select(F.lit("cobertura").alias("tabla"), F.lit("algun_tema").alias("clave"), "n"),

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import unicodedata
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.privacy import redact
+from ..sources.tables import written
 
 
 def exercise(df: DataFrame, unit: str | None, form: str, days: list[str], ids: list[int] = (), *, unit_col: str = "unit", form_col: str = "form", ts_col: str = "ts", id_col: str = "id", blank_ok: bool = False) -> DataFrame:
@@ -19,6 +25,79 @@ def exercise(df: DataFrame, unit: str | None, form: str, days: list[str], ids: l
     return df.filter(keep & own & (F.date_format(ts_col, "yyyy-MM-dd").isin(*days) | F.col(id_col).isin(*ids)))
 
 
+class ExerciseError(ValueError):
+    """The rows don't say which of them an exercise is made of."""
+
+
+@dataclass
+class Exercise:
+    """The rows of an exercise, those of its unit and form on other days (``included``: by
+    their id), and counts of the filter."""
+
+    rows: DataFrame
+    late: DataFrame
+    report: dict
+
+
+def audited_exercise(df: DataFrame, unit: str | None, form: str, days: list[str], ids: list[int] = (), *, unit_col: str = "unit", form_col: str | None = "form", ts_col: str = "ts", id_col: str = "id") -> Exercise:
+    """The exercise of a unit (its slug contains the given one; None: all) and form on given
+    days, or with given ids, with its report.  Rows with a blank form belong to it if the unit has no
+    other form; without a form column all rows do.
+
+    The table is read once: what may belong to the exercise is written while the pass counts
+    what decides.  :class:`ExerciseError` is raised if the unit has no rows, if it has other
+    forms beside blank ones, if it has other forms but not this one, and if nothing is left."""
+    slug = lambda c: F.coalesce(T.slug_spaces(c), F.lit(""))
+    own_unit = F.lit(True) if unit is None else slug(F.col(unit_col)).contains(slug_text(unit))
+    kind = slug(F.col(form_col)) if form_col else F.lit("")
+    target = slug_text(form)
+    day = F.date_format(ts_col, "yyyy-MM-dd")
+    on_day, by_id = F.coalesce(day.isin(*days), F.lit(False)), F.coalesce(F.col(id_col).isin(*ids), F.lit(False))
+    flags = df.withColumns({"_unit": own_unit, "_form": kind, "_day": day, "_on": on_day, "_id": by_id})
+    mine = F.col("_unit") & F.col("_form").isin(target, "")
+    kept = mine & (F.col("_on") | F.col("_id"))
+    seen = Observation(f"exercise-{uuid.uuid4().hex}")
+    counted = flags.observe(
+        seen,
+        F.count_if("_unit").alias("unit"), F.count_if(F.col("_unit") & (F.col("_form") == target)).alias("form"),
+        F.count_if(F.col("_unit") & (F.col("_form") == "")).alias("blank"), F.count_if(F.col("_unit") & ~F.col("_form").isin(target, "")).alias("other"),
+        F.count_if(kept & (F.col("_form") == target)).alias("kept"), F.count_if(kept & (F.col("_form") == "")).alias("kept_blank"),
+        F.count_if(mine & ~F.col("_on") & F.col("_id")).alias("late_in"), F.count_if(mine & ~F.col("_on") & ~F.col("_id")).alias("late_out"),
+    )
+    stored = written(counted.filter(mine), "exercise")
+    n = seen.get
+    if not n["unit"]:
+        raise ExerciseError(f"no rows of unit {unit!r}")
+    if n["other"] and n["blank"]:
+        raise ExerciseError(f"{n['other']} rows of other forms and {n['blank']} without a form: which form are these of?")
+    if n["other"] and not n["form"]:
+        raise ExerciseError(f"no rows of form {form!r} but {n['other']} of others")
+    if not n["kept"] + n["kept_blank"]:
+        raise ExerciseError("no rows on these days or with these ids")
+    own = [c for c in df.columns]
+    late = stored.filter(~F.col("_on")).select(F.col(id_col), F.col("_day").alias("day"), F.col("_id").alias("included"))
+    report = {"rows": n["kept"] + n["kept_blank"], "blank_form": n["kept_blank"], "late_included": n["late_in"], "late_left_out": n["late_out"]}
+    return Exercise(stored.filter(F.col("_on") | F.col("_id")).select(*(F.col(f"`{c}`") for c in own)), late, report)
+
+
+def slug_text(name: str) -> str:
+    """The slug of a parameter: accents off, lower case, white space as ``_``."""
+    return re.sub(r"\s+", "_", unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower().strip())
+
+
+def splitters(values: DataFrame, x: str, ranges: int = 256) -> DataFrame:
+    """One row ``_cuts``: up to ``ranges`` - 1 values that part the rows into about equal runs."""
+    at = [i / ranges for i in range(1, ranges)]
+    return values.agg(F.array_distinct(F.percentile_approx(x, at, 100 * ranges)).alias("_cuts"))
+
+
+def in_ranges(rows: DataFrame, x: str, values: DataFrame, to: str, ranges: int = 256) -> DataFrame:
+    """``rows`` with ``to``, the number of the range that ``x`` lies in, for ranges that hold
+    about as many of ``values`` each, however these are spread."""
+    cuts = F.broadcast(splitters(values, x, ranges))  # one row
+    return rows.crossJoin(cuts).withColumn(to, F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(x))), F.lit(0))).drop("_cuts")
+
+
 def clean_answers(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``motivo`` (why an answer is dropped, or null), ``excluido`` (0 or 1) and
     the redacted text of those that stay."""
@@ -26,15 +105,21 @@ def clean_answers(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("motivo", reason).withColumn("excluido", F.col("motivo").isNotNull().cast("int")).withColumn("anon", F.when(F.col("excluido") == 0, redact(text)))
 
 
-def unique_numbers(df: DataFrame, text: str, ordinal: str, width: int = 100_000, form: str = "U%03d") -> DataFrame:
-    """``(text, id_texto_unico)``: texts numbered by first appearance.  Numbers are counted
-    within ranges of ``width`` ordinals and offset by the totals of the ranges before, so no
-    task holds all texts."""
-    first = df.filter(F.col(text).isNotNull()).groupBy(text).agg(F.min(ordinal).alias("_first")).withColumn("_range", F.floor(F.col("_first") / width))
+def unique_numbers(df: DataFrame, text: str, ordinal: str, form: str = "U%03d") -> DataFrame:
+    """``(digest, id_texto_unico)``: texts, by their 256-bit digest, numbered by first
+    appearance.  Numbers are counted within ranges of ordinals that hold about as many texts
+    each and offset by the totals of the ranges before, so no task holds all texts and no
+    text is shuffled."""
+    first = df.filter(F.col(text).isNotNull()).groupBy(text_digest(text).alias("digest")).agg(F.min(ordinal).alias("_first"))
+    first = in_ranges(first, "_first", first, "_range")
     sizes = first.groupBy("_range").count()
     before = sizes.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))  # one row a range
-    at = F.row_number().over(Window.partitionBy("_range").orderBy("_first", text)) + F.col("_before")
-    return first.join(before, "_range").select(text, F.format_string(form, at.cast("long")).alias("id_texto_unico"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy("_first", "digest")) + F.col("_before")
+    return first.join(before, "_range").select("digest", F.format_string(form, at.cast("long")).alias("id_texto_unico"))
+
+
+def text_digest(text: str) -> Column:
+    return F.sha2(F.col(text).cast("binary"), 256)
 
 
 def without_empty_columns(df: DataFrame) -> DataFrame:
@@ -102,15 +187,17 @@ def profile(df: DataFrame, text: str, same: list[str], short: int = 30) -> DataF
 
 def weighted_quantiles(df: DataFrame, by: list[str], x: str, points: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles of each group, from the counts of its different values:
-    ranks come from sums over ranges of values and within them, so neither a group nor its
-    values are held in one task."""
-    per = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
-    grid = F.floor(F.col(x) / 64)
-    per = per.withColumn("_g", grid)
+    ranks come from sums over ranges of values and within them.  The ranges are cut so that
+    each holds about as many different values, be these shares or sums, so neither a
+    group nor its values are held in one task.  Rows without a value are left out."""
+    per = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
+    per = in_ranges(per, x, per, "_g")
     ranges = per.groupBy(*by, "_g").agg(F.sum("_n").alias("_r"))
     before = ranges.withColumn("_before", F.sum("_r").over(Window.partitionBy(*by).orderBy("_g")) - F.col("_r")).withColumn("_all", F.sum("_r").over(Window.partitionBy(*by)))
     upto = F.sum("_n").over(Window.partitionBy(*by, "_g").orderBy(x)) + F.col("_before")
-    ranked = per.join(before.drop("_r"), [*by, "_g"]).withColumn("_to", upto)
+    before = before.select(*(F.col(c).alias(f"_b_{c}") for c in [*by, "_g"]), "_before", "_all")
+    same = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in [*by, "_g"]]
+    ranked = per.join(before, same).withColumn("_to", upto)
     place = lambda q: (F.col("_all") - 1) * F.lit(q)
     at = lambda i: F.min(F.when(F.col("_to") > i, F.col(x)))
     out = [(at(F.floor(place(q))) + (at(F.ceil(place(q))) - at(F.floor(place(q)))) * F.max(place(q) - F.floor(place(q)))).alias(name) for name, q in points.items()]
@@ -121,11 +208,6 @@ def value_counts(df: DataFrame, c: str, empty: str = "(vacío)") -> DataFrame:
     return df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit(empty)).alias("value")).agg(F.count("*").alias("n"))
 
 
-def quantiles(x: str) -> list[Column]:
-    """Exact interpolated quantiles."""
-    return [F.percentile(x, q).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.75, 0.95)] + [F.max(x).cast("double").alias("max")]
-
-
 def sections(lines: DataFrame, line: str = "line", at: str = "at", doc: str = "doc", header: str = r"^#+\s") -> DataFrame:
     """Lines with the number of their section: a running count of header lines."""
     order = Window.partitionBy(doc).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)

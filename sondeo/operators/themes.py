@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .survey import in_ranges
+
 TAU = 0.70
 
 
@@ -24,23 +26,32 @@ def lexical_scores(texts: DataFrame, themes: list[tuple[str, list[str]]], text:
     return rows.select(*keep, F.inline(each))
 
 
-def plug_in_scores(texts: DataFrame, scorer: Callable[[Iterable[str]], Iterable[dict]], key: str, text: str) -> DataFrame:
-    """``(key, tema, p, error)`` by any scorer of a batch of texts that yields a mapping of
-    theme to probability for each.  Where it fails, the text that it was at is a row with the
-    error, and it starts again behind it."""
+def plug_in_scores(texts: DataFrame, scorer: Callable[[list[str]], Iterable[dict]], key: str, text: str) -> DataFrame:
+    """``(key, tema, p, error)`` by any scorer of a batch of texts that returns a mapping of
+    theme to probability for each.  A batch that it fails on, or answers with another number
+    of mappings, is asked text by text, and a text that fails alone is a row with its error.
+    For a scorer whose calls cost, see :mod:`scoring`."""
+
+    def ask(some: list[str]) -> list[dict]:
+        got = list(scorer(some))
+        if len(got) != len(some):
+            raise ValueError(f"{len(got)} answers for {len(some)} texts")
+        return got
 
     def run(batches):
         for b in batches:
-            keys, asked, rows, at = list(b[key]), list(b[text]), [], 0
-            while at < len(keys):
-                try:
-                    for got in scorer(asked[at:]):
-                        rows += [(keys[at], t, float(p), None) for t, p in got.items()]
-                        at += 1
-                    break
-                except Exception as e:
-                    rows.append((keys[at], None, None, str(e)))
-                    at += 1
+            rows, asked = [], list(b[text])
+            try:
+                answers = [(a, None) for a in ask(asked)]
+            except Exception:
+                answers = []
+                for t in asked:
+                    try:
+                        answers.append((ask([t])[0], None))
+                    except Exception as e:
+                        answers.append(({None: None}, str(e)))
+            for k, (got, error) in zip(b[key], answers):
+                rows += [(k, t, None if p is None else float(p), error) for t, p in got.items()]
             yield pd.DataFrame(rows, columns=[key, "tema", "p", "error"])
 
     kind = dict(texts.dtypes)[key]
@@ -86,12 +97,13 @@ def overlaps(facts: DataFrame, key: str, themes: list[str]) -> DataFrame:
     return out.select("a", "b", "both", F.when(either > 0, F.col("both") / either).otherwise(0.0).alias("jaccard"))
 
 
-def saturation(facts: DataFrame, order: str, theme: str, batch: int, width: int = 100_000) -> DataFrame:
+def saturation(facts: DataFrame, order: str, theme: str, batch: int) -> DataFrame:
     """New and cumulative distinct themes by reading batch.  Batches are summed within ranges
-    of ``width`` and offset by the totals of the ranges before."""
+    that hold about as many of them each, and offset by the totals of the ranges before."""
     first = facts.groupBy(theme).agg(F.min(order).alias("o"))
     new = first.groupBy(F.floor(F.col("o") / batch).alias("batch")).agg(F.count("*").alias("new"))
-    seen = facts.select(F.floor(F.col(order) / batch).alias("batch")).distinct().join(new, "batch", "left").na.fill(0).withColumn("_r", F.floor(F.col("batch") / width))
+    seen = facts.select(F.floor(F.col(order) / batch).alias("batch")).distinct().join(new, "batch", "left").na.fill(0)
+    seen = in_ranges(seen, "batch", seen, "_r")
     ranges = seen.groupBy("_r").agg(F.sum("new").alias("_n"))
     before = ranges.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))  # one row a range
     total = F.sum("new").over(Window.partitionBy("_r").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def term_counts(docs: DataFrame, key: str, cluster: str, tokens: str, min_df: int = 1) -> DataFrame:
     """``(key, cluster, term, n)`` of terms in at least ``min_df`` documents."""
@@ -122,15 +122,98 @@ def silhouette(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return rows.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
 
 
-def assign_clusters(vectors: DataFrame, key: str, vector: str, k: int, seeds: range, rounds: int = 20) -> DataFrame:
-    """``(key, label)`` of the KMeans of least cost over several seeds."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def class_tfidf_by(counts: DataFrame, cell: list[str], cluster: str, top: int = 10) -> DataFrame:
+    """:func:`class_tfidf` within each cell, such as a group and a k, of ``counts(cell...,
+    cluster, term, n)``."""
+    per = counts.groupBy(*cell, cluster, "term").agg(F.sum("n").alias("n"))
+    words = per.groupBy(*cell, cluster).agg(F.sum("n").alias("words"))
+    mean = words.groupBy(*cell).agg((F.sum("words") / F.count("*")).alias("mean"))
+    uses = per.groupBy(*cell, "term").agg(F.sum("n").alias("uses"))
+    score = F.col("n") / F.col("words") * F.ln(1 + F.col("mean") / F.col("uses"))
+    rows = per.join(uses, [*cell, "term"]).join(words.join(mean, cell), [*cell, cluster]).withColumn("score", F.round(score, 12))
+    rank = F.row_number().over(Window.partitionBy(*cell, cluster).orderBy(F.desc("score"), "term"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= top).select(*cell, cluster, "rank", "term", "n", "score")
+
+
+def npmi_by(words: DataFrame, present: DataFrame, cell: list[str], group: str, cluster: str, key: str) -> DataFrame:
+    """``(cell..., npmi)``: the mean over pairs of words of one cluster of their normalised
+    pointwise mutual information in the texts of the cell's group.  ``words(cell..., cluster,
+    term)`` with the group among the cell's columns; ``present(group, key, term)``, each once.  Pairs of a
+    text are only made of words that are a pair of some cluster."""
+    n = present.select(group, key).distinct().groupBy(group).agg(F.count("*").alias("n_docs"))
+    w = words.select(*cell, cluster, "term")
+    pairs = w.withColumnRenamed("term", "a").join(w.withColumnRenamed("term", "b"), [*cell, cluster]).filter("a < b")
+    asked = pairs.select(group, "a", "b").distinct()
+    used = present.join(w.select(group, "term").distinct(), [group, "term"], "left_semi")
+    df = used.groupBy(group, "term").agg(F.count("*").alias("df"))
+    met = used.withColumnRenamed("term", "a").join(asked, [group, "a"]).join(used.withColumnRenamed("term", "b"), [group, key, "b"])
+    both = met.groupBy(group, "a", "b").agg(F.count("*").alias("both"))
+    one = lambda x: df.select(group, F.col("term").alias(x), F.col("df").alias(f"d{x}"))
+    rows = pairs.join(both, [group, "a", "b"], "left").join(one("a"), [group, "a"]).join(one("b"), [group, "b"]).join(n, group)
+    pij = F.coalesce("both", F.lit(0)) / F.col("n_docs")
+    value = F.when(pij == 0, -1.0).when(pij == 1, 1.0).otherwise(F.ln(pij * F.col("n_docs") * F.col("n_docs") / (F.col("da") * F.col("db"))) / -F.ln(pij))
+    return rows.groupBy(*cell).agg(F.avg(value).alias("npmi"))
+
+
+#: Dimensions of a word vector: the digits of an MD5 digest.
+WORD_DIMS = 32
+
+
+def word_vectors(docs: DataFrame, tokens: str, words: DataFrame, window: int = 4) -> DataFrame:
+    """``(term, v)`` of the terms in ``words(term)``: positive pointwise mutual information
+    with the words up to ``window`` places away, projected on WORD_DIMS numbers by the digits
+    of each context word's MD5 digest.  A term that never stands beside another word has zeros.
+
+    A token meets its own few neighbours only, and counts of (term, context) are summed
+    before they are shuffled, so no text and no vocabulary is held in one task."""
+    at = F.transform(tokens, lambda w, i: F.struct(w.alias("term"), F.concat(F.slice(F.col(tokens), F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window))), F.slice(F.col(tokens), i + 2, F.lit(window))).alias("near")))
+    rows = docs.select(F.inline(at)).join(words.select("term").distinct(), "term", "left_semi")
+    n = rows.select("term", F.explode("near").alias("c")).groupBy("term", "c").agg(F.count("*").alias("n"))
+    left, right = n.groupBy("term").agg(F.sum("n").alias("nt")), n.groupBy("c").agg(F.sum("n").alias("nc"))
+    total = n.agg(F.sum("n").cast("double").alias("all"))
+    pmi = F.ln(F.col("n") * F.col("all") / (F.col("nt").cast("double") * F.col("nc")))
+    rows = n.join(left, "term").join(right, "c").join(F.broadcast(total)).withColumn("w", pmi).filter("w > 0")  # total is one row
+    digit = lambda i: F.conv(F.substring(F.md5("c"), i + 1, 1), 16, 10).cast("int") - 7.5
+    sums = rows.groupBy("term").agg(F.array(*(F.round(F.sum(F.col("w") * digit(i)), 9) for i in range(WORD_DIMS))).alias("v"))
+    zero = F.array(*[F.lit(0.0)] * WORD_DIMS)
+    return words.select("term").distinct().join(sums, "term", "left").select("term", F.coalesce("v", zero).alias("v"))
 
-    rows = vectors.select(key, array_to_vector(F.col(vector)).alias("v"))
-    models = [KMeans(k=k, seed=s, featuresCol="v", predictionCol="label", maxIter=rounds, initMode="random").fit(rows) for s in seeds]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).select(key, "label")
+
+def _cosine(a: Column, b: Column) -> Column:
+    norm = F.sqrt(dot(a, a) * dot(b, b))
+    return F.round(F.when(norm > 0, dot(a, b) / norm).otherwise(0.0), 9)
+
+
+def diversified(candidates: DataFrame, vectors: DataFrame, cluster: list[str], top: int = 10, diversity: float = 0.3) -> DataFrame:
+    """``(cluster..., rank, term)``: of each cluster's candidates ``(cluster..., rank, term)``
+    the ``top`` that maximal marginal relevance picks.  First the one nearest to the mean of
+    the candidates' vectors, then each time the one with most of (1 - diversity) x nearness less
+    diversity x its greatest similarity with one already picked; of equal ones the better ranked.
+
+    A cluster has some tens of candidates; they are one array, and the choice is a fold over it."""
+    rows = candidates.join(vectors, "term").groupBy(*cluster).agg(F.sort_array(F.collect_list(F.struct("rank", "term", "v"))).alias("c"))
+    mean = F.transform(F.sequence(F.lit(0), F.lit(WORD_DIMS - 1)), lambda i: F.aggregate("c", F.lit(0.0), lambda s, x: s + x["v"][i]) / F.size("c"))
+    # written, or the optimiser would move these into the fold and compute them again in each step
+    rows = written(rows.withColumn("mean", mean), "means")
+    rows = rows.withColumn("near", F.transform("c", lambda x: _cosine(x["v"], F.col("mean")))).withColumn("same", F.transform("c", lambda x: F.transform("c", lambda y: _cosine(x["v"], y["v"]))))
+    rows = written(rows.drop("mean"), "nearness")
+    places = F.sequence(F.lit(0), F.size("c") - 1)
+
+    def pick(chosen, _):
+        worth = lambda i: F.when(F.size(chosen) == 0, F.col("near")[i]).otherwise(F.round((1 - diversity) * F.col("near")[i] - diversity * F.array_max(F.transform(chosen, lambda j: F.col("same")[i][j])), 9))
+        left = F.transform(F.array_except(places, chosen), lambda i: F.struct(worth(i).alias("worth"), (-i).alias("i")))
+        return F.concat(chosen, F.array(-F.array_max(left)["i"]))
+
+    steps = F.sequence(F.lit(1), F.least(F.lit(top), F.size("c")))
+    picked = rows.withColumn("picked", F.aggregate(steps, F.array().cast("array<int>"), pick))
+    each = picked.select(*cluster, "c", F.posexplode("picked").alias("at", "i"))
+    return each.select(*cluster, (F.col("at") + 1).alias("rank"), F.col("c")[F.col("i")]["term"].alias("term"))
+
+
+def best_topics(labels: DataFrame, curve: DataFrame, group: str) -> DataFrame:
+    """The labels of each group's chosen k; groups without one have no rows."""
+    chosen = choose_k(curve.withColumnRenamed(group, "group")).filter("k is not null").withColumnRenamed("group", group)
+    return labels.join(chosen, [group, "k"], "left_semi")
 
 
 def match_stability(whole: DataFrame, part: DataFrame, key: str) -> DataFrame:
@@ -142,19 +225,11 @@ def match_stability(whole: DataFrame, part: DataFrame, key: str) -> DataFrame:
     return j.groupBy("label").agg(F.max("j").alias("jaccard"))
 
 
-def stability_curve(vectors: DataFrame, key: str, vector: str, ks: list[int], reps: int = 20, share: float = 0.8, starts: int = 20, rounds: int = 20) -> DataFrame:
-    """``(k, stability, smallest, silhouette)`` of each k: the weakest topic's mean Jaccard
-    over ``reps`` subsamples that are clustered again, chosen by a hash of the key.  Every
-    fit is a distributed one, so a group may have any size."""
-    out, vectors = [], vectors.select(key, vector)
-    for k in ks:
-        whole = assign_clusters(vectors, key, vector, k, range(starts), rounds)
-        each = []
-        for rep in range(reps):
-            some = vectors.filter(F.pmod(F.xxhash64(F.col(key), F.lit(rep)), F.lit(1000)) < int(share * 1000))
-            each.append(match_stability(whole, assign_clusters(some, key, vector, k, range(1), rounds), key))
-        mean = reduce(DataFrame.unionByName, each).groupBy("label").agg((F.sum("jaccard") / reps).alias("j"))
-        labelled = vectors.join(whole, key)
-        one = mean.agg(F.min("j").alias("stability")).join(cluster_sizes(whole, "label", k).agg(F.min("n").alias("smallest"))).join(silhouette(labelled, "label", vector))
-        out.append(one.select(F.lit(k).alias("k"), "stability", "smallest", "silhouette"))
-    return reduce(DataFrame.unionByName, out)
+def stability_curve(vectors: DataFrame, key: str, vector: str, ks: list[int], reps: int = 20, starts: int = 20, rounds: int = 300) -> DataFrame:
+    """``(k, stability, smallest, silhouette)`` of some k over all vectors as one group: see
+    :func:`clusters.k_curve`, which has all of them and groups."""
+    from .clusters import k_curve
+
+    one = vectors.select(key, vector, F.lit("").alias("_group"))
+    curve = k_curve(one, "_group", key, vector, k_most=max(ks), reps=reps, starts=starts, rounds=rounds).curve
+    return curve.filter(F.col("k").isin(*ks)).select("k", "stability", "smallest", "silhouette")

@@ -69,7 +69,6 @@ def r6(x):
     return F.round(x, 6)
 
 
-# ---- the flagship report -------------------------------------------------------------------
 # ---- text rules ----------------------------------------------------------------------------
 @query(f"SELECT doc_id, {SQL_NOISE} AS motivo FROM documents")
 def p06_noise(spark, d):
@@ -199,8 +198,8 @@ def a18_reasons(spark, d):
 
 @query("WITH f AS (SELECT text, min(doc_id) AS m FROM documents WHERE text IS NOT NULL GROUP BY text) SELECT d.doc_id, 'U' || lpad(r::VARCHAR, greatest(3, length(r::VARCHAR))::INTEGER, '0') AS id_texto_unico FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY m) AS r FROM f) USING (text)")
 def w01_unique_numbers(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.join(survey.unique_numbers(docs, "text", "doc_id"), "text").select("doc_id", "id_texto_unico")
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    return docs.select("doc_id", survey.text_digest("text").alias("digest")).join(survey.unique_numbers(docs, "text", "doc_id"), "digest").select("doc_id", "id_texto_unico")
 
 
 @query("WITH l AS (SELECT page_id, unnest(string_split(html, '<p>')) AS line, unnest(range(len(string_split(html, '<p>')))) AS pos FROM pages) SELECT page_id, pos::INTEGER AS \"at\", (sum(CASE WHEN starts_with(line, '<b>') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos))::BIGINT AS section FROM l")
@@ -338,7 +337,7 @@ def m13_m14_calibration(spark, d):
 @query("WITH c AS (SELECT lang a, source b, count(*)::DOUBLE c FROM documents GROUP BY ALL), n AS (SELECT sum(c) n FROM c), g AS (SELECT r.a, k.b, r.s * k.s / n AS e, coalesce(c.c, 0) AS o, n FROM (SELECT a, sum(c) s FROM c GROUP BY a) r CROSS JOIN (SELECT b, sum(c) s FROM c GROUP BY b) k CROSS JOIN n LEFT JOIN c ON c.a = r.a AND c.b = k.b) SELECT round(sum((o-e)*(o-e)/e), 6) AS chi2, round(sqrt(sum((o-e)*(o-e)/e)/(max(n)*(least(count(DISTINCT a), count(DISTINCT b))-1))), 6) AS cramer_v, round(100*avg((e<5)::INT), 6) AS pct_low FROM g")
 def m16_chi_square(spark, d):
     x = stats.chi_square(table(spark, d, "documents"), "lang", "source")
-    return x.select(*(r6(c).alias(c) for c in x.columns))
+    return x.select(*(r6(c).alias(c) for c in ("chi2", "cramer_v", "pct_low")))
 
 
 SQL_P = "ps AS (SELECT source, lang, (count(*) % 29 + 1) / 60.0 AS p FROM documents GROUP BY ALL)"
@@ -399,6 +398,3 @@ def v08_v10_choose_k(spark, d):
     first = topics.top_per_group(table(spark, d, "documents").withColumn("b", F.concat_ws("|", "source", (F.col("n_chars") % 13).cast("string"))), "b", 1, "doc_id")
     curve = first.select(F.col("source").alias("group"), (F.col("n_chars") % 13 + 2).cast("int").alias("k"), (F.col("doc_id") % 3 > 0).alias("valid"), F.round((F.col("doc_id") % 101) / 101.0, 9).alias("stability"))
     return topics.choose_k(curve)
-
-
-# ---- reports -------------------------------------------------------------------------------

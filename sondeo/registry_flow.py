@@ -408,13 +408,6 @@ def v11_silhouette(spark, d):
     return topics.silhouette(table(spark, d, "embeddings"), "label", "embedding").select(r6("silhouette").alias("silhouette"))
 
 
-@query()
-def v06_v09_stability(spark, d):
-    """The curve of k over all vectors, each k clustered again on 20 subsamples."""
-    curve = topics.stability_curve(table(spark, d, "embeddings"), "vec_id", "embedding", [2, 3], reps=20, starts=2, rounds=5)
-    return curve.select("k", r6("stability").alias("stability"), "smallest", r6("silhouette").alias("silhouette"))
-
-
 @query("WITH g AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, lang, n, n >= 20 AS modelado, CASE WHEN n < 20 THEN lang || '__todas' ELSE source || '__' || lang END AS temas_de FROM g")
 def v17_j12_fallback(spark, d):
     groups = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))

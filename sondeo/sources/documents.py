@@ -3,14 +3,12 @@ and lines of JSON."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.themes import row, union_all
+from .tables import written  # noqa: F401  (kept under its earlier name)
 
 HEADER = r"^## (\d+)\. (.+?)\s*$"
 BOLD = r"^\*\*(.*)\*\*$"
@@ -85,19 +83,3 @@ def framework_violations(lines: DataFrame, boundaries: list[str], least: int = 1
         row(named, "summary_name", F.col("numero"), F.coalesce("resumen", F.lit(""))),
         row(pairs.filter(~F.col("pair").isin(*boundaries)), "missing_boundary", F.col("pair"), F.lit("")),
     ])
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the folder that all executors share
-    (``spark.checkpoint.dir``) and read again: the boundary between the steps of a flow, and
-    a way to compute once what several branches of a plan read.  Where the session names no
-    folder: a temporary one if Spark runs on this machine alone, else an error."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
