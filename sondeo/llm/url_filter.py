@@ -116,14 +116,14 @@ def _merged(children: Column) -> Column:
 
 
 def template_tree(leaves: DataFrame, depth: int) -> DataFrame:
-    """``(host, tokens, template, purity)`` of rows ``(host, tokens, n, lab, bad)``, one for
-    each host and token list: the tree from the root down, with merged siblings.
+    """``(host, tokens, n, template, purity, own_bad)`` of rows ``(host, tokens, n, lab, bad)``, one for
+    each host and token list: the tree from the root down, with merged siblings; ``own_bad`` counts the template's bad labels.
 
     A parent has at most 2 / SHARE + 2 children, so what is gathered for one is bounded."""
     total = leaves.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("lab"), F.lit(0)), F.lit(0.0)).alias("all"))
     smooth = lambda bad, lab, above: (bad + PRIOR * above) / (lab + PRIOR)
-    hosts = leaves.groupBy("host").agg(F.sum("lab").alias("l"), F.sum("bad").alias("b")).join(F.broadcast(total))  # total is one row
-    hosts = hosts.select("host", smooth(F.col("b"), F.col("l"), F.col("all")).alias("p"))
+    hosts = leaves.groupBy("host").agg(F.sum("lab").alias("l"), F.sum("bad").alias("own")).join(F.broadcast(total))  # total is one row
+    hosts = hosts.select("host", smooth(F.col("own"), F.col("l"), F.col("all")).alias("p"), "own")
     rows = staged(leaves.join(hosts, "host").withColumn("node", F.lit("")), "tree")
     for level in range(depth):
         inner = rows.filter(F.size("tokens") > level)
@@ -136,16 +136,16 @@ def template_tree(leaves: DataFrame, depth: int) -> DataFrame:
         # sorted by number and token, which are unique, as maps can't be compared
         parents = child.groupBy("host", "node").agg(F.max("p").alias("p"), F.array_sort(F.collect_list(order), lambda a, b: F.when(a["rank"] != b["rank"], F.signum(a["rank"] - b["rank"]).cast("int")).when(a["token"] < b["token"], -1).when(a["token"] > b["token"], 1).otherwise(0)).alias("children"))
         classes = parents.select("host", "node", "p", F.explode(_merged(F.transform("children", lambda x: x["c"]))).alias("g"))
-        named = classes.select("host", "node", F.concat(F.col("node"), F.lit("/"), F.array_join(F.sort_array("g.tokens"), "|")).alias("to"), smooth(F.col("g.bad"), F.col("g.lab"), F.col("p")).alias("q"), F.explode("g.tokens").alias("token"))
+        named = classes.select("host", "node", F.concat(F.col("node"), F.lit("/"), F.array_join(F.sort_array("g.tokens"), "|")).alias("to"), smooth(F.col("g.bad"), F.col("g.lab"), F.col("p")).alias("q"), F.col("g.bad").alias("ours"), F.explode("g.tokens").alias("token"))
         here = rows.withColumn("token", F.get("tokens", F.lit(level)))
-        rows = staged(here.join(named, ["host", "node", "token"], "left").select("host", "tokens", "n", "lab", "bad", F.coalesce("q", "p").alias("p"), F.coalesce("to", "node").alias("node")), "tree")
-    return rows.select("host", "tokens", "n", F.when(F.col("node") == "", "/").otherwise(F.col("node")).alias("template"), (1 - F.col("p")).alias("purity"))
+        rows = staged(here.join(named, ["host", "node", "token"], "left").select("host", "tokens", "n", "lab", "bad", F.coalesce("q", "p").alias("p"), F.coalesce("ours", "own").alias("own"), F.coalesce("to", "node").alias("node")), "tree")
+    return rows.select("host", "tokens", "n", F.when(F.col("node") == "", "/").otherwise(F.col("node")).alias("template"), (1 - F.col("p")).alias("purity"), F.col("own").alias("own_bad"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
     """One row for each page: ``key``, ``host``, ``path``, ``rule`` and ``verdict`` (the
-    rule's, where one fits, else ``block`` if ``purity`` is below LEAST_PURITY, else
-    ``allow``), ``template`` and ``purity`` of its template.
+    rule's, where one fits, else ``block`` if ``purity`` is below LEAST_PURITY and a page of
+    the template has a bad label, else ``allow``), ``template`` and ``purity`` of its template.
 
     ``labels(key, bad)`` marks some pages, true for bad ones; several labels of a page count as
     one, bad if any is.  All pages, those with a rule too, are counted in the tree.  Without any
@@ -165,5 +165,5 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], key
     depth = leaves.agg(F.coalesce(F.max(F.size("tokens")), F.lit(0))).first()[0]
     out = joined(rows, template_tree(leaves, depth), ["host", "tokens"], "n", total)
     rule = rule_of(F.col("host"), F.col("path"), rules)
-    blocked = F.when(F.col("purity") < LEAST_PURITY, "block").otherwise("allow")
+    blocked = F.when((F.col("purity") < LEAST_PURITY) & (F.col("own_bad") > 0), "block").otherwise("allow")
     return out.withColumn("r", rule).select(F.col("id").alias(key), "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", blocked).alias("verdict"), "template", "purity")
