@@ -6,12 +6,12 @@ bad.  In the second pass short and near-good blocks take the label of the neares
 neighbours.
 
 The place of a block is known beforehand and comes before or after that: what is inside
-navigation, headers, footers, sidebars, adverts, forms, notices or reader comments is bad;
-what is in an element whose class only suggests boilerplate is good by its own density or
-else left to its neighbours (inside the article) or bad (elsewhere).  Where a page names its
-article, only blocks inside it are the article's, and they have no neighbours outside;
-ambiguous blocks without any decided neighbour are good there and bad elsewhere.  Scripts,
-styles, templates, comments and the head are never text.
+navigation, headers, footers, sidebars, adverts, forms, notices or reader comments is bad,
+and no neighbour to others; what is in an element whose class only suggests boilerplate is
+good by its own density or else left to its neighbours (inside the article) or bad
+(elsewhere).  Where a page names its article, only blocks inside it are the article's, and
+they have no neighbours outside.  Ambiguous blocks without any decided neighbour are good.
+Scripts, styles, templates, comments and the head are never text.
 """
 
 from __future__ import annotations
@@ -35,10 +35,12 @@ ASIDE = frozenset("nav header footer aside form menu dialog head select button".
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adslot adbox cookie cookies consent gdpr notice popup modal newsletter sidebar nav navbar navigation menu breadcrumb breadcrumbs footer "
-    "masthead share sharing comment comments reply replies respond disqus login signup paywall pagination".split()
+    "masthead share sharing comment comments reply replies respond disqus login signup paywall pagination sponsor sponsored promo promotion subscribe subscription discussion".split()
 )
+#: Of these words, those that beside another word in one name may be about the text itself.
+TOPICS = frozenset("menu discussion promotion".split())
 #: Words of class or id that suggest boilerplate, but name parts of articles too.
-DOUBTFUL_WORDS = frozenset("sponsor sponsored promo promotion banner overlay subscribe subscription side crumbs foot topbar toolbar social related recommended discussion pager widget legal disclaimer copyright".split())
+DOUBTFUL_WORDS = frozenset("banner overlay side crumbs foot topbar toolbar social related recommended pager widget legal disclaimer copyright".split())
 #: The only classes that mark an article element as one of the readers'.
 READERS = frozenset("comment comments reply replies".split())
 ARTICLE = frozenset(("article", "main"))
@@ -52,17 +54,22 @@ STOP = frozenset(
     "el los las y del que en un una por con no para es lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde".split()
 )
 LINKS, ALL_LINKS, LONG, STOP_LOW, STOP_HIGH, FEW = 0.33, 0.9, 200, 0.10, 0.20, 70
+#: Without a named article, one ambiguous block must have so many words for such blocks to be text on their own.
+FRAGMENT = 2
 GOOD, NEAR, SHORT, BAD = "good", "near", "short", "bad"
+#: Elements that hold running text, and names of parts of a layout.
+TEXTUAL = frozenset("p li td th dd dt pre blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
+LAYOUT = frozenset("main top bottom left right item items list wrapper wrap container box bar block section area primary secondary site page inner outer content link links button icon mobile desktop sub dropdown".split())
 #: Places: as any other, doubtful, aside.
 ANY, DOUBTFUL, APART = 0, 1, 2
 
 
 class Block:
-    __slots__ = ("parts", "link_chars", "place", "inside", "heading", "listed")
+    __slots__ = ("parts", "link_chars", "place", "inside", "heading", "listed", "tag", "menu")
 
-    def __init__(self, place: int, inside: bool, heading: bool):
+    def __init__(self, place: int, inside: bool, heading: bool, tag: str = "", menu: bool = False):
         self.parts, self.link_chars, self.place, self.inside, self.heading = [], 0, place, inside, heading
-        self.listed = False
+        self.tag, self.menu, self.listed = tag, menu, False
 
 
 def _place(name: str, attrs: str) -> int:
@@ -77,15 +84,19 @@ def _place(name: str, attrs: str) -> int:
         if key in ("class", "id") and name == "article" and not READERS.isdisjoint(value.split()):
             return APART
         if key in ("class", "id") and name not in ("body", "html", "article", "main"):
-            words = re.split(r"[^a-z]+", value)
-            if not ASIDE_WORDS.isdisjoint(words):
-                return APART
-            place = place if DOUBTFUL_WORDS.isdisjoint(words) else DOUBTFUL
+            for one in value.split():
+                words = [w for w in re.split(r"[^a-z]+", one) if w]
+                hit = ASIDE_WORDS.intersection(words)
+                # one name such as menu-recipe says what a text is about, one such as menu-item doesn't
+                if hit and not (hit <= TOPICS and any(w not in hit and w not in LAYOUT and len(w) > 2 for w in words)):
+                    return APART
+                place = place if not hit and DOUBTFUL_WORDS.isdisjoint(words) else DOUBTFUL
     return place
 
 
 def blocks(page: str):
-    """``(text, link density, place, inside an article, heading)`` of each block with text."""
+    """``(text, link density, place, inside an article, heading, element, in an unordered
+    list)`` of each block with text."""
     open_: list[tuple[str, int, bool, Block | None]] = []  # name, place, inside, for marked inline elements the block around them
     places: dict[str, list[int]] = {}  # of each name in open_
     block_places: list[int] = []  # of block elements in open_
@@ -104,7 +115,8 @@ def blocks(page: str):
         if block.parts and not block.listed:
             found.append(block)
             block.listed = True
-        block = Block(place, inside, heading)
+        lists = [max(places.get(x) or [-1]) for x in ("ul", "ol")]
+        block = Block(place, inside, heading, open_[block_places[-1]][0] if block_places else "", lists[0] > lists[1])
 
     def push(name: str, around: Block | None = None):
         places.setdefault(name, []).append(len(open_))
@@ -172,14 +184,15 @@ def blocks(page: str):
     for b in found:
         text = " ".join(html.unescape("".join(b.parts)).split())
         if text:
-            yield text, b.link_chars / len(text), b.place, b.inside, b.heading
+            yield text, b.link_chars / len(text), b.place, b.inside, b.heading, b.tag, b.menu
 
 
-def first_pass(text: str, links: float, place: int, inside: bool, heading: bool = False) -> str:
-    """The label of a block on its own.  Nearly nothing but links is bad, and so is a long
-    text without stop words or a doubtful block, but inside the article both are ambiguous:
-    tables, formulas and names have no stop words either."""
-    if place == APART or links > ALL_LINKS or (links > LINKS and not inside):
+def first_pass(text: str, links: float, place: int, inside: bool, heading: bool = False, tag: str = "", menu: bool = False) -> str:
+    """The label of a block on its own.  An entry of an unordered list that is nearly
+    nothing but links is bad, and so, outside the article, is any block of them, and a long text without
+    stop words in an element that isn't for text.  Inside the article, or in such an
+    element, these are ambiguous: references, tables, formulas and names are like that too."""
+    if place == APART or (links > ALL_LINKS and (menu or not inside)) or (links > LINKS and not inside):
         return BAD
     if not inside and ("©" in text or "&copy" in text):
         return BAD
@@ -191,7 +204,7 @@ def first_pass(text: str, links: float, place: int, inside: bool, heading: bool
         return GOOD
     if stop >= STOP_LOW and place == ANY:
         return NEAR
-    return SHORT if inside else BAD
+    return SHORT if inside or (place == ANY and links == 0 and tag in TEXTUAL) else BAD
 
 
 def second_pass(labels: list[str], headings: list[bool] | None = None, prior: bool = False) -> list[bool]:
@@ -227,11 +240,18 @@ def second_pass(labels: list[str], headings: list[bool] | None = None, prior: bo
 
 def labelled(page: str) -> list[tuple[str, str, bool]]:
     """``(text, label of the first pass, kept)`` of the blocks that were judged, in order:
-    those inside the article, if the page names one and keeps any of them, else all."""
+    those inside the article, if the page names one and keeps any of them, else all.  What
+    is aside by its place says nothing about the blocks beside it, so it is passed over when
+    these look for neighbours."""
     found = list(blocks(page))
-    for part, prior in (([b for b in found if b[3] and b[2] != APART], True), (found, False)):
+    for part, named in (([b for b in found if b[3] and b[2] != APART], True), (found, False)):
         labels = [first_pass(*b) for b in part]
-        keep = second_pass(labels, [b[4] for b in part], prior)
+        told = [i for i, b in enumerate(part) if b[2] != APART]
+        keep = [False] * len(part)
+        # a page of loose words alone has no main text
+        prior = named or any(labels[i] != BAD and len(WORDS.findall(part[i][0])) >= FRAGMENT for i in told)
+        for i, k in zip(told, second_pass([labels[i] for i in told], [part[i][4] for i in told], prior)):
+            keep[i] = k
         if any(keep):
             break
     return [(b[0], label, k) for b, label, k in zip(part, labels, keep)]
