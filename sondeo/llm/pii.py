@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,18 +22,38 @@ from pyspark.sql import functions as F
 from .common import batches_of_texts, extended
 
 KINDS = ("email", "secret", "iban", "ip", "phone", "card", "ssn", "date")
+#: Month names of the dates in words, by language, and short ones of English.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "short": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+#: Other spellings, read as the month and written as its name.
+SPELT = {"sept": ("short", 8), "setiembre": ("es", 8), "jänner": ("de", 0)}
+_NAMES = sorted({m.lower() for names in MONTHS.values() for m in names} | SPELT.keys(), key=lambda m: (-len(m), m))
+_MONTH = "(?i:" + "|".join(_NAMES) + ")"
 #: Fixed patterns, tried in this order at each place.
 PATTERN = re.compile(
     r"""
-    (?P<email>(?<![\w.+-])[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
-  | (?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|(?:sk|ghp)[-_][0-9A-Za-z]{20,})(?![0-9A-Za-z]))
+    (?P<email>(?u:(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+))
+  | (?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|(?:sk|ghp)[-_][0-9A-Za-z]{20,})(?![0-9A-Za-z]))
   | (?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))
   | (?P<ip>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))
-  | (?P<date>(?<![\d./-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?!\d|[./-]\d))
+  | (?P<date>(?<![\d./-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?!\d|[./-]\d)
+      |(?<![\d./-])\d{1,2}\.?[ ](?:de[ ])?"""
+    + _MONTH
+    + r"""\.?,?[ ](?:de[ ]|del[ ])?\d{4}(?!\d)
+      |(?u:(?<!\w))"""
+    + _MONTH
+    + r"""\.?[ ]\d{1,2},?[ ]\d{4}(?!\d))
   | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d))
   | (?P<phone>(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)
       |(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d|[.-]\d)
-      |(?<![\w(])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.+-])\d{3}(?P<s3>[ .-])\d{3}(?P=s3)\d{4}(?!\d|[.-]\d))
+      |(?<![\w(])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.+-])\d{3}(?P<s3>[ .-])\d{3}(?P=s3)\d{4}(?!\d|[.-]\d)
+      |(?<![\w.+/-])(?:\(0\d{1,5}\)|0\d{1,5})(?P<s4>[ ./-]{1,3})\d{2,9}(?:[ .-]\d{2,8}){0,4}(?!\d|[./-]\d)|(?<![\w.+/-])0[1-9]\d{8,9}(?!\d|[./-]\d)
+      |(?<![\w.+-])(?:[67]\d{2}|9\d{2})[ ]\d{3}[ ](?!000)\d{3}(?!\d|[ .,-]\d)|(?<![\w.+-])(?:[67]\d{2}|9\d{2})(?:[ ]\d{2}){3}(?!\d|[ .,-]\d)|(?<![\w.+-])9\d[ ]\d{3}(?:[ ]\d{2}){2}(?!\d|[ .,-]\d))
   | (?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))
     """,
     re.ASCII | re.VERBOSE,
@@ -40,14 +61,29 @@ PATTERN = re.compile(
 #: Every kind holds a digit or an @, or begins with one of these heads; the pattern is only tried near one.
 HEADS = ("AKIA", "sk-", "sk_", "ghp_", "ghp-")
 GATE, HEADED = re.compile("[0-9@]"), re.compile("[0-9@]|" + "|".join(HEADS))
-#: What can go on over the end of a window.
-RUNNING = re.compile("[0-9A-Za-z_.+@-]*")
+#: What can go on over either end of a window.
+RUNNING, RUNS = re.compile(r"[\w.+@-]*"), re.compile(r"[\w.+@-]+\Z")
 BEFORE, AFTER = 80, 300
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Longer strings are permuted in pieces of so many characters.
+PIECE = 128
 #: Dates stay within their span of so many years (1900 to 2099 is one).
 SPAN = 200
 
 
+@lru_cache(maxsize=1 << 14)
+def alphabet(c: str) -> str | None:
+    """The letters or digits that a character may become: of ASCII, those of its kind; of
+    other scripts, those of its kind in its block of 128 code points; None for other characters."""
+    for a in (DIGIT, LOWER, UPPER):
+        if c in a:
+            return a
+    if not c.isalnum():
+        return None
+    block = ord(c) >> 7 << 7
+    return "".join(x for x in map(chr, range(block, block + 128)) if unicodedata.category(x) == unicodedata.category(c) and ord(x) >= 128)
+
+
 class Pseudonyms:
     """Keyed permutations of numbers below a bound, and of the formats built on them."""
 
@@ -70,8 +106,20 @@ class Pseudonyms:
             if x < bound:
                 return x
 
+    def pieces(self, s: str, tweak: str, permuted) -> str:
+        """A long string, piece by piece: each is permuted under a tweak that holds a digest of
+        the string before it, so distinct strings stay distinct."""
+        before, out = hashlib.blake2b(digest_size=16), []
+        for at in range(0, len(s), PIECE):
+            part = s[at : at + PIECE]
+            out.append(permuted(part, f"{tweak}|{at}|{before.hexdigest()}"))
+            before.update(part.encode("utf-8", "surrogatepass"))
+        return "".join(out)
+
     def letters(self, s: str, alphabet: str, tweak: str) -> str:
         """A permutation of the strings of this length over an alphabet."""
+        if len(s) > PIECE:
+            return self.pieces(s, tweak, lambda part, t: self.letters(part, alphabet, t))
         n = 0
         for c in s:
             n = n * len(alphabet) + alphabet.index(c)
@@ -82,9 +130,12 @@ class Pseudonyms:
         return "".join(reversed(out))
 
     def classes(self, s: str, tweak: str) -> str:
-        """Permutes all lower-case letters, capitals and digits of a string, each within
-        its class and place; other characters stay."""
-        radix = [next((a for a in (DIGIT, LOWER, UPPER) if c in a), None) for c in s]
+        """Permutes all letters and digits of a string, each within its alphabet and place;
+        other characters stay.  A string of few letters may be its own pseudonym, as in
+        any permutation: one letter in 26."""
+        if len(s) > PIECE:
+            return self.pieces(s, tweak, self.classes)
+        radix = [alphabet(c) for c in s]
         n, bound = 0, 1
         for c, a in zip(s, radix):
             if a:
@@ -137,6 +188,8 @@ class Pseudonyms:
         same widths of day and month.  With the year last, a first number over 12 is a day
         and a second one over 12 too; where neither is, the pseudonym's numbers are up to 12
         too, so it is a date by either order."""
+        if not s.isascii() or re.search("[A-Za-z]", s):
+            return self.date_in_words(s)
         sep = next(c for c in s if c in "-/.")
         p = s.split(sep)
         kind, year, m, d = _layout(p)
@@ -156,6 +209,39 @@ class Pseudonyms:
             if [len(x) for x in out] == [len(x) for x in p] and _layout(out)[0] == kind:
                 return sep.join(out)
 
+    def date_in_words(self, s):
+        """Another date with its month in the same language and case, as many digits for the
+        day, and the same words and signs around."""
+        m = re.search(_MONTH, s)
+        word, numbers = m[0], list(re.finditer("[0-9]+", s))
+        lang, month = SPELT.get(word.lower(), (None, None))
+        if lang is None:
+            # of languages that share a name, the one whose case is the word's
+            lang, month = min(((k, names.index(n)) for k, names in MONTHS.items() for n in names if n.lower() == word.lower()), key=lambda x: (MONTHS[x[0]][x[1]] != word, list(MONTHS).index(x[0])))
+        d, y = (numbers[0], numbers[1]) if len(numbers[0][0]) <= 2 else (numbers[1], numbers[0])
+        try:
+            day = datetime.date(int(y[0]), month + 1, int(d[0])).toordinal()
+        except ValueError:
+            return None
+        low = max(1, (int(y[0]) - 1900) // SPAN * SPAN + 1900)
+        high = min(10_000, (int(y[0]) - 1900) // SPAN * SPAN + 1900 + SPAN)
+        begin = datetime.date(low, 1, 1).toordinal()
+        n, bound = day - begin, datetime.date(high - 1, 12, 31).toordinal() + 1 - begin
+        zero = d[0][0] == "0"
+        while True:  # all days, walked until the day has as many digits, or may have a zero before it, again
+            n = self.permute(n, bound, f"words{low}")
+            new = datetime.date.fromordinal(n + begin)
+            if (new.day < 10) == (int(d[0]) < 10):
+                break
+        name = MONTHS[lang][new.month - 1]
+        name = name.upper() if word.isupper() else name.lower() if word.islower() else name.capitalize() if word[0].isupper() else name
+        put = sorted(((d.span(), f"{new.day:02d}" if zero else str(new.day)), (m.span(), name), (y.span(), f"{new.year:04d}")))
+        out, at = [], 0
+        for (a, b), x in put:
+            out += [s[at:a], x]
+            at = b
+        return "".join(out) + s[at:]
+
     def ssn(self, s):
         area, group, serial = int(s[:3]), int(s[4:6]), int(s[7:])
         if area in (0, 666) or area >= 900 or group == 0 or serial == 0:
@@ -170,7 +256,8 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", s)
         if not 7 <= len(digits) <= 15:
             return None
-        keep = len(re.match(r"\+(\d{1,3})[ .(-]|", s)[1] or "")
+        # a country's number stays, and so does the trunk zero of a national one
+        keep = len(re.match(r"\+(\d{1,3})[ .(-]|\(?(0)|", s)[1] or re.match(r"\(?(0)|", s)[1] or "")
         return _like(s, digits[:keep] + self.letters(digits[keep:], DIGIT, "phone" + digits[:keep]))
 
     def card(self, s):
@@ -212,9 +299,20 @@ def _like(shape: str, flat: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in shape)
 
 
+def token_start(text: str, at: int, low: int) -> int:
+    """Where the token begins that runs over a place, looked for down to ``low``."""
+    step = 256
+    while at > low:
+        run = RUNS.search(text, max(low, at - step), at)
+        if run is None or run.start() > max(low, at - step):
+            return run.start() if run else at
+        at, step = run.start(), 2 * step
+    return at
+
+
 def matches(text: str):
     """Matches of the pattern, looked for only in the surroundings of digits, @ and heads of
-    secrets, up to the end of the token that runs there."""
+    secrets, from the begin to the end of the tokens that run there."""
     start, end = 0, -1
     for g in (HEADED if any(h in text for h in HEADS) else GATE).finditer(text):
         if g.start() - BEFORE > end >= 0:
@@ -223,6 +321,7 @@ def matches(text: str):
             if end >= 0:
                 yield from PATTERN.finditer(text, start, end)
             start = max(0, g.start() - BEFORE)
+            start = token_start(text, start, max(0, end))
         end = max(end, g.end() + AFTER)
     if end >= 0:
         yield from PATTERN.finditer(text, start, RUNNING.match(text, min(end, len(text))).end())
