@@ -66,6 +66,35 @@ def name_audit(text, given_names: Column | None = None) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def given_names(people: DataFrame, name: str, least: int = 3) -> DataFrame:
+    """``(nombre)``: the different first words of names, of ``least`` letters or more, in normal form."""
+    first = F.regexp_extract(F.col(name), r"(?U)[^\W\d_]+", 0)
+    return people.select(F.when(F.length(first) >= least, normalise(first)).alias("nombre")).filter("nombre is not null and nombre <> ''").distinct()
+
+
+class ResidualNamesError(ValueError):
+    """Redacted texts still hold names."""
+
+
+def residual_names(texts: DataFrame, key: str, text: str, given: DataFrame) -> DataFrame:
+    """``(key, kinds)`` of texts with a name that redaction has left: see :func:`name_audit`.
+    First words of name-like runs are looked up in ``given(nombre)`` by a join, so that table may have any size."""
+    firsts = F.transform(F.regexp_extract_all(F.col(text), F.lit(rf"(?U)\b({NAME})(?:\s+{NAME}){{2,4}}\b"), 1), normalise)
+    likely = texts.select(key, F.explode(firsts).alias("nombre")).join(given, "nombre", "left_semi").select(key, F.lit("nombre_probable").alias("kind"))
+    plain = texts.select(key, F.explode(name_audit(text)).alias("kind"))
+    return plain.unionByName(likely).groupBy(key).agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+
+
+def no_names_or_stop(texts: DataFrame, key: str, text: str, given: DataFrame, shown: int = 10) -> DataFrame:
+    """``texts``, if none holds a name; else :class:`ResidualNamesError` with their number and
+    the keys and kinds of some, never the texts.  It runs at once."""
+    found = residual_names(texts, key, text, given)
+    some = found.orderBy(key).limit(shown).collect()
+    if some:
+        raise ResidualNamesError(f"{found.count()} texts hold names: " + ", ".join(f"{r[key]} {r['kinds']}" for r in some))
+    return texts
+
+
 def publishable(df: DataFrame, name: str, mail: str, comment: str, clean: DataFrame, key: str) -> DataFrame:
     """A copy with names and addresses masked and the comment replaced by its redacted form
     of ``clean(key, comment)``; blanks stay blank.  Raises if a key has no redacted form."""

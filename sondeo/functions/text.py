@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: Answers that say nothing, compared in normal form.
 NON_ANSWERS = (
@@ -167,3 +169,22 @@ def date_range_label(first, last) -> Column:
 def version_key(text) -> Column:
     """``name-a.b.c`` as numbers to sort by."""
     return F.transform(F.split(F.regexp_extract(text, r"(\d+(?:\.\d+)*)$", 1), r"\."), lambda x: x.cast("int"))
+
+
+def canonical_json(column: Column, kind: DataType, separators: tuple[str, str] = (", ", ": ")) -> Column:
+    """A value of this type as JSON with sorted keys at every level and nulls kept: the same
+    text for equal values, whatever the order of fields.  For keys of stores, as its digest."""
+    item, colon = separators
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    if isinstance(kind, StructType):
+        each = [F.concat(F.lit(f"{json.dumps(f.name, ensure_ascii=False)}{colon}"), canonical_json(column[f.name], f.dataType, separators)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        out = F.concat(F.lit("{"), F.concat_ws(item, *each), F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: canonical_json(x, kind.elementType, separators)), item), F.lit("]"))
+    elif isinstance(kind, MapType):
+        pair = lambda e: F.concat(quoted(e["key"].cast("string")), F.lit(colon), canonical_json(e["value"], kind.valueType, separators))
+        keys = F.array_sort(F.map_keys(column))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: pair(F.struct(k.alias("key"), F.try_element_at(column, k).alias("value")))), item), F.lit("}"))
+    else:
+        out = quoted(column)
+    return F.coalesce(F.when(column.isNull(), "null").otherwise(out), F.lit("null"))

@@ -28,6 +28,11 @@ def json_lines(rows: DataFrame, line: str, ddl: str) -> DataFrame:
     return rows.filter(F.trim(F.col(line)) != "").select(F.from_json(line, ddl).alias("o")).select("o.*")
 
 
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    """Each row as a line of JSON, nulls too, added to what is there."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
 def sections(lines: DataFrame, doc: str | None = None) -> DataFrame:
     """``lines(at, line)`` (of each ``doc``) -> ``(numero, nombre, linea_ini, linea_fin,
     cuerpo)`` of its sections ``## N. Name``.  A section ends before the next line that begins

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from parity import compare
 
-from sondeo import registry, registry_flow, registry_models  # noqa: F401  (these add to the registry)
+from sondeo import registry, registry_flow, registry_models, registry_reports  # noqa: F401  (these add to the registry)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
