@@ -5,8 +5,14 @@ functions (no shuffle).  Transformed statistics of the rows that pass the base r
 judged within their language and source by a minimum-covariance-determinant estimate.  It is
 found by concentration steps (mean and covariance of the ``share`` of rows nearest so far,
 distances from them, the nearest rows again) from two deterministic starts, until no
-determinant changes any more; the start with the least determinant counts.  A row whose
-squared Mahalanobis distance is beyond the cutoff is rejected.
+determinant changes any more; the start with the least determinant counts.
+
+The distances of real texts have heavier tails than a chi-square variable, as in short ones a
+single number or name moves a share a good deal.  So the cutoff is taken from the distances
+themselves, without any label: the fence of a box plot of their logarithms over all rows
+(upper quartile plus one and a half interquartile ranges), never below the 0.9999 quantile of
+chi-square (23.5), which it comes near to for normal data (25).  A quarter of the rows can
+be junk without moving it much.
 
 The statistics vary in clean text and are correlated there (longer words go with more
 different ones), so the covariance decides how far is far.  A group's estimate is blended
@@ -43,9 +49,12 @@ FEATURES = (
 DIM = len(FEATURES)
 #: The least spread of a statistic, where all rows agree.
 LEAST_SPREAD = 1e-3
-#: Far beyond the 0.9999 quantile of a chi-square variable with DIM degrees of freedom
-#: (23.5): in short texts a single number, address or name moves a share a good deal.
-CUTOFF = 150.0
+#: The 0.9999 quantile of a chi-square variable with DIM degrees of freedom: no cutoff is below it.
+LEAST_CUTOFF = 23.5
+#: Interquartile ranges of the log distances beyond their upper quartile: the usual fence of a box plot.
+FENCE = 1.5
+#: Groups whose parameters are broadcast, some hundred bytes each; with more groups they are shuffled.
+MOST_GROUPS = 100_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_letters", "n_capitals", "n_plain", "n_distinct", "n_repeat_words")
 
 
@@ -138,47 +147,60 @@ def _estimate(nearest: DataFrame, spread: DataFrame, share: float, prior: float)
     return _factored(out).select("level", "grp", "start", *M, *L, "logdet")
 
 
-def outlier_distances(rows: DataFrame, features: tuple = FEATURES, lang: str = "lang", source: str = "source", share: float = 0.5, prior: float = 50.0, most_steps: int = 20, tolerance: float = 0.01) -> DataFrame:
+def outlier_distances(rows: DataFrame, features: tuple = FEATURES, lang: str = "lang", source: str = "source", share: float = 0.5, prior: float = 50.0, most_steps: int = 100, tolerance: float = 0.01) -> DataFrame:
     """``rows`` with ``d2``, the squared Mahalanobis distance of the transformed statistics
     from the minimum-covariance-determinant estimate of the row's language and source.  A
     null language or source is a group like any other.  Steps go on until no log determinant
-    changes by ``tolerance``.  An empty table gives no rows."""
+    changes by ``tolerance``; determinants only fall, so that is some ten, and after
+    ``most_steps`` an error is raised.  An empty table gives no rows."""
     key = lambda level, *c: F.to_json(F.struct(F.lit(level).alias("level"), *(F.col(f"`{x}`").cast("string").alias(f"k{i}") for i, x in enumerate(c))))
     at = [F.lit("all"), key(1, lang), key(2, lang, source)]
     value = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), at[2].alias("grp"), F.array(*(F.struct(F.lit(i).alias("level"), a.alias("grp"), (at[i - 1] if i else F.lit("")).alias("parent")) for i, a in enumerate(at))).alias("groups"), *(F.expr(e).cast("double").alias(x) for e, x in zip(features, X)))
     value = staged(value, "transformed")
     only = value.select(F.inline("groups"), *X)
     centre = staged(only.groupBy("level", "grp").agg(*(_quantile(x, 0.5).alias(m) for x, m in zip(X, M))), "centres")
-    spread = only.join(centre.drop("level"), "grp").groupBy("level", "grp").agg(F.count("*").alias("n"), *(F.max(m).alias(m) for m in M), *(F.greatest(_quantile(F.abs(F.col(x) - F.col(m)), 0.5) * 1.4826, F.lit(LEAST_SPREAD)).alias(f"s{i}") for i, (x, m) in enumerate(zip(X, M))))
+    small = centre.count() <= MOST_GROUPS
+    sent = F.broadcast if small else lambda df: df  # one row a group, and as many in every table of parameters
+    spread = only.join(sent(centre.drop("level")), "grp").groupBy("level", "grp").agg(F.count("*").alias("n"), *(F.max(m).alias(m) for m in M), *(F.greatest(_quantile(F.abs(F.col(x) - F.col(m)), 0.5) * 1.4826, F.lit(LEAST_SPREAD)).alias(f"s{i}") for i, (x, m) in enumerate(zip(X, M))))
     spread = staged(spread, "spreads")
     base = spread.filter("level = 0").select(*(F.col(c).alias(f"all_{c}") for c in (*M, *(f"s{i}" for i in range(DIM)))))
     blend = lambda c: (F.col("n") * F.col(c) + prior * F.col(f"all_{c}")) / (F.col("n") + prior)
     begin = spread.join(base).select("grp", *(blend(c).alias(c) for c in (*M, *(f"s{i}" for i in range(DIM)))))  # base is one row
     z = [(F.col(X[i]) - F.col(M[i])) / F.col(f"s{i}") for i in range(DIM)]
     starts = F.array(F.struct(F.lit(0).alias("start"), _total(v * v for v in z).alias("d2")), F.struct(F.lit(1).alias("start"), F.greatest(*(F.abs(v) for v in z)).alias("d2")))
-    near, model = only.join(begin, "grp").select("level", "grp", "parent", *X, F.inline(starts)), None
+    near, model = only.join(sent(begin), "grp").select("level", "grp", "parent", *X, F.inline(starts)), None
     for _ in range(most_steps):
         cut = staged(near.groupBy("grp", "start").agg(_quantile("d2", share).alias("cut")), "cuts")
-        last, model = model, staged(_estimate(near.join(cut, ["grp", "start"]).filter("d2 <= cut"), spread, share, prior), "estimates")
-        near = only.join(model.drop("level"), "grp").withColumn("d2", _distance())
+        last, model = model, staged(_estimate(near.join(sent(cut), ["grp", "start"]).filter("d2 <= cut"), spread, share, prior), "estimates")
+        near = only.join(sent(model.drop("level")), "grp").withColumn("d2", _distance())
         if last is not None:
             moved = model.join(last.select("grp", "start", F.col("logdet").alias("before")), ["grp", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
             if moved is None or moved < tolerance:
                 break
+    else:
+        raise ArithmeticError(f"no stable estimate after {most_steps} steps")
     best = model.groupBy("grp").agg(F.min_by(F.struct(*M, *L), F.struct("logdet", "start")).alias("best")).select("grp", "best.*")
-    return value.join(best, "grp").select("row.*", _distance().alias("d2"))
+    return value.join(sent(best), "grp").select("row.*", _distance().alias("d2"))
+
+
+def cutoff_of(distances: DataFrame, fence: float = FENCE) -> DataFrame:
+    """One row ``cutoff``: the fence of the log distances, LEAST_CUTOFF at least."""
+    q = distances.agg(*(_quantile(F.ln(F.greatest("d2", F.lit(1e-12))), x).alias(n) for n, x in (("low", 0.25), ("high", 0.75))))
+    return q.select(F.greatest(F.lit(LEAST_CUTOFF), F.coalesce(F.exp(F.col("high") + fence * (F.col("high") - F.col("low"))), F.lit(LEAST_CUTOFF))).alias("cutoff"))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, cutoff: float = CUTOFF, **how) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 50, cutoff: float | None = None, **how) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, counts of :func:`statistics`,
     ``base_failed`` (under ``min_words`` words, or over half of the words in repeated
-    three-word windows), ``d2`` (null where the base rules failed) and ``kept``.
+    three-word windows), ``d2`` (null where the base rules failed) and ``kept``: ``d2`` is
+    ``cutoff`` at most (None: the fence of the distances, see :func:`cutoff_of`).
 
     A null or empty text has no words and fails.  Repeated rows and null doc_ids are judged
     like any other row; further columns are ignored; an empty table gives no rows."""
     stats = statistics(docs.select(F.col("doc_id").cast("long"), F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = staged(stats.withColumn("base_failed", failed), "statistics")
-    passed = outlier_distances(stats.filter("not base_failed"), **how)
-    out = passed.unionByName(stats.filter("base_failed").withColumn("d2", F.lit(None).cast("double")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(~F.col("base_failed") & (F.col("d2") <= cutoff), F.lit(False)).alias("kept"), "d2")
+    passed = staged(outlier_distances(stats.filter("not base_failed"), **how), "distances")
+    bound = cutoff_of(passed) if cutoff is None else docs.sparkSession.range(1).select(F.lit(float(cutoff)).alias("cutoff"))
+    out = passed.unionByName(stats.filter("base_failed").withColumn("d2", F.lit(None).cast("double"))).crossJoin(F.broadcast(bound))  # one row
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(~F.col("base_failed") & (F.col("d2") <= F.col("cutoff")), F.lit(False)).alias("kept"), "d2")
