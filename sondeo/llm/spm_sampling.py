@@ -14,6 +14,8 @@ become byte pieces, so decoding gives back every text exactly.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, batches_of_texts, extended, free_name, mix, powers
 
 MARK = "▁"
+#: Longer units are gone through in blocks of this many code points.
+LONG_UNIT = 1 << 14
 _CHAR_MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -32,6 +36,7 @@ class Lattice:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self.long_unit = LONG_UNIT
         self.piece = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if sp.is_byte(i)}
         of_byte = {i: bytes([b]) for b, i in self.byte.items()}
@@ -110,6 +115,11 @@ class Lattice:
         i = 0
         while i < len(unit_at):
             n = int(unit_len[i])
+            if n > self.long_unit:
+                use = members[unit_at[i] : unit_end[i]]
+                self._sample_long(cp[first[use[0]] : first[use[0]] + n], use, draw, out_ids, out_unit, out_pos)
+                i += 1
+                continue
             j = min(int(np.searchsorted(unit_len, n, side="right")), i + max(1, (1 << 17) // n))
             use = slice(unit_at[i], unit_end[j - 1])
             self._sample_units(cp, first[members[unit_at[i:j]]], n, members[use], row[use] - i, draw, out_ids, out_unit, out_pos)
@@ -194,6 +204,79 @@ class Lattice:
             going = lasting > 0
             at, who, r, step = lasting[going], who[going], r[going], step + 1
 
+    def _block(self, cp, low, high, before):
+        """Of a block's ends low + 1 to high: where each one's arcs begin in the lists of
+        lengths, ids and weights; forward sums from ``longest`` places before the block on, as
+        (value, power of two), so that sums of any size are exact relative to each other."""
+        base = max(0, low - self.longest)
+        ids = self.arcs(cp[base:high])[low - base + 1 :]
+        lone = ids[:, 0] < 0  # a character without a piece
+        end, n = np.nonzero(ids >= 0)
+        end, n, got = np.concatenate([end, np.flatnonzero(lone)]), np.concatenate([n + 1, np.ones(int(lone.sum()), int)]), np.concatenate([ids[end, n], np.full(int(lone.sum()), -1, np.int32)])
+        order = np.lexsort((n, end))
+        at = np.searchsorted(end[order], np.arange(high - low + 1)).tolist()
+        n, got = n[order].tolist(), got[order]
+        w = np.where(got < 0, self.byte_weight, self.weight[got]).tolist()
+        value, power = ([x for x, _ in before], [p for _, p in before])
+        shift, now = len(before), before[-1][1]
+        for e in range(high - low):
+            total = 0.0
+            for i in range(at[e], at[e + 1]):
+                j = shift + e - n[i]
+                v = value[j]
+                if power[j] != now:
+                    v = math.ldexp(v, power[j] - now)
+                total += w[i] * v
+            if total < 1e-150:
+                now -= 400
+                total = math.ldexp(total, 400)
+            value.append(total)
+            power.append(now)
+        return at, n, got.tolist(), w, value, power
+
+    def _sample_long(self, cp, use, draw, out_ids, out_unit, out_pos):
+        """The same two passes over one unit too long for tables: forward by blocks, of which
+        only the last few sums before each are kept, then backward from block to block, whose
+        sums are made again from these.  Memory follows the block, time the unit."""
+        size, k = len(cp), self.longest
+        lows = list(range(0, size, LONG_UNIT))
+        kept, before = [], [(1.0, 0)]
+        for low in lows:
+            kept.append(before)
+            *_, value, power = self._block(cp, low, min(size, low + LONG_UNIT), before)
+            before = list(zip(value[-k:], power[-k:]))
+        at, step, base = [size] * len(use), [0] * len(use), [int(draw[u]) for u in use]
+        found = [([], []) for _ in use]
+        for low, before in zip(reversed(lows), reversed(kept)):
+            arc, n, ids, w, value, power = self._block(cp, low, min(size, low + LONG_UNIT), before)
+            shift = len(before)
+            for m, (got, places) in enumerate(found):
+                e, s = at[m], step[m]
+                # the draws of all steps that the block may have
+                many = np.uint64(base[m]) + np.arange(s + 1, s + 2 + e - low, dtype=np.uint64) * GOLDEN
+                draws = ((mix(many) >> np.uint64(40)) / float(1 << 24)).tolist()
+                first = s
+                while e > low:
+                    i, stop, now = arc[e - low - 1], arc[e - low], power[shift + e - low - 2]
+                    parts = [w[j] * math.ldexp(value[shift + e - low - 1 - n[j]], power[shift + e - low - 1 - n[j]] - now) for j in range(i, stop)]
+                    left = draws[s - first] * sum(parts)
+                    last = i
+                    for j, p in zip(range(i, stop), parts):
+                        if p > 0:
+                            last = j
+                            left -= p
+                            if left < 0:
+                                break
+                    e -= n[last]
+                    got.append(ids[last])
+                    places.append(e)
+                    s += 1
+                at[m], step[m] = e, s
+        for u, (got, places) in zip(use, found):
+            out_ids.append(np.array(got, np.int32))
+            out_unit.append(np.full(len(got), u))
+            out_pos.append(np.array(places))
+
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The texts of sequences of piece ids that lie one after another up to ``ends``."""
         size = self.piece_size[ids]

@@ -104,3 +104,59 @@ def test_long_tokens_cost_linear_time():
         began = time.time()
         list(pii.matches(text))
         assert time.time() - began < 20, text[:4]
+
+
+# ---- long unbroken texts -----------------------------------------------------------------------
+def test_long_units_have_the_same_frequencies(monkeypatch):
+    import numpy as np
+
+    from sondeo.llm import queries, spm_sampling
+
+    lat = spm_sampling.Lattice(queries.piece_model())
+    monkeypatch.setattr(spm_sampling, "LONG_UNIT", 5)  # blocks of five, so that pieces cross them
+    word, n = "thereforeunderstandable😀x", 4000
+    keys = np.arange(n, dtype=np.uint64)
+    want = Counter(map(tuple, np.split(*(lambda r: (r[0], np.cumsum(r[1])[:-1]))(lat.sample([word.encode()] * n, keys, 3)))))
+    lat.long_unit = 8
+    got = Counter(map(tuple, np.split(*(lambda r: (r[0], np.cumsum(r[1])[:-1]))(lat.sample([word.encode()] * n, keys, 3)))))
+    # the same draws meet the same sums, so only rounding can tell the two ways apart
+    assert sum((got & want).values()) >= 0.999 * n
+
+
+def test_a_text_without_spaces_takes_linear_time_and_bounded_tables():
+    import time
+    import tracemalloc
+
+    import numpy as np
+
+    from sondeo.llm import queries, spm_sampling
+
+    lat = spm_sampling.Lattice(queries.piece_model())
+    rng, took = np.random.default_rng(0), []
+    for size in (200_000, 800_000):
+        text = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)[rng.integers(0, 64, size)].tobytes()
+        tracemalloc.start()
+        began = time.time()
+        ids, n = lat.sample([text], np.zeros(1, np.uint64), 1)
+        took.append(time.time() - began)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert lat.decode(ids, np.cumsum(n)) == [text.decode()] and peak < 250 * size
+    assert took[1] < 8 * took[0]
+
+
+# ---- the cutoff of the outlier rule ------------------------------------------------------------
+def test_cutoff_is_the_fence(spark):
+    import numpy as np
+
+    from sondeo.llm import quality_rules
+
+    rng = np.random.default_rng(0)
+    clean = rng.chisquare(4, 20_000)
+    for junk in (0, 2000, 4000):
+        d2 = np.concatenate([clean, np.full(junk, 1e4)])
+        got = quality_rules.cutoff_of(spark.createDataFrame([(float(x),) for x in d2], "d2 double")).first().cutoff
+        a, b = np.quantile(np.log(d2), [0.25, 0.75])
+        assert got == pytest.approx(np.exp(b + 1.5 * (b - a)), rel=0.02) and 20 < got < 100
+    assert quality_rules.cutoff_of(spark.createDataFrame([], "d2 double")).first().cutoff == quality_rules.LEAST_CUTOFF
+    assert quality_rules.cutoff_of(spark.createDataFrame([(0.0,), (0.0,)], "d2 double")).first().cutoff == quality_rules.LEAST_CUTOFF
