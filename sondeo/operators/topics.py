@@ -44,6 +44,26 @@ def npmi(words: DataFrame, counts: DataFrame, cluster: str, key: str) -> DataFra
     return rows.agg(F.avg(value).alias("npmi"))
 
 
+def npmi_of_rows(words: DataFrame, docs: DataFrame, cluster: str, tokens: str) -> DataFrame:
+    """:func:`npmi` from each text's array of tokens: a text is reduced in its row to those of
+    the few words (some ten for each cluster, one broadcast row) that it has, so its tokens are
+    not shuffled.  A text without tokens doesn't count."""
+    asked = words.agg(F.collect_set("term").alias("_asked"))
+    own = docs.filter(F.size(tokens) > 0).crossJoin(F.broadcast(asked)).select(F.array_sort(F.array_intersect(F.array_distinct(tokens), "_asked")).alias("t"))  # one row
+    each = F.transform("t", lambda a, i: F.transform(F.slice(F.col("t"), i + 2, F.size("t")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    kinds = F.concat(F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b"))), F.transform("t", lambda x: F.struct(x.alias("a"), F.lit("").alias("b"))), F.flatten(each))
+    counts = own.select(F.inline(kinds)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    n = counts.filter("a = ''").select(F.col("n").alias("n_docs"))
+    df = counts.filter("a <> '' and b = ''").select(F.col("a").alias("term"), F.col("n").alias("df"))
+    both = counts.filter("b <> ''").select("a", "b", F.col("n").alias("both"))
+    w = words.select(cluster, "term")
+    pairs = w.toDF(cluster, "a").join(w.toDF(cluster, "b"), cluster).filter("a < b")
+    rows = pairs.join(both, ["a", "b"], "left").join(df.toDF("a", "da"), "a").join(df.toDF("b", "db"), "b").crossJoin(F.broadcast(n))  # n is one row
+    pij = F.coalesce("both", F.lit(0)) / F.col("n_docs")
+    value = F.when(pij == 0, -1.0).when(pij == 1, 1.0).otherwise(F.ln(pij * F.col("n_docs") * F.col("n_docs") / (F.col("da") * F.col("db"))) / -F.ln(pij))
+    return rows.agg(F.avg(value).alias("npmi"))
+
+
 def diversity(words: DataFrame) -> DataFrame:
     return words.agg((F.count_distinct("term") / F.count("*")).alias("diversity"))
 
@@ -96,6 +116,15 @@ def vocabulary(counts: DataFrame, key: str, large: int = 100) -> DataFrame:
     return df.join(F.broadcast(n)).filter(F.col("df") >= F.when(F.col("docs") >= large, 2).otherwise(1)).select("term", "df")  # n is one row
 
 
+def vocabulary_of_rows(docs: DataFrame, tokens: str, large: int = 100) -> DataFrame:
+    """:func:`vocabulary` from each text's array of tokens, of which each different one counts
+    once; a text without tokens doesn't count."""
+    some = docs.filter(F.size(tokens) > 0)
+    n = some.agg(F.count("*").alias("docs"))
+    df = some.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.join(F.broadcast(n)).filter(F.col("df") >= F.when(F.col("docs") >= large, 2).otherwise(1)).select("term", "df")  # n is one row
+
+
 def nearest_elsewhere(cents: DataFrame, label: str, group: str, k: int = 2) -> DataFrame:
     """``(a, b, sim, rank)``: the k nearest centroids of other groups.  There is one centroid
     a topic, some hundreds at most, so all pairs are looked at."""

@@ -57,6 +57,17 @@ def scores(spark, d) -> DataFrame:
     return themes.lexical_scores(comments(spark, d), THEMES, "text", "doc_id", "lang")
 
 
+def scored(spark, d) -> DataFrame:
+    """The scores of every comment with its language and source, written: what several branches
+    of a report read is made in one pass over the texts."""
+    return written(themes.lexical_scores(comments(spark, d), THEMES, "text", "doc_id", "lang", "source"), "scores")
+
+
+def items_of(scored: DataFrame) -> DataFrame:
+    """The comments of a table of scores, one row each."""
+    return scored.filter("ord = 0").select("doc_id", "lang", "source")
+
+
 def facts(spark, d) -> DataFrame:
     return scores(spark, d).filter(F.col("p") >= themes.TAU)
 
@@ -237,9 +248,9 @@ def w04_saturation(spark, d):
 SQL_CELLS = f"{SQL_FACTS}, i AS (SELECT doc_id, lang, source FROM documents WHERE ({SQL_NOISE}) IS NULL), k AS (SELECT lang, source, tema FROM (SELECT DISTINCT lang FROM i) CROSS JOIN (SELECT DISTINCT source FROM i) CROSS JOIN themes), cells AS (SELECT k.*, coalesce(a.N, 0) AS N_, coalesce(b.n, 0) AS n FROM k LEFT JOIN (SELECT lang, source, count(*) AS N FROM i GROUP BY ALL) a USING (lang, source) LEFT JOIN (SELECT i.lang, i.source, tema, count(*) AS n FROM facts JOIN i USING (doc_id) GROUP BY ALL) b USING (lang, source, tema))"
 
 
-def _cells(spark, d):
-    items = comments(spark, d).select("doc_id", "lang", "source")
-    return survey.cells(facts(spark, d).select("doc_id", "tema"), items, ["lang", "source"], "doc_id", "tema", theme_frame(spark).select("tema"))
+def _cells(spark, d, s=None):
+    s = scored(spark, d) if s is None else s
+    return survey.cells(s.filter(F.col("p") >= themes.TAU).select("doc_id", "tema"), items_of(s), ["lang", "source"], "doc_id", "tema", theme_frame(spark).select("tema"))
 
 
 @query(f"WITH {SQL_CELLS} SELECT lang, source, tema, N_ AS filas, n, round(CASE WHEN N_ > 0 THEN 100.0 * n / N_ END, 6) AS pct FROM cells")
@@ -249,9 +260,10 @@ def a14_j09_cells(spark, d):
 
 @query(f"WITH {SQL_CELLS}, w AS (SELECT tema, 100.0 * count(*) / (SELECT count(*) FROM i) AS weight FROM facts GROUP BY tema) SELECT lang, source, tema FROM cells JOIN w USING (tema) WHERE N_ >= 5 AND n = 0 AND weight >= 15")
 def p12_zero_cells(spark, d):
-    n = comments(spark, d).agg(F.count("*").alias("all"))
-    w = facts(spark, d).groupBy("tema").agg(F.count("*").alias("k")).join(F.broadcast(n)).select("tema", (100.0 * F.col("k") / F.col("all")).alias("weight"))
-    return survey.zero_cells(_cells(spark, d), w, "tema").select("lang", "source", "tema")
+    s = scored(spark, d)
+    n = items_of(s).agg(F.count("*").alias("all"))
+    w = s.filter(F.col("p") >= themes.TAU).groupBy("tema").agg(F.count("*").alias("k")).join(F.broadcast(n)).select("tema", (100.0 * F.col("k") / F.col("all")).alias("weight"))
+    return survey.zero_cells(_cells(spark, d, s), w, "tema").select("lang", "source", "tema")
 
 
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NULL AS solo_etiqueta FROM documents a FULL JOIN (SELECT doc_id + 5 AS doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")
@@ -353,25 +365,34 @@ def m17_w07_bh(spark, d):
 SQL_TERMS = f"terms AS (SELECT doc_id, lang, term, count(*) AS n FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS term FROM documents) WHERE length(term) >= 3 GROUP BY ALL), per AS (SELECT lang, term, sum(n) n FROM terms GROUP BY ALL), tot AS (SELECT lang, sum(n) words FROM per GROUP BY lang), uses AS (SELECT term, sum(n) uses FROM per GROUP BY term), sc AS (SELECT lang, term, n::BIGINT AS n, round(n/words*ln(1+(SELECT sum(words)/count(*) FROM tot)/uses), 12) AS score FROM per JOIN tot USING (lang) JOIN uses USING (term)), top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS rank FROM sc QUALIFY rank <= 10)"
 
 
-def _terms(spark, d):
+def _words(spark, d):
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0), lambda w: F.length(w) >= 3)
-    return written(topics.term_counts(table(spark, d, "documents").select("doc_id", "lang", words.alias("w")), "doc_id", "lang", "w"), "terms")
+    return table(spark, d, "documents").select("doc_id", "lang", words.alias("w"))
+
+
+def _class_terms(spark, d):
+    """Uses of each term in each class: the counts of a task shrink to its vocabulary before
+    they are shuffled."""
+    return _words(spark, d).select("lang", F.explode("w").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+
+
+def _top_words(spark, d):
+    return topics.class_tfidf(written(_class_terms(spark, d), "terms"), "lang")
 
 
 @query(f"WITH {SQL_TERMS} SELECT lang, rank, term, n, round(score, 9) AS score FROM top")
 def v02_v03_class_tfidf(spark, d):
-    return topics.class_tfidf(_terms(spark, d), "lang").withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 9))
+    return _top_words(spark, d).withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {SQL_TERMS} SELECT round(count(DISTINCT term) / count(*), 6) AS diversity FROM top")
 def v05_diversity(spark, d):
-    return topics.diversity(topics.class_tfidf(_terms(spark, d), "lang")).select(r6("diversity").alias("diversity"))
+    return topics.diversity(_top_words(spark, d)).select(r6("diversity").alias("diversity"))
 
 
 @query(f"WITH {SQL_TERMS}, u AS (SELECT DISTINCT doc_id, term FROM terms WHERE term IN (SELECT term FROM top)), n AS (SELECT count(DISTINCT doc_id)::DOUBLE nd FROM terms), df AS (SELECT term, count(*) df FROM u GROUP BY term), b AS (SELECT x.term a, y.term b, count(*) c FROM u x JOIN u y USING (doc_id) WHERE x.term < y.term GROUP BY ALL), v AS (SELECT coalesce(c, 0)/nd AS pij, nd, x.df da, y.df db FROM top p JOIN top q ON p.lang = q.lang AND p.term < q.term CROSS JOIN n LEFT JOIN b ON b.a = p.term AND b.b = q.term JOIN df x ON x.term = p.term JOIN df y ON y.term = q.term) SELECT round(avg(CASE WHEN pij = 0 THEN -1 WHEN pij = 1 THEN 1 ELSE ln(pij*nd*nd/(da*db))/-ln(pij) END), 6) AS npmi FROM v")
 def v04_npmi(spark, d):
-    terms = _terms(spark, d)
-    return topics.npmi(topics.class_tfidf(terms, "lang"), terms, "lang", "doc_id").select(r6("npmi").alias("npmi"))
+    return topics.npmi_of_rows(written(_top_words(spark, d), "top"), _words(spark, d), "lang", "w").select(r6("npmi").alias("npmi"))
 
 
 SQL_CENT = "m AS (SELECT label, i, avg(v::DOUBLE) v FROM (SELECT label, unnest(embedding) v, unnest(range(len(embedding))) i FROM embeddings) GROUP BY ALL), nn AS (SELECT label, sqrt(sum(v*v)) nn FROM m GROUP BY label), e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE x, unnest(range(len(embedding))) i FROM embeddings), a AS (SELECT e.vec_id, e.label, sum(e.x * m.v / nn) AS af FROM e JOIN m ON m.label = e.label AND m.i = e.i JOIN nn ON nn.label = e.label GROUP BY ALL)"

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .functions import privacy, stats
 from .functions import text as T
 from .operators import flow, survey, themes, topics
-from .registry import NAMES, SQL_CELLS, SQL_FACTS, SQL_NOISE, SQL_SCORES, SQL_TERMS, THEMES, _cells, _terms, comments, facts, query, r6, scores, sql_normal, table
+from .registry import NAMES, SQL_CELLS, SQL_FACTS, SQL_NOISE, SQL_SCORES, SQL_TERMS, THEMES, _cells, _top_words, _words, comments, facts, items_of, query, r6, scored, scores, sql_normal, table
 from .sources import documents as sources
+from .sources.tables import written
 
 TAU = themes.TAU
 COMPONENTS = ["palabras de paso", "lugares y tiempos", "origen y materia"]
@@ -81,7 +82,7 @@ r AS (SELECT {_LABEL} || CASE WHEN len(otros) > 0 THEN ' (también: ' || array_t
 SELECT row_number() OVER (ORDER BY cls, pos, n DESC, ord) AS orden, componente, tema, n, round(k/total, 6) AS share, {SQL_LO} AS lo, {SQL_HI} AS hi, round(mp, 6) AS mean_p, best, (SELECT {_PCT} FROM (SELECT x0 * 100 AS x)) AS best_p, sin_tema FROM r, n, s, {SQL_Z}
 UNION ALL SELECT (SELECT count(*) FROM lista) + row_number() OVER (ORDER BY i), c, '(ningún comentario)', 0, 0, NULL, NULL, NULL, NULL, NULL, sin_tema FROM (SELECT unnest({COMPONENTS}) AS c, unnest(range({len(COMPONENTS)})) AS i), s WHERE c NOT IN (SELECT componente FROM lista) AND c NOT IN (SELECT unnest(otros) FROM lista)""")
 def r01_theme_report(spark, d):
-    return flow.theme_report(theme_list(spark), scores(spark, d), "doc_id", COMPONENTS, ANCHORS)
+    return flow.theme_report(theme_list(spark), scored(spark, d), "doc_id", COMPONENTS, ANCHORS)
 
 
 @query(f"""WITH {SQL_ALL}, b AS (SELECT doc_id, s.tema, p, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, s.ord) AS r FROM scores s)
@@ -97,10 +98,10 @@ def r02_classification(spark, d):
 SQL_CODING = "coding AS (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN list_append(t, 'otro') ELSE t END AS temas FROM (SELECT i.doc_id, coalesce(list(tema) FILTER (tema IS NOT NULL), []) AS t FROM items i LEFT JOIN facts USING (doc_id) GROUP BY ALL) WHERE doc_id % 50 <> 0 UNION ALL SELECT -1, []::VARCHAR[] UNION ALL SELECT -1, []::VARCHAR[])"
 
 
-def _coding(spark, d):
-    sets = facts(spark, d).groupBy("doc_id").agg(F.collect_list("tema").alias("t"))
+def _coding(spark, d, s):
+    sets = s.filter(F.col("p") >= TAU).groupBy("doc_id").agg(F.collect_list("tema").alias("t"))
     none = F.array().cast("array<string>")
-    own = comments(spark, d).select("doc_id").join(sets, "doc_id", "left").withColumn("t", F.coalesce("t", none)).filter("doc_id % 50 <> 0")
+    own = items_of(s).select("doc_id").join(sets, "doc_id", "left").withColumn("t", F.coalesce("t", none)).filter("doc_id % 50 <> 0")
     own = own.select("doc_id", F.when(F.col("doc_id") % 97 == 0, F.array_append("t", F.lit("otro"))).otherwise(F.col("t")).alias("temas"))
     return own.unionByName(spark.range(2).select(F.lit(-1).cast("long").alias("doc_id"), none.alias("temas")))
 
@@ -117,7 +118,9 @@ UNION ALL SELECT 'small_outside', 'list', count(*)::VARCHAR FROM so WHERE small
 UNION ALL SELECT 'too_small', tema, n::VARCHAR FROM so WHERE n < CASE WHEN critico THEN 0 WHEN componente = '{themes.GENERAL}' OR small THEN 2 ELSE greatest(3, ceil(total * 0.05)) END
 UNION ALL SELECT 'overlap', a || '~' || b, printf('%.4f', j) FROM (SELECT x.tema AS a, y.tema AS b, count(*) / (max(nx.n) + max(ny.n) - count(*)) AS j FROM f x JOIN f y USING (doc_id) JOIN sz nx ON nx.tema = x.tema JOIN sz ny ON ny.tema = y.tema WHERE x.tema < y.tema GROUP BY ALL) WHERE j > 0.5""")
 def q02_list_violations(spark, d):
-    return themes.list_violations(theme_list(spark), _coding(spark, d), comments(spark, d).select("doc_id"), "doc_id", COMPONENTS, SECTION)
+    s = scored(spark, d)
+    coding = written(_coding(spark, d, s), "coding")
+    return themes.list_violations(theme_list(spark), coding, items_of(s).select("doc_id"), "doc_id", COMPONENTS, SECTION)
 
 
 SQL_SIGNED = f"{SQL_TERMS}, model AS (SELECT lang, string_agg(term, ', ' ORDER BY rank) FILTER (rank <= 5) AS firma, string_agg(term, ', ' ORDER BY rank) FILTER (rank <= 3) AS tres FROM top GROUP BY lang)"
@@ -127,7 +130,7 @@ SQL_SAVED = "saved AS (SELECT v.lang, nombre, CASE WHEN good THEN firma ELSE 'vi
 
 
 def _model(spark, d):
-    return flow.signatures(topics.class_tfidf(_terms(spark, d), "lang"), "lang")
+    return written(flow.signatures(_top_words(spark, d), "lang"), "model")
 
 
 def _saved(spark, model):
@@ -190,9 +193,10 @@ UNION ALL SELECT 'rows', 'scores', (SELECT count(DISTINCT doc_id) FROM sc)::VARC
 UNION ALL SELECT 'zero_cell', lang || '|' || source || '|' || tema, '' FROM z
 UNION ALL SELECT 'too_small', tema, count(doc_id)::VARCHAR FROM lista LEFT JOIN facts USING (tema) WHERE NOT critico GROUP BY tema HAVING count(doc_id) < 3""")
 def q05_coherence_gate(spark, d):
-    s = scores(spark, d).filter("doc_id % 307 <> 1").withColumn("p", F.when((F.col("doc_id") % 211 == 0) & (F.col("tema") == "lugar"), F.lit(None)).otherwise(F.col("p")))
-    f = facts(spark, d)
-    return flow.coherence_violations(s, f, comments(spark, d).select("doc_id", "lang", "source"), _cells(spark, d), theme_list(spark), spark.createDataFrame([], "lang string, source string, tema string"), "doc_id", ["lang", "source"])
+    whole = scored(spark, d)
+    s = whole.filter("doc_id % 307 <> 1").withColumn("p", F.when((F.col("doc_id") % 211 == 0) & (F.col("tema") == "lugar"), F.lit(None)).otherwise(F.col("p")))
+    f = whole.filter(F.col("p") >= TAU)
+    return flow.coherence_violations(s, f, items_of(whole), _cells(spark, d, whole), theme_list(spark), spark.createDataFrame([], "lang string, source string, tema string"), "doc_id", ["lang", "source"])
 
 
 @query(f"WITH {SQL_FACTS} SELECT 'assignments' AS rule, count(*) AS a, (SELECT sum(n)::BIGINT FROM (SELECT tema, count(*) AS n FROM facts GROUP BY tema)) AS b FROM facts UNION ALL SELECT 'rows', count(*), (SELECT count(DISTINCT doc_id) FROM documents) FROM documents UNION ALL SELECT 'p_range', count(*) FILTER (p < 0 OR p > 1), 0 FROM scores")
@@ -326,12 +330,12 @@ def m22_disagreements(spark, d):
 
 @query(f"WITH {SQL_CELLS}, w AS (SELECT tema, 100.0 * count(*) / (SELECT count(*) FROM i) AS weight FROM facts GROUP BY tema), z AS (SELECT lang, source, tema FROM cells JOIN w USING (tema) WHERE N_ >= 5 AND n = 0 AND weight >= 15 AND NOT (lang = 'de' AND source = 'src1')) SELECT z.lang, z.source, z.tema, s.doc_id, round(s.p, 6) AS p, row_number() OVER (PARTITION BY z.lang, z.source, z.tema ORDER BY s.p DESC, s.doc_id) AS orden FROM z JOIN i ON i.lang = z.lang AND i.source = z.source JOIN scores s ON s.doc_id = i.doc_id AND s.tema = z.tema")
 def r13_zero_review(spark, d):
-    n = comments(spark, d).agg(F.count("*").alias("all"))
-    weight = facts(spark, d).groupBy("tema").agg(F.count("*").alias("k")).join(n).select("tema", (100.0 * F.col("k") / F.col("all")).alias("weight"))
-    zero = survey.zero_cells(_cells(spark, d), weight, "tema")
+    s = scored(spark, d)
+    n = items_of(s).agg(F.count("*").alias("all"))
+    weight = s.filter(F.col("p") >= TAU).groupBy("tema").agg(F.count("*").alias("k")).join(n).select("tema", (100.0 * F.col("k") / F.col("all")).alias("weight"))
+    zero = survey.zero_cells(_cells(spark, d, s), weight, "tema")
     seen = spark.createDataFrame([("de", "src1", t) for t in NAMES], "lang string, source string, tema string")
-    items = comments(spark, d).select("doc_id", "lang", "source")
-    return flow.zero_review(zero, seen, items, scores(spark, d), "doc_id", ["lang", "source"]).withColumn("p", r6("p"))
+    return flow.zero_review(zero, seen, items_of(s), s.select("doc_id", "tema", "p"), "doc_id", ["lang", "source"]).withColumn("p", r6("p"))
 
 
 # ---- reports --------------------------------------------------------------------------------
@@ -346,7 +350,7 @@ SQL_TOPIC = "t AS (SELECT doc_id, source, lang FROM documents), c AS (SELECT lan
 
 @query(f"WITH {SQL_TERMS}, {SQL_TOPIC}, w AS (SELECT lang, string_agg(term, ', ' ORDER BY rank) FILTER (rank <= 8) AS palabras FROM top GROUP BY lang), tt AS (SELECT sum(n)::DOUBLE AS total FROM c) SELECT tema, lang, n, round(n / total, 6) AS share, {SQL_LO.replace('k/', 'n/')} AS lo, palabras FROM c JOIN w USING (lang), tt, {SQL_Z}")
 def r04_v13_topics(spark, d):
-    out = flow.topic_table(table(spark, d, "documents").select("doc_id", "lang"), topics.class_tfidf(_terms(spark, d), "lang"), "lang")
+    out = flow.topic_table(table(spark, d, "documents").select("doc_id", "lang"), _top_words(spark, d), "lang")
     lo, _ = stats.wilson(F.col("n"), F.col("total"))
     return out.select("tema", "lang", "n", r6(F.col("n") / F.col("total")).alias("share"), r6(lo).alias("lo"), "palabras")
 
@@ -361,8 +365,8 @@ def r05_a15_by_unit(spark, d):
 
 @query(f"WITH {SQL_CELLS} SELECT lang, source, max(N_) AS filas, " + ", ".join(f"round(max(n) FILTER (tema = '{t}') / nullif(max(N_), 0), 6) AS {t}" for t in NAMES) + ", round((max(N_) - (SELECT count(DISTINCT f.doc_id) FROM facts f JOIN i ON i.doc_id = f.doc_id WHERE i.lang = cells.lang AND i.source = cells.source)) / nullif(max(N_), 0), 6) AS sin_tema FROM cells GROUP BY lang, source")
 def r08_role_matrix(spark, d):
-    items = comments(spark, d).select("doc_id", "lang", "source")
-    return flow.role_matrix(_cells(spark, d), items, facts(spark, d), "doc_id", ["lang", "source"], NAMES)
+    s = scored(spark, d)
+    return flow.role_matrix(_cells(spark, d, s), items_of(s), s.filter(F.col("p") >= TAU), "doc_id", ["lang", "source"], NAMES)
 
 
 @query(f"""WITH {SQL_ALL}, n AS (SELECT count(*)::DOUBLE AS total FROM items), g AS (SELECT tema, count(*)::DOUBLE AS k FROM facts GROUP BY tema)
@@ -429,7 +433,7 @@ def j10_nearest_topics(spark, d):
 
 @query(f"WITH {SQL_TERMS}, k AS (SELECT CASE WHEN count(DISTINCT doc_id) >= 100 THEN 2 ELSE 1 END AS least FROM terms), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM terms GROUP BY term) SELECT count(*) AS vocabulario, min(term) AS primera, max(df) AS mayor FROM df, k WHERE df >= least")
 def v02_vocabulary(spark, d):
-    v = topics.vocabulary(_terms(spark, d), "doc_id")
+    v = topics.vocabulary_of_rows(_words(spark, d), "w")
     return v.agg(F.count("*").alias("vocabulario"), F.min("term").alias("primera"), F.max("df").alias("mayor"))
 
 
