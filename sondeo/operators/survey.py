@@ -159,21 +159,33 @@ def sample_rows(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
 
 
+#: Phrases that are broadcast, with their words; more are shuffled.
+MOST_PHRASES = 50_000
+
+
 def containment(docs: DataFrame, phrases: DataFrame, key: str, phrase_key: str, text: str, width: int = 8) -> DataFrame:
     """``(key, phrase_key)`` of texts that hold a phrase of at least ``width`` characters.  A
     phrase's words but its first and last stand between spaces wherever the phrase does, so
-    texts meet it by the longest of these, and are then looked at whole.  Phrases without
-    such a word are met by their first ``width`` characters at any place."""
-    inner = F.filter(F.split(text, " "), lambda w, i: (i > 0) & (i < F.size(F.split(text, " ")) - 1) & (w != ""))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    phrases = phrases.select(phrase_key, F.col(text).alias("_p"), longest.alias("_w"))
+    texts meet it by the one of these that the fewest texts have, and are then looked at whole;
+    a phrase with a word that no text has is in none.  Phrases without such a word are met by
+    their first ``width`` characters at any place.  Up to MOST_PHRASES phrases are broadcast,
+    so only texts with a hit are shuffled."""
+    phrases = phrases.select(phrase_key, F.col(text).alias("_p"), F.split(text, " ").alias("_all"))
+    inner = F.array_distinct(F.filter("_all", lambda w, i: (i > 0) & (i < F.size("_all") - 1) & (w != "")))
+    phrases = phrases.select(phrase_key, "_p", inner.alias("_inner"))
+    few = phrases.count() <= MOST_PHRASES
+    sent = F.broadcast if few else lambda df: df
+    asked = phrases.select(phrase_key, F.explode("_inner").alias("_w"))
     words = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
-    met = words.join(phrases.filter("_w is not null"), "_w").select(key, phrase_key, "_p")
-    short = phrases.filter("_w is null")
+    used = words.join(sent(asked.select("_w").distinct()), "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_n"))
+    every = asked.join(used, "_w", "left").groupBy(phrase_key).agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w"), F.bool_and(F.col("_n").isNotNull()).alias("_ok"))
+    rarest = phrases.join(every.filter("_ok").select(phrase_key, "_w"), phrase_key).select(phrase_key, "_p", "_w")
+    met = words.join(sent(rarest), "_w").select(key, phrase_key, "_p")
+    short = phrases.filter(F.size("_inner") == 0).select(phrase_key, "_p")
     if short.take(1):
         places = F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: F.substring(F.col(text), i, F.lit(width)))
         grams = docs.filter(F.length(text) >= width).select(key, F.explode(F.array_distinct(places)).alias("_h"))
-        met = met.unionByName(grams.join(short.withColumn("_h", F.substring("_p", 1, width)), "_h").select(key, phrase_key, "_p"))
+        met = met.unionByName(grams.join(sent(short.withColumn("_h", F.substring("_p", 1, width))), "_h").select(key, phrase_key, "_p"))
     return docs.join(met, key).filter(F.col(text).contains(F.col("_p"))).select(key, phrase_key)
 
 
