@@ -210,7 +210,7 @@ def with_retry(texts: DataFrame, scorer, again, key: str, text: str) -> DataFram
     fails then too is a row with its error, which ``incomplete`` finds."""
     first = written(plug_in_scores(texts, scorer, key, text), "answers")  # read twice, asked once
     failed = texts.join(first.filter("error is not null").select(key).distinct(), key, "left_semi")
-    return first.filter("error is null").unionByName(plug_in_scores(failed, again, key, text))
+    return first.filter("error is null").unionByName(written(plug_in_scores(failed, again, key, text), "answers"))
 
 
 def text_key(model: str, text) -> Column:

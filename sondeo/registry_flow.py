@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import privacy, stats
 from .functions import text as T
-from .operators import flow, survey, themes, topics
+from .operators import flow, scoring, survey, themes, topics
 from .registry import NAMES, SQL_CELLS, SQL_FACTS, SQL_NOISE, SQL_SCORES, SQL_TERMS, THEMES, _cells, _top_words, _words, comments, facts, items_of, query, r6, scored, scores, sql_normal, table
 from .sources import documents as sources
 from .sources.tables import written
@@ -275,7 +275,7 @@ def c04_k02_retry(spark, d):
     """A first pass that fails on some texts, a second one for these, and the gate."""
     unique = comments(spark, d).select(themes.cache_key("m1", F.col("text"), "q").alias("clave"), "text").dropDuplicates(["clave"])
     done = flow.with_retry(unique, _by_words(lambda t: len(t) % 7 == 3), _by_words(), "clave", "text")
-    return done.select("clave", "tema", r6("p").alias("p"))
+    return scoring.complete_or_stop(unique, done, "clave", NAMES).select("clave", "tema", r6("p").alias("p"))
 
 
 @query(f"SELECT count(*) AS textos, sum(length(text))::BIGINT AS tokens, round(sum(length(text)) * 0.042 / 1e6, 9) AS costo, round((SELECT avg(length(text)) FROM documents WHERE doc_id < 10) * count(*) * 0.042 / 1e6, 9) AS proyectado FROM (SELECT DISTINCT text FROM documents WHERE ({SQL_NOISE}) IS NULL)")

@@ -222,3 +222,10 @@ def s04_forms_of_files(spark, d):
         rows = one if rows is None else rows.unionByName(one)
     form = sources.form_of_file(F.concat(F.lit("Encuesta ("), "archivo", F.lit(")")), {"ORDERS": "Pedidos", "PART": "Partes"})
     return rows.withColumn("formulario", form).filter("formulario is not null").groupBy("archivo", "formulario").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, m AS motivo, (m IS NOT NULL)::INT AS excluido, m IS NULL AS publicable FROM (SELECT doc_id, {SQL_NOISE} AS m FROM documents)")
+def p06_clean_answers(spark, d):
+    """The cleaning step: why an answer is left out, and whether it has a redacted text."""
+    rows = survey.clean_answers(table(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "motivo", "excluido", F.col("anon").isNotNull().alias("publicable"))
