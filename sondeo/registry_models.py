@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import stats
 from .functions import text as T
 from .operators import clusters, density, flow, scoring, survey, themes, topics
-from .registry import NAMES, SQL_NOISE, SQL_TERMS, THEMES, comments, query, r6, table
+from .registry import NAMES, SQL_NOISE, SQL_TERMS, THEMES, _words, comments, query, r6, table
 from .sources.store import Store, encode_missing
 from .sources.tables import folder, written
 
@@ -100,9 +100,9 @@ SQL_MMR = f"""{SQL_TERMS}, cand AS (SELECT lang, term, row_number() OVER (PARTIT
 @query(f"WITH RECURSIVE {SQL_MMR} SELECT b.lang, b.rank::BIGINT AS rank, c.term FROM best b JOIN cand c ON c.lang = b.lang AND c.rank = b.r")
 def v14_mmr_words(spark, d):
     """The ten words of each language that are near to its thirty best, and not to each other."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0), lambda w: F.length(w) >= 3)
-    docs = written(table(spark, d, "documents").select("doc_id", "lang", words.alias("w")), "mmr_docs")
-    best = written(topics.class_tfidf(topics.term_counts(docs, "doc_id", "lang", "w"), "lang", top=30), "mmr_words")
+    docs = written(_words(spark, d), "mmr_docs")
+    counts = docs.select("lang", F.explode("w").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    best = written(topics.class_tfidf(written(counts, "mmr_counts"), "lang", top=30), "mmr_words")
     return topics.diversified(best, topics.word_vectors(docs.filter("w is not null"), "w", best), ["lang"]).select("lang", F.col("rank").cast("long").alias("rank"), "term")
 
 

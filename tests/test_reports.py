@@ -233,3 +233,13 @@ def test_k08_copy_is_redacted(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = {r.doc_id: r.h for r in docs.select("doc_id", F.sha2(privacy.redact("text"), 256).alias("h")).collect()}
     assert rows == want and len(rows) == docs.count()
+
+
+def test_counters_are_those_of_the_marks(spark):
+    """Each replacement is counted under its kind, on the text that the rules before it left."""
+    texts = mixed(6, ["ana@x.co ", "http://x ", "3101234567 ", "cédula 1023456 ", "profesor Juan ", "y ", "Ana Ruiz, docente ", "\n"], 300)
+    rows = privacy.redact_counted(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for r in rows:
+        for kind in privacy.KINDS:
+            assert r[f"n_{kind.lower()}"] == r.redacted.count(f"[{kind}]"), r.text
+    assert all(sum(r[f"n_{k.lower()}"] for r in rows) > 20 for k in privacy.KINDS)
