@@ -8,20 +8,23 @@ The positions where such strings start are found by sorting suffixes, in three s
    alone, so equal windows have equal anchors at equal places, and one in about 77 positions
    is an anchor.  The windows of one anchor are neighbours; their bytes together are its
    context.  Anchors whose k-gram occurs once are done: none of their windows repeats.
-   Equal contexts are counted before anything else; all of their windows repeat.
-2. *Suffix sorting.*  One of each of the different contexts that share an anchor is taken,
-   dealt to tasks by the anchor, and the suffixes of a task's contexts are sorted by the
+   Contexts with one 128-bit digest are a class, which two of its members speak for.
+2. *Suffix sorting.*  The members that speak for the classes of an anchor are dealt to
+   tasks by the anchor, and the suffixes of a task's contexts are sorted by the
    difference-cover algorithm (DC3): the triples at positions 1 and 2 modulo 3 are sorted
    and named, names that aren't unique are sorted by recursion, the other suffixes are
    sorted by their first symbol and the rank of the next, and both are merged.  Adjacent
-   suffixes whose first ``length`` bytes agree are repeats.
+   suffixes whose first ``length`` bytes agree are repeats.  Where the two members of a
+   class turn out equal, what goes of them goes of the class's other members too; members
+   of different bytes under one digest are judged by their own suffixes.
 3. *Union.*  The repeated windows of each text are united, and their bytes go.
 
 All suffixes with a common prefix of ``length`` bytes are in one task, so sorting task by
 task finds what one global sort would find.  Anchors with over ``hot`` different contexts
-are split: of each of their windows a 128-bit digest of its bytes is counted (partial sums,
-no group in one task), and windows whose digest repeats are repeats.  Texts are named by
-their row's place in the table's files, which no two rows share.
+are dealt finer: each of their windows is a context of its own, and those that share a
+digest are sorted as above.  Keys with very many rows are few, so they are broadcast to
+the rows that have them, which stay where they are (``met``).  Texts are named by their
+row's place in the table's files, which no two rows share.
 """
 
 from __future__ import annotations
@@ -33,9 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX_1, filed, mix, row_places, staged, unstage
+from .common import GOLDEN, filed, mix, row_places, staged, unstage
 
-LENGTH, GRAM, HOT = 200, 48, 4000
+LENGTH, GRAM, HOT, DIGEST = 200, 48, 4000, 16
+#: At most so many keys are broadcast for having more than their share of the rows.
+HEAVY = 10_000
 BLOCK = 1 << 20
 _BYTES = np.random.default_rng(4242).integers(1, 2**63, 256, dtype=np.uint64)
 INVERSE = np.uint64(pow(int(GOLDEN), -1, 1 << 64))
@@ -51,18 +56,11 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(GOLDEN, BLOCK + 4096), _powers(INVERSE, BLOCK + 4096)
 
 
-class Hashes:
-    """Hashes of any substring of a buffer of up to BLOCK + 4096 bytes."""
-
-    def __init__(self, buf: np.ndarray):
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTES[buf] * _UP[: len(buf)], out=self.sums[1:], dtype=np.uint64)
-
-    def of(self, start, end):
-        return mix((self.sums[end] - self.sums[start]) * _DOWN[start] + (end - start).astype(np.uint64) * MIX_1)
-
-    def grams(self, n: int) -> np.ndarray:
-        return mix((self.sums[n:] - self.sums[:-n]) * _DOWN[: len(self.sums) - n])
+def gram_hashes(buf: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the strings of n bytes in a buffer of up to BLOCK + 4096 bytes."""
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTES[buf] * _UP[: len(buf)], out=sums[1:], dtype=np.uint64)
+    return mix((sums[n:] - sums[:-n]) * _DOWN[: len(sums) - n])
 
 
 def window_argmin(x: np.ndarray, w: int) -> np.ndarray:
@@ -79,33 +77,36 @@ def window_argmin(x: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
-def anchors(buf: np.ndarray, length: int, gram: int):
-    """``(name, context, first window, windows, anchor)`` arrays of a text's anchors."""
-    w, out, at = length - gram + 1, [], 0
+def anchors(buf: np.ndarray, length: int, gram: int, digest: int = DIGEST):
+    """``(name, context, first window, windows)`` of a text's anchors: arrays, but for the
+    contexts, which are the digests of their bytes one after another."""
+    w, out, contexts, at = length - gram + 1, [], [], 0
     while at + length <= len(buf):  # blocks of window starts
         part = buf[at : at + BLOCK + length - 1]
-        h = Hashes(part)
-        grams = h.grams(gram)
+        grams = gram_hashes(part, gram)
         place = window_argmin(grams, w)
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         last = np.append(first[1:], len(place)) - 1
-        anchor = place[first]
-        context = mix(h.of(first, last + length) + (anchor - first).astype(np.uint64) * GOLDEN)
-        out.append((grams[anchor], context, first + at, last - first + 1, anchor - first))
+        raw = memoryview(part)
+        contexts += [hashlib.blake2b(raw[a:z], digest_size=digest).digest() for a, z in zip(first.tolist(), (last + length).tolist())]
+        out.append((grams[place[first]], first + at, last - first + 1))
         at += len(place)
-    return [np.concatenate(c) for c in zip(*out)] if out else None
+    if not out:
+        return None
+    name, first, n = (np.concatenate(c) for c in zip(*out))
+    return name, contexts, first, n
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_rows(length: int, gram: int, digest: int):
     def rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                got = anchors(_buffer(batch.column(2), i), length, gram)
+                got = anchors(_buffer(batch.column(2), i), length, gram, digest)
                 if got:
-                    name, context, first, n, off = got
+                    name, context, first, n = got
                     place = [pa.array(np.full(len(name), batch.column(c)[i].as_py())) for c in (0, 1)]
-                    packed = (first.astype(np.int64) << 16) | (n.astype(np.int64) << 8) | off
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(context.view(np.int64)), *place, pa.array(packed)], names=["name", "context", "file", "row", "packed"])
+                    packed = (first.astype(np.int64) << 8) | n
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(context, pa.binary()), *place, pa.array(packed)], names=["name", "context", "file", "row", "packed"])
 
     return rows
 
@@ -202,84 +203,119 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _context_rows(length: int):
+    """The bytes of the contexts that are asked of each text."""
+
     def rows(batches):
         for batch in batches:
-            names, files, places, firsts, datas = [], [], [], [], []
             for i in range(batch.num_rows):
-                buf, file, place = _buffer(batch.column(2), i), batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for r in batch.column(3)[i].as_py():
-                    first, n = r["packed"] >> 16, (r["packed"] >> 8) & 255
-                    names.append(r["name"])
-                    files.append(file)
-                    places.append(place)
-                    firsts.append(first)
-                    datas.append(buf[first : first + n + length - 1].tobytes())
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (names, files, places, firsts)), pa.array(datas, pa.binary())], names=["name", "file", "row", "first", "data"])
+                buf, asked = _buffer(batch.column(2), i), batch.column(3)[i].as_py()
+                first, n = [r["packed"] >> 8 for r in asked], [r["packed"] & 255 for r in asked]
+                data = [buf[a : a + k + length - 1].tobytes() for a, k in zip(first, n)]
+                cols = [pa.array([r[c] for r in asked], kind) for c, kind in (("deal", pa.int64()), ("name", pa.int64()), ("context", pa.binary()))]
+                place = [pa.array(np.full(len(asked), batch.column(c)[i].as_py())) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*cols, *place, pa.array(first, pa.int64()), pa.array(data, pa.binary())], names=["deal", "name", "context", "file", "row", "first", "data"])
 
     return rows
 
 
 def _sort_contexts(length: int, most: int = 1 << 20):
-    """Over rows in the order of their names: sorts the suffixes of whole anchors together."""
+    """Over rows in the order of ``deal``: sorts the suffixes of all contexts that are dealt
+    alike together.  ``whole`` marks one span of a class whose two members have equal bytes
+    and all of whose windows repeat."""
 
     def flush(held):
-        files, places, firsts, datas = zip(*held)
-        rows = [(k, p, int(f + a), int(f + z + length)) for k, p, f, starts in zip(files, places, firsts, repeated_starts(list(datas), length)) for a, z in _runs(starts)]
-        cols = list(zip(*rows)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["file", "row", "start", "end"])
+        found, other, rows = repeated_starts([h[-1] for h in held], length), {}, []
+        for i, (name, context, file, place, first, data) in enumerate(held):
+            j = other.setdefault((name, context), i)
+            whole = j != i and held[j][-1] == data and len(found[i]) == len(data) - length + 1
+            rows += [(name, context, file, place, int(first + a), int(first + z + length), whole) for a, z in _runs(found[i])]
+        cols = list(zip(*rows)) or [[]] * 7
+        kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["name", "context", "file", "row", "start", "end", "whole"])
 
     def rows(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            for name, file, place, first, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and name != last and size > most:
+            for deal, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and deal != last and size > most:
                     yield flush(held)
                     held, size = [], 0
-                held.append((file, place, first, data))
-                size += len(data)
-                last = name
+                held.append(row)
+                size += len(row[-1])
+                last = deal
         if held:
             yield flush(held)
 
     return rows
 
 
-def _window_digests(length: int):
+def _window_digests(length: int, digest: int):
+    """Each window of each context, as a context of one window."""
+
     def rows(batches):
         for batch in batches:
-            for file, place, first, data in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            for _, _, _, file, place, first, data in zip(*(c.to_pylist() for c in batch.columns)):
                 n = len(data) - length + 1
-                digest = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), *(pa.array(np.full(n, x)) for x in (file, place)), pa.array(np.arange(first, first + n))], names=["digest", "file", "row", "start"])
+                of = [hashlib.blake2b(data[i : i + length], digest_size=digest).digest() for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.binary()), *(pa.array(np.full(n, x)) for x in (file, place)), pa.array((np.arange(first, first + n) << 8) | 1)], names=["context", "file", "row", "packed"])
 
     return rows
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def met(rows: DataFrame, counted: DataFrame, by: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows whose key is in ``counted`` (keys with ``n``, their number of rows), or with
+    ``left_anti`` those whose key isn't.  Keys with over a ``HEAVY``-th of all rows are
+    fewer than ``HEAVY``: they are broadcast, and their rows are not shuffled."""
+    bound = max(1000, rows.count() // HEAVY)
+    heavy, lean = F.broadcast(counted.filter(F.col("n") > bound).select(*by)), counted.filter(F.col("n") <= bound).select(*by)
+    rest = rows.join(heavy, by, "left_anti").join(lean, by, how)
+    return rest if how == "left_anti" else rest.unionByName(rows.join(heavy, by, how))
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, digest: int = DIGEST) -> DataFrame:
     """``rows(file, row, text)``, one of each place -> ``(file, row, start, end)``: byte spans
-    whose union is what repeated strings cover."""
+    whose union is what repeated strings cover.  Digests have ``digest`` bytes."""
     place = ["file", "row"]
-    every = staged(rows.mapInArrow(_anchor_rows(length, gram), "name long, context long, file long, row long, packed long"), "anchors")
-    shared = every.groupBy("name").count().filter("count > 1").select("name")
-    found = staged(every.join(shared, "name", "left_semi"), "shared_anchors")
+    member = F.struct(*place, "packed")
+    first = F.shiftright("packed", 8)
+    span = [*place, first.alias("start"), (first + F.col("packed").bitwiseAND(255) + (length - 1)).alias("end")]
+    kind = "context binary, file long, row long, "
+
+    def classes(found: DataFrame, *by: str) -> DataFrame:
+        return found.groupBy(*by).agg(F.count("*").alias("n"), F.min(member).alias("low"), F.max(member).alias("high"))
+
+    def asked(of: DataFrame, deal) -> DataFrame:
+        """Two members of each class, or its only one."""
+        both = F.when(F.col("n") > 1, F.array("low", "high")).otherwise(F.array("low"))
+        rows = of.select(deal.alias("deal"), "name", "context", F.explode(both).alias("m"))
+        return rows.select("m.file", "m.row", F.struct("deal", "name", "context", "m.packed").alias("a"))
+
+    def contexts(wanted: DataFrame) -> DataFrame:
+        by_text = wanted.groupBy(*place).agg(F.collect_list("a").alias("asked"))
+        return rows.join(by_text, place).select(*place, "text", "asked").mapInArrow(_context_rows(length), f"deal long, name long, {kind} first long, data binary")
+
+    every = staged(rows.mapInArrow(_anchor_rows(length, gram, digest), f"name long, {kind} packed long"), "anchors")
+    shared = staged(every.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"), "shared_names")
+    found = staged(met(every, shared, ["name"]), "shared_anchors")
     unstage(every)
-    contexts = staged(found.groupBy("name", "context").agg(F.count("*").alias("copies"), F.min(F.struct(*place, "packed")).alias("r")), "contexts")
-    copied = found.join(contexts.filter("copies > 1").select("name", "context"), ["name", "context"], "left_semi")
-    first, n = F.shiftright("packed", 16), F.shiftright("packed", 8).bitwiseAND(255)
-    spans = copied.select(*place, first.alias("start"), (first + n + (length - 1)).alias("end"))
-    many = contexts.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
-    open_ = contexts.join(many, "name").select("r.file", "r.row", F.struct("name", F.col("r.packed").alias("packed")).alias("a"))
-    wanted = open_.groupBy(*place).agg(F.collect_list("a").alias("anchors"))
-    data = rows.join(wanted, place).select(*place, "text", "anchors").mapInArrow(_context_rows(length), "name long, file long, row long, first long, data binary")
-    data = staged(data, "context_bytes")
-    hot_names = many.filter(F.col("n") > hot).select("name")
-    cool = data.join(hot_names, "name", "left_anti").repartition("name").sortWithinPartitions("name")
-    spans = spans.unionByName(cool.mapInArrow(_sort_contexts(length), "file long, row long, start long, end long"))
-    hot_rows = data.join(hot_names, "name", "left_semi")
-    windows = hot_rows.mapInArrow(_window_digests(length), "digest binary, file long, row long, start long")
-    twice = windows.groupBy("digest").count().filter("count > 1").select("digest")
-    again = windows.join(twice, "digest", "left_semi").select(*place, "start", (F.col("start") + length).alias("end"))
-    return spans.unionByName(again)
+    known = staged(classes(found, "name", "context"), "classes")
+    wide = staged(known.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") > hot), "hot_names")
+    of_context, windows = F.xxhash64("context"), None
+    wanted = asked(met(known, wide, ["name"], "left_anti"), F.col("name"))
+    if wide.take(1):
+        split = staged(met(known, wide, ["name"]), "hot_classes")
+        windows = staged(contexts(asked(split.withColumn("n", F.lit(1)), of_context)).mapInArrow(_window_digests(length, digest), f"{kind} packed long"), "windows")
+        narrow = staged(classes(windows, "context").filter("n > 1").withColumn("name", F.lit(None).cast("long")), "window_classes")
+        wanted = wanted.unionByName(asked(split.filter("n > 1").unionByName(narrow, allowMissingColumns=True), of_context))
+    data = contexts(wanted).repartition("deal").sortWithinPartitions("deal")
+    done = staged(data.mapInArrow(_sort_contexts(length), f"name long, {kind} start long, end long, whole boolean"), "sorted")
+    spans, whole = done.select(*place, "start", "end"), done.filter("whole")
+    more = staged(known.filter("n > 2").join(whole.select("name", "context"), ["name", "context"], "left_semi").select("name", "context", "n"), "copied")
+    spans = spans.unionByName(met(found, more, ["name", "context"]).select(*span))
+    if windows is not None:
+        more = staged(narrow.filter("n > 2").join(whole.filter("name is null").select("context"), "context", "left_semi").select("context", "n"), "copied_windows")
+        spans = spans.unionByName(met(windows, more, ["context"]).select(*span))
+    return spans
 
 
 def _union(spans) -> list[tuple[int, int]]:
