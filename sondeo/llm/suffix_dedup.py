@@ -10,19 +10,20 @@ The positions where such strings start are found by sorting suffixes, in three s
    context.  Anchors whose k-gram occurs once are done: none of their windows repeats.
    Contexts with one 128-bit digest are a class, which two of its members speak for.
 2. *Suffix sorting.*  The members that speak for the classes of an anchor are dealt to
-   tasks by the anchor, and the suffixes of a task's contexts are sorted by the
+   tasks by the anchor and held against each other by their bytes: all windows of equal
+   ones repeat.  The suffixes of an anchor's different contexts are sorted by the
    difference-cover algorithm (DC3): the triples at positions 1 and 2 modulo 3 are sorted
    and named, names that aren't unique are sorted by recursion, the other suffixes are
    sorted by their first symbol and the rank of the next, and both are merged.  Adjacent
    suffixes whose first ``length`` bytes agree are repeats.  Where the two members of a
-   class turn out equal, what goes of them goes of the class's other members too; members
-   of different bytes under one digest are judged by their own suffixes.
+   class have equal bytes, the class's other members go as well; members of different
+   bytes under one digest are judged by their own suffixes.
 3. *Union.*  The repeated windows of each text are united, and their bytes go.
 
 All suffixes with a common prefix of ``length`` bytes are in one task, so sorting task by
 task finds what one global sort would find.  Anchors with over ``hot`` different contexts
 are dealt finer: each of their windows is a context of its own, and those that share a
-digest are sorted as above.  Keys with very many rows are few, so they are broadcast to
+digest are compared as above.  Keys with very many rows are few, so they are broadcast to
 the rows that have them, which stay where they are (``met``).  Texts are named by their
 row's place in the table's files, which no two rows share.
 """
@@ -219,32 +220,41 @@ def _context_rows(length: int):
 
 
 def _sort_contexts(length: int, most: int = 1 << 20):
-    """Over rows in the order of ``deal``: sorts the suffixes of all contexts that are dealt
-    alike together.  ``whole`` marks one span of a class whose two members have equal bytes
-    and all of whose windows repeat."""
-
-    def flush(held):
-        found, other, rows = repeated_starts([h[-1] for h in held], length), {}, []
-        for i, (name, context, file, place, first, data) in enumerate(held):
-            j = other.setdefault((name, context), i)
-            whole = j != i and held[j][-1] == data and len(found[i]) == len(data) - length + 1
-            rows += [(name, context, file, place, int(first + a), int(first + z + length), whole) for a, z in _runs(found[i])]
+    """Over rows in the order of ``deal``: equal contexts are found by comparing their bytes,
+    and one of each is sorted with all others that are dealt alike.  ``whole`` marks a span
+    of a class whose two members have equal bytes."""
+
+    def flush(groups):
+        parts = [data for g in groups if len(g) > 1 for data in g]
+        found, rows = iter(repeated_starts(parts, length) if parts else ()), []
+        for g in groups:
+            for data, holders in g.items():
+                runs = _runs(next(found)) if len(g) > 1 else []
+                if len(holders) > 1:
+                    runs = [(0, len(data) - length)]
+                seen = set()
+                for name, context, file, place, first in holders:
+                    whole = (name, context) in seen
+                    seen.add((name, context))
+                    rows += [(name, context, file, place, int(first + a), int(first + z + length), whole) for a, z in runs]
         cols = list(zip(*rows)) or [[]] * 7
         kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["name", "context", "file", "row", "start", "end", "whole"])
 
     def rows(batches):
-        held, size, last = [], 0, None
+        groups, size, last = [], 0, None
         for batch in batches:
-            for deal, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and deal != last and size > most:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[-1])
-                last = deal
-        if held:
-            yield flush(held)
+            for deal, *holder, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if not groups or deal != last:
+                    if size > most:
+                        yield flush(groups)
+                        groups, size = [], 0
+                    groups.append({})
+                    last = deal
+                groups[-1].setdefault(data, []).append(holder)
+                size += len(data)
+        if groups:
+            yield flush(groups)
 
     return rows
 
