@@ -98,16 +98,29 @@ def anchors(buf: np.ndarray, length: int, gram: int, digest: int = DIGEST):
     return name, contexts, first, n
 
 
-def _anchor_rows(length: int, gram: int, digest: int):
+def _anchor_rows(length: int, gram: int, digest: int, most: int = 20_000):
+    """The anchors of the texts, some ``most`` or one text's at a time."""
+
+    def flush(held):
+        names, contexts, firsts, ns, files, places = zip(*held)
+        size = [len(x) for x in names]
+        packed = (np.concatenate(firsts).astype(np.int64) << 8) | np.concatenate(ns)
+        place = [pa.array(np.repeat(np.array(x, np.int64), size)) for x in (files, places)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array([x for c in contexts for x in c], pa.binary()), *place, pa.array(packed)], names=["name", "context", "file", "row", "packed"])
+
     def rows(batches):
+        held, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 got = anchors(_buffer(batch.column(2), i), length, gram, digest)
                 if got:
-                    name, context, first, n = got
-                    place = [pa.array(np.full(len(name), batch.column(c)[i].as_py())) for c in (0, 1)]
-                    packed = (first.astype(np.int64) << 8) | n
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(context, pa.binary()), *place, pa.array(packed)], names=["name", "context", "file", "row", "packed"])
+                    held.append((*got, batch.column(0)[i].as_py(), batch.column(1)[i].as_py()))
+                    size += len(got[1])
+                if size > most:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     return rows
 
@@ -203,18 +216,28 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate(([0], cut + 1))], starts[np.append(cut, len(starts) - 1)]))
 
 
-def _context_rows(length: int):
-    """The bytes of the contexts that are asked of each text."""
+def _context_rows(length: int, most: int = 4 << 20):
+    """The bytes of the contexts that are asked of the texts, some ``most`` or one text's at a time."""
+    kinds = {"deal": pa.int64(), "name": pa.int64(), "context": pa.binary(), "file": pa.int64(), "row": pa.int64(), "first": pa.int64(), "data": pa.binary()}
+
+    def flush(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds.values())], names=list(kinds))
 
     def rows(batches):
+        held, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                buf, asked = _buffer(batch.column(2), i), batch.column(3)[i].as_py()
-                first, n = [r["packed"] >> 8 for r in asked], [r["packed"] & 255 for r in asked]
-                data = [buf[a : a + k + length - 1].tobytes() for a, k in zip(first, n)]
-                cols = [pa.array([r[c] for r in asked], kind) for c, kind in (("deal", pa.int64()), ("name", pa.int64()), ("context", pa.binary()))]
-                place = [pa.array(np.full(len(asked), batch.column(c)[i].as_py())) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*cols, *place, pa.array(first, pa.int64()), pa.array(data, pa.binary())], names=["deal", "name", "context", "file", "row", "first", "data"])
+                raw, file, place = _buffer(batch.column(2), i).tobytes(), batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                for r in batch.column(3)[i].as_py():
+                    first = r["packed"] >> 8
+                    data = raw[first : first + (r["packed"] & 255) + length - 1]
+                    held.append((r["deal"], r["name"], r["context"], file, place, first, data))
+                    size += len(data)
+                if size > most:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     return rows
 
