@@ -67,6 +67,9 @@ def _classes(chars) -> str:
 
 
 _LIGATURE = _classes(LIGATURES)
+#: One of them; most characters are told from them by two comparisons, as a class of some
+#: hundred ranges is slow.
+_SPLITS = f"(?=[\\x{{BC}}-\\x{{BE}}\\x{{{min(ord(c) for c in LIGATURES if ord(c) > 0xFF):X}}}-\\x{{10FFFF}}]){_LIGATURE}"
 
 
 def plain(text) -> Column:
@@ -76,13 +79,23 @@ def plain(text) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     whole = F.create_map(*(F.lit(x) for kv in LIGATURES.items() for x in kv))
     split = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)" + _LIGATURE + "|[^" + _LIGATURE[1:-1] + "]+"), 0), lambda c: F.coalesce(F.try_element_at(whole, c), c)), "")
-    own = F.when(F.regexp_like(text, F.lit(_LIGATURE)), split).otherwise(text)
-    return F.regexp_replace(F.translate(own, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    own = F.when(F.regexp_like(text, F.lit(_SPLITS)), split).otherwise(text)
+    return F.regexp_replace(F.translate(own, ACCENTED, PLAIN), r"[^\x00-\x7F]+", "")
+
+
+def bound(column: Column, use) -> Column:
+    """``use`` of a column that is computed once a row, however often ``use`` names it."""
+    return F.transform(F.array(column), use)[0]
 
 
 def normalise(text) -> Column:
     """Plain, lower case, white space collapsed and cut off at the ends."""
-    return F.trim(F.regexp_replace(F.lower(plain(text)), r"\s+", " "))
+    return normal_of_plain(plain(text))
+
+
+def normal_of_plain(text: Column) -> Column:
+    """:func:`normalise` of a plain text.  Only white space that isn't one blank is a match."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s{2,}|[^\S ]", " "))
 
 
 def slug_spaces(text) -> Column:
@@ -92,12 +105,18 @@ def slug_spaces(text) -> Column:
 
 def slug(text) -> Column:
     """Any run of other than a-z, 0-9 as ``_`` (group ids)."""
-    return F.regexp_replace(F.regexp_replace(normalise(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return joined(normalise(text), "a-z0-9")
+
+
+def joined(text: Column, kept: str) -> Column:
+    """Any run of other characters than those kept as ``_``, none at the ends.  Blanks go
+    first, so that the pattern meets only what isn't one ``_`` yet."""
+    return F.btrim(F.regexp_replace(F.replace(text, F.lit(" "), F.lit("_")), f"[^{kept}]{{2,}}|[^{kept}_]", "_"), F.lit("_"))
 
 
 def file_part(text) -> Column:
     """Like :func:`slug`, with the case kept."""
-    return F.regexp_replace(F.regexp_replace(plain(text), "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    return joined(plain(text), "A-Za-z0-9")
 
 
 def sheet_name(text) -> Column:
@@ -131,9 +150,9 @@ def letter_words(text, least: int = 1) -> Column:
 
 def tokens(text, stop: tuple = STOP_WORDS) -> Column:
     """Lower-case runs of three or more letters that stand alone as words, without stop
-    words (compared without accents)."""
+    words (compared without accents; a word of ASCII letters is its own normal form)."""
     words = F.regexp_extract_all(F.lower(without_marks(text)), F.lit(r"(?U)\b[^\W\d_]{3,}\b"), 0)
-    return F.filter(words, lambda w: ~normalise(w).isin(*stop))
+    return F.filter(words, lambda w: ~F.when(F.regexp_like(w, F.lit(r"[^\x00-\x7F]")), normalise(w)).otherwise(w).isin(*stop))
 
 
 def bigrams(words: Column) -> Column:

@@ -3,13 +3,14 @@
 import json
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from sondeo.functions import privacy
 from sondeo.functions import text as T
-from sondeo.operators import reports
+from sondeo.operators import reports, survey
 from sondeo.sources import documents
 
 CAPS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZÁÉÍÓÚÑÜ", "abcdefghijklmnopqrstuvwxyzáéíóúñü"
@@ -243,3 +244,23 @@ def test_counters_are_those_of_the_marks(spark):
         for kind in privacy.KINDS:
             assert r[f"n_{kind.lower()}"] == r.redacted.count(f"[{kind}]"), r.text
     assert all(sum(r[f"n_{k.lower()}"] for r in rows) > 20 for k in privacy.KINDS)
+
+
+def test_each_rule_of_redaction_stands_once_in_a_plan(spark):
+    """Rules on what the rules before left, named three times each, made 3**8 copies of the text."""
+    df = spark.createDataFrame([(1, "escriba a ana.ruiz@uni.edu o al 310 555 1234, Ana María Ruiz, docente")], "doc_id int, text string")
+    cases = [df.select(privacy.redact("text").alias("t")), survey.clean_answers(df).filter("anon is not null"), df.select(privacy.name_audit(privacy.redact("text")).alias("kinds"))]
+    for out, most in zip(cases, (1, 2, 2)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("[CORREO]") <= most
+    assert cases[0].first()[0] == "escriba a [CORREO] o al [TELEFONO], [PERSONA], docente"
+
+
+def test_joined_and_blanks_are_those_of_plain_patterns(spark):
+    texts = ["", "_", " a  b_c\t d__e-\n", " x", "__ ¼ Æ _é_", "a - b", "\t", "a\tb", "x _ y", "ŀl ĳ ﬁ … 1⁄2 ㎏", "A-_b "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(T.normalise(F.col("t")), T.slug(F.col("t")), T.file_part(F.col("t"))).collect()
+    for t, (norm, slug, part) in zip(texts, got):
+        flat = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+        want = re.sub(r"\s+", " ", flat.lower(), flags=re.A).strip(" ")
+        assert (norm, slug, part) == (want, re.sub("[^a-z0-9]+", "_", want).strip("_"), re.sub("[^A-Za-z0-9]+", "_", flat).strip("_"))
