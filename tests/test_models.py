@@ -441,3 +441,23 @@ def test_stream_is_the_batch_in_two_runs(spark, tmp_path):
     events.filter("day(ts) = 2").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     with pytest.raises(streams.LateRowsError):
         run()
+
+
+def test_bounds_of_lloyd_change_nothing():
+    """Rounds that skip rows by bounds end at the centres and cost of plain rounds, also with
+    copies, centres without rows and no structure at all, and look at few of the rows."""
+    rng = np.random.default_rng(3)
+    blobs = np.concatenate([rng.normal(c * 4, 1, (300, 8)) for c in np.eye(8)[:5]])
+    for x in (blobs, rng.normal(size=(900, 8)), np.repeat(rng.normal(size=(40, 8)), 20, 0), rng.normal(size=(700, 8)) + 50):
+        for k in (2, 5, 11):
+            start = np.concatenate([x[rng.choice(len(x), k - 1)], [x[0] + 1e3]])
+            label, want, centres = lloyd(x, start)
+            got, cost = clusters.lloyd(x, (x**2).sum(1), start, 300)
+            assert np.allclose(got, centres, atol=1e-5) and cost == pytest.approx(want, rel=1e-6)
+    seen, whole = [], clusters.two_nearest
+    clusters.two_nearest = lambda x, *how: seen.append(len(x)) or whole(x, *how)
+    try:
+        clusters.lloyd(blobs, (blobs**2).sum(1), blobs[rng.choice(len(blobs), 8)], 300)
+    finally:
+        clusters.two_nearest = whole
+    assert max(seen[1:]) <= len(blobs) and sum(seen) < 0.6 * len(blobs) * len(seen)
