@@ -461,3 +461,28 @@ def test_bounds_of_lloyd_change_nothing():
     finally:
         clusters.two_nearest = whole
     assert max(seen[1:]) <= len(blobs) and sum(seen) < 0.6 * len(blobs) * len(seen)
+
+
+@pytest.mark.parametrize("kept,at_once", [(1 << 20, 64), (200, 2)])
+def test_tree_of_blocks_in_parts_is_prims(spark, monkeypatch, kept, at_once):
+    """Core distances and the tree hold no lists of neighbours, whose length is a share of the
+    group: rows of a block go in parts, a group's blocks in chunks."""
+    monkeypatch.setattr(density, "KEPT", kept)
+    monkeypatch.setattr(density, "AT_ONCE", at_once)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.lit("g").alias("g"), "vec_id", "embedding")
+    blocks, dims = density.packed(rows, "g", "vec_id", "embedding", 0, 25_600)
+    core = np.array([r.core for r in density.cores(blocks, dims, stats.least_topic).orderBy("a").collect()])
+    x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, dims).astype(float) for r in blocks.orderBy("slice").collect()])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.allclose(core, np.sort(d, 1)[:, 15])  # itself, then the 15th
+    w = np.maximum(np.maximum(d, core[:, None]), core[None])
+    inside, total, near = {0}, 0.0, w[0].copy()
+    near[0] = np.inf
+    while len(inside) < len(x):
+        at = int(near.argmin())
+        total += near[at]
+        inside.add(at)
+        near = np.minimum(near, w[at])
+        near[list(inside)] = np.inf
+    tree = density.spanning_tree(blocks, dims, stats.least_topic).collect()
+    assert len(tree) == len(x) - 1 and sum(e.w for e in tree) == pytest.approx(total)
