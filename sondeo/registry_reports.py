@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import privacy, stats
 from .functions import text as T
 from .operators import density, flow, reports, survey, themes, topics
-from .registry import NAMES, ORACLES, SQL_FACTS, SQL_NOISE, SQL_SCORES, SQL_TERMS, comments, facts, query, r6, scores, sql_normal, table, theme_frame
+from .registry import NAMES, ORACLES, SQL_FACTS, SQL_NOISE, SQL_SCORES, SQL_TERMS, _class_terms, comments, facts, query, r6, scores, sql_normal, table, theme_frame
 from .registry_flow import _PARENT_SQL, PARENT, SQL_ANSWERS, SQL_HARD, _answers, _hard
 from .registry_models import _modelled, _vectors
 from .sources import documents as sources
@@ -161,8 +161,7 @@ def r05_topic_list(spark, d):
     """One list of the topics of all groups (here languages within sources), by size."""
     n = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
     all_of = n.groupBy("source").agg(F.sum("n").alias("total"))
-    counts = table(spark, d, "documents").select("lang", F.explode(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0), lambda w: F.length(w) >= 3)).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
-    words = topics.class_tfidf(counts, "lang", 8).groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ").alias("palabras"))
+    words = topics.class_tfidf(written(_class_terms(spark, d), "terms"), "lang", 8).groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ").alias("palabras"))
     lo, hi = stats.wilson(F.col("n"), F.col("total"))
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "lang")).cast("long")
     return n.join(all_of, "source").join(words, "lang", "left").select("source", "lang", rank.alias("tema"), "n", "total", r6(F.col("n") / F.col("total")).alias("share"), r6(lo).alias("lo"), r6(hi).alias("hi"), "palabras")

@@ -8,6 +8,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from sondeo import registry
 from sondeo.functions import privacy
 from sondeo.functions import text as T
 from sondeo.operators import reports, survey
@@ -264,3 +265,9 @@ def test_joined_and_blanks_are_those_of_plain_patterns(spark):
         flat = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
         want = re.sub(r"\s+", " ", flat.lower(), flags=re.A).strip(" ")
         assert (norm, slug, part) == (want, re.sub("[^a-z0-9]+", "_", want).strip("_"), re.sub("[^A-Za-z0-9]+", "_", flat).strip("_"))
+
+
+def test_texts_are_taken_apart_once(spark):
+    """An inner explode made the optimiser filter by the array's size, and so match each text twice."""
+    plan = registry._class_terms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
