@@ -49,10 +49,11 @@ def npmi_of_rows(words: DataFrame, docs: DataFrame, cluster: str, tokens: str) -
     the few words (some ten for each cluster, one broadcast row) that it has, so its tokens are
     not shuffled.  A text without tokens doesn't count."""
     asked = words.agg(F.collect_set("term").alias("_asked"))
-    own = docs.filter(F.size(tokens) > 0).crossJoin(F.broadcast(asked)).select(F.array_sort(F.array_intersect(F.array_distinct(tokens), "_asked")).alias("t"))  # one row
+    own = docs.crossJoin(F.broadcast(asked)).select(F.when(F.size(tokens) > 0, F.array_sort(F.array_intersect("_asked", tokens))).alias("t"))  # one row
     each = F.transform("t", lambda a, i: F.transform(F.slice(F.col("t"), i + 2, F.size("t")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
     kinds = F.concat(F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b"))), F.transform("t", lambda x: F.struct(x.alias("a"), F.lit("").alias("b"))), F.flatten(each))
-    counts = own.select(F.inline(kinds)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    # outer, or the optimiser would make all pairs once more to filter by their number
+    counts = written(own.select(F.inline_outer(F.when(F.col("t").isNotNull(), kinds))).groupBy("a", "b").agg(F.count("*").alias("n")).filter("a is not null"), "pairs")
     n = counts.filter("a = ''").select(F.col("n").alias("n_docs"))
     df = counts.filter("a <> '' and b = ''").select(F.col("a").alias("term"), F.col("n").alias("df"))
     both = counts.filter("b <> ''").select("a", "b", F.col("n").alias("both"))
@@ -196,8 +197,9 @@ def word_vectors(docs: DataFrame, tokens: str, words: DataFrame, window: int = 4
     A token meets its own few neighbours only, and counts of (term, context) are summed
     before they are shuffled, so no text and no vocabulary is held in one task."""
     at = F.transform(tokens, lambda w, i: F.struct(w.alias("term"), F.concat(F.slice(F.col(tokens), F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window))), F.slice(F.col(tokens), i + 2, F.lit(window))).alias("near")))
-    rows = docs.select(F.inline(at)).join(words.select("term").distinct(), "term", "left_semi")
-    n = rows.select("term", F.explode("near").alias("c")).groupBy("term", "c").agg(F.count("*").alias("n"))
+    # outer, or the optimiser would make all these once more to filter by their number
+    rows = docs.select(F.inline_outer(at)).join(words.select("term").distinct(), "term", "left_semi")
+    n = written(rows.select("term", F.explode("near").alias("c")).groupBy("term", "c").agg(F.count("*").alias("n")), "contexts")
     left, right = n.groupBy("term").agg(F.sum("n").alias("nt")), n.groupBy("c").agg(F.sum("n").alias("nc"))
     total = n.agg(F.sum("n").cast("double").alias("all"))
     pmi = F.ln(F.col("n") * F.col("all") / (F.col("nt").cast("double") * F.col("nc")))
