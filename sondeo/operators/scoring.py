@@ -12,11 +12,11 @@ from collections import deque
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import record_batch, slices, written
 
 
 class FatalError(Exception):
@@ -50,7 +50,8 @@ def score_texts(texts: DataFrame, ask: Callable[[str], Mapping[str, float]], key
 
     ``tasks`` tasks (None: as the input is partitioned) have at most ``in_flight`` calls open
     at a time each.  A fatal error fails the job.  Rows with equal keys count once, by any
-    of their texts; null keys are left out.  Calls of a task that is lost are made again."""
+    of their texts; null keys are left out.  Calls of a task that is lost are made again.
+    Texts are taken from a task's Arrow batches as they are asked for."""
     kind = dict(texts.dtypes)[key]
     once = texts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.any_value(text).alias(text))
     if tasks:
@@ -69,20 +70,20 @@ def score_texts(texts: DataFrame, ask: Callable[[str], Mapping[str, float]], key
                     else:
                         yield from ((k, t, None if p is None else float(p), None, calls) for t, p in got.items())
 
-            frame = lambda r: pd.DataFrame(r, columns=[key, "tema", "p", "error", "calls"])
             try:
-                for b in batches:
-                    out = []
-                    for k, t in zip(b[key], b[text]):
-                        waiting.append((k, pool.submit(one_call, ask, t, tries, wait, longest)))
+                for part in slices(batches, text):
+                    out, kinds = [], {key: part.schema.field(key).type, "tema": pa.string(), "p": pa.float64(), "error": pa.string(), "calls": pa.int32()}
+                    for k, t in zip(part[key], part[text]):
+                        waiting.append((k.as_py(), pool.submit(one_call, ask, t.as_py(), tries, wait, longest)))
                         out += rows(2 * in_flight)  # the pool holds the limit, this bounds what waits
-                    yield frame(out)
-                yield frame(list(rows(0)))
+                    yield record_batch(out, kinds)
+                if waiting:
+                    yield record_batch(rows(0), kinds)
             except FatalError:
                 pool.shutdown(cancel_futures=True)
                 raise
 
-    return written(once.mapInPandas(run, f"`{key}` {kind}, tema string, p double, error string, calls int"), "answers")
+    return written(once.mapInArrow(run, f"`{key}` {kind}, tema string, p double, error string, calls int"), "answers")
 
 
 def with_second_pass(texts: DataFrame, ask: Callable, key: str, text: str, in_flight: int = 8, slower: int = 2, **how) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import record_batch, slices
 from .survey import in_ranges
 
 TAU = 0.70
@@ -27,8 +28,8 @@ def lexical_scores(texts: DataFrame, themes: list[tuple[str, list[str]]], text:
 
 
 def plug_in_scores(texts: DataFrame, scorer: Callable[[list[str]], Iterable[dict]], key: str, text: str) -> DataFrame:
-    """``(key, tema, p, error)`` by any scorer of a batch of texts that returns a mapping of
-    theme to probability for each.  A batch that it fails on, or answers with another number
+    """``(key, tema, p, error)`` by any scorer of a batch of texts (up to 1,000, or 4 MB) that
+    returns a mapping of theme to probability for each.  A batch that it fails on, or answers with another number
     of mappings, is asked text by text, and a text that fails alone is a row with its error.
     For a scorer whose calls cost, see :mod:`scoring`."""
 
@@ -39,8 +40,8 @@ def plug_in_scores(texts: DataFrame, scorer: Callable[[list[str]], Iterable[dict
         return got
 
     def run(batches):
-        for b in batches:
-            rows, asked = [], list(b[text])
+        for part in slices(batches, text):
+            rows, asked = [], part[text].to_pylist()
             try:
                 answers = [(a, None) for a in ask(asked)]
             except Exception:
@@ -50,12 +51,12 @@ def plug_in_scores(texts: DataFrame, scorer: Callable[[list[str]], Iterable[dict
                         answers.append((ask([t])[0], None))
                     except Exception as e:
                         answers.append(({None: None}, str(e)))
-            for k, (got, error) in zip(b[key], answers):
+            for k, (got, error) in zip(part[key].to_pylist(), answers):
                 rows += [(k, t, None if p is None else float(p), error) for t, p in got.items()]
-            yield pd.DataFrame(rows, columns=[key, "tema", "p", "error"])
+            yield record_batch(rows, {key: part.schema.field(key).type, "tema": pa.string(), "p": pa.float64(), "error": pa.string()})
 
     kind = dict(texts.dtypes)[key]
-    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, tema string, p double, error string")
+    return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, tema string, p double, error string")
 
 
 def cache_key(model: str, text, question: str):

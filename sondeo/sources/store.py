@@ -12,10 +12,12 @@ import json
 import uuid
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import record_batch, slices
+
 
 class Store:
     """Rows with the columns of ``ddl`` under ``path``, of which ``key`` names one."""
@@ -108,10 +110,9 @@ def encode_missing(store: Store, texts: DataFrame, encode: Callable[[list[str]],
     kind = dict(texts.dtypes)[store.key]
 
     def run(batches):
-        for b in batches:
-            for at in range(0, len(b), batch):
-                part = b.iloc[at : at + batch]
-                yield pd.DataFrame({store_key: part[store_key], to: [[float(x) for x in v] for v in encode(list(part[text]))]})
+        for part in slices(batches, text, batch):
+            vectors = [[float(x) for x in v] for v in encode(part[text].to_pylist())]
+            yield record_batch(zip(part[store_key].to_pylist(), vectors, strict=True), {store_key: part.schema.field(store_key).type, to: pa.list_(pa.float64())})
 
     store_key = store.key
-    return store.append(lacking.mapInPandas(run, f"`{store_key}` {kind}, `{to}` array<double>"))
+    return store.append(lacking.mapInArrow(run, f"`{store_key}` {kind}, `{to}` array<double>"))

@@ -6,6 +6,7 @@ import threading
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from sondeo.functions import special, stats
 from sondeo.functions import text as T
 from sondeo.operators import clusters, density, flow, scoring, survey, themes, topics
+from sondeo.sources import tables
 from sondeo.sources.store import Store, encode_missing
 from sondeo.streaming import exercise as streams
 
@@ -329,6 +331,60 @@ def test_a_fatal_error_stops(spark, tmp_path):
     assert len(calls(tmp_path, "f")) <= 3
 
 
+def test_memory_of_a_task_is_that_of_a_few_texts(spark, tmp_path):
+    n = 20_500  # a symbol of four bytes in each text: as Python objects 10,000 of them have 40 MB, a batch of Spark's 10 MB
+
+    def noting(name, left):
+        """Notes the most memory of Python objects between the first text and the last."""
+        import tracemalloc
+
+        def note(texts):
+            if not tracemalloc.is_tracing():
+                tracemalloc.start()
+            noted.append(len(texts))
+            if sum(noted) >= left:
+                (tmp_path / f"{name}-{tracemalloc.get_traced_memory()[1] >> 20}-{max(noted)}").touch()
+                tracemalloc.stop()
+
+        noted = []
+        return note
+
+    a, b, c = noting("a", n), noting("b", n), noting("c", n)
+
+    def ask(t):
+        a([t])
+        return {"x": 0.5, "y": None}
+
+    def scorer(batch):
+        b(batch)
+        return [{"x": float(len(t))} for t in batch]
+
+    def encode(batch):
+        c(batch)
+        return [[float(len(t))] for t in batch]
+
+    texts = spark.range(0, n, 1, 1).selectExpr("id AS k", "concat(id, repeat('x', 1000), '\U0001F600') AS t")
+    want = texts.selectExpr("k", "double(length(t)) AS p")
+    done = scoring.score_texts(texts, ask, "k", "t", in_flight=1, tasks=1)
+    assert done.count() == 2 * n and done.filter("tema = 'x' AND p = 0.5 AND calls = 1").select("k").distinct().count() == n and done.filter("tema = 'y' AND p IS NULL").count() == n
+    assert themes.plug_in_scores(texts, scorer, "k", "t").filter("tema = 'x' AND error IS NULL").select("k", "p").exceptAll(want).count() == 0
+    store = Store(spark, str(tmp_path / "store"), "k", "k long, v array<double>")
+    encode_missing(store, texts.coalesce(1), encode, "t", "v")
+    assert store.read().selectExpr("k", "v[0] AS p").exceptAll(want).count() == 0 and store.read().count() == n
+    got = {p.name.split("-")[0]: tuple(map(int, p.name.split("-")[1:])) for p in tmp_path.glob("?-*")}
+    assert set(got) == {"a", "b", "c"} and all(mb < 20 for mb, _ in got.values()) and got["b"][1] <= 1000 and got["c"][1] <= 32, got
+
+
+def test_slices_are_the_batch():
+    sizes = [0, 3, 9, 1, None, 4, 4, 4, 30, 1]
+    batch = tables.record_batch([(i, None if s is None else "é" * s) for i, s in enumerate(sizes)], {"k": pa.int64(), "t": pa.string()})
+    for rows, most in ((3, 1 << 20), (1000, 16), (1, 1), (1000, 1 << 20)):
+        parts = list(tables.slices([batch, batch.slice(0, 0), batch], "t", rows, most))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch, batch]).combine_chunks()) and all(len(p) for p in parts)
+        assert all(len(p) <= rows and (len(p) == 1 or sum(len((t or "").encode()) for t in p["t"].to_pylist()) <= most) for p in parts)
+    assert len(list(tables.slices([batch], "t", 1000, 1 << 20))) == 1
+
+
 def test_with_retry_asks_once(spark, tmp_path):
     def scorer(batch):
         for t in batch:
