@@ -29,9 +29,9 @@ def lexical_scores(texts: DataFrame, themes: list[tuple[str, list[str]]], text:
 
 def plug_in_scores(texts: DataFrame, scorer: Callable[[list[str]], Iterable[dict]], key: str, text: str) -> DataFrame:
     """``(key, tema, p, error)`` by any scorer of a batch of texts (up to 1,000, or 4 MB) that
-    returns a mapping of theme to probability for each.  A batch that it fails on, or answers with another number
-    of mappings, is asked text by text, and a text that fails alone is a row with its error.
-    For a scorer whose calls cost, see :mod:`scoring`."""
+    returns a mapping of theme to probability for each.  A batch that it fails on, or answers
+    with another number of mappings, is asked text by text, and a text that fails alone is a
+    row with its error.  For a scorer whose calls cost, see :mod:`scoring`."""
 
     def ask(some: list[str]) -> list[dict]:
         got = list(scorer(some))
