@@ -542,3 +542,32 @@ def test_tree_of_blocks_in_parts_is_prims(spark, monkeypatch, kept, at_once):
         near[list(inside)] = np.inf
     tree = density.spanning_tree(blocks, dims, stats.least_topic).collect()
     assert len(tree) == len(x) - 1 and sum(e.w for e in tree) == pytest.approx(total)
+
+
+def test_fits_are_dealt_out_in_lots():
+    """Every fit is in one lot; lots are many more than the k of a group and hold fits of one subsample."""
+    fits = clusters.cells(20, 20, 10)
+    lots = clusters.lots_of(fits)
+    assert [i for a, b in lots for i in range(a, b)] == list(range(len(fits))) and len(lots) == 22
+    assert all(len({fits[i][0] for i in range(a, b)}) == 1 and b - a == 10 for a, b in lots)
+    assert clusters.lots_of(clusters.cells(0, 3, 2)) == [(0, 3)] and clusters.lots_of(clusters.cells(2, 1, 3)) == [(0, 1), (1, 4), (4, 7)]
+
+
+def test_nearest_in_single_precision_is_that_in_double():
+    """Labels are those in doubles of any scale, and the room to the second is never too large."""
+    rng = np.random.default_rng(0)
+    kinds = {"plain": rng.normal(size=(3000, 16)), "offset": rng.normal(size=(3000, 8)) + 300, "copies": np.repeat(rng.normal(size=(50, 5)), 60, 0), "huge": rng.normal(size=(900, 6)) * 1e18, "tiny": rng.normal(size=(900, 6)) * 1e-22, "zero": np.zeros((100, 3))}
+    for name, x in kinds.items():
+        x = x.astype(np.float32)
+        rows = x.astype(float)
+        for k in (2, 7, 15):
+            c = rows[rng.choice(len(x), k)]
+            label, gap = clusters.two_nearest(x, (rows**2).sum(1).astype(np.float32), c)
+            far = np.sort(np.sqrt(((rows[:, None] - c[None]) ** 2).sum(2)), 1)
+            own = np.sqrt(((rows - c[label]) ** 2).sum(1))
+            assert np.all(own <= far[:, 0] * (1 + 1e-9)), name
+            assert np.all(gap.astype(float) <= (far[:, 1] - far[:, 0]) * (1 + 1e-6)), name
+            got, cost = clusters.lloyd(x, (rows**2).sum(1).astype(np.float32), c, 300)
+            if name in ("plain", "copies"):
+                _, want, centres = lloyd(rows, c)
+                assert np.allclose(got, centres, atol=1e-5) and cost == pytest.approx(want, rel=1e-6)
