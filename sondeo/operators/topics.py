@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,6 +169,62 @@ def class_tfidf_by(counts: DataFrame, cell: list[str], cluster: str, top: int =
     return rows.withColumn("rank", rank).filter(F.col("rank") <= top).select(*cell, cluster, "rank", "term", "n", "score")
 
 
+#: Rows of term and text that meet in a task, about.
+TERMS_AT_ONCE = 200_000
+
+
+def class_tfidf_cells(counts: DataFrame, labels: DataFrame, group: str, cell: str, cluster: str, key: str, top: int = 10) -> DataFrame:
+    """:func:`class_tfidf_by` of each (group, cell) of ``counts(group, key, term, n)``, each once,
+    and ``labels(group, cell, key, cluster)``, which has a row of each text for each cell.
+
+    Counts are not repeated for every cell: a text has its clusters as one array, and a task adds
+    up some terms of a group for all cells and clusters as one table.  From it come the terms
+    that may be among the first, of equal ones the first by name; scores and ranks are of these."""
+    code = (F.shiftleft(F.col(cell).cast("long"), 32) + F.col(cluster)).alias("code")
+    own = labels.groupBy(group, key).agg(F.collect_list(code).alias("codes"))
+    per_text = counts.groupBy(group, key).agg(F.sum("n").alias("n"))
+    words = per_text.join(own, [group, key]).select(group, F.explode("codes").alias("code"), "n").groupBy(group, "code").agg(F.sum("n").alias("words"))
+    words = words.withColumn("mean", F.avg("words").over(Window.partitionBy(group, F.shiftright("code", 32))))
+    lots = max(1, math.ceil(counts.count() / TERMS_AT_ONCE))
+    lists = written(words.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("code", "words", "mean"))).alias("cells")), "cells").select("*", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"))
+    rows = counts.join(own, [group, key]).select(group, F.pmod(F.xxhash64("term"), F.lit(lots)).cast("int").alias("lot"), "term", F.col("n").cast("long").alias("n"), "codes")
+    kind = {"long": pa.int64(), "int": pa.int32(), "bigint": pa.int64()}.get(dict(counts.dtypes)[group], pa.string())
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"group": [], "code": [], "term": [], "n": [], "uses": [], "words": [], "mean": []}
+        if left.num_rows and right.num_rows:
+            cells = right["cells"].combine_chunks().flatten()
+            codes, sizes, means = (cells.field(c).to_numpy() for c in ("code", "words", "mean"))
+            term, lists, n = left["term"].combine_chunks().dictionary_encode(), left["codes"].combine_chunks(), left["n"].to_numpy()
+            each = lists.value_lengths().to_numpy()
+            place = np.repeat(term.indices.to_numpy().astype(np.int64), each) * len(codes) + np.searchsorted(codes, lists.flatten().to_numpy())
+            table = np.bincount(place, np.repeat(n, each), len(term.dictionary) * len(codes)).reshape(-1, len(codes))
+            first = np.flatnonzero(np.diff(codes >> 32, prepend=-1))
+            uses = np.repeat(np.add.reduceat(table, first, 1), np.diff(first, append=len(codes)), 1)
+            score = table / sizes * np.log(1 + means / np.maximum(uses, 1))
+            names = np.array(term.dictionary.to_pylist(), dtype=object)
+            for c in range(len(codes)):
+                some = np.flatnonzero(table[:, c])
+                if len(some) > top:  # scores are rounded at the twelfth place
+                    some = some[score[some, c] >= np.partition(score[some, c], -top)[-top] - 4e-12]
+                seen: dict[tuple, int] = {}
+                for i in sorted(some, key=lambda i: names[i]):
+                    one = (int(table[i, c]), int(uses[i, c]))
+                    seen[one] = seen.get(one, 0) + 1
+                    if seen[one] <= top:
+                        for k, v in zip(out, (left[group][0].as_py(), int(codes[c]), names[i], *one, int(sizes[c]), float(means[c])), strict=True):
+                            out[k].append(v)
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), (kind, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], [group, *list(out)[1:]])
+
+    ddl = f"{group} {dict(counts.dtypes)[group]}, code long, term string, n long, uses long, words long, mean double"
+    found = rows.groupBy(group, "lot").cogroup(lists.groupBy(group, "lot")).applyInArrow(best, ddl)
+    score = F.round(F.col("n") / F.col("words") * F.ln(1 + F.col("mean") / F.col("uses")), 12)
+    rank = F.row_number().over(Window.partitionBy(group, "code").orderBy(F.desc("score"), "term"))
+    ranked = found.withColumn("score", score).withColumn("rank", rank).filter(F.col("rank") <= top)
+    kinds = dict(labels.dtypes)
+    return ranked.select(group, F.shiftright("code", 32).cast(kinds[cell]).alias(cell), F.col("code").bitwiseAND(0xFFFFFFFF).cast(kinds[cluster]).alias(cluster), "rank", "term", "n", "score")
+
+
 def npmi_by(words: DataFrame, present: DataFrame, cell: list[str], group: str, cluster: str, key: str) -> DataFrame:
     """``(cell..., npmi)``: the mean over pairs of words of one cluster of their normalised
     pointwise mutual information in the texts of the cell's group.  ``words(cell..., cluster,

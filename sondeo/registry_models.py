@@ -33,8 +33,9 @@ def _modelled(spark, d):
     """The curve with its word diagnostics, the labels, and terms of the texts, by group."""
     vectors = _vectors(spark, d)
     found = clusters.k_curve(vectors, "grupo", "vec_id", "embedding")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), T.tokens(F.col("text")).alias("toks")).join(vectors.select("vec_id", "grupo"), "vec_id")
-    docs = written(docs, "model_docs")
+    # joined first: only texts with a vector are taken apart
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text").join(vectors.select("vec_id", "grupo"), "vec_id")
+    docs = written(docs.select("vec_id", "grupo", T.tokens(F.col("text")).alias("toks")), "model_docs")
     terms = docs.select("grupo", "vec_id", F.explode("toks").alias("term")).groupBy("grupo", "vec_id", "term").agg(F.count("*").alias("n"))
     n = docs.groupBy("grupo").agg(F.count("*").alias("docs"))
     least = F.when(F.col("docs") >= 100, 2).otherwise(1)
@@ -47,7 +48,7 @@ def v09_group_curves(spark, d):
     """The curve of k of each group with stability, silhouette, coherence and diversity, and
     the k that is chosen."""
     found, _, terms = _modelled(spark, d)
-    words = written(topics.class_tfidf_by(terms.join(found.labels, ["grupo", "vec_id"]), ["grupo", "k"], "topic"), "curve_words")
+    words = written(topics.class_tfidf_cells(terms, found.labels, "grupo", "k", "topic", "vec_id"), "curve_words")
     npmi = topics.npmi_by(words, terms.select("grupo", "vec_id", "term"), ["grupo", "k"], "grupo", "topic", "vec_id")
     diversity = words.groupBy("grupo", "k").agg((F.count_distinct("term") / F.count("*")).alias("diversity"))
     chosen = topics.choose_k(found.curve.withColumnRenamed("grupo", "group")).select(F.col("group").alias("grupo"), F.col("k").alias("mejor"))

@@ -136,7 +136,7 @@ def r05_group_summary(spark, d):
     """A row for each group: modelled or why not, its k, stability, coherence and density."""
     found, _, terms = _modelled(spark, d)
     vectors = _vectors(spark, d)
-    words = written(topics.class_tfidf_by(terms.join(found.labels, ["grupo", "vec_id"]), ["grupo", "k"], "topic"), "curve_words")
+    words = written(topics.class_tfidf_cells(terms, found.labels, "grupo", "k", "topic", "vec_id"), "curve_words")
     npmi = topics.npmi_by(words, terms.select("grupo", "vec_id", "term"), ["grupo", "k"], "grupo", "topic", "vec_id")
     diversity = words.groupBy("grupo", "k").agg((F.count_distinct("term") / F.count("*")).alias("diversity"))
     chosen = topics.choose_k(found.curve.withColumnRenamed("grupo", "group")).select(F.col("group").alias("grupo"), "k")

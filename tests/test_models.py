@@ -571,3 +571,16 @@ def test_nearest_in_single_precision_is_that_in_double():
             if name in ("plain", "copies"):
                 _, want, centres = lloyd(rows, c)
                 assert np.allclose(got, centres, atol=1e-5) and cost == pytest.approx(want, rel=1e-6)
+
+
+def test_words_of_all_cells_are_those_of_each_row_in_each_cell(spark, monkeypatch):
+    """The first words of every k by one table of sums are those of counts repeated for every k,
+    with equal scores, and no row of counts is made again for a k."""
+    monkeypatch.setattr(topics, "TERMS_AT_ONCE", 300)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60 and text is not null")
+    terms = docs.select((F.col("doc_id") % 2).alias("g"), "doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("g", "doc_id", "term").agg(F.count("*").alias("n"))
+    ks = spark.createDataFrame([(2,), (3,), (7,)], "k int")
+    labels = docs.filter("doc_id % 5 > 0").select((F.col("doc_id") % 2).alias("g"), "doc_id").crossJoin(ks).withColumn("topic", F.pmod(F.xxhash64("doc_id", "k"), F.col("k")).cast("int"))
+    got = topics.class_tfidf_cells(terms, labels, "g", "k", "topic", "doc_id", 4)
+    want = topics.class_tfidf_by(terms.join(labels, ["g", "doc_id"]), ["g", "k"], "topic", 4)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
