@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import privacy, stats
 from .functions import text as T
-from .operators import density, flow, reports, survey, themes, topics
+from .operators import clusters, density, flow, reports, survey, themes, topics
 from .registry import NAMES, ORACLES, SQL_FACTS, SQL_NOISE, SQL_SCORES, SQL_TERMS, _class_terms, comments, facts, query, r6, scores, sql_normal, table, theme_frame
 from .registry_flow import _PARENT_SQL, PARENT, SQL_ANSWERS, SQL_HARD, _answers, _hard
 from .registry_models import _modelled, _vectors
@@ -148,7 +148,7 @@ def r05_group_summary(spark, d):
 @query()
 def r04_assignments(spark, d):
     """Each row of the chosen models with its topic and affinity, the nearest first."""
-    found, _, _ = _modelled(spark, d)
+    found = clusters.k_curve(_vectors(spark, d), "grupo", "vec_id", "embedding")
     labels = written(topics.best_topics(found.labels, found.curve, "grupo"), "model_labels")
     rows = _vectors(spark, d).join(labels, ["grupo", "vec_id"]).withColumn("tema", F.concat_ws("|", "grupo", "topic"))
     near = topics.affinity(rows, topics.centroids(rows, "tema", "embedding"), "vec_id", "tema", "embedding").withColumn("afinidad", F.round("afinidad", 9))

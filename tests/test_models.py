@@ -584,3 +584,16 @@ def test_words_of_all_cells_are_those_of_each_row_in_each_cell(spark, monkeypatc
     got = topics.class_tfidf_cells(terms, labels, "g", "k", "topic", "doc_id", 4)
     want = topics.class_tfidf_by(terms.join(labels, ["g", "doc_id"]), ["g", "k"], "topic", 4)
     assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_assignments_read_no_texts(spark, monkeypatch):
+    """Topics and affinities of rows need vectors alone."""
+    from sondeo import registry_models, registry_reports
+
+    def texts(*_):
+        raise AssertionError("texts are read")
+
+    monkeypatch.setattr(registry_reports, "_modelled", texts, raising=False)
+    monkeypatch.setattr(registry_models, "_modelled", texts)
+    monkeypatch.setattr(registry_reports.clusters, "k_curve", lambda *a, **b: clusters.Curve(spark.createDataFrame([(g, 2, True, 0.9) for g in range(3)], "grupo int, k int, valid boolean, stability double"), registry_models._vectors(spark, SF).select("grupo", F.lit(2).alias("k"), "vec_id", (F.col("vec_id") % 2).cast("int").alias("topic"))))
+    assert registry_reports.r04_assignments(spark, SF).count() == 500
