@@ -597,3 +597,33 @@ def test_assignments_read_no_texts(spark, monkeypatch):
     monkeypatch.setattr(registry_models, "_modelled", texts)
     monkeypatch.setattr(registry_reports.clusters, "k_curve", lambda *a, **b: clusters.Curve(spark.createDataFrame([(g, 2, True, 0.9) for g in range(3)], "grupo int, k int, valid boolean, stability double"), registry_models._vectors(spark, SF).select("grupo", F.lit(2).alias("k"), "vec_id", (F.col("vec_id") % 2).cast("int").alias("topic"))))
     assert registry_reports.r04_assignments(spark, SF).count() == 500
+
+
+@pytest.mark.parametrize("spare", [0, 64])
+def test_nearest_of_is_brute_force(monkeypatch, spare):
+    """The distance that counts is exact, also where many are equal, in blocks and beside a row's own."""
+    monkeypatch.setattr(density, "SPARE", spare)
+    monkeypatch.setattr(density, "WIDE", 100)
+    monkeypatch.setattr(density, "ROWS", 16)
+    rng = np.random.default_rng(4)
+    for y in (rng.normal(size=(500, 6)), np.repeat(rng.normal(size=(9, 4)), 40, 0), rng.integers(0, 3, size=(300, 3)) * 1.0, rng.normal(size=(200, 2)) + 1e3):
+        y = y.astype(np.float32)
+        for most, own in ((1, np.arange(7, 27)), (30, np.arange(7, 27)), (90, None), (len(y) - 1, np.arange(20))):
+            x = y[own].astype(float) if own is not None else rng.normal(size=(20, y.shape[1]))
+            far = density.exact(np.repeat(x, len(y), 0), np.tile(y.astype(float), (20, 1))).reshape(20, -1)
+            if own is not None:
+                far[np.arange(20), own] = np.inf
+            want = np.sort(far, 1)[:, :most]
+            assert np.array_equal(density.nearest_of(x, y, own, most, False).max(1), want[:, -1])
+            assert np.array_equal(np.sort(density.nearest_of(x, y, own, most, True), 1), want)
+
+
+def test_blocks_of_a_group_are_sent_for_few_lots(spark):
+    """However many blocks a group has and however few rows of them go at a time, its rows are
+    sent to TASKS lots of all groups at most, and one more for each group."""
+    rows = spark.range(900).select((F.col("id") % 3).cast("int").alias("g"), "id", F.array(*(F.rand(i) for i in range(4))).alias("v")).filter("g < 2 or id < 60")
+    blocks, _ = density.packed(rows, "g", "id", "v", 0, 80)
+    lots = {r.g: r for r in density.dealt(blocks).collect()}
+    assert lots[0].slices == lots[1].slices == 60 and sum(r.lots for r in lots.values()) <= density.TASKS + 3
+    of = blocks.join(density.dealt(blocks).drop("slices"), "g").select("g", "slice", density.lot_of("slice")).collect()
+    assert all({r.lot for r in of if r.g == g} == set(range(lots[g].lots)) for g in (0, 1))
